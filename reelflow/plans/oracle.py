@@ -1,0 +1,66 @@
+"""DuckDB twin of every SQL-expressible query in ``reelflow.plans.catalog``.
+
+Each string runs on DuckDB with the driver tables registered as views; derived
+views are inlined as CTEs. Column names and types match the Spark side.
+"""
+
+from __future__ import annotations
+
+from reelflow.plans import sqlparts as S
+from reelflow.plans.sqlparts import with_views
+
+ORACLE: dict[str, str] = {}
+
+
+def oracle(name: str, sql: str, *views: str) -> None:
+    ORACLE[name] = with_views(sql, *views)
+
+
+# ------------------------------------------------------------------ M0 / M1
+oracle("timeline_text", f"""
+SELECT video_id,
+       string_agg({S.timeline_line('start_s', 'end_s', 'text')}, chr(10) ORDER BY pos) AS transcript,
+       count(*) AS num_segments
+FROM segments GROUP BY video_id""", "segments")
+
+oracle("srt_cues", f"""
+SELECT video_id, pos, cue_index, start_clock, end_clock, text,
+       concat(CAST(cue_index AS VARCHAR), chr(10), start_clock, ' --> ', end_clock, chr(10), text, chr(10), chr(10)) AS cue
+FROM (SELECT video_id, pos, CAST(pos + 1 AS INT) AS cue_index, {S.srt_clock('start_s')} AS start_clock,
+             {S.srt_clock('end_s')} AS end_clock, {S.strip('text')} AS text FROM segments) a""", "segments")
+
+oracle("vtt_cues", f"""
+SELECT video_id, pos, start_clock, end_clock, text,
+       concat(start_clock, ' --> ', end_clock, chr(10), text, chr(10), chr(10)) AS cue
+FROM (SELECT video_id, pos, {S.vtt_clock('start_s')} AS start_clock,
+             {S.vtt_clock('end_s')} AS end_clock, {S.strip('text')} AS text FROM segments) a""", "segments")
+
+oracle("srt_body", f"""
+SELECT video_id, count(*) AS num_cues,
+       string_agg(concat(CAST(pos + 1 AS VARCHAR), chr(10), {S.srt_clock('start_s')}, ' --> ', {S.srt_clock('end_s')},
+                         chr(10), {S.strip('text')}, chr(10), chr(10)), '' ORDER BY pos) AS body
+FROM segments GROUP BY video_id""", "segments")
+
+oracle("vtt_body", f"""
+SELECT video_id, count(*) AS num_cues,
+       concat('WEBVTT', chr(10), chr(10),
+              string_agg(concat({S.vtt_clock('start_s')}, ' --> ', {S.vtt_clock('end_s')}, chr(10), {S.strip('text')},
+                                chr(10), chr(10)), '' ORDER BY pos)) AS body
+FROM segments GROUP BY video_id""", "segments")
+
+oracle("clips", f"""
+SELECT video_id, pos, start_s AS start, end_s AS "end", {S.strip('text')} AS text FROM segments""", "segments")
+
+oracle("word_timeline", """
+SELECT video_id, pos, word_pos, word,
+       start_s + (end_s - start_s) * (upto - length(word)) / total AS word_start,
+       start_s + (end_s - start_s) * upto / total AS word_end
+FROM (SELECT *, sum(length(word)) OVER (PARTITION BY video_id, pos ORDER BY word_pos
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                sum(length(word)) OVER (PARTITION BY video_id, pos) AS total
+      FROM (SELECT video_id, pos, start_s, end_s, CAST(w.i - 1 AS INT) AS word_pos, w.word
+            FROM segments,
+                 LATERAL (SELECT unnest(parts) AS word, generate_subscripts(parts, 1) AS i
+                          FROM (SELECT string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') AS parts))
+                 AS w) a
+      WHERE length(word) > 0) b""", "segments")
