@@ -57,3 +57,69 @@ def clips(spark, sf):
 @query
 def word_timeline(spark, sf):
     return timeline.word_timeline(views.segments(spark, sf))
+
+
+# ------------------------------------------------------------------ M2: URLs and planning
+from pyspark.sql import functions as F  # noqa: E402
+
+from reelflow.operators import planning, quality  # noqa: E402
+
+# Cache folders already on disk in the model plan (a run parameter).
+PRESENT_MODELS = ["tiny", "base"]
+
+
+def _canon(spark, sf):
+    return planning.canonical_requests(views.requests(spark, sf))
+
+
+@query
+def canonical_urls(spark, sf):
+    return _canon(spark, sf)
+
+
+@query
+def pending_requests(spark, sf):
+    return planning.pending(_canon(spark, sf), views.inventory(spark, sf)).select(
+        "request_id", "canonical_url", "video_key")
+
+
+@query
+def done_requests(spark, sf):
+    return planning.done(_canon(spark, sf), views.inventory(spark, sf)).select(
+        "request_id", "canonical_url", "video_key")
+
+
+def _present(spark):
+    cat = planning.catalogue(spark).filter(F.col("name").isin(PRESENT_MODELS))
+    return cat.select(F.concat(F.lit("models--"), F.replace("repo", F.lit("/"), F.lit("--"))).alias("key"))
+
+
+def _plan(spark, sf):
+    return planning.model_plan(spark, views.model_batches(spark, sf), views.model_requests(spark, sf),
+                               _present(spark))
+
+
+@query
+def model_plan(spark, sf):
+    return _plan(spark, sf)
+
+
+@query
+def batch_validation(spark, sf):
+    r = planning.batch_results(views.model_batches(spark, sf), _plan(spark, sf))
+    return r.withColumn("successful", F.array_join("successful", ",")) \
+            .withColumn("failed", F.array_join("failed", ","))
+
+
+@query
+def quarantine(spark, sf):
+    secs = views.sections(spark, sf)
+    return quality.quarantine(views.segments(spark, sf), views.llm_responses(spark, sf),
+                              views.image_results(spark, sf, secs))
+
+
+@query
+def missing_inputs(spark, sf):
+    segs = views.segments(spark, sf)
+    return quality.missing_inputs(_canon(spark, sf), views.inventory(spark, sf), segs,
+                                  views.sections(spark, sf, segs))

@@ -64,3 +64,91 @@ FROM (SELECT *, sum(length(word)) OVER (PARTITION BY video_id, pos ORDER BY word
                           FROM (SELECT string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') AS parts))
                  AS w) a
       WHERE length(word) > 0) b""", "segments")
+
+
+# ------------------------------------------------------------------ M2: URLs and planning
+from reelflow import fixed_values as FV  # noqa: E402
+from reelflow.plans.catalog import PRESENT_MODELS  # noqa: E402
+
+_WATCH_ID = r"^https://www\.youtube\.com/watch\?v=([^&#]+)"
+_CANON = f"""
+SELECT request_id, url, shorts_id, canonical_url, nullif(regexp_extract(canonical_url, '{_WATCH_ID}', 1), '') AS video_key
+FROM (SELECT request_id, url, nullif(regexp_extract(url, '{S.SHORTS_PATTERN}', 1), '') AS shorts_id,
+             {S.canonical_url('url')} AS canonical_url FROM requests) a"""
+
+oracle("canonical_urls", _CANON, "requests")
+oracle("pending_requests", f"""
+SELECT request_id, canonical_url, video_key FROM ({_CANON}) c
+WHERE canonical_url NOT IN (SELECT key FROM inventory)""", "requests", "inventory")
+oracle("done_requests", f"""
+SELECT request_id, canonical_url, video_key FROM ({_CANON}) c
+WHERE canonical_url IN (SELECT key FROM inventory)""", "requests", "inventory")
+
+_PRESENT = ", ".join(f"'{n}'" for n in PRESENT_MODELS)
+_PLAN = f"""
+SELECT e.batch_id, e.pos, e.name, c.repo, c.size_gb, c.description,
+       'models--' || replace(c.repo, '/', '--') AS cache_dir,
+       printf('%.2f', c.size_gb) || 'GB' AS size_text, b.force,
+       CASE WHEN c.repo IS NULL THEN 'invalid'
+            WHEN c.name IN ({_PRESENT}) AND NOT b.force THEN 'skip_existing' ELSE 'download' END AS action
+FROM (SELECT batch_id, pos, name FROM model_requests
+      UNION ALL
+      SELECT b.batch_id, CAST(c.ord AS INT) AS pos, c.name FROM model_batches b JOIN catalogue c ON b.all_models) e
+JOIN model_batches b USING (batch_id)
+LEFT JOIN catalogue c USING (name)"""
+oracle("model_plan", _PLAN, "model_requests", "model_batches", "catalogue")
+
+oracle("batch_validation", f"""
+SELECT batch_id, n_requested, n_invalid, total_size_gb, space_ok, status,
+       CASE WHEN status = 'ok' THEN names ELSE '' END AS successful,
+       CASE WHEN status = 'ok' THEN '' ELSE names END AS failed,
+       status = 'ok' AND n_requested > 0 AS any_success,
+       CASE WHEN n_requested > 0 THEN CAST(100.0 AS DOUBLE) * (CASE WHEN status = 'ok' THEN n_requested ELSE 0 END)
+                                      / n_requested END AS success_rate
+FROM (SELECT batch_id, n_requested, n_invalid, total_size_gb, space_ok, names,
+             CASE WHEN n_invalid > 0 THEN 'invalid_names' WHEN NOT space_ok THEN 'insufficient_space' ELSE 'ok' END AS status
+      FROM (SELECT b.batch_id, coalesce(p.n_requested, 0) AS n_requested, coalesce(p.n_invalid, 0) AS n_invalid,
+                   CAST(coalesce(p.total, 0) AS DOUBLE) AS total_size_gb,
+                   b.free_gb IS NULL OR b.free_gb >= CAST(coalesce(p.total, 0) AS DOUBLE) + {FV.DISK_BUFFER_GB} AS space_ok,
+                   coalesce(p.names, '') AS names
+            FROM model_batches b
+            LEFT JOIN (SELECT batch_id, count(*) AS n_requested, count_if(action = 'invalid') AS n_invalid,
+                              sum(CAST(size_gb AS DECIMAL(12,3))) AS total,
+                              string_agg(name, ',' ORDER BY pos) AS names
+                       FROM ({_PLAN}) pl GROUP BY batch_id) p USING (batch_id)) x) y""",
+       "model_requests", "model_batches", "catalogue")
+
+_LLM = ", ".join(f"'{b}'" for b in FV.LLM_BACKENDS)
+_IMG = ", ".join(f"'{b}'" for b in FV.IMAGE_BACKENDS)
+oracle("quarantine", f"""
+SELECT 'segments' AS source, concat_ws(':', CAST(video_id AS VARCHAR), CAST(pos AS VARCHAR)) AS record_key,
+       'missing field: ' || concat_ws(',', CASE WHEN start_s IS NULL THEN 'start' END, CASE WHEN end_s IS NULL THEN 'end' END,
+                                       CASE WHEN text IS NULL THEN 'text' END) AS reason
+FROM segments WHERE start_s IS NULL OR end_s IS NULL OR text IS NULL
+UNION ALL
+SELECT 'llm_responses', CAST(video_id AS VARCHAR), 'unsupported backend: ' || coalesce(backend, 'NULL')
+FROM llm_responses WHERE NOT coalesce(backend IN ({_LLM}), false)
+UNION ALL
+SELECT 'image_results', concat_ws(':', CAST(video_id AS VARCHAR), CAST(section_index AS VARCHAR)),
+       'unsupported backend: ' || coalesce(backend, 'NULL')
+FROM image_results WHERE NOT coalesce(backend IN ({_IMG}), false)
+UNION ALL
+SELECT 'image_results', concat_ws(':', CAST(video_id AS VARCHAR), CAST(section_index AS VARCHAR)),
+       'http status ' || CAST(status_code AS VARCHAR)
+FROM image_results WHERE status_code <> 200""", "segments", "llm_responses", "image_results")
+
+oracle("missing_inputs", f"""
+SELECT request_id, stage, reason FROM (
+  SELECT request_id,
+         CASE WHEN video_id IS NULL THEN 'download' WHEN NOT media THEN 'transcribe'
+              WHEN NOT tr THEN 'prompts' WHEN NOT sec THEN 'images' END AS stage,
+         CASE WHEN video_id IS NULL THEN 'url names no video' WHEN NOT media THEN 'media file not found'
+              WHEN NOT tr THEN 'transcript not found' WHEN NOT sec THEN 'prompts not found' END AS reason
+  FROM (SELECT request_id, video_id,
+               canonical_url IN (SELECT key FROM inventory) AS media,
+               video_id IN (SELECT video_id FROM segments) AS tr,
+               video_id IN (SELECT video_id FROM sections) AS sec
+        FROM (SELECT request_id, canonical_url,
+                     TRY_CAST(nullif(regexp_extract(video_key, '^vid_(\\d+)$', 1), '') AS BIGINT) AS video_id
+              FROM ({_CANON}) c) a) b) z
+WHERE stage IS NOT NULL""", "requests", "inventory", "segments", "sections")
