@@ -123,3 +123,32 @@ def missing_inputs(spark, sf):
     segs = views.segments(spark, sf)
     return quality.missing_inputs(_canon(spark, sf), views.inventory(spark, sf), segs,
                                   views.sections(spark, sf, segs))
+
+
+# ------------------------------------------------------------------ M3: requests and responses
+from reelflow.operators import prompts, responses  # noqa: E402
+
+
+@query
+def llm_requests(spark, sf):
+    return prompts.llm_requests(views.segments(spark, sf))
+
+
+@query
+def extract_json(spark, sf):
+    return responses.extract(views.llm_responses(spark, sf)).select("video_id", "backend", "extracted")
+
+
+@query
+def parsed_sections(spark, sf):
+    return responses.parsed_sections(views.llm_responses(spark, sf), views.segments(spark, sf))
+
+
+@query
+def backend_comparison(spark, sf):
+    return responses.backend_comparison(views.llm_responses(spark, sf))
+
+
+@query
+def rule_sections(spark, sf):
+    return prompts.rule_sections(views.segments(spark, sf))

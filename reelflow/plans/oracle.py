@@ -152,3 +152,69 @@ SELECT request_id, stage, reason FROM (
                      TRY_CAST(nullif(regexp_extract(video_key, '^vid_(\\d+)$', 1), '') AS BIGINT) AS video_id
               FROM ({_CANON}) c) a) b) z
 WHERE stage IS NOT NULL""", "requests", "inventory", "segments", "sections")
+
+
+# ------------------------------------------------------------------ M3: requests and responses
+_TIMELINE = f"""
+SELECT video_id, string_agg({S.timeline_line('start_s', 'end_s', 'text')}, chr(10) ORDER BY pos) AS transcript
+FROM segments GROUP BY video_id"""
+_MAXTOK = S.case_map("backend", FV.LLM_DEFAULT_MAX_TOKENS, "INT")
+oracle("llm_requests", f"""
+SELECT video_id, backend, model, language, temperature, max_tokens, prompt,
+       CASE backend
+         WHEN 'openai' THEN to_json({{'model': model, 'messages': [{{'role': 'user', 'content': prompt}}],
+                                     'temperature': temperature, 'max_tokens': max_tokens,
+                                     'response_format': {{'type': 'json_object'}}}})
+         WHEN 'anthropic' THEN to_json({{'model': model, 'max_tokens': max_tokens, 'temperature': temperature,
+                                        'messages': [{{'role': 'user', 'content': prompt}}]}})
+         ELSE to_json({{'model': model, 'prompt': prompt, 'temperature': temperature, 'stream': false}}) END AS payload
+FROM (SELECT video_id, backend, {S.case_map('backend', FV.LLM_DEFAULT_MODEL)} AS model, language,
+             CAST({FV.LLM_DEFAULT_TEMPERATURE} AS DOUBLE) AS temperature, {_MAXTOK} AS max_tokens,
+             {S.sql_str(FV.REQUEST_TEMPLATE_HEAD)} || language || {S.sql_str(FV.REQUEST_TEMPLATE_MID)} || transcript AS prompt
+      FROM (SELECT video_id, {S.backend_for('video_id')} AS backend, '{FV.DEFAULT_LANGUAGE}' AS language, transcript
+            FROM ({_TIMELINE}) t) a) b""", "segments")
+
+oracle("extract_json", f"""
+SELECT video_id, backend, {S.extract_for_backend('backend', 'content')} AS extracted FROM llm_responses""",
+       "llm_responses")
+
+_E = FV.FALLBACK_EMPTY
+_FALLBACK = f"""
+SELECT video_id, arg_min(coalesce(start_s, 0.0), pos) AS start_time, arg_max(coalesce(end_s, 0.0), pos) AS end_time,
+       string_agg(coalesce(text, ''), ' ' ORDER BY pos) AS full_text
+FROM segments GROUP BY video_id"""
+oracle("parsed_sections", f"""
+SELECT video_id, backend, model, status, CAST(i - 1 AS INT) AS section_index,
+       s.start_time, s.end_time, s.transcript_text, s.image_prompt, s.sentiment, s.scene_description, s.visual_style
+FROM (SELECT video_id, backend, model, status, unnest(sections) AS s, generate_subscripts(sections, 1) AS i
+      FROM classified WHERE status = 'parsed') p
+UNION ALL
+SELECT c.video_id, c.backend, c.model, c.status, 0 AS section_index,
+       coalesce(f.start_time, {_E['start_time']}), coalesce(f.end_time, {_E['end_time']}),
+       CASE WHEN f.full_text IS NULL THEN {S.sql_str(_E['transcript_text'])} ELSE substr(f.full_text, 1, {FV.FALLBACK_TEXT_CHARS}) END,
+       CASE WHEN f.full_text IS NULL THEN {S.sql_str(_E['image_prompt'])}
+            ELSE {S.sql_str(FV.FALLBACK_PROMPT_PREFIX)} || substr(f.full_text, 1, {FV.FALLBACK_PROMPT_CHARS}) END,
+       {S.sql_str(FV.FALLBACK_SENTIMENT)},
+       CASE WHEN f.full_text IS NULL THEN {S.sql_str(_E['scene_description'])} ELSE {S.sql_str(FV.FALLBACK_SCENE)} END,
+       {S.sql_str(FV.FALLBACK_STYLE)}
+FROM classified c LEFT JOIN ({_FALLBACK}) f USING (video_id) WHERE c.status = 'fallback'
+UNION ALL
+SELECT video_id, backend, model, status, CAST(NULL AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+       CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+FROM classified WHERE status = 'error'""", "classified", "segments")
+
+oracle("backend_comparison", f"""
+SELECT backend, model, count(*) AS n_videos, count_if(status = 'parsed') AS n_parsed,
+       count_if(status = 'fallback') AS n_fallback, count_if(status = 'error') AS n_error,
+       CAST(sum(CASE status WHEN 'parsed' THEN len(sections) WHEN 'fallback' THEN 1 ELSE 0 END) AS BIGINT) AS n_sections
+FROM classified GROUP BY backend, model""", "classified")
+
+oracle("rule_sections", """
+SELECT video_id, CAST(sec - 1 AS INT) AS section_index, arg_min(start_s, pos) AS start_time,
+       arg_max(end_s, pos) AS end_time, count(*) AS num_segments,
+       string_agg(coalesce(text, ''), ' ' ORDER BY pos) AS transcript_text
+FROM (SELECT *, sum(is_new) OVER (PARTITION BY video_id ORDER BY pos
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec
+      FROM (SELECT *, CASE WHEN prev_end IS NULL OR start_s - prev_end > 1.0 THEN 1 ELSE 0 END AS is_new
+            FROM (SELECT *, lag(end_s) OVER (PARTITION BY video_id ORDER BY pos) AS prev_end FROM segments) a) b) c
+GROUP BY video_id, sec""", "segments")

@@ -138,3 +138,59 @@ def canonical_url(u: str) -> str:
             f"WHEN {host_id} IS NOT NULL THEN {w} || {host_id} "
             f"WHEN contains({u}, 'youtube.com/watch') THEN {u} "
             f"WHEN {v} IS NOT NULL THEN {w} || {v} ELSE {u} END")
+
+
+def sql_str(s: str) -> str:
+    """A SQL string literal; newlines become ``chr(10)``."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+def _fence_body(c: str, st: str) -> str:
+    rel = f"instr(substr({c}, {st}), '```')"
+    return (f"{strip(f'(CASE WHEN {rel} > 0 THEN substr({c}, {st}, {rel} - 1) '
+                     f'ELSE substr({c}, {st}, greatest(length({c}) - ({st}), 0)) END)')}")
+
+
+def extract_for_backend(backend: str, c: str) -> str:
+    fenced = (f"CASE WHEN instr({c}, '```json') > 0 THEN {_fence_body(c, f'instr({c}, ' + "'```json'" + ') + 7')} "
+              f"WHEN instr({c}, '```') > 0 THEN {_fence_body(c, f'instr({c}, ' + "'```'" + ') + 3')} ELSE {c} END")
+    greedy = f"coalesce(nullif(regexp_extract({c}, '(?s)\\{{.*\\}}', 0), ''), {c})"
+    return f"CASE WHEN {backend} = 'anthropic' THEN {fenced} WHEN {backend} = 'ollama' THEN {greedy} ELSE {c} END"
+
+
+def case_map(col: str, mapping: dict, cast: str = "VARCHAR") -> str:
+    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v) if isinstance(v, str) else v}" for k, v in mapping.items())
+    return f"CAST(CASE {col} {whens} END AS {cast})"
+
+
+def backend_for(video_id: str) -> str:
+    return (f"CASE CAST(floor({video_id} / 9) AS INT) % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' "
+            f"ELSE 'ollama' END")
+
+
+SECTION_JSON_STRUCT = ('{"start_time": "DOUBLE", "end_time": "DOUBLE", "transcript_text": "VARCHAR", '
+                       '"image_prompt": "VARCHAR", "sentiment": "VARCHAR", "scene_description": "VARCHAR", '
+                       '"visual_style": "VARCHAR"}')
+
+
+def classified(responses: str = "llm_responses") -> str:
+    """One row per answer with status and typed sections (DuckDB twin of ``responses.classify``)."""
+    ext = extract_for_backend("backend", "content")
+    model = case_map("backend", FV.LLM_DEFAULT_MODEL)
+    return f"""
+SELECT video_id, backend, {model} AS model, t, status,
+       CASE WHEN status <> 'parsed' THEN NULL
+            WHEN kind = 'OBJECT' THEN json_transform(t, '{{"sections": [{SECTION_JSON_STRUCT}]}}').sections
+            ELSE json_transform(t, '[{SECTION_JSON_STRUCT}]') END AS sections
+FROM (SELECT *,
+             CASE WHEN ok AND kind = 'OBJECT' AND list_contains(json_keys(t), 'sections') THEN
+                       CASE WHEN json_type(t, '$.sections') = 'ARRAY' THEN 'parsed'
+                            WHEN json_type(t, '$.sections') = 'NULL' AND backend = 'openai' THEN 'fallback'
+                            ELSE 'error' END
+                  WHEN ok AND kind = 'ARRAY' THEN 'parsed' ELSE 'fallback' END AS status
+      FROM (SELECT *, coalesce(json_valid(t), false) AS ok, CASE WHEN coalesce(json_valid(t), false) THEN json_type(t) END AS kind
+            FROM (SELECT video_id, backend, {ext} AS t FROM {responses}) a) b) c"""
+
+
+VIEWS["classified"] = (["llm_responses"], classified())

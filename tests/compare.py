@@ -24,6 +24,12 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None:
         return None
+    try:
+        import pandas as pd
+        if v is pd.NA or v is pd.NaT:
+            return None
+    except Exception:
+        pass
     if isinstance(v, float):
         if math.isnan(v):
             return None
