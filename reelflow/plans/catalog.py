@@ -152,3 +152,64 @@ def backend_comparison(spark, sf):
 @query
 def rule_sections(spark, sf):
     return prompts.rule_sections(views.segments(spark, sf))
+
+
+# ------------------------------------------------------------------ M4: images and summary
+from reelflow import fixed_values as FV  # noqa: E402
+from reelflow.operators import images, summary  # noqa: E402
+
+
+def _secs_results(spark, sf):
+    secs = views.sections(spark, sf)
+    return secs, views.image_results(spark, sf, secs)
+
+
+def prices(spark):
+    """Documented unit prices (3 fixed rows)."""
+    return spark.createDataFrame([(b, p) for b, p in FV.IMAGE_UNIT_PRICE], "backend STRING, unit_price STRING") \
+                .select("backend", F.col("unit_price").cast("decimal(10,4)").alias("unit_price"))
+
+
+@query
+def image_requests(spark, sf):
+    return images.image_requests(views.sections(spark, sf))
+
+
+@query
+def image_manifest(spark, sf):
+    return images.manifest_flat(*_secs_results(spark, sf))
+
+
+@query
+def image_payloads(spark, sf):
+    return images.payload_bytes(_secs_results(spark, sf)[1])
+
+
+@query
+def image_cost(spark, sf):
+    return images.cost(_secs_results(spark, sf)[1], prices(spark))
+
+
+@query
+def image_progress(spark, sf):
+    return images.progress(*_secs_results(spark, sf))
+
+
+@query
+def frame_collisions(spark, sf):
+    return images.frame_collisions(*_secs_results(spark, sf))
+
+
+@query
+def section_preview(spark, sf):
+    return images.preview(views.sections(spark, sf))
+
+
+@query
+def pipeline_summary(spark, sf):
+    segs = views.segments(spark, sf)
+    secs = views.sections(spark, sf, segs)
+    tr = segs.select("video_id").distinct().select(
+        "video_id", F.concat(F.lit("conv_"), F.col("video_id").cast("string"), F.lit(".aligned.json"))
+        .alias("transcript_file"))
+    return summary.pipeline_summary(tr, segs, secs, views.image_results(spark, sf, secs))

@@ -218,3 +218,105 @@ FROM (SELECT *, sum(is_new) OVER (PARTITION BY video_id ORDER BY pos
       FROM (SELECT *, CASE WHEN prev_end IS NULL OR start_s - prev_end > 1.0 THEN 1 ELSE 0 END AS is_new
             FROM (SELECT *, lag(end_s) OVER (PARTITION BY video_id ORDER BY pos) AS prev_end FROM segments) a) b) c
 GROUP BY video_id, sec""", "segments")
+
+
+# ------------------------------------------------------------------ M4: images and summary
+_IMG_BACKEND = "CASE video_id % 3 WHEN 0 THEN 'diffusers' WHEN 1 THEN 'openai' ELSE 'stability' END"
+_W, _H = FV.DIFFUSERS_SIZE
+_IMG_REQ = f"""
+SELECT video_id, section_index, backend, model, full_prompt, negative_prompt, frame_file,
+       CASE backend
+         WHEN 'diffusers' THEN to_json({{'prompt': full_prompt, 'negative_prompt': negative_prompt,
+                                        'num_inference_steps': {FV.DIFFUSERS_STEPS},
+                                        'guidance_scale': CAST({FV.DIFFUSERS_GUIDANCE} AS DOUBLE),
+                                        'width': {_W}, 'height': {_H}}})
+         WHEN 'openai' THEN to_json({{'model': model, 'prompt': full_prompt, 'size': '{FV.OPENAI_SIZE}',
+                                     'quality': '{FV.OPENAI_QUALITY}', 'n': 1}})
+         ELSE to_json({{'prompt': full_prompt, 'negative_prompt': negative_prompt,
+                        'aspect_ratio': '{FV.STABILITY_ASPECT_RATIO}', 'output_format': '{FV.STABILITY_FORMAT}',
+                        'model': model, 'mode': 'text-to-image'}}) END AS payload
+FROM (SELECT video_id, section_index, start_time, backend, {S.case_map('backend', FV.IMAGE_DEFAULT_MODEL)} AS model,
+             CASE WHEN backend = 'openai' AND length(fp) > {FV.PROMPT_CHAR_LIMIT}
+                  THEN substr(fp, 1, {FV.PROMPT_CHAR_LIMIT - 3}) || '...' ELSE fp END AS full_prompt,
+             {S.case_map('backend', FV.NEGATIVE_PROMPT)} AS negative_prompt,
+             printf('frame_%08d.%s', CAST(trunc(coalesce(start_time, 0.0) * 1000) AS BIGINT),
+                    CASE WHEN backend = 'stability' THEN '{FV.STABILITY_FORMAT}' ELSE 'png' END) AS frame_file
+      FROM (SELECT *, {_IMG_BACKEND} AS backend,
+                   CASE WHEN coalesce(visual_style, '') <> ''
+                        THEN coalesce(image_prompt, '') || ', ' || visual_style || ' style'
+                        ELSE coalesce(image_prompt, '') END AS fp
+            FROM sections) a) b"""
+oracle("image_requests", _IMG_REQ, "sections")
+
+_REC = f"""
+SELECT q.video_id, q.section_index, q.frame_file
+FROM ({_IMG_REQ}) q JOIN image_results r USING (video_id, section_index) WHERE r.status_code = 200"""
+
+
+def _settings_json(backend: str) -> str:
+    neg = S.case_map(backend, FV.NEGATIVE_PROMPT)
+    diff = (f"to_json(MAP {{'num_inference_steps': '{FV.DIFFUSERS_STEPS}', 'guidance_scale': '{FV.DIFFUSERS_GUIDANCE}', "
+            f"'image_size': '[{_W}, {_H}]', 'negative_prompt': {neg}}})")
+    oai = f"to_json(MAP {{'quality': '{FV.OPENAI_QUALITY}', 'size': '{FV.OPENAI_SIZE}'}})"
+    stab = (f"to_json(MAP {{'aspect_ratio': '{FV.STABILITY_ASPECT_RATIO}', 'output_format': '{FV.STABILITY_FORMAT}', "
+            f"'negative_prompt': {neg}}})")
+    return f"CASE {backend} WHEN 'diffusers' THEN {diff} WHEN 'openai' THEN {oai} ELSE {stab} END"
+
+
+oracle("image_manifest", f"""
+SELECT video_id, backend, {S.case_map('backend', FV.IMAGE_DEFAULT_MODEL)} AS model, num_sections,
+       coalesce(num_images, 0) AS num_images, coalesce(image_indices, '') AS image_indices,
+       coalesce(frame_files, '') AS frame_files, {_settings_json('backend')} AS settings
+FROM (SELECT video_id, {_IMG_BACKEND} AS backend, count(*) AS num_sections FROM sections GROUP BY video_id) v
+LEFT JOIN (SELECT video_id, count(*) AS num_images,
+                  string_agg(CAST(section_index AS VARCHAR), ',' ORDER BY section_index) AS image_indices,
+                  string_agg(frame_file, ',' ORDER BY section_index) AS frame_files
+           FROM ({_REC}) rec GROUP BY video_id) i USING (video_id)""", "sections", "image_results")
+
+oracle("image_payloads", """
+SELECT video_id, section_index, backend, b IS NOT NULL AS valid, CAST(octet_length(b) AS BIGINT) AS n_bytes,
+       sha256(b) AS sha256
+FROM (SELECT *, try(from_base64(image_b64)) AS b FROM image_results WHERE status_code = 200) a""", "image_results")
+
+oracle("image_cost", """
+SELECT backend, n_images, CAST(unit_price AS DECIMAL(10,4)) AS unit_price,
+       CAST(CAST(n_images AS DECIMAL(18,0)) * unit_price AS DECIMAL(18,4)) AS total_cost
+FROM (SELECT backend, count(*) AS n_images FROM image_results WHERE status_code = 200 GROUP BY backend) n
+LEFT JOIN prices USING (backend)""", "image_results", "prices")
+
+oracle("image_progress", """
+SELECT video_id, section_index, CAST(section_index + 1 AS BIGINT) AS attempted,
+       CAST(sum(ok) OVER (PARTITION BY video_id ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS BIGINT) AS succeeded,
+       count(*) OVER (PARTITION BY video_id) AS total,
+       CAST(100.0 AS DOUBLE) * (section_index + 1) / count(*) OVER (PARTITION BY video_id) AS progress_pct
+FROM (SELECT s.video_id, s.section_index, CASE WHEN r.status_code = 200 THEN 1 ELSE 0 END AS ok
+      FROM sections s LEFT JOIN image_results r USING (video_id, section_index)) a""", "sections", "image_results")
+
+oracle("frame_collisions", f"""
+SELECT video_id, section_index, frame_file, count(*) OVER (PARTITION BY video_id, frame_file) AS n_same_file,
+       section_index = max(section_index) OVER (PARTITION BY video_id, frame_file) AS is_winner
+FROM ({_REC}) rec""", "sections", "image_results")
+
+oracle("section_preview", """
+SELECT video_id, section_index, CAST(section_index + 1 AS INT) AS section_no,
+       printf('%.1f', CAST(coalesce(start_time, 0) AS DOUBLE)) AS start_text,
+       printf('%.1f', CAST(coalesce(end_time, 0) AS DOUBLE)) AS end_text,
+       'N/A' AS scene, substr(coalesce(image_prompt, 'N/A'), 1, 100) || '...' AS prompt_preview,
+       coalesce(visual_style, 'N/A') AS style, greatest(n - 3, 0) AS more_sections
+FROM sections JOIN (SELECT video_id, count(*) AS n FROM sections GROUP BY video_id) c USING (video_id)
+WHERE section_index < 3""", "sections")
+
+oracle("pipeline_summary", """
+SELECT video_id, video_name, transcript_file, video_name || '.srt' AS srt_file,
+       video_name || '_prompts.json' AS prompts_file, 'generated_images/' || video_name AS output_dir,
+       coalesce(num_segments, 0) AS num_segments, coalesce(num_sections, 0) AS num_sections,
+       coalesce(num_images, 0) AS num_images
+FROM (SELECT video_id, transcript_file,
+             replace(regexp_extract(transcript_file, '^(.+?)(\\.[^.]*)?$', 1), '.aligned', '') AS video_name
+      FROM (SELECT DISTINCT video_id, 'conv_' || CAST(video_id AS VARCHAR) || '.aligned.json' AS transcript_file
+            FROM segments) t) t
+LEFT JOIN (SELECT video_id, count(*) AS num_segments FROM segments GROUP BY video_id) a USING (video_id)
+LEFT JOIN (SELECT video_id, count(*) AS num_sections FROM sections GROUP BY video_id) b USING (video_id)
+LEFT JOIN (SELECT video_id, count_if(status_code = 200) AS num_images FROM image_results GROUP BY video_id) c
+  USING (video_id)""", "segments", "sections", "image_results")
