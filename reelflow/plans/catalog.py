@@ -213,3 +213,32 @@ def pipeline_summary(spark, sf):
         "video_id", F.concat(F.lit("conv_"), F.col("video_id").cast("string"), F.lit(".aligned.json"))
         .alias("transcript_file"))
     return summary.pipeline_summary(tr, segs, secs, views.image_results(spark, sf, secs))
+
+
+# ------------------------------------------------------------------ M5: time joins
+from reelflow.operators import intervals  # noqa: E402
+
+
+def _frames(spark, sf):
+    secs, res = _secs_results(spark, sf)
+    return images.image_records(secs, res).select("video_id", "section_index", "timestamp", "frame_file")
+
+
+@query
+def section_segments(spark, sf):
+    segs = views.segments(spark, sf)
+    return intervals.section_segments(views.sections(spark, sf, segs), segs)
+
+
+@query
+def frame_intervals(spark, sf):
+    return intervals.frame_intervals(_frames(spark, sf)).select(
+        "video_id", "section_index", "frame_file", "timestamp", "until")
+
+
+@query
+def frame_asof(spark, sf):
+    segs = views.segments(spark, sf).select("video_id", "pos", "start_s")
+    iv = intervals.frame_intervals(_frames(spark, sf))
+    return intervals.frame_at(segs, iv, "start_s").select(
+        "video_id", "pos", "start_s", "frame_section_index", "frame_file", "frame_time")

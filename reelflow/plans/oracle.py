@@ -320,3 +320,25 @@ LEFT JOIN (SELECT video_id, count(*) AS num_segments FROM segments GROUP BY vide
 LEFT JOIN (SELECT video_id, count(*) AS num_sections FROM sections GROUP BY video_id) b USING (video_id)
 LEFT JOIN (SELECT video_id, count_if(status_code = 200) AS num_images FROM image_results GROUP BY video_id) c
   USING (video_id)""", "segments", "sections", "image_results")
+
+
+# ------------------------------------------------------------------ M5: time joins
+oracle("section_segments", """
+SELECT s.video_id, s.section_index, s.start_time, s.end_time, count(g.pos) AS num_segments,
+       coalesce(string_agg(coalesce(g.text, ''), ' ' ORDER BY g.pos), '') AS transcript_text
+FROM sections s LEFT JOIN segments g
+  ON g.video_id = s.video_id AND g.start_s < s.end_time AND g.end_s > s.start_time
+GROUP BY s.video_id, s.section_index, s.start_time, s.end_time""", "sections", "segments")
+
+_FRAMES = f"""
+SELECT q.video_id, q.section_index, r.timestamp_s AS timestamp, q.frame_file
+FROM ({_IMG_REQ}) q JOIN image_results r USING (video_id, section_index) WHERE r.status_code = 200"""
+oracle("frame_intervals", f"""
+SELECT video_id, section_index, frame_file, timestamp,
+       lead(timestamp) OVER (PARTITION BY video_id ORDER BY timestamp, section_index) AS until
+FROM ({_FRAMES}) f""", "sections", "image_results")
+
+oracle("frame_asof", f"""
+SELECT s.video_id, s.pos, s.start_s, f.section_index AS frame_section_index, f.frame_file, f.timestamp AS frame_time
+FROM segments s ASOF LEFT JOIN ({_FRAMES}) f ON s.video_id = f.video_id AND s.start_s >= f.timestamp""",
+       "segments", "sections", "image_results")
