@@ -242,3 +242,31 @@ def frame_asof(spark, sf):
     iv = intervals.frame_intervals(_frames(spark, sf))
     return intervals.frame_at(segs, iv, "start_s").select(
         "video_id", "pos", "start_s", "frame_section_index", "frame_file", "frame_time")
+
+
+# ------------------------------------------------------------------ M6: streaming
+from reelflow.streaming import jobs  # noqa: E402
+
+
+@query
+def stream_ingest(spark, sf):
+    s = jobs.read_folder(spark, sf, jobs.CONVERSATIONS, "conversations.parquet")
+    return jobs.run_available(jobs.transcript_rows(s), "stream_ingest")
+
+
+@query
+def stream_dedup(spark, sf):
+    s = jobs.read_folder(spark, sf, jobs.PAGES, "pages.parquet")
+    return jobs.run_available(jobs.dedup_requests(jobs.request_stream(s)), "stream_dedup")
+
+
+@query
+def stream_sessions(spark, sf):
+    s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")
+    return jobs.run_available(jobs.sessions(s), "stream_sessions")
+
+
+@query
+def stream_counts(spark, sf):
+    s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")
+    return jobs.run_available(jobs.interval_counts(s), "stream_counts")

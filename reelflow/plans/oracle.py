@@ -342,3 +342,30 @@ oracle("frame_asof", f"""
 SELECT s.video_id, s.pos, s.start_s, f.section_index AS frame_section_index, f.frame_file, f.timestamp AS frame_time
 FROM segments s ASOF LEFT JOIN ({_FRAMES}) f ON s.video_id = f.video_id AND s.start_s >= f.timestamp""",
        "segments", "sections", "image_results")
+
+
+# ------------------------------------------------------------------ M6: streaming (final state of the sink)
+oracle("stream_ingest", f"""
+SELECT conv_id AS video_id, CAST(turn AS INT) AS pos, role, {S.strip('text')} AS text FROM conversations""")
+
+oracle("stream_dedup", f"""
+SELECT DISTINCT canonical_url, video_key FROM ({_CANON}) c""", "requests")
+
+oracle("stream_sessions", """
+SELECT user_id, epoch_us(min(ts)) AS session_start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS session_end_us,
+       count(*) AS n_events, sum(CAST(value AS DECIMAL(18,2))) AS total_value
+FROM (SELECT *, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+      FROM (SELECT user_id, ts, value,
+                   CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                          OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE
+                        THEN 1 ELSE 0 END AS is_new
+            FROM events) a) b
+GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+
+oracle("stream_counts", """
+SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start_us, event_type, count(*) AS n_events,
+       sum(CAST(value AS DECIMAL(18,2))) AS total_value
+FROM events
+GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")

@@ -99,6 +99,8 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names:
         visit(n)
+    if not order:
+        return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]}\n)" for n in order)
     return f"WITH {ctes}\n{sql}"
 
