@@ -73,7 +73,7 @@ def payload(backend: Column, model: Column, prompt: Column, negative: Column) ->
 def image_requests(secs: DataFrame, backend: Column | None = None) -> DataFrame:
     """One generation request per section.
 
-    ``(video_id, section_index, backend, model, full_prompt, negative_prompt, frame_file, payload)``
+    ``(video_id, section_index, start_time, backend, model, full_prompt, negative_prompt, frame_file, payload)``
     """
     b = backend_for(F.col("video_id")) if backend is None else backend
     d = (secs.withColumn("backend", b)
@@ -82,7 +82,8 @@ def image_requests(secs: DataFrame, backend: Column | None = None) -> DataFrame:
              .withColumn("negative_prompt", defaults.negative_prompt("backend"))
              .withColumn("frame_file", clock.frame_file(F.coalesce("start_time", F.lit(0.0)),
                                                         extension(F.col("backend")))))
-    return d.select("video_id", "section_index", "backend", "model", "full_prompt", "negative_prompt", "frame_file",
+    return d.select("video_id", "section_index", "start_time", "backend", "model", "full_prompt", "negative_prompt",
+                    "frame_file",
                     payload(F.col("backend"), F.col("model"), F.col("full_prompt"),
                             F.col("negative_prompt")).alias("payload"))
 

@@ -270,3 +270,17 @@ def stream_sessions(spark, sf):
 def stream_counts(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")
     return jobs.run_available(jobs.interval_counts(s), "stream_counts")
+
+
+# ------------------------------------------------------------------ M6: pluggable inference
+from reelflow.operators import inference  # noqa: E402
+
+
+@query
+def stub_inference(spark, sf):
+    return inference.generate_text(prompts.llm_requests(views.segments(spark, sf)), "stub")
+
+
+@query
+def stub_images(spark, sf):
+    return inference.generate_images(images.image_requests(views.sections(spark, sf)), "stub")

@@ -159,7 +159,7 @@ _TIMELINE = f"""
 SELECT video_id, string_agg({S.timeline_line('start_s', 'end_s', 'text')}, chr(10) ORDER BY pos) AS transcript
 FROM segments GROUP BY video_id"""
 _MAXTOK = S.case_map("backend", FV.LLM_DEFAULT_MAX_TOKENS, "INT")
-oracle("llm_requests", f"""
+_LLM_REQ = f"""
 SELECT video_id, backend, model, language, temperature, max_tokens, prompt,
        CASE backend
          WHEN 'openai' THEN to_json({{'model': model, 'messages': [{{'role': 'user', 'content': prompt}}],
@@ -172,7 +172,9 @@ FROM (SELECT video_id, backend, {S.case_map('backend', FV.LLM_DEFAULT_MODEL)} AS
              CAST({FV.LLM_DEFAULT_TEMPERATURE} AS DOUBLE) AS temperature, {_MAXTOK} AS max_tokens,
              {S.sql_str(FV.REQUEST_TEMPLATE_HEAD)} || language || {S.sql_str(FV.REQUEST_TEMPLATE_MID)} || transcript AS prompt
       FROM (SELECT video_id, {S.backend_for('video_id')} AS backend, '{FV.DEFAULT_LANGUAGE}' AS language, transcript
-            FROM ({_TIMELINE}) t) a) b""", "segments")
+            FROM ({_TIMELINE}) t) a) b"""
+S.VIEWS["llm_requests_q"] = (["segments"], _LLM_REQ)
+oracle("llm_requests", "SELECT * FROM llm_requests_q", "llm_requests_q")
 
 oracle("extract_json", f"""
 SELECT video_id, backend, {S.extract_for_backend('backend', 'content')} AS extracted FROM llm_responses""",
@@ -224,7 +226,7 @@ GROUP BY video_id, sec""", "segments")
 _IMG_BACKEND = "CASE video_id % 3 WHEN 0 THEN 'diffusers' WHEN 1 THEN 'openai' ELSE 'stability' END"
 _W, _H = FV.DIFFUSERS_SIZE
 _IMG_REQ = f"""
-SELECT video_id, section_index, backend, model, full_prompt, negative_prompt, frame_file,
+SELECT video_id, section_index, start_time, backend, model, full_prompt, negative_prompt, frame_file,
        CASE backend
          WHEN 'diffusers' THEN to_json({{'prompt': full_prompt, 'negative_prompt': negative_prompt,
                                         'num_inference_steps': {FV.DIFFUSERS_STEPS},
@@ -246,7 +248,8 @@ FROM (SELECT video_id, section_index, start_time, backend, {S.case_map('backend'
                         THEN coalesce(image_prompt, '') || ', ' || visual_style || ' style'
                         ELSE coalesce(image_prompt, '') END AS fp
             FROM sections) a) b"""
-oracle("image_requests", _IMG_REQ, "sections")
+S.VIEWS["image_requests_q"] = (["sections"], _IMG_REQ)
+oracle("image_requests", "SELECT * FROM image_requests_q", "image_requests_q")
 
 _REC = f"""
 SELECT q.video_id, q.section_index, q.frame_file
@@ -369,3 +372,22 @@ SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start_us, event_type
 FROM events
 GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type
 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+
+
+# ------------------------------------------------------------------ M6: pluggable inference (stub twins)
+oracle("stub_inference", """
+SELECT video_id, backend, model,
+       CASE WHEN video_id % 10 = 7 THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN video_id % 10 = 7 THEN 'RuntimeError: stub backend unavailable' END AS error,
+       CASE WHEN video_id % 10 <> 7 THEN '{"sections": [{"start_time": 0.0, "n_chars": ' || CAST(length(prompt) AS VARCHAR)
+            || ', "image_prompt": "stub ' || CAST(video_id AS VARCHAR) || '"}]}' END AS content
+FROM llm_requests_q""", "llm_requests_q")
+
+oracle("stub_images", """
+SELECT video_id, section_index, backend, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN failed THEN 'RuntimeError: stub render failed' END AS error,
+       CASE WHEN NOT failed THEN 'generated_images/video_' || CAST(video_id AS VARCHAR) || '/' || frame_file END AS image_path,
+       start_time AS timestamp, full_prompt AS prompt,
+       CASE WHEN NOT failed AND backend = 'openai' THEN substr(full_prompt, 1, 50) END AS revised_prompt,
+       CASE WHEN NOT failed THEN CAST(video_id * 1000 + section_index AS BIGINT) END AS seed
+FROM (SELECT *, (video_id + section_index) % 7 = 3 AS failed FROM image_requests_q) q""", "image_requests_q")
