@@ -9,6 +9,9 @@ from reelflow.functions.text import py_strip
 from reelflow.schemas import SECTION_DDL
 
 
+STRICT = {"allowSingleQuotes": "false"}
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -49,16 +52,18 @@ def extract_for_backend(backend, content) -> Column:
 
 
 def strict_json_ok(text) -> Column:
-    """JSN-3: true only when the whole text is exactly one JSON value.
+    """JSN-3: true only when the whole text is exactly one JSON value (as ``json.loads`` decides).
 
     Spark's parsers accept trailing text after a value, so the text is wrapped
     twice: ``[t]`` must be a one-element array and ``{"x":t}`` an object with the
     single key ``x``. No text can close both wrappers early, so trailing junk is
-    rejected. NULL counts as rejected.
+    rejected. Single quotes are refused like Python does (Spark allows them by
+    default); NaN, leading zeros and raw control characters behave as in
+    Python. NULL counts as rejected.
     """
     t = _c(text)
-    one = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
-    keys = F.json_object_keys(F.concat(F.lit('{"x":'), t, F.lit("}")))
+    one = F.size(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", STRICT)) == 1
+    keys = F.map_keys(F.from_json(F.concat(F.lit('{"x":'), t, F.lit("}")), "map<string,string>", STRICT))
     return F.coalesce(one & (F.size(keys) == 1) & (F.element_at(keys, 1) == "x"), F.lit(False))
 
 

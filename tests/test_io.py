@@ -1,0 +1,109 @@
+"""Sinks write what the sources read back (SNK-1…8, SRC-1…3, SRC-5/6)."""
+
+import csv
+import glob
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from reelflow.operators import captions, images, responses
+from reelflow.sinks import writers
+from reelflow.sources import files, views
+from tests.conftest import SF001
+
+
+def test_aligned_json_roundtrip(spark, tmpdir_fresh):
+    segs = views.segments(spark, SF001)
+    docs = writers.aligned_documents(segs)
+    out = os.path.join(tmpdir_fresh, "aligned")
+    # one document per file, named like the original tool's output
+    for r in docs.orderBy("video_id").limit(3).collect():
+        with open(os.path.join(tmpdir_fresh, f"v{r.video_id}.aligned.json"), "w", encoding="utf-8") as f:
+            json.dump({"language": r.language,
+                       "segments": [{"start": s.start, "end": s.end, "text": s.text} for s in r.segments]},
+                      f, ensure_ascii=False, indent=2)
+    writers.write_aligned_json(docs, out)
+    back = files.read_transcripts(spark, tmpdir_fresh, recursive=False)
+    assert sorted(r.video_id for r in back.collect()) == sorted(f"v{r.video_id}" for r in
+                                                                docs.orderBy("video_id").limit(3).collect())
+    from reelflow.operators.timeline import explode_segments
+    seg_back = explode_segments(back)
+    assert seg_back.count() == segs.filter(F.col("video_id").isin(
+        [r.video_id for r in docs.orderBy("video_id").limit(3).collect()])).count()
+    lines = spark.read.json(out)
+    assert lines.count() == docs.count()
+
+
+def test_missing_keys_get_defaults(spark, tmpdir_fresh):
+    with open(os.path.join(tmpdir_fresh, "empty.aligned.json"), "w") as f:
+        f.write("{}")
+    r = files.read_transcripts(spark, tmpdir_fresh).collect()
+    assert r[0].video_id == "empty" and r[0].language == "en" and r[0].segments == []
+    with open(os.path.join(tmpdir_fresh, "x_prompts.json"), "w") as f:
+        f.write('{"model": "m"}')
+    p = files.read_prompts(spark, tmpdir_fresh).collect()
+    assert p[0].video_name == "video" and p[0].sections == []
+
+
+def test_subtitle_files(spark, tmpdir_fresh):
+    segs = views.segments(spark, SF001)
+    bodies = captions.srt_body(segs)
+    out = os.path.join(tmpdir_fresh, "srt")
+    writers.write_subtitles(bodies, out)
+    first = bodies.orderBy("video_id").first()
+    files_ = glob.glob(os.path.join(out, f"video_id={first.video_id}", "part-*"))
+    content = "".join(open(p, encoding="utf-8").read() for p in files_)
+    assert content == first.body
+    assert content.startswith("1\n00:00:00,000 --> ")
+
+
+def test_empty_transcript_documents(spark):
+    segs = views.segments(spark, SF001).filter("video_id = -1")
+    vids = spark.createDataFrame([(5,)], "video_id long")
+    assert captions.srt_body(segs, vids).first().body == ""
+    assert captions.vtt_body(segs, vids).first().body == "WEBVTT\n\n"
+
+
+def test_clips_csv_roundtrip(spark, tmpdir_fresh):
+    segs = views.segments(spark, SF001)
+    c = captions.clips(segs)
+    out = os.path.join(tmpdir_fresh, "clips")
+    writers.write_clips_csv(c, out)
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                 .schema("start double, end double, text string, video_id long").csv(out))
+    assert sorted(back.select("video_id", "start", "end", "text").collect()) == \
+        sorted(c.select("video_id", "start", "end", "text").collect())
+    one = glob.glob(os.path.join(out, "video_id=*", "*.csv"))[0]
+    with open(one, newline="", encoding="utf-8") as f:
+        assert next(csv.reader(f)) == ["start", "end", "text"]
+
+
+def test_prompts_and_manifest_layout(spark, tmpdir_fresh):
+    secs = views.sections(spark, SF001)
+    parsed = responses.parsed_sections(views.llm_responses(spark, SF001), views.segments(spark, SF001))
+    docs = writers.prompts_documents(parsed, generated_at="2024-01-01T00:00:00")
+    writers.write_prompts(docs, os.path.join(tmpdir_fresh, "prompts"))
+    assert glob.glob(os.path.join(tmpdir_fresh, "prompts", "video_name=*", "model=*", "*.json"))
+    m = images.manifest(secs, views.image_results(spark, SF001, secs), generated_at="2024-01-01T00:00:00")
+    writers.write_manifest(m, os.path.join(tmpdir_fresh, "manifest"))
+    n = spark.read.json(os.path.join(tmpdir_fresh, "manifest")).count()
+    assert n == secs.select("video_id").distinct().count()
+    # re-running overwrites the same partitions instead of appending (SNK-8)
+    writers.write_manifest(m, os.path.join(tmpdir_fresh, "manifest"))
+    assert spark.read.json(os.path.join(tmpdir_fresh, "manifest")).count() == n
+
+
+def test_inventory_and_url_list(spark, tmpdir_fresh):
+    for name, body in (("a.mp4", b"x" * 10), ("b.wav", b"y" * 3)):
+        with open(os.path.join(tmpdir_fresh, name), "wb") as f:
+            f.write(body)
+    inv = files.read_inventory(spark, tmpdir_fresh, glob="*.mp4")
+    assert [(r.key, r.length) for r in inv.collect()] == [("a.mp4", 10)]
+    assert "content" not in inv.columns
+    p = os.path.join(tmpdir_fresh, "urls.txt")
+    with open(p, "w") as f:
+        f.write("https://youtu.be/abcdef\n\n  https://www.youtube.com/shorts/QMJAUg2snas \n")
+    urls_ = files.read_url_list(spark, p)
+    assert sorted(r.url for r in urls_.collect()) == ["https://www.youtube.com/shorts/QMJAUg2snas",
+                                                      "https://youtu.be/abcdef"]
