@@ -224,3 +224,11 @@ def preview(secs: DataFrame, n: int = 3) -> DataFrame:
         F.coalesce("visual_style", F.lit("N/A")).alias("style"),
         F.greatest(F.col("_n") - n, F.lit(0)).alias("more_sections"),
     )
+
+
+def merge_backend_records(*frames: DataFrame) -> DataFrame:
+    """SET-3: merge image records from several backends; fields a backend lacks become NULL."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
