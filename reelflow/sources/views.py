@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.operators.blocked import running_sum
+from reelflow.sources.stage import stage_table
 from reelflow.sources.tables import table
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def segments(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
     """Transcript segments ``(video_id, pos, role, text, start_s, end_s)``.
 
     video = conversation, segment = turn; each turn lasts 60 ms per character
     and is followed by a 200 ms or 1.5 s pause. Even turns carry padding so
-    strip semantics are exercised.
+    strip semantics are exercised. The result is the transcription stage's
+    output, so it is written once as a stage table (see ``stage_table``).
     """
+    if staged:
+        return stage_table(spark, "segments", [_path(sf_dir, "conversations")],
+                           lambda: segments(spark, sf_dir, staged=False))
     conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     base = conv.select(
         F.col("conv_id").alias("video_id"),
@@ -67,8 +76,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
              .distinct())
 
 
-def sections(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> DataFrame:
-    """Prompt sections: every three segments form one scene."""
+def sections(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None, staged: bool = True) -> DataFrame:
+    """Prompt sections: every three segments form one scene (a stage table, like ``segments``)."""
+    if staged and segs is None:
+        return stage_table(spark, "sections", [_path(sf_dir, "conversations")],
+                           lambda: sections(spark, sf_dir, staged=False))
     segs = segments(spark, sf_dir) if segs is None else segs
     g = (segs.groupBy("video_id", F.floor(F.col("pos") / 3).cast("int").alias("section_index"))
              .agg(F.min("start_s").alias("start_time"), F.max("end_s").alias("end_time")))
