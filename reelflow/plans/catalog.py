@@ -284,3 +284,14 @@ def stub_inference(spark, sf):
 @query
 def stub_images(spark, sf):
     return inference.generate_images(images.image_requests(views.sections(spark, sf)), "stub")
+
+
+# ------------------------------------------------------------------ long transcripts (documents)
+@query
+def document_requests(spark, sf):
+    return prompts.llm_requests(views.document_segments(spark, sf), views.document_languages(spark, sf))
+
+
+@query
+def document_srt(spark, sf):
+    return captions.srt_body(views.document_segments(spark, sf))

@@ -391,3 +391,30 @@ SELECT video_id, section_index, backend, CASE WHEN failed THEN 'error' ELSE 'ok'
        CASE WHEN NOT failed AND backend = 'openai' THEN substr(full_prompt, 1, 50) END AS revised_prompt,
        CASE WHEN NOT failed THEN CAST(video_id * 1000 + section_index AS BIGINT) END AS seed
 FROM (SELECT *, (video_id + section_index) % 7 = 3 AS failed FROM image_requests_q) q""", "image_requests_q")
+
+
+# ------------------------------------------------------------------ long transcripts (documents)
+_DOC_TIMELINE = f"""
+SELECT video_id, string_agg({S.timeline_line('start_s', 'end_s', 'text')}, chr(10) ORDER BY pos) AS transcript
+FROM doc_segments GROUP BY video_id"""
+oracle("document_requests", f"""
+SELECT video_id, backend, model, language, temperature, max_tokens, prompt,
+       CASE backend
+         WHEN 'openai' THEN to_json({{'model': model, 'messages': [{{'role': 'user', 'content': prompt}}],
+                                     'temperature': temperature, 'max_tokens': max_tokens,
+                                     'response_format': {{'type': 'json_object'}}}})
+         WHEN 'anthropic' THEN to_json({{'model': model, 'max_tokens': max_tokens, 'temperature': temperature,
+                                        'messages': [{{'role': 'user', 'content': prompt}}]}})
+         ELSE to_json({{'model': model, 'prompt': prompt, 'temperature': temperature, 'stream': false}}) END AS payload
+FROM (SELECT video_id, backend, {S.case_map('backend', FV.LLM_DEFAULT_MODEL)} AS model, language,
+             CAST({FV.LLM_DEFAULT_TEMPERATURE} AS DOUBLE) AS temperature, {_MAXTOK} AS max_tokens,
+             {S.sql_str(FV.REQUEST_TEMPLATE_HEAD)} || language || {S.sql_str(FV.REQUEST_TEMPLATE_MID)} || transcript AS prompt
+      FROM (SELECT t.video_id, {S.backend_for('t.video_id')} AS backend,
+                   coalesce(nullif(d.lang, ''), '{FV.DEFAULT_LANGUAGE}') AS language, t.transcript
+            FROM ({_DOC_TIMELINE}) t LEFT JOIN documents d ON d.doc_id = t.video_id) a) b""", "doc_segments")
+
+oracle("document_srt", f"""
+SELECT video_id, count(*) AS num_cues,
+       string_agg(concat(CAST(pos + 1 AS VARCHAR), chr(10), {S.srt_clock('start_s')}, ' --> ', {S.srt_clock('end_s')},
+                         chr(10), {S.strip('text')}, chr(10), chr(10)), '' ORDER BY pos) AS body
+FROM doc_segments GROUP BY video_id""", "doc_segments")

@@ -71,6 +71,14 @@ FROM (SELECT video_id, arr, concat('{"sections": ', arr, '}') AS body
                    concat('[{"start_time": 0.0, "end_time": 1.5, "image_prompt": "p', CAST(conv_id AS VARCHAR),
                           '", "sentiment": "neutral", "visual_style": "cinematic"}]') AS arr
             FROM conversations) a) b"""),
+    "doc_segments": ([], """
+SELECT video_id, pos, text,
+       CAST(cum - dur - gap AS DOUBLE) / 1000 AS start_s, CAST(cum - gap AS DOUBLE) / 1000 AS end_s
+FROM (SELECT *, sum(dur + gap) OVER (PARTITION BY video_id ORDER BY pos) AS cum
+      FROM (SELECT video_id, pos, text, 60 * length(text) AS dur, 200 AS gap
+            FROM (SELECT doc_id AS video_id, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS pos,
+                         unnest(parts) AS text
+                  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) a) b) c) d"""),
     "catalogue": ([], "SELECT * FROM (VALUES " + ", ".join(
         f"({i}, '{n}', '{r}', CAST({s} AS DOUBLE), '{d}')" for i, (n, r, s, d) in enumerate(FV.SPEECH_MODELS))
         + ") t(ord, name, repo, size_gb, description)"),

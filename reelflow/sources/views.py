@@ -169,3 +169,31 @@ def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("batch_id", "pos",
                      F.element_at(names, ((F.col("batch_id") + 2 * F.col("pos")) % len(REQUESTABLE) + 1).cast("int"))
                       .alias("name")))
+
+
+def document_segments(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
+    """Long transcripts: every document line is one segment (whole texts, no prefix).
+
+    ``(video_id, pos, text, start_s, end_s)`` with ``video_id = doc_id``; each
+    line lasts 60 ms per character followed by a 200 ms pause.
+    """
+    if staged:
+        return stage_table(spark, "document_segments", [_path(sf_dir, "documents")],
+                           lambda: document_segments(spark, sf_dir, staged=False))
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    lines = d.select(F.col("doc_id").alias("video_id"),
+                     F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    base = lines.select("video_id", F.col("pos").cast("int").alias("pos"), "text",
+                        (F.lit(60) * F.length("text")).alias("dur"), F.lit(200).alias("gap"))
+    cum = running_sum(base, ["video_id"], "pos", F.col("dur") + F.col("gap"), "cum")
+    return cum.select(
+        "video_id", "pos", "text",
+        ((F.col("cum") - F.col("dur") - F.col("gap")).cast("double") / 1000).alias("start_s"),
+        ((F.col("cum") - F.col("gap")).cast("double") / 1000).alias("end_s"),
+    )
+
+
+def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected language per long transcript: ``(video_id, language)``."""
+    return table(spark, sf_dir, "documents", "doc_id", "lang").select(
+        F.col("doc_id").alias("video_id"), F.col("lang").alias("language"))
