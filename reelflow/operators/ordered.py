@@ -20,6 +20,20 @@ def _sorted_join(order: str, value: str, sep: str) -> Column:
     return F.array_join(F.transform(items, lambda x: x.getField("v")), sep)
 
 
+def ordered_chunks(df: DataFrame, keys: list[str], order: str, value: Column | str, sep: str,
+                   block_size: int = POS_BLOCK) -> DataFrame:
+    """First level only: ``(keys, block, chunk)`` — the document as ordered pieces.
+
+    Use this instead of :func:`ordered_concat` when one key's document could
+    outgrow a single value (Spark strings stop at 2 GB): writing the chunks
+    sorted by ``(key, block)`` produces the same file without one task ever
+    holding the whole document.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    d = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), pos_block(order, block_size).alias("block"))
+    return d.groupBy(*keys, "block").agg(_sorted_join("_o", "_v", sep).alias("chunk"))
+
+
 def ordered_concat(df: DataFrame, keys: list[str], order: str, value: Column | str, sep: str, out: str,
                    count_as: str | None = None, block_size: int = POS_BLOCK) -> DataFrame:
     """``string_agg(value, sep ORDER BY order)`` per ``keys``; ``order`` is unique per key.

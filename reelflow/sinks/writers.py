@@ -46,6 +46,19 @@ def write_subtitles(bodies: DataFrame, path: str, key: str = "video_id") -> None
     _writer(text_files(bodies, key), [key]).text(path)
 
 
+def write_subtitle_chunks(chunks: DataFrame, path: str, key: str = "video_id") -> None:
+    """SNK-2/3 for unbounded videos: ``ordered_chunks`` output written in order, one part file per range.
+
+    Range partitioning on ``(key, block)`` keeps a video's chunks contiguous and
+    ordered across part files; no task holds a whole document. Subtitle chunks
+    end with a blank line, so one newline is dropped per chunk and the text
+    writer puts it back.
+    """
+    out = chunks.repartitionByRange(key, "block").sortWithinPartitions(key, "block").select(
+        key, F.regexp_replace("chunk", r"\n\z", "").alias("value"))
+    _writer(out, [key]).text(path)
+
+
 def write_clips_csv(clips: DataFrame, path: str, key: str = "video_id") -> None:
     """SNK-4: clips CSV with header ``start,end,text`` per video; quotes escaped by doubling."""
     # Range partitioning keeps each file's rows contiguous in list order and
