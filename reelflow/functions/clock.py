@@ -13,13 +13,13 @@ def _c(x) -> Column:
 def srt_clock(t) -> Column:
     """TIM-1: ``HH:MM:SS,mmm``; milliseconds truncated, hours unbounded."""
     t = _c(t).cast("double")
-    return F.format_string(
+    return F.when(t.isNotNull(), F.format_string(
         "%02d:%02d:%02d,%03d",
         F.floor(t / 3600),
         F.floor(F.pmod(t, F.lit(3600.0)) / 60),
         F.floor(F.pmod(t, F.lit(60.0))),
         ((t - t.cast("bigint")) * 1000).cast("bigint"),
-    )
+    ))
 
 
 def vtt_clock(t) -> Column:
@@ -47,7 +47,8 @@ def frame_file(start, ext="png") -> Column:
     ``ext`` is a literal extension or a Column.
     """
     ext = F.lit(ext) if isinstance(ext, str) else ext
-    return F.format_string("frame_%08d.%s", (_c(start).cast("double") * 1000).cast("bigint"), ext)
+    ms = (_c(start).cast("double") * 1000).cast("bigint")
+    return F.when(ms.isNotNull(), F.format_string("frame_%08d.%s", ms, ext))
 
 
 def frame_key(start) -> Column:
