@@ -112,7 +112,7 @@ FROM (SELECT batch_id, n_requested, n_invalid, total_size_gb, space_ok, names,
                    b.free_gb IS NULL OR b.free_gb >= CAST(coalesce(p.total, 0) AS DOUBLE) + {FV.DISK_BUFFER_GB} AS space_ok,
                    coalesce(p.names, '') AS names
             FROM model_batches b
-            LEFT JOIN (SELECT batch_id, count(*) AS n_requested, count_if(action = 'invalid') AS n_invalid,
+            LEFT JOIN (SELECT batch_id, count(*) AS n_requested, CAST(count_if(action = 'invalid') AS BIGINT) AS n_invalid,
                               sum(CAST(size_gb AS DECIMAL(12,3))) AS total,
                               string_agg(name, ',' ORDER BY pos) AS names
                        FROM ({_PLAN}) pl GROUP BY batch_id) p USING (batch_id)) x) y""",
@@ -167,7 +167,7 @@ SELECT video_id, backend, model, language, temperature, max_tokens, prompt,
                                      'response_format': {{'type': 'json_object'}}}})
          WHEN 'anthropic' THEN to_json({{'model': model, 'max_tokens': max_tokens, 'temperature': temperature,
                                         'messages': [{{'role': 'user', 'content': prompt}}]}})
-         ELSE to_json({{'model': model, 'prompt': prompt, 'temperature': temperature, 'stream': false}}) END AS payload
+         ELSE to_json({{'model': model, 'prompt': prompt, 'temperature': temperature, 'stream': false}}) END::VARCHAR AS payload
 FROM (SELECT video_id, backend, {S.case_map('backend', FV.LLM_DEFAULT_MODEL)} AS model, language,
              CAST({FV.LLM_DEFAULT_TEMPERATURE} AS DOUBLE) AS temperature, {_MAXTOK} AS max_tokens,
              {S.sql_str(FV.REQUEST_TEMPLATE_HEAD)} || language || {S.sql_str(FV.REQUEST_TEMPLATE_MID)} || transcript AS prompt
@@ -206,8 +206,8 @@ SELECT video_id, backend, model, status, CAST(NULL AS INT), CAST(NULL AS DOUBLE)
 FROM classified WHERE status = 'error'""", "classified", "segments")
 
 oracle("backend_comparison", f"""
-SELECT backend, model, count(*) AS n_videos, count_if(status = 'parsed') AS n_parsed,
-       count_if(status = 'fallback') AS n_fallback, count_if(status = 'error') AS n_error,
+SELECT backend, model, count(*) AS n_videos, CAST(count_if(status = 'parsed') AS BIGINT) AS n_parsed,
+       CAST(count_if(status = 'fallback') AS BIGINT) AS n_fallback, CAST(count_if(status = 'error') AS BIGINT) AS n_error,
        CAST(sum(CASE status WHEN 'parsed' THEN len(sections) WHEN 'fallback' THEN 1 ELSE 0 END) AS BIGINT) AS n_sections
 FROM classified GROUP BY backend, model""", "classified")
 
@@ -236,7 +236,7 @@ SELECT video_id, section_index, start_time, backend, model, full_prompt, negativ
                                      'quality': '{FV.OPENAI_QUALITY}', 'n': 1}})
          ELSE to_json({{'prompt': full_prompt, 'negative_prompt': negative_prompt,
                         'aspect_ratio': '{FV.STABILITY_ASPECT_RATIO}', 'output_format': '{FV.STABILITY_FORMAT}',
-                        'model': model, 'mode': 'text-to-image'}}) END AS payload
+                        'model': model, 'mode': 'text-to-image'}}) END::VARCHAR AS payload
 FROM (SELECT video_id, section_index, start_time, backend, {S.case_map('backend', FV.IMAGE_DEFAULT_MODEL)} AS model,
              CASE WHEN backend = 'openai' AND length(fp) > {FV.PROMPT_CHAR_LIMIT}
                   THEN substr(fp, 1, {FV.PROMPT_CHAR_LIMIT - 3}) || '...' ELSE fp END AS full_prompt,
@@ -269,7 +269,7 @@ def _settings_json(backend: str) -> str:
 oracle("image_manifest", f"""
 SELECT video_id, backend, {S.case_map('backend', FV.IMAGE_DEFAULT_MODEL)} AS model, num_sections,
        coalesce(num_images, 0) AS num_images, coalesce(image_indices, '') AS image_indices,
-       coalesce(frame_files, '') AS frame_files, {_settings_json('backend')} AS settings
+       coalesce(frame_files, '') AS frame_files, CAST({_settings_json('backend')} AS VARCHAR) AS settings
 FROM (SELECT video_id, {_IMG_BACKEND} AS backend, count(*) AS num_sections FROM sections GROUP BY video_id) v
 LEFT JOIN (SELECT video_id, count(*) AS num_images,
                   string_agg(CAST(section_index AS VARCHAR), ',' ORDER BY section_index) AS image_indices,
@@ -321,7 +321,7 @@ FROM (SELECT video_id, transcript_file,
             FROM segments) t) t
 LEFT JOIN (SELECT video_id, count(*) AS num_segments FROM segments GROUP BY video_id) a USING (video_id)
 LEFT JOIN (SELECT video_id, count(*) AS num_sections FROM sections GROUP BY video_id) b USING (video_id)
-LEFT JOIN (SELECT video_id, count_if(status_code = 200) AS num_images FROM image_results GROUP BY video_id) c
+LEFT JOIN (SELECT video_id, CAST(count_if(status_code = 200) AS BIGINT) AS num_images FROM image_results GROUP BY video_id) c
   USING (video_id)""", "segments", "sections", "image_results")
 
 
@@ -356,7 +356,7 @@ SELECT DISTINCT canonical_url, video_key FROM ({_CANON}) c""", "requests")
 
 oracle("stream_sessions", """
 SELECT user_id, epoch_us(min(ts)) AS session_start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS session_end_us,
-       count(*) AS n_events, sum(CAST(value AS DECIMAL(18,2))) AS total_value
+       count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_value
 FROM (SELECT *, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
       FROM (SELECT user_id, ts, value,
                    CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
@@ -368,7 +368,7 @@ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1
 
 oracle("stream_counts", """
 SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start_us, event_type, count(*) AS n_events,
-       sum(CAST(value AS DECIMAL(18,2))) AS total_value
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_value
 FROM events
 GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type
 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
@@ -405,7 +405,7 @@ SELECT video_id, backend, model, language, temperature, max_tokens, prompt,
                                      'response_format': {{'type': 'json_object'}}}})
          WHEN 'anthropic' THEN to_json({{'model': model, 'max_tokens': max_tokens, 'temperature': temperature,
                                         'messages': [{{'role': 'user', 'content': prompt}}]}})
-         ELSE to_json({{'model': model, 'prompt': prompt, 'temperature': temperature, 'stream': false}}) END AS payload
+         ELSE to_json({{'model': model, 'prompt': prompt, 'temperature': temperature, 'stream': false}}) END::VARCHAR AS payload
 FROM (SELECT video_id, backend, {S.case_map('backend', FV.LLM_DEFAULT_MODEL)} AS model, language,
              CAST({FV.LLM_DEFAULT_TEMPERATURE} AS DOUBLE) AS temperature, {_MAXTOK} AS max_tokens,
              {S.sql_str(FV.REQUEST_TEMPLATE_HEAD)} || language || {S.sql_str(FV.REQUEST_TEMPLATE_MID)} || transcript AS prompt

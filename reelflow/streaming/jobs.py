@@ -97,7 +97,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     e = _event_time(events).withWatermark("ts", delay)
     g = e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value"))
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_value"))
     return g.select("user_id", F.unix_micros(F.col("w.start")).alias("session_start_us"),
                     F.unix_micros(F.col("w.end")).alias("session_end_us"), "n_events", "total_value")
 
@@ -107,6 +107,6 @@ def interval_counts(events: DataFrame, width: str = "1 hour", delay: str = "1 ho
     e = _event_time(events).withWatermark("ts", delay)
     g = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value"))
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_value"))
     return g.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "event_type", "n_events",
                     "total_value")
