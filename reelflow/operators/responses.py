@@ -65,28 +65,29 @@ def classify(responses: DataFrame) -> DataFrame:
                          .when(F.col("status") == "fallback", F.lit(1)).otherwise(F.lit(0)))
 
 
-def fallback_sections(segs: DataFrame, videos: DataFrame) -> DataFrame:
-    """AGG-2 / FLT-7 / STR-8: the single section for each video in ``videos``.
+def fallback_stats(segs: DataFrame, videos: DataFrame) -> DataFrame:
+    """AGG-2 inputs for the videos in ``videos``: ``(video_id, start_time, end_time, full_text)``.
 
     First ``start`` and last ``end`` by list order (``min_by``/``max_by`` —
-    partial aggregates, safe for a hot video); the text is the segments joined
-    by one space, cut to 500 (transcript) and 200 (prompt) characters. Segment
-    ``k`` starts at character ≥ ``k`` of the joined text, so only ``pos < 500``
-    can reach the cut — an exact bound, not a sample. Videos with no segments
-    get the empty-transcript constants.
+    partial aggregates, safe for a hot video) and the segment texts joined by
+    one space. Segment ``k`` starts at character ≥ ``k`` of the joined text, so
+    only ``pos < 500`` can reach the 500-character cut — an exact bound, not a
+    sample. Videos without segments are absent (see :func:`fallback_columns`).
     """
-    v = videos.select("video_id").distinct()
-    s = segs.join(v, "video_id", "left_semi")
+    s = segs.join(videos.select("video_id"), "video_id", "left_semi")
     span = s.groupBy("video_id").agg(
         F.min_by(F.coalesce("start_s", F.lit(0.0)), "pos").alias("start_time"),
         F.max_by(F.coalesce("end_s", F.lit(0.0)), "pos").alias("end_time"))
     head = ordered_concat(s.filter(F.col("pos") < FV.FALLBACK_TEXT_CHARS), ["video_id"], "pos",
                           F.coalesce("text", F.lit("")), " ", "full_text")
+    return span.join(head, "video_id")
+
+
+def fallback_columns() -> list[Column]:
+    """FLT-7 / STR-8: the seven section fields from :func:`fallback_stats` columns (NULL stats = no segments)."""
     e = FV.FALLBACK_EMPTY
-    j = v.join(span, "video_id", "left").join(head, "video_id", "left")
     has = F.col("full_text").isNotNull()
-    return j.select(
-        "video_id",
+    return [
         F.coalesce("start_time", F.lit(e["start_time"])).alias("start_time"),
         F.coalesce("end_time", F.lit(e["end_time"])).alias("end_time"),
         F.when(has, text.prefix("full_text", FV.FALLBACK_TEXT_CHARS)).otherwise(F.lit(e["transcript_text"]))
@@ -96,7 +97,13 @@ def fallback_sections(segs: DataFrame, videos: DataFrame) -> DataFrame:
         F.lit(FV.FALLBACK_SENTIMENT).alias("sentiment"),
         F.when(has, F.lit(FV.FALLBACK_SCENE)).otherwise(F.lit(e["scene_description"])).alias("scene_description"),
         F.lit(FV.FALLBACK_STYLE).alias("visual_style"),
-    )
+    ]
+
+
+def fallback_sections(segs: DataFrame, videos: DataFrame) -> DataFrame:
+    """AGG-2 / FLT-7 / STR-8: the single fallback section for each video in ``videos``."""
+    v = videos.select("video_id").distinct()
+    return v.join(fallback_stats(segs, v), "video_id", "left").select("video_id", *fallback_columns())
 
 
 def parsed_sections(responses: DataFrame, segs: DataFrame) -> DataFrame:
@@ -108,9 +115,8 @@ def parsed_sections(responses: DataFrame, segs: DataFrame) -> DataFrame:
     aggregated for the videos that need it.
     """
     c = classify(responses).withColumn("model", defaults.llm_model("backend"))
-    fb = fallback_sections(segs, c.filter(F.col("status") == "fallback"))
-    fb = fb.select("video_id", F.struct(*[F.col(f) for f in SECTION_COLS]).alias("_fb"))
-    j = c.join(fb, "video_id", "left")
+    stats = fallback_stats(segs, c.filter(F.col("status") == "fallback"))
+    j = c.join(stats, "video_id", "left").withColumn("_fb", F.struct(*fallback_columns()))
     null_row = F.struct(*[F.lit(None).cast("double" if f.endswith("_time") else "string").alias(f)
                           for f in SECTION_COLS])
     rows = (F.when(F.col("status") == "parsed", F.col("sections"))
