@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelflow.operators import captions, timeline
+from reelflow import fixed_values as FV
+from reelflow.operators import (captions, images, inference, intervals, planning, prompts, quality, responses,
+                                summary, timeline)
 from reelflow.sources import views
+from reelflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,9 +64,7 @@ def word_timeline(spark, sf):
 
 
 # ------------------------------------------------------------------ M2: URLs and planning
-from pyspark.sql import functions as F  # noqa: E402
 
-from reelflow.operators import planning, quality  # noqa: E402
 
 # Cache folders already on disk in the model plan (a run parameter).
 PRESENT_MODELS = ["tiny", "base"]
@@ -126,7 +128,6 @@ def missing_inputs(spark, sf):
 
 
 # ------------------------------------------------------------------ M3: requests and responses
-from reelflow.operators import prompts, responses  # noqa: E402
 
 
 @query
@@ -155,8 +156,6 @@ def rule_sections(spark, sf):
 
 
 # ------------------------------------------------------------------ M4: images and summary
-from reelflow import fixed_values as FV  # noqa: E402
-from reelflow.operators import images, summary  # noqa: E402
 
 
 def _secs_results(spark, sf):
@@ -216,7 +215,6 @@ def pipeline_summary(spark, sf):
 
 
 # ------------------------------------------------------------------ M5: time joins
-from reelflow.operators import intervals  # noqa: E402
 
 
 def _frames(spark, sf):
@@ -245,7 +243,6 @@ def frame_asof(spark, sf):
 
 
 # ------------------------------------------------------------------ M6: streaming
-from reelflow.streaming import jobs  # noqa: E402
 
 
 @query
@@ -273,7 +270,6 @@ def stream_counts(spark, sf):
 
 
 # ------------------------------------------------------------------ M6: pluggable inference
-from reelflow.operators import inference  # noqa: E402
 
 
 @query

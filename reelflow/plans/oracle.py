@@ -6,7 +6,9 @@ views are inlined as CTEs. Column names and types match the Spark side.
 
 from __future__ import annotations
 
+from reelflow import fixed_values as FV
 from reelflow.plans import sqlparts as S
+from reelflow.plans.catalog import PRESENT_MODELS
 from reelflow.plans.sqlparts import with_views
 
 ORACLE: dict[str, str] = {}
@@ -67,8 +69,6 @@ FROM (SELECT *, sum(length(word)) OVER (PARTITION BY video_id, pos ORDER BY word
 
 
 # ------------------------------------------------------------------ M2: URLs and planning
-from reelflow import fixed_values as FV  # noqa: E402
-from reelflow.plans.catalog import PRESENT_MODELS  # noqa: E402
 
 _WATCH_ID = r"^https://www\.youtube\.com/watch\?v=([^&#]+)"
 _CANON = f"""
