@@ -28,10 +28,23 @@ def backend_for(video_id: Column) -> Column:
     return F.when(video_id % 3 == 0, "diffusers").when(video_id % 3 == 1, "openai").otherwise("stability")
 
 
-def extension(backend: Column, output_format: Column | None = None) -> Column:
+def backend_settings(overrides: dict | None = None) -> dict[str, dict]:
+    """DEF-4: per-backend generation settings; a call-time override replaces the instance default."""
+    o = overrides or {}
+    w, h = o.get("image_size", FV.DIFFUSERS_SIZE)
+    return {
+        "diffusers": {"num_inference_steps": o.get("num_inference_steps", FV.DIFFUSERS_STEPS),
+                      "guidance_scale": o.get("guidance_scale", FV.DIFFUSERS_GUIDANCE), "image_size": (w, h)},
+        "openai": {"quality": o.get("quality", FV.OPENAI_QUALITY), "size": o.get("size", FV.OPENAI_SIZE)},
+        "stability": {"aspect_ratio": o.get("aspect_ratio", FV.STABILITY_ASPECT_RATIO),
+                      "output_format": o.get("output_format", FV.STABILITY_FORMAT)},
+    }
+
+
+def extension(backend: Column, overrides: dict | None = None) -> Column:
     """File extension: the hosted diffusion API writes its output format, the others PNG."""
-    fmt = F.lit(FV.STABILITY_FORMAT) if output_format is None else F.coalesce(output_format, F.lit(FV.STABILITY_FORMAT))
-    return F.when(backend == "stability", fmt).otherwise(F.lit("png"))
+    fmt = backend_settings(overrides)["stability"]["output_format"]
+    return F.when(backend == "stability", F.lit(fmt)).otherwise(F.lit("png"))
 
 
 def full_prompt(backend: Column, prompt: Column, style: Column) -> Column:
@@ -40,52 +53,60 @@ def full_prompt(backend: Column, prompt: Column, style: Column) -> Column:
     return F.when(backend == "openai", text.cap_prompt(p)).otherwise(p)
 
 
-def settings(backend: Column, negative: Column) -> Column:
+def settings(backend: Column, negative: Column, overrides: dict | None = None) -> Column:
     """DEF-4: per-backend settings as a string map (keys differ per backend)."""
-    w, h = FV.DIFFUSERS_SIZE
-    diff = defaults.lit_map({"num_inference_steps": str(FV.DIFFUSERS_STEPS), "guidance_scale": str(FV.DIFFUSERS_GUIDANCE),
-                             "image_size": f"[{w}, {h}]"})
+    st = backend_settings(overrides)
+    d = st["diffusers"]
+    w, h = d["image_size"]
+    diff = defaults.lit_map({"num_inference_steps": str(d["num_inference_steps"]),
+                             "guidance_scale": str(d["guidance_scale"]), "image_size": f"[{w}, {h}]"})
     diff = F.map_concat(diff, F.create_map(F.lit("negative_prompt"), negative))
-    oai = defaults.lit_map({"quality": FV.OPENAI_QUALITY, "size": FV.OPENAI_SIZE})
-    stab = F.map_concat(defaults.lit_map({"aspect_ratio": FV.STABILITY_ASPECT_RATIO,
-                                          "output_format": FV.STABILITY_FORMAT}),
+    oai = defaults.lit_map({k: str(v) for k, v in st["openai"].items()})
+    stab = F.map_concat(defaults.lit_map({k: str(v) for k, v in st["stability"].items()}),
                         F.create_map(F.lit("negative_prompt"), negative))
     return F.when(backend == "diffusers", diff).when(backend == "openai", oai).otherwise(stab)
 
 
-def payload(backend: Column, model: Column, prompt: Column, negative: Column) -> Column:
+def payload(backend: Column, model: Column, prompt: Column, negative: Column, overrides: dict | None = None) -> Column:
     """JSN-6: the request each image backend receives, serialised with nulls kept."""
     opts = {"ignoreNullFields": "false"}
-    w, h = FV.DIFFUSERS_SIZE
+    st = backend_settings(overrides)
+    d, o, s = st["diffusers"], st["openai"], st["stability"]
+    w, h = d["image_size"]
     diff = F.to_json(F.struct(prompt.alias("prompt"), negative.alias("negative_prompt"),
-                              F.lit(FV.DIFFUSERS_STEPS).alias("num_inference_steps"),
-                              F.lit(FV.DIFFUSERS_GUIDANCE).alias("guidance_scale"),
+                              F.lit(d["num_inference_steps"]).alias("num_inference_steps"),
+                              F.lit(float(d["guidance_scale"])).alias("guidance_scale"),
                               F.lit(w).alias("width"), F.lit(h).alias("height")), opts)
-    oai = F.to_json(F.struct(model.alias("model"), prompt.alias("prompt"), F.lit(FV.OPENAI_SIZE).alias("size"),
-                             F.lit(FV.OPENAI_QUALITY).alias("quality"), F.lit(1).alias("n")), opts)
+    oai = F.to_json(F.struct(model.alias("model"), prompt.alias("prompt"), F.lit(o["size"]).alias("size"),
+                             F.lit(o["quality"]).alias("quality"), F.lit(1).alias("n")), opts)
     stab = F.to_json(F.struct(prompt.alias("prompt"), negative.alias("negative_prompt"),
-                              F.lit(FV.STABILITY_ASPECT_RATIO).alias("aspect_ratio"),
-                              F.lit(FV.STABILITY_FORMAT).alias("output_format"), model.alias("model"),
+                              F.lit(s["aspect_ratio"]).alias("aspect_ratio"),
+                              F.lit(s["output_format"]).alias("output_format"), model.alias("model"),
                               F.lit("text-to-image").alias("mode")), opts)
     return F.when(backend == "diffusers", diff).when(backend == "openai", oai).otherwise(stab)
 
 
-def image_requests(secs: DataFrame, backend: Column | None = None) -> DataFrame:
+def image_requests(secs: DataFrame, backend: Column | None = None, model: str | None = None,
+                   negative_prompt: str | None = None, overrides: dict | None = None) -> DataFrame:
     """One generation request per section.
 
-    ``(video_id, section_index, start_time, backend, model, full_prompt, negative_prompt, frame_file, payload)``
+    ``(video_id, section_index, start_time, backend, model, full_prompt, negative_prompt, frame_file, payload)``;
+    ``model`` (DEF-5), ``negative_prompt`` (DEF-3) and ``overrides`` (DEF-4) are call-time choices that
+    replace the backend defaults.
     """
     b = backend_for(F.col("video_id")) if backend is None else backend
+    neg_override = None if negative_prompt is None else F.lit(negative_prompt)
+    model_override = None if model is None else F.lit(model)
     d = (secs.withColumn("backend", b)
-             .withColumn("model", defaults.image_model("backend"))
+             .withColumn("model", defaults.image_model("backend", model_override))
              .withColumn("full_prompt", full_prompt(F.col("backend"), F.col("image_prompt"), F.col("visual_style")))
-             .withColumn("negative_prompt", defaults.negative_prompt("backend"))
+             .withColumn("negative_prompt", defaults.negative_prompt("backend", neg_override))
              .withColumn("frame_file", clock.frame_file(F.coalesce("start_time", F.lit(0.0)),
-                                                        extension(F.col("backend")))))
+                                                        extension(F.col("backend"), overrides))))
     return d.select("video_id", "section_index", "start_time", "backend", "model", "full_prompt", "negative_prompt",
                     "frame_file",
                     payload(F.col("backend"), F.col("model"), F.col("full_prompt"),
-                            F.col("negative_prompt")).alias("payload"))
+                            F.col("negative_prompt"), overrides).alias("payload"))
 
 
 def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None = None) -> DataFrame:

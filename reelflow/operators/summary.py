@@ -31,3 +31,19 @@ def pipeline_summary(transcripts: DataFrame, segs: DataFrame, secs: DataFrame, r
         F.coalesce("num_sections", F.lit(0)).alias("num_sections"),
         F.coalesce("num_images", F.lit(0)).alias("num_images"),
     )
+
+
+ARTEFACT_SUFFIXES = [("aligned_json", ".aligned.json"), ("srt", ".srt"), ("vtt", ".vtt"),
+                     ("clips_csv", ".clips.csv"), ("wav", "_16k.wav")]
+
+
+def transcript_artefacts(media: DataFrame, output_dir: str = "outputs") -> DataFrame:
+    """DM-8 / STR-5: the files one transcription writes, one row per ``(video_id, kind, path)``.
+
+    ``media`` is ``(video_id, media_file)``; names derive from the media file's stem.
+    """
+    stem = text.file_stem(F.regexp_extract("media_file", r"([^/]+)$", 1))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(sfx).alias("sfx")) for k, sfx in ARTEFACT_SUFFIXES])
+    return (media.select("video_id", stem.alias("_stem"), F.explode(kinds).alias("_k"))
+                 .select("video_id", F.col("_k.kind").alias("kind"),
+                         F.concat_ws("/", F.lit(output_dir), F.concat("_stem", F.col("_k.sfx"))).alias("path")))

@@ -71,3 +71,25 @@ def test_merge_backend_records(spark):
     b = spark.createDataFrame([(2, "q", 7)], "section_index int, prompt string, seed long")
     m = {r.section_index: r for r in images.merge_backend_records(a, b).collect()}
     assert m[1].seed is None and m[2].revised_prompt is None and m[2].seed == 7
+
+
+def test_image_request_overrides(spark):
+    secs = spark.createDataFrame([(0, 0, 1.5, "p", "cinematic"), (2, 0, 2.0, "q", "")],
+                                 "video_id long, section_index int, start_time double, image_prompt string, "
+                                 "visual_style string")
+    dflt = {r.video_id: r for r in images.image_requests(secs).collect()}
+    assert dflt[0].negative_prompt.endswith("artifacts") and '"num_inference_steps":30' in dflt[0].payload
+    o = {r.video_id: r for r in images.image_requests(
+        secs, model="m2", negative_prompt="none", overrides={"num_inference_steps": 4, "output_format": "jpeg"}
+    ).collect()}
+    assert o[0].model == "m2" and o[0].negative_prompt == "none" and '"num_inference_steps":4' in o[0].payload
+    assert o[2].frame_file == "frame_00002000.jpeg" and '"output_format":"jpeg"' in o[2].payload
+
+
+def test_transcript_artefacts(spark):
+    from reelflow.operators.summary import transcript_artefacts
+    m = spark.createDataFrame([(1, "/in/talk.v2.mp4")], "video_id long, media_file string")
+    got = {r.kind: r.path for r in transcript_artefacts(m).collect()}
+    assert got == {"aligned_json": "outputs/talk.v2.aligned.json", "srt": "outputs/talk.v2.srt",
+                   "vtt": "outputs/talk.v2.vtt", "clips_csv": "outputs/talk.v2.clips.csv",
+                   "wav": "outputs/talk.v2_16k.wav"}
