@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelflow import fixed_values as FV
 from reelflow.functions import clock, defaults, jsonx, text
 from reelflow.operators.blocked import running_sum
-from reelflow.operators.ordered import ordered_concat
+from reelflow.operators.ordered import ordered_collect, ordered_concat
 
 OUTPUT_ROOT = "generated_images"
 
@@ -138,17 +138,15 @@ def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = Non
     The ``images`` list is the document itself, sorted by section index.
     """
     rec = image_records(secs, results)
-    per = rec.groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("num_images"),
-        F.array_sort(F.collect_list(F.struct("section_index", "image_path", "timestamp", "prompt",
-                                             "revised_prompt", "seed"))).alias("_imgs"))
+    per = (rec.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_images"))
+              .join(ordered_collect(rec, ["video_id"], "section_index",
+                                    F.struct("image_path", "timestamp", "prompt", "section_index", "revised_prompt",
+                                             "seed"), "_imgs"), "video_id"))
     vids = secs.select("video_id").distinct().withColumn("backend", backend_for(F.col("video_id")))
     name = F.concat(F.lit("video_"), F.col("video_id").cast("string"))
     neg = defaults.negative_prompt("backend")
     d = vids.join(per, "video_id", "left")
-    images = F.transform(F.coalesce("_imgs", F.array().cast(per.schema["_imgs"].dataType)),
-                         lambda x: F.struct(x["image_path"], x["timestamp"], x["prompt"], x["section_index"],
-                                            x["revised_prompt"], x["seed"]))
+    images = F.coalesce("_imgs", F.array().cast(per.schema["_imgs"].dataType))
     return d.select(
         "video_id", name.alias("video_name"),
         F.concat(name, F.lit("_prompts.json")).alias("prompts_file"),

@@ -48,3 +48,18 @@ def ordered_concat(df: DataFrame, keys: list[str], order: str, value: Column | s
     if count_as:
         aggs.append(F.sum("_n").alias(count_as))
     return parts.groupBy(*keys).agg(*aggs)
+
+
+def ordered_collect(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
+                    block_size: int = POS_BLOCK) -> DataFrame:
+    """``array_agg(value ORDER BY order)`` per ``keys`` in two levels (sorted per block, then blocks in order).
+
+    ``value`` may be any column (e.g. a struct); ``order`` must be an integer
+    list position, unique per key.
+    """
+    d = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), pos_block(order, block_size).alias("_blk"))
+    parts = d.groupBy(*keys, "_blk").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x.getField("_v")).alias("_part"))
+    return parts.groupBy(*keys).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_part"))),
+                              lambda x: x.getField("_part"))).alias(out))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import clock, text, urls
+from reelflow.operators.ordered import ordered_collect
 
 
 # ------------------------------------------------------------------ URLs
@@ -85,26 +86,19 @@ def model_plan(spark: SparkSession, batches: DataFrame, requests: DataFrame,
                        "force", action.alias("action"))
 
 
-def _ordered_names(cond=None):
-    item = F.struct(F.col("pos").alias("p"), F.col("name").alias("n"))
-    coll = F.collect_list(item) if cond is None else F.collect_list(F.when(cond, item))
-    return F.transform(F.array_sort(coll), lambda x: x.getField("n"))
-
-
 def batch_results(batches: DataFrame, plan: DataFrame, skip_space_check: bool = False) -> DataFrame:
     """DM-4 per batch with the all-or-nothing rules.
 
     Any unknown name fails the whole batch (FLT-2); so does too little disk
     space unless ``skip_space_check`` (FLT-9: free ≥ size + 1 GB; unknown free
     space passes). Sizes are summed as DECIMAL so the comparison does not
-    depend on summation order. The per-batch lists are one user's request list.
+    depend on summation order; the name lists are collected in two levels.
     """
     per = plan.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_requested"),
         F.count_if(F.col("action") == "invalid").alias("n_invalid"),
         F.sum(F.col("size_gb").cast("decimal(12,3)")).alias("total_size_gb"),
-        _ordered_names().alias("names"),
-    )
+    ).join(ordered_collect(plan, ["batch_id"], "pos", F.col("name"), "names"), "batch_id")
     b = batches.join(per, "batch_id", "left")
     n_req = F.coalesce("n_requested", F.lit(0))
     total = F.coalesce("total_size_gb", F.lit(0).cast("decimal(12,3)"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelflow.operators.ordered import ordered_collect
+
 
 def _writer(df: DataFrame, partition_by: list[str] | None):
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -19,11 +21,8 @@ def _writer(df: DataFrame, partition_by: list[str] | None):
 
 def aligned_documents(segs: DataFrame, languages: DataFrame | None = None) -> DataFrame:
     """DM-6 per video: ``(video_id, language, segments)`` with segments in list order."""
-    docs = segs.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.col("start_s").alias("start"), F.col("end_s").alias("end"),
-                                             "text"))).alias("_s"))
-    docs = docs.select("video_id", F.transform("_s", lambda x: F.struct(x["start"], x["end"], x["text"]))
-                       .alias("segments"))
+    docs = ordered_collect(segs, ["video_id"], "pos",
+                           F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text"), "segments")
     if languages is not None:
         docs = docs.join(languages.select("video_id", "language"), "video_id", "left")
     else:
@@ -78,8 +77,8 @@ def prompts_documents(sections: DataFrame, language: str | None = None, generate
     s = sections.filter(F.col("status") != "error")
     fields = ["start_time", "end_time", "transcript_text", "image_prompt", "sentiment", "scene_description",
               "visual_style"]
-    g = s.groupBy("video_id", "backend", "model").agg(
-        F.array_sort(F.collect_list(F.struct("section_index", *fields))).alias("_s"))
+    g = ordered_collect(s.withColumn("_i", F.coalesce("section_index", F.lit(0))), ["video_id", "backend", "model"],
+                        "_i", F.struct(*fields), "_s")
     name = F.concat(F.lit("video_"), F.col("video_id").cast("string"))
     return g.select(
         name.alias("video_name"),
@@ -87,7 +86,7 @@ def prompts_documents(sections: DataFrame, language: str | None = None, generate
         "model", F.lit(generated_at).cast("string").alias("generated_at"),
         F.coalesce(F.lit(language), F.lit("en")).alias("language"),
         F.size("_s").cast("bigint").alias("num_sections"),
-        F.transform("_s", lambda x: F.struct(*[x[f] for f in fields])).alias("sections"),
+        F.col("_s").alias("sections"),
     )
 
 

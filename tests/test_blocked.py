@@ -34,3 +34,10 @@ def test_ordered_concat_across_blocks(spark):
     res = {r.video_id: (r.s, r.n) for r in got.collect()}
     for k, n in ((0, 400), (1, 50), (2, 50)):
         assert res[k] == ("|".join(f"t{k}_{p}" for p in range(n)), n)
+
+
+def test_ordered_collect_across_blocks(spark):
+    d = _data(spark)
+    got = ordered.ordered_collect(d, ["video_id"], "pos", F.struct("pos", "text"), "xs", block_size=16)
+    res = {r.video_id: r.xs for r in got.collect()}
+    assert [x.pos for x in res[0]] == list(range(400)) and res[0][5].text == "t0_5"
