@@ -138,10 +138,9 @@ def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = Non
     The ``images`` list is the document itself, sorted by section index.
     """
     rec = image_records(secs, results)
-    per = (rec.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_images"))
-              .join(ordered_collect(rec, ["video_id"], "section_index",
-                                    F.struct("image_path", "timestamp", "prompt", "section_index", "revised_prompt",
-                                             "seed"), "_imgs"), "video_id"))
+    per = ordered_collect(rec, ["video_id"], "section_index",
+                          F.struct("image_path", "timestamp", "prompt", "section_index", "revised_prompt", "seed"),
+                          "_imgs", sums={"num_images": F.lit(1).cast("bigint")})
     vids = secs.select("video_id").distinct().withColumn("backend", backend_for(F.col("video_id")))
     name = F.concat(F.lit("video_"), F.col("video_id").cast("string"))
     neg = defaults.negative_prompt("backend")

@@ -51,15 +51,21 @@ def ordered_concat(df: DataFrame, keys: list[str], order: str, value: Column | s
 
 
 def ordered_collect(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
-                    block_size: int = POS_BLOCK) -> DataFrame:
+                    sums: dict[str, Column] | None = None, block_size: int = POS_BLOCK) -> DataFrame:
     """``array_agg(value ORDER BY order)`` per ``keys`` in two levels (sorted per block, then blocks in order).
 
     ``value`` may be any column (e.g. a struct); ``order`` must be an integer
-    list position, unique per key.
+    list position, unique per key. ``sums`` are additive per-key totals
+    (counts, count-ifs, DECIMAL sums) computed in the same two passes, so no
+    extra aggregation and join is needed for them.
     """
-    d = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), pos_block(order, block_size).alias("_blk"))
+    sums = sums or {}
+    d = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), pos_block(order, block_size).alias("_blk"),
+                  *[c.alias(f"_s_{n}") for n, c in sums.items()])
     parts = d.groupBy(*keys, "_blk").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x.getField("_v")).alias("_part"))
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x.getField("_v")).alias("_part"),
+        *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums])
     return parts.groupBy(*keys).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_part"))),
-                              lambda x: x.getField("_part"))).alias(out))
+                              lambda x: x.getField("_part"))).alias(out),
+        *[F.sum(f"_s_{n}").alias(n) for n in sums])

@@ -94,11 +94,11 @@ def batch_results(batches: DataFrame, plan: DataFrame, skip_space_check: bool =
     space passes). Sizes are summed as DECIMAL so the comparison does not
     depend on summation order; the name lists are collected in two levels.
     """
-    per = plan.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("n_requested"),
-        F.count_if(F.col("action") == "invalid").alias("n_invalid"),
-        F.sum(F.col("size_gb").cast("decimal(12,3)")).alias("total_size_gb"),
-    ).join(ordered_collect(plan, ["batch_id"], "pos", F.col("name"), "names"), "batch_id")
+    per = ordered_collect(plan, ["batch_id"], "pos", F.col("name"), "names", sums={
+        "n_requested": F.lit(1).cast("bigint"),
+        "n_invalid": F.when(F.col("action") == "invalid", 1).otherwise(0).cast("bigint"),
+        "total_size_gb": F.col("size_gb").cast("decimal(12,3)"),
+    })
     b = batches.join(per, "batch_id", "left")
     n_req = F.coalesce("n_requested", F.lit(0))
     total = F.coalesce("total_size_gb", F.lit(0).cast("decimal(12,3)"))
