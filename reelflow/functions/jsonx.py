@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelflow.functions.bind import let
 from reelflow.functions.text import py_strip
 from reelflow.schemas import SECTION_DDL
 
@@ -22,11 +23,12 @@ def _between_fences(c: Column, opener: str) -> Column:
     With no closing fence the slice ends one character before the end of the
     text (a ``find`` result of -1 used as a slice end).
     """
-    start = F.instr(c, opener) + len(opener)
-    end = F.position(F.lit("```"), c, start)
-    body = F.when(end > 0, F.substr(c, start, end - start)).otherwise(
-        F.substr(c, start, F.greatest(F.length(c) - start, F.lit(0))))
-    return py_strip(body)
+    def body(start: Column) -> Column:
+        end = F.position(F.lit("```"), c, start)
+        return let(end, lambda e: py_strip(
+            F.when(e > 0, F.substr(c, start, e - start))
+             .otherwise(F.substr(c, start, F.greatest(F.length(c) - start, F.lit(0))))))
+    return let(F.instr(c, opener) + len(opener), body)
 
 
 def fenced_json(content) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, jsonx, text
+from reelflow.functions.bind import let
 from reelflow.operators.ordered import ordered_concat
 
 SECTION_COLS = FV.SECTION_FIELDS
@@ -24,31 +25,27 @@ def extract(responses: DataFrame) -> DataFrame:
     return responses.withColumn("extracted", jsonx.extract_for_backend("backend", "content"))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
-
-    Written as ``transform(array(value), v -> body(v))[0]``: the classification
-    below tests the same text a dozen times, and without the binding Catalyst
-    inlines the whole extraction expression into every test (and into every
-    pushed-down filter), which overflows generated-code limits.
-    """
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def _classify_text(backend: Column, t: Column) -> Column:
-    ok = jsonx.strict_json_ok(t)
-    kind = jsonx.json_kind(t)
-    is_obj_with = ok & (kind == "object") & jsonx.has_key(t, "sections")
-    skind = jsonx.sections_kind(t)
-    status = (F.when(is_obj_with & (skind == "array"), "parsed")
-               .when(is_obj_with & (skind == "null") & (backend == "openai"), "fallback")
-               .when(is_obj_with, "error")
-               .when(ok & (kind == "array"), "parsed")
-               .otherwise("fallback"))
-    sections = (F.when(status != "parsed", F.lit(None))
-                 .when(kind == "object", jsonx.sections_from_object(t))
-                 .otherwise(jsonx.sections_from_array(t)))
-    return F.struct(status.alias("status"), sections.alias("sections"))
+    """Status and typed sections of one extracted text; every test is evaluated once."""
+    facts = F.struct(jsonx.strict_json_ok(t).alias("ok"), jsonx.json_kind(t).alias("kind"),
+                     jsonx.has_key(t, "sections").alias("has"), jsonx.sections_kind(t).alias("skind"))
+
+    def decide(f: Column) -> Column:
+        obj_with = f["ok"] & (f["kind"] == "object") & f["has"]
+        return (F.when(obj_with & (f["skind"] == "array"), "parsed")
+                 .when(obj_with & (f["skind"] == "null") & (backend == "openai"), "fallback")
+                 .when(obj_with, "error")
+                 .when(f["ok"] & (f["kind"] == "array"), "parsed")
+                 .otherwise("fallback"))
+
+    def build(f: Column) -> Column:
+        status = decide(f)
+        sections = (F.when(status != "parsed", F.lit(None))
+                     .when(f["kind"] == "object", jsonx.sections_from_object(t))
+                     .otherwise(jsonx.sections_from_array(t)))
+        return F.struct(status.alias("status"), sections.alias("sections"))
+
+    return let(facts, build)
 
 
 def classify(responses: DataFrame) -> DataFrame:
