@@ -97,6 +97,13 @@ def sections_from_array(text) -> Column:
     return F.from_json(_c(text), f"ARRAY<STRUCT<{SECTION_DDL}>>")
 
 
+def raw_sections(text, kind) -> Column:
+    """Each section as its original JSON text (kept beside the typed struct: ``"1.5"`` stays visible)."""
+    t = _c(text)
+    arr = F.when(kind == "object", F.get_json_object(t, "$.sections")).otherwise(t)
+    return F.from_json(arr, "array<string>", STRICT)
+
+
 def payload_json(**fields) -> Column:
     """JSN-6: build a request payload and serialise it."""
     return F.to_json(F.struct(*[(_c(v) if not isinstance(v, (int, float)) else F.lit(v)).alias(k)

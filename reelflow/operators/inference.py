@@ -16,8 +16,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from reelflow import fixed_values as FV
-
 TEXT_GENERATORS: dict[str, type] = {}
 IMAGE_GENERATORS: dict[str, type] = {}
 
@@ -118,6 +116,3 @@ class StubImageGenerator:
                 "seed": int(row.video_id) * 1000 + int(row.section_index),
                 "revised_prompt": (row.full_prompt[:50] if row.backend == "openai" else None)}
 
-
-SUPPORTED_TEXT = FV.LLM_BACKENDS
-SUPPORTED_IMAGE = FV.IMAGE_BACKENDS

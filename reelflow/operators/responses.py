@@ -43,7 +43,8 @@ def _classify_text(backend: Column, t: Column) -> Column:
         sections = (F.when(status != "parsed", F.lit(None))
                      .when(f["kind"] == "object", jsonx.sections_from_object(t))
                      .otherwise(jsonx.sections_from_array(t)))
-        return F.struct(status.alias("status"), sections.alias("sections"))
+        raw = F.when(status == "parsed", jsonx.raw_sections(t, f["kind"]))
+        return F.struct(status.alias("status"), sections.alias("sections"), raw.alias("sections_raw"))
 
     return let(facts, build)
 
@@ -51,12 +52,14 @@ def _classify_text(backend: Column, t: Column) -> Column:
 def classify(responses: DataFrame) -> DataFrame:
     """JSN-3/4/5: strict parse and shape dispatch; one row per answer.
 
-    Adds ``status``, ``sections`` (typed array, NULL unless parsed) and
-    ``num_sections``.
+    Adds ``status``, ``sections`` (typed array, NULL unless parsed),
+    ``sections_raw`` (each section's JSON text, so ill-typed fields stay
+    visible) and ``num_sections``.
     """
     d = extract(responses)
     d = d.withColumn("_c", let(F.col("extracted"), lambda t: _classify_text(F.col("backend"), t)))
-    d = d.withColumn("status", F.col("_c.status")).withColumn("sections", F.col("_c.sections")).drop("_c")
+    d = (d.withColumn("status", F.col("_c.status")).withColumn("sections", F.col("_c.sections"))
+          .withColumn("sections_raw", F.col("_c.sections_raw")).drop("_c"))
     return d.withColumn("num_sections",
                         F.when(F.col("status") == "parsed", F.size("sections"))
                          .when(F.col("status") == "fallback", F.lit(1)).otherwise(F.lit(0)))

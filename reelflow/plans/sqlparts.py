@@ -11,8 +11,6 @@ from reelflow.functions.text import STRIP_PATTERN
 from reelflow.functions.urls import NETLOC_PATTERN, PATH_PATTERN, QUERY_PATTERN, SHORTS_PATTERN, V_PARAM_PATTERN
 from reelflow.sources.views import REQUESTABLE
 
-NL = "chr(10)"
-
 VIEWS: dict[str, tuple[list[str], str]] = {
     "segments": ([], """
 SELECT video_id, pos, role, text,

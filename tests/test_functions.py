@@ -131,3 +131,12 @@ def test_base64_decode(spark):
     df = spark.createDataFrame([("aGVsbG8=",), ("***",)], "b string")
     out = [r[0] for r in df.select(jsonx.decode_base64("b")).collect()]
     assert out[0] == bytearray(b"hello") and out[1] is None
+
+
+def test_raw_sections_keep_ill_typed_fields(spark):
+    from reelflow.operators.responses import classify
+    df = spark.createDataFrame([(1, "openai", '{"sections": [{"start_time": "1.5", "image_prompt": "p"}]}')],
+                               "video_id long, backend string, content string")
+    r = classify(df).first()
+    assert r.status == "parsed" and r.sections[0].start_time is None
+    assert '"1.5"' in r.sections_raw[0] and r.num_sections == 1
