@@ -263,6 +263,12 @@ def stream_sessions(spark, sf):
     return jobs.run_available(jobs.sessions(s), "stream_sessions")
 
 
+@query
+def stream_sections(spark, sf):
+    s = jobs.read_folder(spark, views.segments_path(spark, sf), jobs.SEGMENTS, "*.parquet")
+    return jobs.run_available(jobs.section_windows(s), "stream_sections")
+
+
 @query
 def stream_counts(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")

@@ -366,6 +366,16 @@ FROM (SELECT *, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN
 GROUP BY user_id, sid
 HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 
+oracle("stream_sections", """
+SELECT video_id, CAST(round(min(start_s) * 1000000) AS BIGINT) AS section_start_us,
+       CAST(round(max(end_s) * 1000000) AS BIGINT) + 1000000 AS section_end_us,
+       count(*) AS num_segments, min(pos) AS first_pos, max(pos) AS last_pos
+FROM (SELECT *, sum(is_new) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sec
+      FROM (SELECT *, CASE WHEN prev_end IS NULL OR start_s - prev_end > 1.0 THEN 1 ELSE 0 END AS is_new
+            FROM (SELECT *, lag(end_s) OVER (PARTITION BY video_id ORDER BY pos) AS prev_end FROM segments) a) b) c
+GROUP BY video_id, sec
+HAVING max(end_s) + 1.0 <= (SELECT max(start_s) FROM segments)""", "segments")
+
 oracle("stream_counts", """
 SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start_us, event_type, count(*) AS n_events,
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_value

@@ -31,12 +31,17 @@ def _version(paths: list[str]) -> tuple:
     return tuple(out)
 
 
-def stage_table(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """Materialise ``build()`` once for this session and these input files; read it back."""
+def stage_path(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> str:
+    """Folder holding ``build()``'s output, written once for this session and these input files."""
     key = (spark.sparkContext.applicationId, name, _version(inputs))
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"stage-{name}")
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def stage_table(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """Materialise ``build()`` once for this session and these input files; read it back."""
+    return spark.read.parquet(stage_path(spark, name, inputs, build))

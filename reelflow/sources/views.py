@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.operators.blocked import running_sum
-from reelflow.sources.stage import stage_table
+from reelflow.sources.stage import stage_path, stage_table
 from reelflow.sources.tables import table
 
 
@@ -29,8 +29,7 @@ def segments(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame
     output, so it is written once as a stage table (see ``stage_table``).
     """
     if staged:
-        return stage_table(spark, "segments", [_path(sf_dir, "conversations")],
-                           lambda: segments(spark, sf_dir, staged=False))
+        return spark.read.parquet(segments_path(spark, sf_dir))
     conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     base = conv.select(
         F.col("conv_id").alias("video_id"),
@@ -49,6 +48,12 @@ def segments(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame
     )
 
 
+def segments_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the staged segments table (the transcription stage's output files)."""
+    return stage_path(spark, "segments", [_path(sf_dir, "conversations")],
+                      lambda: segments(spark, sf_dir, staged=False))
+
+
 def _vid(page_id):
     return F.concat(F.lit("vid_"), F.lpad((page_id % 100).cast("string"), 5, "0"))
 

@@ -88,6 +88,43 @@ def dedup_requests(requests: DataFrame, horizon: str = "1 hour") -> DataFrame:
                     .select("canonical_url", urls.watch_id("canonical_url").alias("video_key")))
 
 
+SEGMENTS = T.StructType([
+    T.StructField("video_id", T.LongType()), T.StructField("pos", T.IntegerType()),
+    T.StructField("role", T.StringType()), T.StructField("text", T.StringType()),
+    T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()),
+])
+# Media time 0 of every video, as an event-time origin.
+MEDIA_EPOCH = "2024-01-01 00:00:00"
+
+
+def _micros(seconds: str):
+    return F.round(F.col(seconds) * 1_000_000).cast("bigint")
+
+
+def section_windows(segments: DataFrame, pause_s: float = 1.0, delay: str = "0 seconds") -> DataFrame:
+    """STM-3: scene sections formed as segments arrive — a pause longer than ``pause_s`` closes one.
+
+    Each segment is an event at its media start time whose session gap is its
+    own duration plus ``pause_s``, so a section stays open until ``pause_s``
+    after its last segment ends (``session_window`` with a per-row gap). A
+    section is emitted once the watermark passes that point. Output times are
+    media microseconds.
+    """
+    epoch_us = F.unix_micros(F.lit(MEDIA_EPOCH).cast("timestamp"))
+    start_us, end_us = _micros("start_s"), _micros("end_s")
+    gap_us = end_us - start_us + int(pause_s * 1_000_000)
+    e = (segments.withColumn("ts", F.timestamp_micros(epoch_us + start_us))
+                 .withColumn("gap", F.make_interval(secs=(gap_us.cast("decimal(18,6)") / 1_000_000)
+                                                       .cast("decimal(18,6)")))
+                 .withWatermark("ts", delay))
+    g = e.groupBy("video_id", F.session_window("ts", F.col("gap")).alias("w")).agg(
+        F.count(F.lit(1)).alias("num_segments"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return g.select("video_id",
+                    (F.unix_micros(F.col("w.start")) - epoch_us).alias("section_start_us"),
+                    (F.unix_micros(F.col("w.end")) - epoch_us).alias("section_end_us"),
+                    "num_segments", "first_pos", "last_pos")
+
+
 def _event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
