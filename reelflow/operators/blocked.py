@@ -27,10 +27,16 @@ def time_block(col: str, width: float = TIME_BLOCK_S) -> Column:
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, out: str,
                 block: Column | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` per ``keys`` ordered by the unique ``order`` column."""
+    """Inclusive running sum of ``value`` per ``keys`` ordered by the unique ``order`` column.
+
+    If ``df`` already carries a ``_blk`` column (e.g. from :func:`prev_in_order`
+    with ``keep_block=True``) it is reused, and so is its partitioning.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    block = pos_block(order) if block is None else block
-    d = df.withColumn("_blk", block).withColumn("_val", value)
+    if "_blk" in df.columns and block is None:
+        d = df.withColumn("_val", value)
+    else:
+        d = df.withColumn("_blk", pos_block(order) if block is None else block).withColumn("_val", value)
     totals = d.groupBy(*keys, "_blk").agg(F.sum("_val").alias("_bt"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
@@ -59,3 +65,22 @@ def next_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     for c in cols:
         d = d.withColumn(prefix + c, F.col("_nx").getField(c))
     return d.drop("_blk", "_carry", "_nx")
+
+
+def prev_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column,
+                  prefix: str = "prev_", keep_block: bool = False) -> DataFrame:
+    """``lag(c) OVER (PARTITION BY keys ORDER BY order)`` for every ``c`` in ``cols``, blocked like
+    :func:`next_in_order`: the first row of a block takes the last row of the previous non-empty block.
+    """
+    d = df.withColumn("_blk", block)
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    d = d.withColumn("_pv", F.lag(F.struct(*cols)).over(inside))
+    last = (d.groupBy(*keys, "_blk")
+             .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")))
+    by_block = Window.partitionBy(*keys).orderBy("_blk")
+    carry = last.select(*keys, "_blk", F.lag("_last").over(by_block).alias("_carry"))
+    d = d.join(carry, [*keys, "_blk"], "left").withColumn("_pv", F.coalesce("_pv", "_carry"))
+    for c in cols:
+        d = d.withColumn(prefix + c, F.col("_pv").getField(c))
+    d = d.drop("_carry", "_pv")
+    return d if keep_block else d.drop("_blk")

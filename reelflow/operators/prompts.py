@@ -62,9 +62,11 @@ def rule_sections(segs: DataFrame, pause_s: float = 1.0) -> DataFrame:
     """WIN-6: a new section starts at the first segment and after every pause longer than ``pause_s``.
 
     The previous segment is found by an equi join on ``pos - 1`` (``pos`` is
-    dense) and section numbers are a blocked running sum, so no window holds
-    a whole video. Per section: first start, last end, segment count and the
-    texts joined by one space.
+    dense; the join spreads a long video over all partitions) and section
+    numbers are a blocked running sum, so no window holds a whole video. (A
+    blocked ``lag`` was measured to shuffle ~40% more rows here, because its
+    intermediate feeds several branches.) Per section: first start, last end,
+    segment count and the texts joined by one space.
     """
     prev = segs.select("video_id", (F.col("pos") + 1).alias("pos"), F.col("end_s").alias("_prev_end"))
     d = segs.join(prev, ["video_id", "pos"], "left")

@@ -41,3 +41,12 @@ def test_ordered_collect_across_blocks(spark):
     got = ordered.ordered_collect(d, ["video_id"], "pos", F.struct("pos", "text"), "xs", block_size=16)
     res = {r.video_id: r.xs for r in got.collect()}
     assert [x.pos for x in res[0]] == list(range(400)) and res[0][5].text == "t0_5"
+
+
+def test_prev_in_order_matches_lag(spark):
+    d = _data(spark)
+    got = blocked.prev_in_order(d, ["video_id"], ["pos"], ["v", "text"], blocked.pos_block("pos", 7))
+    w = Window.partitionBy("video_id").orderBy("pos")
+    want = d.withColumn("prev_v", F.lag("v").over(w)).withColumn("prev_text", F.lag("text").over(w))
+    cols = ["video_id", "pos", "prev_v", "prev_text"]
+    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
