@@ -119,3 +119,18 @@ def test_subtitle_chunks_equal_body(spark, tmpdir_fresh):
     first = captions.srt_body(segs).orderBy("video_id").first()
     parts = sorted(glob.glob(os.path.join(out, f"video_id={first.video_id}", "part-*")))
     assert "".join(open(p, encoding="utf-8").read() for p in parts) == first.body
+
+
+def test_csv_quotes_newlines_and_utf8_json(spark, tmpdir_fresh):
+    rows = [(1, 0, 0.0, 1.5, 'say "hi"\nthen go'), (1, 1, 1.5, 2.0, "héllo, wörld 🎬"), (1, 2, 2.0, 9.5e-4, "")]
+    segs = spark.createDataFrame(rows, "video_id long, pos int, start_s double, end_s double, text string")
+    out = os.path.join(tmpdir_fresh, "clips")
+    writers.write_clips_csv(captions.clips(segs), out)
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                 .schema("start double, end double, text string").csv(os.path.join(out, "video_id=1")))
+    got = sorted((r.start, r.end, r.text or "") for r in back.collect())
+    assert got == sorted((s, e, t.strip()) for _, _, s, e, t in rows)
+    jout = os.path.join(tmpdir_fresh, "aligned")
+    writers.write_aligned_json(writers.aligned_documents(segs), jout)
+    raw = "".join(open(p, encoding="utf-8").read() for p in glob.glob(os.path.join(jout, "*.json")))
+    assert "héllo, wörld 🎬" in raw and '"language":"en"' in raw
