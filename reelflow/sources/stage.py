@@ -10,7 +10,6 @@ recomputing the stage.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +19,24 @@ from reelflow.session import scratch_path
 _WRITTEN: dict[tuple, str] = {}
 
 
-def _version(paths: list[str]) -> tuple:
+def _version(spark: SparkSession, paths: list[str]) -> tuple:
+    """Length and modification time of each input, through the Hadoop file system (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for p in paths:
         try:
-            st = os.stat(p)
-            out.append((p, st.st_size, int(st.st_mtime)))
-        except OSError:
+            hp = jvm.org.apache.hadoop.fs.Path(p)
+            st = hp.getFileSystem(conf).getFileStatus(hp)
+            out.append((p, st.getLen(), st.getModificationTime()))
+        except Exception:  # noqa: BLE001 — a missing input fails later, in the read itself
             out.append((p, None, None))
     return tuple(out)
 
 
 def stage_path(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> str:
     """Folder holding ``build()``'s output, written once for this session and these input files."""
-    key = (spark.sparkContext.applicationId, name, _version(inputs))
+    key = (spark.sparkContext.applicationId, name, _version(spark, inputs))
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"stage-{name}")
