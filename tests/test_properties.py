@@ -122,3 +122,29 @@ def py_ok(s: str) -> bool:
 @given(st.lists(CANDIDATE, min_size=200, max_size=300))
 def test_strict_json_property(spark, cands):
     assert _eval(spark, cands, "string", jsonx.strict_json_ok) == [py_ok(c) for c in cands]
+
+
+# ------------------------------------------------------------------ answer extraction
+def py_fenced(c: str) -> str:
+    for opener in ("```json", "```"):
+        if opener in c:
+            start = c.find(opener) + len(opener)
+            end = c.find("```", start)
+            return c[start:end].strip()
+    return c
+
+
+def py_greedy(c: str) -> str:
+    m = re.search(r"\{.*\}", c, re.DOTALL)
+    return m.group(0) if m else c
+
+
+PIECES = st.sampled_from(["```", "```json", "`", "{", "}", '{"a": 1}', "json", "\n", " ", "x", "é", "\t"])
+ANSWER = st.lists(PIECES, max_size=10).map("".join)
+
+
+@SETTINGS
+@given(st.lists(ANSWER, min_size=200, max_size=300))
+def test_answer_extraction_property(spark, cs):
+    assert _eval(spark, cs, "string", jsonx.fenced_json) == [py_fenced(c) for c in cs]
+    assert _eval(spark, cs, "string", jsonx.outer_object) == [py_greedy(c) for c in cs]
