@@ -126,7 +126,13 @@ def section_windows(segments: DataFrame, pause_s: float = 1.0, delay: str = "0 s
 
 
 def _event_time(events: DataFrame) -> DataFrame:
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    """Event time as an instant: the ``TIMESTAMP_NTZ`` wall clock read as UTC.
+
+    A plain cast would read it in the session time zone, so windows and
+    outputs would move with that setting.
+    """
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    return events.withColumn("ts", F.timestamp_micros(micros))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
