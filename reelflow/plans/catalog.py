@@ -257,6 +257,13 @@ def stream_dedup(spark, sf):
     return jobs.run_available(jobs.dedup_requests(jobs.request_stream(s)), "stream_dedup")
 
 
+@query
+def stream_pending(spark, sf):
+    s = jobs.read_folder(spark, sf, jobs.PAGES, "pages.parquet")
+    return jobs.run_available(jobs.pending_stream(jobs.request_stream(s), views.inventory(spark, sf)),
+                              "stream_pending")
+
+
 @query
 def stream_sessions(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")

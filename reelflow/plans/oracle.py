@@ -354,6 +354,10 @@ SELECT conv_id AS video_id, CAST(turn AS INT) AS pos, role, {S.strip('text')} AS
 oracle("stream_dedup", f"""
 SELECT DISTINCT canonical_url, video_key FROM ({_CANON}) c""", "requests")
 
+oracle("stream_pending", f"""
+SELECT request_id, canonical_url, video_key FROM ({_CANON}) c
+WHERE canonical_url NOT IN (SELECT key FROM inventory)""", "requests", "inventory")
+
 oracle("stream_sessions", """
 SELECT user_id, epoch_us(min(ts)) AS session_start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS session_end_us,
        count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total_value

@@ -125,6 +125,18 @@ def section_windows(segments: DataFrame, pause_s: float = 1.0, delay: str = "0 s
                     "num_segments", "first_pos", "last_pos")
 
 
+def pending_stream(requests: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Work avoidance as requests arrive: keep those whose artefact is not in the (static) inventory.
+
+    A stream–static left outer join plus a null filter (stateless; the
+    inventory is re-read with each micro-batch, so newly finished artefacts
+    are honoured). Each request file is processed once thanks to the checkpoint.
+    """
+    have = inventory.select(F.col("key").alias("canonical_url")).distinct().withColumn("_have", F.lit(True))
+    return (requests.join(have, "canonical_url", "left").filter(F.col("_have").isNull())
+                    .select("request_id", "canonical_url", urls.watch_id("canonical_url").alias("video_key")))
+
+
 def _event_time(events: DataFrame) -> DataFrame:
     """Event time as an instant: the ``TIMESTAMP_NTZ`` wall clock read as UTC.
 
