@@ -90,6 +90,45 @@ def generate_images(requests: DataFrame, generator: str, **options) -> DataFrame
     return requests.select(*cols).mapInPandas(run, IMAGE_OUT)
 
 
+def text_udf(generator: str, batch_size: int = 64, **options):
+    """UDF-3 as a column function: ``predict_batch_udf`` loads the generator once per Python worker.
+
+    ``df.withColumn("content", text_udf("stub")("video_id", "prompt"))``. Rows
+    that fail come back as NULL (use :func:`generate_text` to keep the error).
+    Returns ``None`` when ``pyspark.ml`` is not importable.
+    """
+    try:
+        from pyspark.ml.functions import predict_batch_udf
+    except ImportError:          # pragma: no cover — optional dependency of pyspark.ml
+        return None
+    import numpy as np
+    from pyspark.sql.types import StringType
+
+    cls = _lookup(TEXT_GENERATORS, generator, "text")
+
+    def make_predict_fn():
+        gen = cls(**options)                       # once per worker process
+
+        def predict(video_ids: np.ndarray, prompts: np.ndarray) -> np.ndarray:
+            out = []
+            for vid, prompt in zip(video_ids, prompts):
+                row = _Row(video_id=int(vid), prompt=str(prompt))
+                try:
+                    out.append(gen.generate(row))
+                except Exception:  # noqa: BLE001 — per-row isolation
+                    out.append(None)
+            return np.array(out, dtype=object)
+
+        return predict
+
+    return predict_batch_udf(make_predict_fn, return_type=StringType(), batch_size=batch_size)
+
+
+class _Row:
+    def __init__(self, **kw):
+        self.__dict__.update(kw)
+
+
 # ---------------------------------------------------------------- deterministic stubs
 @register_text("stub")
 class StubTextGenerator:

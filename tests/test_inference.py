@@ -18,3 +18,12 @@ def test_row_failures_are_isolated(spark):
     assert out[7].status == "error" and "unavailable" in out[7].error and out[7].content is None
     assert out[8].status == "ok" and '"n_chars": 8' in out[8].content
     assert sum(r.status == "error" for r in out.values()) == 2
+
+
+def test_predict_batch_udf_form(spark):
+    udf = inference.text_udf("stub")
+    if udf is None:
+        pytest.skip("pyspark.ml not importable")
+    df = spark.createDataFrame([(i, "x" * i) for i in range(1, 13)], "video_id long, prompt string")
+    out = {r.video_id: r.content for r in df.withColumn("content", udf("video_id", "prompt")).collect()}
+    assert out[7] is None and '"n_chars": 8' in out[8]
