@@ -25,6 +25,20 @@ def time_block(col: str, width: float = TIME_BLOCK_S) -> Column:
     return F.floor(F.col(col) / F.lit(width))
 
 
+def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``cols`` that also matches NULL with NULL (``<=>``), keeping one copy of each column.
+
+    Grouping keeps NULL keys together, so joining a per-group table back must
+    not drop them.
+    """
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols], *[c for c in right.columns if c not in cols])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, out: str,
                 block: Column | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` ordered by the unique ``order`` column.
@@ -41,7 +55,7 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str,
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.join(offsets, [*keys, "_blk"])
+    return (join_on(d, offsets, [*keys, "_blk"])
              .withColumn(out, F.col("_off") + F.sum("_val").over(inside))
              .drop("_blk", "_val", "_off"))
 
@@ -61,7 +75,7 @@ def next_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[s
               .agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_first")))
     by_block = Window.partitionBy(*keys).orderBy("_blk")
     carry = first.select(*keys, "_blk", F.lead("_first").over(by_block).alias("_carry"))
-    d = d.join(carry, [*keys, "_blk"], "left").withColumn("_nx", F.coalesce("_nx", "_carry"))
+    d = join_on(d, carry, [*keys, "_blk"], "left").withColumn("_nx", F.coalesce("_nx", "_carry"))
     for c in cols:
         d = d.withColumn(prefix + c, F.col("_nx").getField(c))
     return d.drop("_blk", "_carry", "_nx")
@@ -79,7 +93,7 @@ def prev_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[s
              .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")))
     by_block = Window.partitionBy(*keys).orderBy("_blk")
     carry = last.select(*keys, "_blk", F.lag("_last").over(by_block).alias("_carry"))
-    d = d.join(carry, [*keys, "_blk"], "left").withColumn("_pv", F.coalesce("_pv", "_carry"))
+    d = join_on(d, carry, [*keys, "_blk"], "left").withColumn("_pv", F.coalesce("_pv", "_carry"))
     for c in cols:
         d = d.withColumn(prefix + c, F.col("_pv").getField(c))
     d = d.drop("_carry", "_pv")

@@ -50,3 +50,12 @@ def test_prev_in_order_matches_lag(spark):
     want = d.withColumn("prev_v", F.lag("v").over(w)).withColumn("prev_text", F.lag("text").over(w))
     cols = ["video_id", "pos", "prev_v", "prev_text"]
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+
+
+def test_null_keys_are_kept(spark):
+    d = spark.createDataFrame([(None, 0, 1.0), (None, 1, 2.0), (1, 0, 5.0)], "video_id long, pos int, v double")
+    got = sorted(blocked.running_sum(d, ["video_id"], "pos", "v", "rs").collect(),
+                 key=lambda r: (r.video_id is not None, r.video_id or 0, r.pos))
+    assert [(r.video_id, r.pos, r.rs) for r in got] == [(None, 0, 1.0), (None, 1, 3.0), (1, 0, 5.0)]
+    nx = blocked.next_in_order(d, ["video_id"], ["pos"], ["v"], blocked.pos_block("pos", 1))
+    assert sorted((r.pos, r.next_v) for r in nx.collect() if r.video_id is None) == [(0, 2.0), (1, None)]
