@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.functions import clock, text
+from reelflow.operators.blocked import join_on
 from reelflow.operators.ordered import ordered_concat
 
 VTT_HEADER = "WEBVTT\n\n"
@@ -38,7 +39,7 @@ def _with_empty_videos(bodies: DataFrame, videos: DataFrame | None, empty_body:
     """Videos without segments still get a document (empty SRT, header-only VTT)."""
     if videos is None:
         return bodies
-    return (videos.select("video_id").join(bodies, "video_id", "left")
+    return (join_on(videos.select("video_id"), bodies, ["video_id"], "left")
                   .select("video_id", F.coalesce("num_cues", F.lit(0)).alias("num_cues"),
                           F.coalesce("body", F.lit(empty_body)).alias("body")))
 

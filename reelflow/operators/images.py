@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import clock, defaults, jsonx, text
-from reelflow.operators.blocked import running_sum
+from reelflow.operators.blocked import join_on, running_sum
 from reelflow.operators.ordered import ordered_collect, ordered_concat
 
 OUTPUT_ROOT = "generated_images"
@@ -144,7 +144,7 @@ def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = Non
     vids = secs.select("video_id").distinct().withColumn("backend", backend_for(F.col("video_id")))
     name = F.concat(F.lit("video_"), F.col("video_id").cast("string"))
     neg = defaults.negative_prompt("backend")
-    d = vids.join(per, "video_id", "left")
+    d = join_on(vids, per, ["video_id"], "left")
     images = F.coalesce("_imgs", F.array().cast(per.schema["_imgs"].dataType))
     return d.select(
         "video_id", name.alias("video_name"),
@@ -166,7 +166,7 @@ def manifest_flat(secs: DataFrame, results: DataFrame) -> DataFrame:
     idx = ordered_concat(rec, ["video_id"], "section_index", F.col("section_index").cast("string"), ",",
                          "image_indices", count_as="num_images")
     files = ordered_concat(rec, ["video_id"], "section_index", "frame_file", ",", "frame_files")
-    d = n_sec.join(idx, "video_id", "left").join(files, "video_id", "left")
+    d = join_on(join_on(n_sec, idx, ["video_id"], "left"), files, ["video_id"], "left")
     b = backend_for(F.col("video_id"))
     return d.select("video_id", b.alias("backend"), defaults.image_model(b).alias("model"), "num_sections",
                     F.coalesce("num_images", F.lit(0)).alias("num_images"),
@@ -207,7 +207,7 @@ def progress(secs: DataFrame, results: DataFrame) -> DataFrame:
     a = a.withColumn("_ok", F.when(F.col("status_code") == 200, 1).otherwise(0))
     a = running_sum(a, ["video_id"], "section_index", "_ok", "succeeded")
     tot = secs.groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
-    d = a.join(tot, "video_id")
+    d = join_on(a, tot, ["video_id"])
     return d.select("video_id", "section_index", (F.col("section_index") + 1).cast("bigint").alias("attempted"),
                     "succeeded", "total",
                     (100.0 * (F.col("section_index") + 1) / F.col("total")).alias("progress_pct"))
@@ -222,7 +222,7 @@ def frame_collisions(secs: DataFrame, results: DataFrame) -> DataFrame:
     rec = image_records(secs, results).select("video_id", "section_index", "frame_file")
     g = rec.groupBy("video_id", "frame_file").agg(F.count(F.lit(1)).alias("n_same_file"),
                                                   F.max("section_index").alias("_winner"))
-    d = rec.join(g, ["video_id", "frame_file"])
+    d = join_on(rec, g, ["video_id", "frame_file"])
     return d.select("video_id", "section_index", "frame_file", "n_same_file",
                     (F.col("section_index") == F.col("_winner")).alias("is_winner"))
 
@@ -232,7 +232,7 @@ def preview(secs: DataFrame, n: int = 3) -> DataFrame:
     cnt = secs.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
     first = secs.filter(F.col("section_index") < n)
     scene = F.col("scene_description") if "scene_description" in secs.columns else F.lit(None).cast("string")
-    d = first.join(cnt, "video_id")
+    d = join_on(first, cnt, ["video_id"])
     return d.select(
         "video_id", "section_index", (F.col("section_index") + 1).cast("int").alias("section_no"),
         clock.one_decimal(F.coalesce("start_time", F.lit(0.0))).alias("start_text"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.operators.blocked import TIME_BLOCK_S, next_in_order, time_block
+from reelflow.operators.blocked import TIME_BLOCK_S, join_on, next_in_order, time_block
 from reelflow.operators.ordered import ordered_concat
 
 
@@ -49,7 +49,7 @@ def section_segments(secs: DataFrame, segs: DataFrame, width: float = TIME_BLOCK
     pairs = overlap_pairs(s, g, "video_id", "start_time", "end_time", "start_s", "end_s", width)
     body = ordered_concat(pairs, ["video_id", "section_index"], "pos", F.coalesce("text", F.lit("")), " ",
                           "transcript_text", count_as="num_segments")
-    return (s.join(body, ["video_id", "section_index"], "left")
+    return (join_on(s, body, ["video_id", "section_index"], "left")
              .select("video_id", "section_index", "start_time", "end_time",
                      F.coalesce("num_segments", F.lit(0)).alias("num_segments"),
                      F.coalesce("transcript_text", F.lit("")).alias("transcript_text")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, text
-from reelflow.operators.blocked import running_sum
+from reelflow.operators.blocked import join_on, running_sum
 from reelflow.operators.ordered import ordered_concat
 from reelflow.operators.timeline import timeline_text
 
@@ -78,4 +78,4 @@ def rule_sections(segs: DataFrame, pause_s: float = 1.0) -> DataFrame:
         F.count(F.lit(1)).alias("num_segments"))
     body = ordered_concat(d, ["video_id", "section_index"], "pos", F.coalesce("text", F.lit("")), " ",
                           "transcript_text")
-    return span.join(body, ["video_id", "section_index"])
+    return join_on(span, body, ["video_id", "section_index"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, jsonx, text
 from reelflow.functions.bind import let
+from reelflow.operators.blocked import join_on
 from reelflow.operators.ordered import ordered_concat
 
 SECTION_COLS = FV.SECTION_FIELDS
@@ -80,7 +81,7 @@ def fallback_stats(segs: DataFrame, videos: DataFrame) -> DataFrame:
         F.max_by(F.coalesce("end_s", F.lit(0.0)), "pos").alias("end_time"))
     head = ordered_concat(s.filter(F.col("pos") < FV.FALLBACK_TEXT_CHARS), ["video_id"], "pos",
                           F.coalesce("text", F.lit("")), " ", "full_text")
-    return span.join(head, "video_id")
+    return join_on(span, head, ["video_id"], "left")
 
 
 def fallback_columns() -> list[Column]:
@@ -103,7 +104,7 @@ def fallback_columns() -> list[Column]:
 def fallback_sections(segs: DataFrame, videos: DataFrame) -> DataFrame:
     """AGG-2 / FLT-7 / STR-8: the single fallback section for each video in ``videos``."""
     v = videos.select("video_id").distinct()
-    return v.join(fallback_stats(segs, v), "video_id", "left").select("video_id", *fallback_columns())
+    return join_on(v, fallback_stats(segs, v), ["video_id"], "left").select("video_id", *fallback_columns())
 
 
 def parsed_sections(responses: DataFrame, segs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.functions import text
+from reelflow.operators.blocked import join_on
 from reelflow.operators.images import OUTPUT_ROOT
 
 
@@ -20,8 +21,9 @@ def pipeline_summary(transcripts: DataFrame, segs: DataFrame, secs: DataFrame, r
     n_sec = secs.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_sections"))
     n_img = (results.groupBy("video_id")
                     .agg(F.count_if(F.col("status_code") == 200).alias("num_images")))
-    d = (transcripts.withColumn("video_name", text.video_name("transcript_file"))
-                    .join(n_seg, "video_id", "left").join(n_sec, "video_id", "left").join(n_img, "video_id", "left"))
+    d = transcripts.withColumn("video_name", text.video_name("transcript_file"))
+    for agg in (n_seg, n_sec, n_img):
+        d = join_on(d, agg, ["video_id"], "left")
     return d.select(
         "video_id", "video_name", "transcript_file",
         text.with_suffix("video_name", ".srt").alias("srt_file"),
