@@ -10,7 +10,7 @@ from reelflow.operators.blocked import join_on
 from reelflow.operators.images import OUTPUT_ROOT
 
 
-def pipeline_summary(transcripts: DataFrame, segs: DataFrame, secs: DataFrame, results: DataFrame) -> DataFrame:
+def video_summary(transcripts: DataFrame, segs: DataFrame, secs: DataFrame, results: DataFrame) -> DataFrame:
     """One row per transcript file: names of every artefact and the count at each stage.
 
     ``transcripts`` is ``(video_id, transcript_file)``. Stage counts are partial

@@ -205,13 +205,13 @@ def section_preview(spark, sf):
 
 
 @query
-def pipeline_summary(spark, sf):
+def video_summary(spark, sf):
     segs = views.segments(spark, sf)
     secs = views.sections(spark, sf, segs)
     tr = segs.select("video_id").distinct().select(
         "video_id", F.concat(F.lit("conv_"), F.col("video_id").cast("string"), F.lit(".aligned.json"))
         .alias("transcript_file"))
-    return summary.pipeline_summary(tr, segs, secs, views.image_results(spark, sf, secs))
+    return summary.video_summary(tr, segs, secs, views.image_results(spark, sf, secs))
 
 
 # ------------------------------------------------------------------ M5: time joins

@@ -310,7 +310,7 @@ SELECT video_id, section_index, CAST(section_index + 1 AS INT) AS section_no,
 FROM sections JOIN (SELECT video_id, count(*) AS n FROM sections GROUP BY video_id) c USING (video_id)
 WHERE section_index < 3""", "sections")
 
-oracle("pipeline_summary", """
+oracle("video_summary", """
 SELECT video_id, video_name, transcript_file, video_name || '.srt' AS srt_file,
        video_name || '_prompts.json' AS prompts_file, 'generated_images/' || video_name AS output_dir,
        coalesce(num_segments, 0) AS num_segments, coalesce(num_sections, 0) AS num_sections,
