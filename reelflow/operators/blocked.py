@@ -39,25 +39,34 @@ def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inne
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
+def _block_key(keys: list[str]) -> Column:
+    """One struct key per (key…, block). Struct equality treats NULL fields as equal, so NULL keys
+    survive the join back, and windows, aggregates and joins on it share one hash partitioning."""
+    return F.struct(*[F.col(k) for k in keys], F.col("_blk").alias("_blk"))
+
+
+def _key_only(keys: list[str]) -> Column:
+    return F.struct(*[F.col("_bk").getField(k) for k in keys])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, out: str,
                 block: Column | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` ordered by the unique ``order`` column.
 
-    If ``df`` already carries a ``_blk`` column (e.g. from :func:`prev_in_order`
-    with ``keep_block=True``) it is reused, and so is its partitioning.
+    Rows are shuffled once, on ``(keys, block)``; the in-block sum, the block
+    totals and the join with the per-block offsets all reuse that partitioning.
     """
     value = F.col(value) if isinstance(value, str) else value
-    if "_blk" in df.columns and block is None:
-        d = df.withColumn("_val", value)
-    else:
-        d = df.withColumn("_blk", pos_block(order) if block is None else block).withColumn("_val", value)
-    totals = d.groupBy(*keys, "_blk").agg(F.sum("_val").alias("_bt"))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (join_on(d, offsets, [*keys, "_blk"])
-             .withColumn(out, F.col("_off") + F.sum("_val").over(inside))
-             .drop("_blk", "_val", "_off"))
+    d = (df.withColumn("_blk", pos_block(order) if block is None else block).withColumn("_val", value)
+           .withColumn("_bk", _block_key(keys)))
+    inside = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_loc", F.sum("_val").over(inside))
+    totals = d.groupBy("_bk").agg(F.sum("_val").alias("_bt"))
+    before = Window.partitionBy(_key_only(keys)).orderBy(F.col("_bk").getField("_blk")) \
+                   .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_bk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
+    return (d.join(offsets, "_bk").withColumn(out, F.col("_off") + F.col("_loc"))
+             .drop("_bk", "_blk", "_val", "_off", "_loc"))
 
 
 def next_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column,
@@ -68,33 +77,27 @@ def next_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     order column). Inside a block ``lead`` is exact; the last row of a block
     takes the first row of the next non-empty block of the same key.
     """
-    d = df.withColumn("_blk", block)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    d = d.withColumn("_nx", F.lead(F.struct(*cols)).over(inside))
-    first = (d.groupBy(*keys, "_blk")
-              .agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_first")))
-    by_block = Window.partitionBy(*keys).orderBy("_blk")
-    carry = first.select(*keys, "_blk", F.lead("_first").over(by_block).alias("_carry"))
-    d = join_on(d, carry, [*keys, "_blk"], "left").withColumn("_nx", F.coalesce("_nx", "_carry"))
-    for c in cols:
-        d = d.withColumn(prefix + c, F.col("_nx").getField(c))
-    return d.drop("_blk", "_carry", "_nx")
+    return _neighbour(df, keys, order, cols, block, prefix, forward=True)
 
 
 def prev_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column,
-                  prefix: str = "prev_", keep_block: bool = False) -> DataFrame:
-    """``lag(c) OVER (PARTITION BY keys ORDER BY order)`` for every ``c`` in ``cols``, blocked like
-    :func:`next_in_order`: the first row of a block takes the last row of the previous non-empty block.
-    """
-    d = df.withColumn("_blk", block)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
-    d = d.withColumn("_pv", F.lag(F.struct(*cols)).over(inside))
-    last = (d.groupBy(*keys, "_blk")
-             .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")))
-    by_block = Window.partitionBy(*keys).orderBy("_blk")
-    carry = last.select(*keys, "_blk", F.lag("_last").over(by_block).alias("_carry"))
-    d = join_on(d, carry, [*keys, "_blk"], "left").withColumn("_pv", F.coalesce("_pv", "_carry"))
+                  prefix: str = "prev_") -> DataFrame:
+    """``lag(c) OVER (PARTITION BY keys ORDER BY order)``, blocked like :func:`next_in_order`:
+    the first row of a block takes the last row of the previous non-empty block."""
+    return _neighbour(df, keys, order, cols, block, prefix, forward=False)
+
+
+def _neighbour(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column, prefix: str,
+               forward: bool) -> DataFrame:
+    d = df.withColumn("_blk", block).withColumn("_bk", _block_key(keys))
+    inside = Window.partitionBy("_bk").orderBy(*order)
+    shift = F.lead if forward else F.lag
+    d = d.withColumn("_nb", shift(F.struct(*cols)).over(inside))
+    pick = F.min_by if forward else F.max_by
+    edge = d.groupBy("_bk").agg(pick(F.struct(*cols), F.struct(*order)).alias("_edge"))
+    by_block = Window.partitionBy(_key_only(keys)).orderBy(F.col("_bk").getField("_blk"))
+    carry = edge.select("_bk", shift("_edge").over(by_block).alias("_carry"))
+    d = d.join(carry, "_bk", "left").withColumn("_nb", F.coalesce("_nb", "_carry"))
     for c in cols:
-        d = d.withColumn(prefix + c, F.col("_pv").getField(c))
-    d = d.drop("_carry", "_pv")
-    return d if keep_block else d.drop("_blk")
+        d = d.withColumn(prefix + c, F.col("_nb").getField(c))
+    return d.drop("_bk", "_blk", "_carry", "_nb")

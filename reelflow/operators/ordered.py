@@ -35,18 +35,28 @@ def ordered_chunks(df: DataFrame, keys: list[str], order: str, value: Column | s
 
 
 def ordered_concat(df: DataFrame, keys: list[str], order: str, value: Column | str, sep: str, out: str,
-                   count_as: str | None = None, block_size: int = POS_BLOCK) -> DataFrame:
+                   count_as: str | None = None, firsts: dict[str, str] | None = None,
+                   lasts: dict[str, str] | None = None, block_size: int = POS_BLOCK) -> DataFrame:
     """``string_agg(value, sep ORDER BY order)`` per ``keys``; ``order`` is unique per key.
 
-    Returns ``keys + [out]`` (plus the row count as ``count_as`` when given).
+    Returns ``keys + [out]``, plus the row count as ``count_as`` and, for each
+    ``firsts``/``lasts`` entry ``name → column``, that column's value on the
+    first/last row by ``order`` — all in the same two aggregation passes.
     """
     value = F.col(value) if isinstance(value, str) else value
-    d = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), pos_block(order, block_size).alias("_blk"))
-    parts = d.groupBy(*keys, "_blk").agg(_sorted_join("_o", "_v", sep).alias("_part"),
-                                          F.count(F.lit(1)).alias("_n"))
+    firsts, lasts = firsts or {}, lasts or {}
+    extra = {**{f"_f_{n}": c for n, c in firsts.items()}, **{f"_l_{n}": c for n, c in lasts.items()}}
+    d = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), pos_block(order, block_size).alias("_blk"),
+                  *[F.col(c).alias(a) for a, c in extra.items()])
+    parts = d.groupBy(*keys, "_blk").agg(
+        _sorted_join("_o", "_v", sep).alias("_part"), F.count(F.lit(1)).alias("_n"),
+        *[F.min_by(f"_f_{n}", "_o").alias(f"_f_{n}") for n in firsts],
+        *[F.max_by(f"_l_{n}", "_o").alias(f"_l_{n}") for n in lasts])
     aggs = [_sorted_join("_blk", "_part", sep).alias(out)]
     if count_as:
         aggs.append(F.sum("_n").alias(count_as))
+    aggs += [F.min_by(f"_f_{n}", "_blk").alias(n) for n in firsts]
+    aggs += [F.max_by(f"_l_{n}", "_blk").alias(n) for n in lasts]
     return parts.groupBy(*keys).agg(*aggs)
 
 

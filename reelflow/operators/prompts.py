@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, text
-from reelflow.operators.blocked import join_on, running_sum
+from reelflow.operators.blocked import running_sum
 from reelflow.operators.ordered import ordered_concat
 from reelflow.operators.timeline import timeline_text
 
@@ -73,9 +73,6 @@ def rule_sections(segs: DataFrame, pause_s: float = 1.0) -> DataFrame:
     is_new = F.when(F.col("_prev_end").isNull() | (F.col("start_s") - F.col("_prev_end") > pause_s), 1).otherwise(0)
     d = running_sum(d.withColumn("_new", is_new), ["video_id"], "pos", "_new", "_sec")
     d = d.withColumn("section_index", (F.col("_sec") - 1).cast("int"))
-    span = d.groupBy("video_id", "section_index").agg(
-        F.min_by("start_s", "pos").alias("start_time"), F.max_by("end_s", "pos").alias("end_time"),
-        F.count(F.lit(1)).alias("num_segments"))
-    body = ordered_concat(d, ["video_id", "section_index"], "pos", F.coalesce("text", F.lit("")), " ",
-                          "transcript_text")
-    return join_on(span, body, ["video_id", "section_index"])
+    return ordered_concat(d, ["video_id", "section_index"], "pos", F.coalesce("text", F.lit("")), " ",
+                          "transcript_text", count_as="num_segments", firsts={"start_time": "start_s"},
+                          lasts={"end_time": "end_s"})
