@@ -61,9 +61,9 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str,
            .withColumn("_bk", _block_key(keys)))
     inside = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.sum("_val").over(inside))
-    totals = d.groupBy("_bk").agg(F.sum("_val").alias("_bt"))
-    before = Window.partitionBy(_key_only(keys)).orderBy(F.col("_bk").getField("_blk")) \
-                   .rowsBetween(Window.unboundedPreceding, -1)
+    totals = (d.groupBy("_bk").agg(F.sum("_val").alias("_bt"))
+               .withColumn("_key", _key_only(keys)).withColumn("_bno", F.col("_bk").getField("_blk")))
+    before = Window.partitionBy("_key").orderBy("_bno").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
     return (d.join(offsets, "_bk").withColumn(out, F.col("_off") + F.col("_loc"))
              .drop("_bk", "_blk", "_val", "_off", "_loc"))
@@ -94,8 +94,9 @@ def _neighbour(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
     shift = F.lead if forward else F.lag
     d = d.withColumn("_nb", shift(F.struct(*cols)).over(inside))
     pick = F.min_by if forward else F.max_by
-    edge = d.groupBy("_bk").agg(pick(F.struct(*cols), F.struct(*order)).alias("_edge"))
-    by_block = Window.partitionBy(_key_only(keys)).orderBy(F.col("_bk").getField("_blk"))
+    edge = (d.groupBy("_bk").agg(pick(F.struct(*cols), F.struct(*order)).alias("_edge"))
+             .withColumn("_key", _key_only(keys)).withColumn("_bno", F.col("_bk").getField("_blk")))
+    by_block = Window.partitionBy("_key").orderBy("_bno")
     carry = edge.select("_bk", shift("_edge").over(by_block).alias("_carry"))
     d = d.join(carry, "_bk", "left").withColumn("_nb", F.coalesce("_nb", "_carry"))
     for c in cols:

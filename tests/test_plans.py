@@ -35,7 +35,8 @@ def test_running_sums_and_lead_are_blocked(spark):
         specs = re.findall(r"Window \[[^\n]*\], \[([^\]]*)\], \[([^\]]*)\]", p)
         assert specs, name
         for part, order in specs:
-            assert "_blk" in part or order.startswith("_blk"), (name, part, order)
+            # rows: partitioned by the (key…, block) struct; per-block table: ordered by block number
+            assert part.startswith("_bk#") or order.startswith("_bno#"), (name, part, order)
 
 
 def test_explicit_broadcasts_are_fixed_size_tables(spark):
