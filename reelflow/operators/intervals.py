@@ -74,8 +74,11 @@ def frame_at(points: DataFrame, intervals: DataFrame, point: str, width: float =
     number of buckets. Points before the first frame get NULLs (left join).
     """
     last_point = points.groupBy("video_id").agg(F.max(point).alias("_last"))
-    iv = (intervals.join(last_point, "video_id", "left")
-                   .withColumn("_end", F.coalesce("until", F.greatest("_last", "timestamp")))
+    closed = intervals.filter(F.col("until").isNotNull()).withColumn("_end", F.col("until"))
+    # only each video's open last interval needs the video's last point: one row per video joins
+    open_last = (join_on(intervals.filter(F.col("until").isNull()), last_point, ["video_id"], "left")
+                 .withColumn("_end", F.greatest("_last", "timestamp")).drop("_last"))
+    iv = (closed.unionByName(open_last)
                    .select(F.col("video_id").alias("_vid"),
                            F.explode(_buckets(F.col("timestamp"), F.col("_end"), width)).alias("_ib"),
                            F.col("section_index").alias("frame_section_index"), "frame_file",
