@@ -50,22 +50,31 @@ def _key_only(keys: list[str]) -> Column:
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, out: str,
-                block: Column | None = None) -> DataFrame:
+                block: Column | None = None, key_totals: dict[str, Column] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` ordered by the unique ``order`` column.
 
     Rows are shuffled once, on ``(keys, block)``; the in-block sum, the block
     totals and the join with the per-block offsets all reuse that partitioning.
+    ``key_totals`` (``name → column``) attaches each key's grand total of those
+    columns through the same per-block table, instead of a join of the rows on
+    the key alone (which would gather a hot key in one task).
     """
     value = F.col(value) if isinstance(value, str) else value
+    key_totals = key_totals or {}
     d = (df.withColumn("_blk", pos_block(order) if block is None else block).withColumn("_val", value)
            .withColumn("_bk", _block_key(keys)))
+    for n, c in key_totals.items():
+        d = d.withColumn(f"_t_{n}", c)
     inside = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.sum("_val").over(inside))
-    totals = (d.groupBy("_bk").agg(F.sum("_val").alias("_bt"))
+    totals = (d.groupBy("_bk").agg(F.sum("_val").alias("_bt"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in key_totals])
                .withColumn("_key", _key_only(keys)).withColumn("_bno", F.col("_bk").getField("_blk")))
     before = Window.partitionBy("_key").orderBy("_bno").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"))
-    return (d.join(offsets, "_bk").withColumn(out, F.col("_off") + F.col("_loc"))
+    whole = Window.partitionBy("_key")
+    offsets = totals.select("_bk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"),
+                            *[F.sum(f"_t_{n}").over(whole).alias(n) for n in key_totals])
+    return (d.drop(*[f"_t_{n}" for n in key_totals]).join(offsets, "_bk")
+             .withColumn(out, F.col("_off") + F.col("_loc"))
              .drop("_bk", "_blk", "_val", "_off", "_loc"))
 
 

@@ -199,15 +199,14 @@ def progress(secs: DataFrame, results: DataFrame) -> DataFrame:
     """WIN-2 / WIN-3: per attempted section, attempts and successes so far over the video total.
 
     ``section_index`` is the dense 0-based list index, so the attempt count is
-    arithmetic; the success count is a blocked running sum; the total is a
-    partial aggregate joined back.
+    arithmetic; the success count is a blocked running sum and the video total
+    rides on the same per-block table, so rows are never gathered per video.
     """
     a = secs.select("video_id", "section_index").join(
         results.select("video_id", "section_index", "status_code"), ["video_id", "section_index"], "left")
     a = a.withColumn("_ok", F.when(F.col("status_code") == 200, 1).otherwise(0))
-    a = running_sum(a, ["video_id"], "section_index", "_ok", "succeeded")
-    tot = secs.groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
-    d = join_on(a, tot, ["video_id"])
+    d = running_sum(a, ["video_id"], "section_index", "_ok", "succeeded",
+                    key_totals={"total": F.lit(1).cast("bigint")})
     return d.select("video_id", "section_index", (F.col("section_index") + 1).cast("bigint").alias("attempted"),
                     "succeeded", "total",
                     (100.0 * (F.col("section_index") + 1) / F.col("total")).alias("progress_pct"))
