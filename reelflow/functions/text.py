@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reelflow import fixed_values as FV
 
@@ -46,6 +47,13 @@ def video_name(file_name) -> Column:
     return F.replace(file_stem(file_name), F.lit(".aligned"), F.lit(""))
 
 
+def video_label(df, key: str = "video_id") -> Column:
+    """Output name of a video: its own name for named corpora, ``video_<id>`` for numeric ids."""
+    if isinstance(df.schema[key].dataType, StringType):
+        return F.col(key)
+    return F.concat(F.lit("video_"), F.col(key).cast("string"))
+
+
 def with_suffix(name, suffix: str) -> Column:
     """STR-5: output names such as ``<video>_prompts.json`` or ``<stem>.srt``."""
     return F.concat(_c(name), F.lit(suffix))

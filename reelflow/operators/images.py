@@ -109,29 +109,33 @@ def image_requests(secs: DataFrame, backend: Column | None = None, model: str |
                             F.col("negative_prompt"), overrides).alias("payload"))
 
 
-def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None = None) -> DataFrame:
+def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None = None,
+                  overrides: dict | None = None) -> DataFrame:
     """JOI-4 / FLT-4 / JSN-8: one record per successful image, one wide schema for every backend.
 
-    Failed sections leave gaps in ``section_index``.
+    The prompt and frame name follow the backend each result reports. Failed
+    sections leave gaps in ``section_index``.
     """
-    req = image_requests(secs).select("video_id", "section_index", "full_prompt", "frame_file")
     ok = results.filter(F.col("status_code") == 200)
-    name = F.concat(F.lit("video_"), F.col("video_id").cast("string")) if video_name is None else video_name
-    j = ok.join(req, ["video_id", "section_index"])
-    cols = j.columns
-    revised = F.col("revised_prompt") if "revised_prompt" in cols else F.lit(None).cast("string")
+    sec = secs.select("video_id", "section_index", "start_time", "image_prompt", "visual_style")
+    j = ok.join(sec, ["video_id", "section_index"])
+    name = text.video_label(j) if video_name is None else video_name
+    revised = F.col("revised_prompt") if "revised_prompt" in j.columns else F.lit(None).cast("string")
+    seed = F.col("seed") if "seed" in j.columns else F.lit(None)
+    frame = clock.frame_file(F.coalesce("start_time", F.lit(0.0)), extension(F.col("backend"), overrides))
     return j.select(
         "video_id", "section_index", "backend",
-        F.concat_ws("/", F.lit(OUTPUT_ROOT), name, F.col("frame_file")).alias("image_path"),
+        F.concat_ws("/", F.lit(OUTPUT_ROOT), name, frame).alias("image_path"),
         F.col("timestamp_s").alias("timestamp"),
-        F.col("full_prompt").alias("prompt"),
+        full_prompt(F.col("backend"), F.col("image_prompt"), F.col("visual_style")).alias("prompt"),
         revised.alias("revised_prompt"),
-        F.col("seed").cast("bigint").alias("seed"),
-        "frame_file",
+        seed.cast("bigint").alias("seed"),
+        frame.alias("frame_file"),
     )
 
 
-def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = None) -> DataFrame:
+def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = None,
+             default_backend: str = "diffusers") -> DataFrame:
     """AGG-8 / SNK-6: the nested manifest document per video (DM-16).
 
     Every video with sections gets a manifest, also when all images failed.
@@ -141,8 +145,11 @@ def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = Non
     per = ordered_collect(rec, ["video_id"], "section_index",
                           F.struct("image_path", "timestamp", "prompt", "section_index", "revised_prompt", "seed"),
                           "_imgs", sums={"num_images": F.lit(1).cast("bigint")})
-    vids = secs.select("video_id").distinct().withColumn("backend", backend_for(F.col("video_id")))
-    name = F.concat(F.lit("video_"), F.col("video_id").cast("string"))
+    # each video's backend is the one its results report (a partial aggregate); no results → the default
+    used = results.groupBy("video_id").agg(F.min("backend").alias("_b"))
+    vids = (join_on(secs.select("video_id").distinct(), used, ["video_id"], "left")
+            .select("video_id", F.coalesce("_b", F.lit(default_backend)).alias("backend")))
+    name = text.video_label(vids)
     neg = defaults.negative_prompt("backend")
     d = join_on(vids, per, ["video_id"], "left")
     images = F.coalesce("_imgs", F.array().cast(per.schema["_imgs"].dataType))

@@ -19,11 +19,16 @@ from pyspark.sql import DataFrame
 TEXT_GENERATORS: dict[str, type] = {}
 IMAGE_GENERATORS: dict[str, type] = {}
 
-TEXT_OUT = "video_id BIGINT, backend STRING, model STRING, status STRING, error STRING, content STRING"
-IMAGE_OUT = ("video_id BIGINT, section_index INT, backend STRING, status STRING, error STRING, image_path STRING, "
+TEXT_OUT = "video_id {key}, backend STRING, model STRING, status STRING, error STRING, content STRING"
+IMAGE_OUT = ("video_id {key}, section_index INT, backend STRING, status STRING, error STRING, image_path STRING, "
              "timestamp DOUBLE, prompt STRING, revised_prompt STRING, seed BIGINT")
 
 
+def _out_schema(template: str, requests: DataFrame) -> str:
+    """Output DDL with the video key typed like the input (numeric ids or video names)."""
+    return template.format(key=requests.schema["video_id"].dataType.simpleString())
+
+
 def register_text(name: str):
     def deco(cls):
         TEXT_GENERATORS[name] = cls
@@ -64,7 +69,7 @@ def generate_text(requests: DataFrame, generator: str, **options) -> DataFrame:
             yield pd.DataFrame({"video_id": pdf["video_id"], "backend": pdf["backend"], "model": pdf["model"],
                                 "status": status, "error": error, "content": content})
 
-    return requests.select("video_id", "backend", "model", "prompt").mapInPandas(run, TEXT_OUT)
+    return requests.select("video_id", "backend", "model", "prompt").mapInPandas(run, _out_schema(TEXT_OUT, requests))
 
 
 def generate_images(requests: DataFrame, generator: str, **options) -> DataFrame:
@@ -87,7 +92,7 @@ def generate_images(requests: DataFrame, generator: str, **options) -> DataFrame
             yield pd.DataFrame(out, columns=[c.split()[0] for c in IMAGE_OUT.split(", ")])
 
     cols = ["video_id", "section_index", "backend", "start_time", "full_prompt", "frame_file"]
-    return requests.select(*cols).mapInPandas(run, IMAGE_OUT)
+    return requests.select(*cols).mapInPandas(run, _out_schema(IMAGE_OUT, requests))
 
 
 def text_udf(generator: str, batch_size: int = 64, **options):
@@ -132,13 +137,13 @@ class _Row:
 # ---------------------------------------------------------------- deterministic stubs
 @register_text("stub")
 class StubTextGenerator:
-    """Answers one section spanning the prompt's character count; fails for every tenth video id ending in 7."""
+    """Answers one section carrying the prompt's character count; fails for numeric ids ≡ 7 (mod 10)."""
 
     def __init__(self, fail_mod: int = 10, fail_rest: int = 7):
         self.fail_mod, self.fail_rest = fail_mod, fail_rest
 
     def generate(self, row) -> str:
-        if row.video_id % self.fail_mod == self.fail_rest:
+        if isinstance(row.video_id, int) and row.video_id % self.fail_mod == self.fail_rest:
             raise RuntimeError("stub backend unavailable")
         return ('{"sections": [{"start_time": 0.0, "n_chars": ' + str(len(row.prompt)) +
                 ', "image_prompt": "stub ' + str(row.video_id) + '"}]}')
@@ -146,12 +151,13 @@ class StubTextGenerator:
 
 @register_image("stub")
 class StubImageGenerator:
-    """Writes nothing; reports the path a frame would get and a seed; fails when (video + index) % 7 == 3."""
+    """Writes nothing; reports the path a frame would get and a seed; fails when (id + index) % 7 == 3."""
 
     def generate(self, row) -> dict:
-        if (row.video_id + row.section_index) % 7 == 3:
+        numeric = isinstance(row.video_id, int)
+        if numeric and (row.video_id + row.section_index) % 7 == 3:
             raise RuntimeError("stub render failed")
         return {"image_path": f"generated_images/video_{row.video_id}/{row.frame_file}",
-                "seed": int(row.video_id) * 1000 + int(row.section_index),
+                "seed": (int(row.video_id) * 1000 if numeric else 0) + int(row.section_index),
                 "revised_prompt": (row.full_prompt[:50] if row.backend == "openai" else None)}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, text
-from reelflow.operators.blocked import running_sum
+from reelflow.operators.blocked import join_on, running_sum
 from reelflow.operators.ordered import ordered_concat
 from reelflow.operators.timeline import timeline_text
 
@@ -33,13 +33,18 @@ def payload(backend: Column, model: Column, prompt: Column, temperature: Column,
 
 
 def llm_requests(segs: DataFrame, languages: DataFrame | None = None, forced_language: str | None = None,
-                 backend: Column | None = None) -> DataFrame:
+                 backend: Column | None = None, videos: DataFrame | None = None) -> DataFrame:
     """One request per video: ``(video_id, backend, model, language, temperature, max_tokens, prompt, payload)``.
 
     ``languages`` optionally gives a detected ``language`` per ``video_id``;
-    the choice is forced → detected → ``en`` (DEF-2).
+    the choice is forced → detected → ``en`` (DEF-2). With ``videos``, videos
+    without segments still get a request over an empty transcript.
     """
     tl = timeline_text(segs)
+    if videos is not None:
+        tl = (join_on(videos.select("video_id").distinct(), tl, ["video_id"], "left")
+              .select("video_id", F.coalesce("transcript", F.lit("")).alias("transcript"),
+                      F.coalesce("num_segments", F.lit(0)).alias("num_segments")))
     if languages is not None:
         tl = tl.join(languages.select("video_id", F.col("language").alias("_detected")), "video_id", "left")
     else:

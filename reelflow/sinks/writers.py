@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelflow.functions import text
 from reelflow.operators.ordered import ordered_collect
 
 
@@ -79,7 +80,7 @@ def prompts_documents(sections: DataFrame, language: str | None = None, generate
               "visual_style"]
     g = ordered_collect(s.withColumn("_i", F.coalesce("section_index", F.lit(0))), ["video_id", "backend", "model"],
                         "_i", F.struct(*fields), "_s")
-    name = F.concat(F.lit("video_"), F.col("video_id").cast("string"))
+    name = text.video_label(g)
     return g.select(
         name.alias("video_name"),
         F.concat_ws("/", F.lit(transcript_dir), F.concat(name, F.lit(".aligned.json"))).alias("transcript_file"),
