@@ -34,10 +34,18 @@ def _version(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(out)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp))
+
+
 def stage_path(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> str:
     """Folder holding ``build()``'s output, written once for this session and these input files."""
     key = (spark.sparkContext.applicationId, name, _version(spark, inputs))
     path = _WRITTEN.get(key)
+    if path is not None and not _exists(spark, path):
+        path = None                                   # the shared folder was cleaned: write it again
     if path is None:
         path = scratch_path(spark, f"stage-{name}")
         build().write.mode("overwrite").parquet(path)

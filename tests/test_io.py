@@ -149,3 +149,16 @@ def test_prompts_document_read_and_explode(spark, tmpdir_fresh):
         (0, "a", "cinematic", None), (1, "b", None, "neutral")]
     req = images.image_requests(images.explode_sections(docs), backend=F.lit("stability")).orderBy("section_index")
     assert [r.frame_file for r in req.collect()] == ["frame_00000000.png", "frame_00002000.png"]
+
+
+def test_stage_table_rewritten_when_folder_vanishes(spark, tmpdir_fresh):
+    from reelflow.sources import stage
+    src = os.path.join(tmpdir_fresh, "in.parquet")
+    spark.range(5).write.parquet(src)
+    p1 = stage.stage_path(spark, "t", [src], lambda: spark.read.parquet(src))
+    assert stage.stage_path(spark, "t", [src], lambda: spark.read.parquet(src)) == p1
+    for key, path in list(stage._WRITTEN.items()):   # simulate a cleaned shared folder
+        if path == p1:
+            stage._WRITTEN[key] = os.path.join(tmpdir_fresh, "gone")
+    p2 = stage.stage_path(spark, "t", [src], lambda: spark.read.parquet(src))
+    assert p2 != p1 and spark.read.parquet(p2).count() == 5
