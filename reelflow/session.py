@@ -47,7 +47,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="reelflow-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster "
+                             "(stage tables, stream checkpoints and sinks are written there)")
+        root = tempfile.mkdtemp(prefix="reelflow-ckpt-")   # local tests only
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
