@@ -53,14 +53,16 @@ def video_id_of(video_key) -> F.Column:
     return F.nullif(F.regexp_extract(video_key, r"^vid_(\d+)$", 1), F.lit("")).try_cast("bigint")
 
 
-def missing_inputs(canon: DataFrame, inventory: DataFrame, segs: DataFrame, secs: DataFrame) -> DataFrame:
+def missing_inputs(canon: DataFrame, inventory: DataFrame, segs: DataFrame, secs: DataFrame,
+                   key_to_video=video_id_of) -> DataFrame:
     """FLT-6: per request, the first pipeline stage whose input artefact is missing.
 
     ``download`` — the URL names no video; ``transcribe`` — no media file in the
     inventory; ``prompts`` — no transcript; ``images`` — no sections. Each test
-    is an anti join, so nothing per-video is collected.
+    is an anti join, so nothing per-video is collected. ``key_to_video`` maps a
+    canonical URL's video key to the corpus ``video_id`` (NULL = no video).
     """
-    c = canon.select("request_id", "canonical_url", video_id_of(F.col("video_key")).alias("video_id"))
+    c = canon.select("request_id", "canonical_url", key_to_video(F.col("video_key")).alias("video_id"))
     inv = inventory.select(F.col("key").alias("canonical_url")).withColumn("_media", F.lit(True))
     have_tr = segs.select("video_id").distinct().withColumn("_tr", F.lit(True))
     have_sec = secs.select("video_id").distinct().withColumn("_sec", F.lit(True))
