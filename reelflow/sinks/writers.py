@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.functions import text
+from reelflow.operators.blocked import join_on
 from reelflow.operators.ordered import ordered_collect
 
 
@@ -70,16 +71,23 @@ def write_clips_csv(clips: DataFrame, path: str, key: str = "video_id") -> None:
 
 
 def prompts_documents(sections: DataFrame, language: str | None = None, generated_at: str | None = None,
-                      transcript_dir: str = "outputs") -> DataFrame:
+                      transcript_dir: str = "outputs", answers: DataFrame | None = None) -> DataFrame:
     """DM-12 per video and backend from parsed sections (SNK-5 input).
 
     ``generated_at`` is a parameter (a clock reading is not reproducible).
+    With ``answers`` (``video_id, backend, model`` and optionally ``status``),
+    every answer that did not end in ``error`` gets a document, so an answer
+    with an empty ``sections`` list still writes one with ``num_sections = 0``.
     """
     s = sections.filter(F.col("status") != "error")
     fields = ["start_time", "end_time", "transcript_text", "image_prompt", "sentiment", "scene_description",
               "visual_style"]
-    g = ordered_collect(s.withColumn("_i", F.coalesce("section_index", F.lit(0))), ["video_id", "backend", "model"],
-                        "_i", F.struct(*fields), "_s")
+    keys = ["video_id", "backend", "model"]
+    g = ordered_collect(s.withColumn("_i", F.coalesce("section_index", F.lit(0))), keys, "_i", F.struct(*fields), "_s")
+    if answers is not None:
+        a = answers.filter(F.col("status") != "error") if "status" in answers.columns else answers
+        g = join_on(a.select(*keys).distinct(), g, keys, "left")
+        g = g.withColumn("_s", F.coalesce("_s", F.array().cast(s.select(F.array(F.struct(*fields))).schema[0].dataType)))
     name = text.video_label(g)
     return g.select(
         name.alias("video_name"),

@@ -162,3 +162,17 @@ def test_stage_table_rewritten_when_folder_vanishes(spark, tmpdir_fresh):
             stage._WRITTEN[key] = os.path.join(tmpdir_fresh, "gone")
     p2 = stage.stage_path(spark, "t", [src], lambda: spark.read.parquet(src))
     assert p2 != p1 and spark.read.parquet(p2).count() == 5
+
+
+def test_empty_section_list_still_writes_a_document(spark):
+    ans = spark.createDataFrame([(1, "openai", '{"sections": []}'), (2, "anthropic", '{"sections": null}'),
+                                 (3, "openai", "nope")], "video_id long, backend string, content string")
+    segs = spark.createDataFrame([(3, 0, 0.0, 1.0, "hi")], "video_id long, pos int, start_s double, end_s double, "
+                                                           "text string")
+    parsed = responses.parsed_sections(ans, segs)
+    cls = responses.classify(ans).withColumn("model", F.lit("m")).select("video_id", "backend", "model", "status")
+    docs = {r.video_name: r for r in writers.prompts_documents(parsed.withColumn("model", F.lit("m")),
+                                                               answers=cls).collect()}
+    assert docs["video_1"].num_sections == 0 and docs["video_1"].sections == []
+    assert "video_2" not in docs                          # an error answer writes nothing
+    assert docs["video_3"].num_sections == 1 and docs["video_3"].sections[0].image_prompt == "A scene depicting: hi"
