@@ -126,7 +126,7 @@ def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None
     return j.select(
         "video_id", "section_index", "backend",
         F.concat_ws("/", F.lit(OUTPUT_ROOT), name, frame).alias("image_path"),
-        F.col("timestamp_s").alias("timestamp"),
+        F.coalesce("start_time", F.lit(0.0)).alias("timestamp"),
         full_prompt(F.col("backend"), F.col("image_prompt"), F.col("visual_style")).alias("prompt"),
         revised.alias("revised_prompt"),
         seed.cast("bigint").alias("seed"),
@@ -135,11 +135,13 @@ def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None
 
 
 def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = None,
-             default_backend: str = "diffusers") -> DataFrame:
+             default_backend: str = "diffusers", videos: DataFrame | None = None) -> DataFrame:
     """AGG-8 / SNK-6: the nested manifest document per video (DM-16).
 
-    Every video with sections gets a manifest, also when all images failed.
-    The ``images`` list is the document itself, sorted by section index.
+    Every video with sections gets a manifest, also when all images failed;
+    with ``videos``, so does every listed video (e.g. a prompts document with
+    no sections). The ``images`` list is the document itself, sorted by
+    section index.
     """
     rec = image_records(secs, results)
     per = ordered_collect(rec, ["video_id"], "section_index",
@@ -147,7 +149,9 @@ def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = Non
                           "_imgs", sums={"num_images": F.lit(1).cast("bigint")})
     # each video's backend is the one its results report (a partial aggregate); no results → the default
     used = results.groupBy("video_id").agg(F.min("backend").alias("_b"))
-    vids = (join_on(secs.select("video_id").distinct(), used, ["video_id"], "left")
+    listed = secs.select("video_id") if videos is None else secs.select("video_id").unionByName(
+        videos.select("video_id"))
+    vids = (join_on(listed.distinct(), used, ["video_id"], "left")
             .select("video_id", F.coalesce("_b", F.lit(default_backend)).alias("backend")))
     name = text.video_label(vids)
     neg = defaults.negative_prompt("backend")

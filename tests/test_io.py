@@ -176,3 +176,16 @@ def test_empty_section_list_still_writes_a_document(spark):
     assert docs["video_1"].num_sections == 0 and docs["video_1"].sections == []
     assert "video_2" not in docs                          # an error answer writes nothing
     assert docs["video_3"].num_sections == 1 and docs["video_3"].sections[0].image_prompt == "A scene depicting: hi"
+
+
+def test_manifest_for_video_without_sections(spark):
+    secs = spark.createDataFrame([(1, 0, 0.5, 1.0, "p", "")],
+                                 "video_id long, section_index int, start_time double, end_time double, "
+                                 "image_prompt string, visual_style string")
+    res = spark.createDataFrame([(1, 0, 9.9, "diffusers", 200, None)],
+                                "video_id long, section_index int, timestamp_s double, backend string, "
+                                "status_code int, seed long")
+    vids = spark.createDataFrame([(1,), (2,)], "video_id long")
+    m = {r.video_id: r for r in images.manifest(secs, res, videos=vids).collect()}
+    assert m[2].num_images == 0 and m[2].images == []
+    assert m[1].num_images == 1 and m[1].images[0].timestamp == 0.5     # the section's own start time
