@@ -175,9 +175,8 @@ def manifest_flat(secs: DataFrame, results: DataFrame) -> DataFrame:
     rec = image_records(secs, results)
     n_sec = secs.groupBy("video_id").agg(F.count(F.lit(1)).alias("num_sections"))
     idx = ordered_concat(rec, ["video_id"], "section_index", F.col("section_index").cast("string"), ",",
-                         "image_indices", count_as="num_images")
-    files = ordered_concat(rec, ["video_id"], "section_index", "frame_file", ",", "frame_files")
-    d = join_on(join_on(n_sec, idx, ["video_id"], "left"), files, ["video_id"], "left")
+                         "image_indices", count_as="num_images", more={"frame_files": ("frame_file", ",")})
+    d = join_on(n_sec, idx, ["video_id"], "left")
     b = backend_for(F.col("video_id"))
     return d.select("video_id", b.alias("backend"), defaults.image_model(b).alias("model"), "num_sections",
                     F.coalesce("num_images", F.lit(0)).alias("num_images"),

@@ -20,6 +20,16 @@ def _sorted_join(order: str, value: str, sep: str) -> Column:
     return F.array_join(F.transform(items, lambda x: x.getField("v")), sep)
 
 
+def _sorted_joins(order: str, values: dict[str, str]) -> list[Column]:
+    """Several ordered string joins from one sorted collection (``out → (column, sep)``)."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
+                                                 *[F.col(c).alias(f"v{i}") for i, (c, _) in enumerate(values.values())])))
+    def field(i: int):
+        return lambda x: x.getField(f"v{i}")
+    return [F.array_join(F.transform(items, field(i)), sep).alias(out)
+            for i, (out, (_, sep)) in enumerate(values.items())]
+
+
 def ordered_chunks(df: DataFrame, keys: list[str], order: str, value: Column | str, sep: str,
                    block_size: int = POS_BLOCK) -> DataFrame:
     """First level only: ``(keys, block, chunk)`` — the document as ordered pieces.
@@ -36,23 +46,29 @@ def ordered_chunks(df: DataFrame, keys: list[str], order: str, value: Column | s
 
 def ordered_concat(df: DataFrame, keys: list[str], order: str, value: Column | str, sep: str, out: str,
                    count_as: str | None = None, firsts: dict[str, str] | None = None,
-                   lasts: dict[str, str] | None = None, block_size: int = POS_BLOCK) -> DataFrame:
+                   lasts: dict[str, str] | None = None, more: dict[str, tuple[Column | str, str]] | None = None,
+                   block_size: int = POS_BLOCK) -> DataFrame:
     """``string_agg(value, sep ORDER BY order)`` per ``keys``; ``order`` is unique per key.
 
-    Returns ``keys + [out]``, plus the row count as ``count_as`` and, for each
-    ``firsts``/``lasts`` entry ``name → column``, that column's value on the
-    first/last row by ``order`` — all in the same two aggregation passes.
+    Returns ``keys + [out]``, plus the row count as ``count_as``, for each
+    ``firsts``/``lasts`` entry ``name → column`` that column's value on the
+    first/last row by ``order``, and for each ``more`` entry
+    ``name → (column, sep)`` another ordered join — all in the same two
+    aggregation passes.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    firsts, lasts = firsts or {}, lasts or {}
+    firsts, lasts, more = firsts or {}, lasts or {}, more or {}
+    strings = {out: (value, sep), **more}
+    cols = {n: (F.col(v) if isinstance(v, str) else v) for n, (v, _) in strings.items()}
     extra = {**{f"_f_{n}": c for n, c in firsts.items()}, **{f"_l_{n}": c for n, c in lasts.items()}}
-    d = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), pos_block(order, block_size).alias("_blk"),
+    d = df.select(*keys, F.col(order).alias("_o"), pos_block(order, block_size).alias("_blk"),
+                  *[c.alias(f"_v_{n}") for n, c in cols.items()],
                   *[F.col(c).alias(a) for a, c in extra.items()])
     parts = d.groupBy(*keys, "_blk").agg(
-        _sorted_join("_o", "_v", sep).alias("_part"), F.count(F.lit(1)).alias("_n"),
+        *_sorted_joins("_o", {f"_p_{n}": (f"_v_{n}", sep) for n, (_, sep) in strings.items()}),
+        F.count(F.lit(1)).alias("_n"),
         *[F.min_by(f"_f_{n}", "_o").alias(f"_f_{n}") for n in firsts],
         *[F.max_by(f"_l_{n}", "_o").alias(f"_l_{n}") for n in lasts])
-    aggs = [_sorted_join("_blk", "_part", sep).alias(out)]
+    aggs = _sorted_joins("_blk", {n: (f"_p_{n}", sep) for n, (_, sep) in strings.items()})
     if count_as:
         aggs.append(F.sum("_n").alias(count_as))
     aggs += [F.min_by(f"_f_{n}", "_blk").alias(n) for n in firsts]
