@@ -61,10 +61,9 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str,
     """
     value = F.col(value) if isinstance(value, str) else value
     key_totals = key_totals or {}
-    d = (df.withColumn("_blk", pos_block(order) if block is None else block).withColumn("_val", value)
-           .withColumn("_bk", _block_key(keys)))
-    for n, c in key_totals.items():
-        d = d.withColumn(f"_t_{n}", c)
+    d = df.withColumns({"_blk": pos_block(order) if block is None else block, "_val": value,
+                        **{f"_t_{n}": c for n, c in key_totals.items()}})
+    d = d.withColumn("_bk", _block_key(keys))
     inside = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.sum("_val").over(inside))
     totals = (d.groupBy("_bk").agg(F.sum("_val").alias("_bt"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in key_totals])
@@ -108,6 +107,5 @@ def _neighbour(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
     by_block = Window.partitionBy("_key").orderBy("_bno")
     carry = edge.select("_bk", shift("_edge").over(by_block).alias("_carry"))
     d = d.join(carry, "_bk", "left").withColumn("_nb", F.coalesce("_nb", "_carry"))
-    for c in cols:
-        d = d.withColumn(prefix + c, F.col("_nb").getField(c))
+    d = d.withColumns({prefix + c: F.col("_nb").getField(c) for c in cols})
     return d.drop("_bk", "_blk", "_carry", "_nb")

@@ -97,12 +97,12 @@ def image_requests(secs: DataFrame, backend: Column | None = None, model: str |
     b = backend_for(F.col("video_id")) if backend is None else backend
     neg_override = None if negative_prompt is None else F.lit(negative_prompt)
     model_override = None if model is None else F.lit(model)
-    d = (secs.withColumn("backend", b)
-             .withColumn("model", defaults.image_model("backend", model_override))
-             .withColumn("full_prompt", full_prompt(F.col("backend"), F.col("image_prompt"), F.col("visual_style")))
-             .withColumn("negative_prompt", defaults.negative_prompt("backend", neg_override))
-             .withColumn("frame_file", clock.frame_file(F.coalesce("start_time", F.lit(0.0)),
-                                                        extension(F.col("backend"), overrides))))
+    d = secs.withColumn("backend", b).withColumns({
+        "model": defaults.image_model("backend", model_override),
+        "full_prompt": full_prompt(F.col("backend"), F.col("image_prompt"), F.col("visual_style")),
+        "negative_prompt": defaults.negative_prompt("backend", neg_override),
+        "frame_file": clock.frame_file(F.coalesce("start_time", F.lit(0.0)), extension(F.col("backend"), overrides)),
+    })
     return d.select("video_id", "section_index", "start_time", "backend", "model", "full_prompt", "negative_prompt",
                     "frame_file",
                     payload(F.col("backend"), F.col("model"), F.col("full_prompt"),

@@ -52,12 +52,10 @@ def llm_requests(segs: DataFrame, languages: DataFrame | None = None, forced_lan
     forced = F.lit(forced_language) if forced_language is not None else None
     b = backend_for(F.col("video_id")) if backend is None else backend
     max_tokens = F.try_element_at(defaults.lit_map(FV.LLM_DEFAULT_MAX_TOKENS), F.col("backend"))
-    d = (tl.withColumn("backend", b)
-           .withColumn("model", defaults.llm_model("backend"))
-           .withColumn("language", defaults.language(forced, F.col("_detected")))
-           .withColumn("temperature", F.lit(FV.LLM_DEFAULT_TEMPERATURE))
-           .withColumn("max_tokens", max_tokens.cast("int"))
-           .withColumn("prompt", text.request_text("language", "transcript")))
+    d = tl.withColumns({"backend": b, "language": defaults.language(forced, F.col("_detected")),
+                        "temperature": F.lit(FV.LLM_DEFAULT_TEMPERATURE)})
+    d = d.withColumns({"model": defaults.llm_model("backend"), "max_tokens": max_tokens.cast("int"),
+                       "prompt": text.request_text("language", "transcript")})
     d = d.withColumn("payload", payload(F.col("backend"), F.col("model"), F.col("prompt"), F.col("temperature"),
                                         F.col("max_tokens")))
     return d.select("video_id", "backend", "model", "language", "temperature", "max_tokens", "prompt", "payload")

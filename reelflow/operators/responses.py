@@ -59,11 +59,13 @@ def classify(responses: DataFrame) -> DataFrame:
     """
     d = extract(responses)
     d = d.withColumn("_c", let(F.col("extracted"), lambda t: _classify_text(F.col("backend"), t)))
-    d = (d.withColumn("status", F.col("_c.status")).withColumn("sections", F.col("_c.sections"))
-          .withColumn("sections_raw", F.col("_c.sections_raw")).drop("_c"))
-    return d.withColumn("num_sections",
-                        F.when(F.col("status") == "parsed", F.size("sections"))
-                         .when(F.col("status") == "fallback", F.lit(1)).otherwise(F.lit(0)))
+    status, sections = F.col("_c.status"), F.col("_c.sections")
+    d = d.withColumns({
+        "status": status, "sections": sections, "sections_raw": F.col("_c.sections_raw"),
+        "num_sections": F.when(status == "parsed", F.size(sections))
+                         .when(status == "fallback", F.lit(1)).otherwise(F.lit(0)),
+    })
+    return d.drop("_c")
 
 
 def fallback_stats(segs: DataFrame, videos: DataFrame) -> DataFrame:
@@ -117,11 +119,11 @@ def parsed_sections(responses: DataFrame, segs: DataFrame) -> DataFrame:
     """
     c = classify(responses).withColumn("model", defaults.llm_model("backend"))
     stats = fallback_stats(segs, c.filter(F.col("status") == "fallback"))
-    j = c.join(stats, "video_id", "left").withColumn("_fb", F.struct(*fallback_columns()))
+    j = c.join(stats, "video_id", "left")
     null_row = F.struct(*[F.lit(None).cast("double" if f.endswith("_time") else "string").alias(f)
                           for f in SECTION_COLS])
     rows = (F.when(F.col("status") == "parsed", F.col("sections"))
-             .when(F.col("status") == "fallback", F.array("_fb"))
+             .when(F.col("status") == "fallback", F.array(F.struct(*fallback_columns())))
              .otherwise(F.array(null_row)))
     out = j.select("video_id", "backend", "model", "status", F.posexplode(rows).alias("section_index", "s"))
     return out.select("video_id", "backend", "model", "status",
