@@ -45,8 +45,10 @@ def done(canon: DataFrame, inventory: DataFrame, force: bool = False) -> DataFra
 # ------------------------------------------------------------------ models
 def catalogue(spark: SparkSession) -> DataFrame:
     """SRC-4: the speech-model catalogue (5 fixed rows — safe to broadcast)."""
-    rows = [(i, n, r, float(s), d) for i, (n, r, s, d) in enumerate(FV.SPEECH_MODELS)]
-    return spark.createDataFrame(rows, "ord INT, name STRING, repo STRING, size_gb DOUBLE, description STRING")
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(r).alias("repo"),
+                     F.lit(float(s)).alias("size_gb"), F.lit(d).alias("description"))
+            for i, (n, r, s, d) in enumerate(FV.SPEECH_MODELS)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def expand_requests(batches: DataFrame, requests: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def model_plan(spark: SparkSession, batches: DataFrame, requests: DataFrame,
     rows = rows.withColumn("cache_dir", text.cache_dir_name("repo")) \
                .withColumn("size_text", clock.size_text("size_gb"))
     if present is None:
-        present = spark.createDataFrame([], "key STRING")
+        present = spark.range(0).select(F.lit(None).cast("string").alias("key"))
     have = present.select(F.col("key").alias("cache_dir")).distinct().withColumn("_present", F.lit(True))
     rows = rows.join(have, "cache_dir", "left")
     action = (F.when(F.col("repo").isNull(), "invalid")
