@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelflow.functions.defaults import default
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -35,9 +37,9 @@ def one_decimal(x) -> Column:
 def timeline_line(start, end, text) -> Column:
     """TIM-3: ``[12.3s - 15.0s] text`` with missing values defaulted."""
     return F.concat(
-        F.lit("["), one_decimal(F.coalesce(_c(start), F.lit(0.0))),
-        F.lit("s - "), one_decimal(F.coalesce(_c(end), F.lit(0.0))),
-        F.lit("s] "), F.coalesce(_c(text), F.lit("")),
+        F.lit("["), one_decimal(default(_c(start), 0.0)),
+        F.lit("s - "), one_decimal(default(_c(end), 0.0)),
+        F.lit("s] "), default(_c(text), ""),
     )
 
 
@@ -51,11 +53,6 @@ def frame_file(start, ext="png") -> Column:
     return F.when(ms.isNotNull(), F.format_string("frame_%08d.%s", ms, ext))
 
 
-def frame_key(start) -> Column:
-    """Truncated milliseconds used to name a frame."""
-    return (_c(start).cast("double") * 1000).cast("bigint")
-
-
 def size_text(size_gb) -> Column:
     """TIM-5: ``0.07GB`` (two decimals)."""
     return F.concat(F.call_function("format_number", _c(size_gb).cast("double"), F.lit("0.00")), F.lit("GB"))

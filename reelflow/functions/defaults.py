@@ -39,11 +39,6 @@ def negative_prompt(backend, override=None) -> Column:
     return dflt if override is None else F.coalesce(_c(override), dflt)
 
 
-def setting(override, base) -> Column:
-    """DEF-4: call-time override else instance value."""
-    return F.coalesce(_c(override), _c(base))
-
-
 def llm_model(backend, model=None) -> Column:
     """DEF-5: given model, else the text backend's default."""
     dflt = F.try_element_at(lit_map(FV.LLM_DEFAULT_MODEL), _c(backend))

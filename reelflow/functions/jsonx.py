@@ -104,12 +104,6 @@ def raw_sections(text, kind) -> Column:
     return F.from_json(arr, "array<string>", STRICT)
 
 
-def payload_json(**fields) -> Column:
-    """JSN-6: build a request payload and serialise it."""
-    return F.to_json(F.struct(*[(_c(v) if not isinstance(v, (int, float)) else F.lit(v)).alias(k)
-                                for k, v in fields.items()]))
-
-
 def decode_base64(b64) -> Column:
     """JSN-7: decoded bytes of a base64 field; invalid input → NULL."""
     return F.try_to_binary(_c(b64), F.lit("base64"))
