@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 POS_BLOCK = 4096          # rows per block for dense list positions
 TIME_BLOCK_S = 60.0       # seconds per block for media-time ordering
+SUPER_BLOCK = 4096        # blocks per super-block in the two-level carry tables
 
 
 def pos_block(col: str = "pos", size: int = POS_BLOCK) -> Column:
@@ -49,15 +50,24 @@ def _key_only(keys: list[str]) -> Column:
     return F.struct(*[F.col("_bk").getField(k) for k in keys])
 
 
+def _super(table: DataFrame, super_size: int) -> DataFrame:
+    """Add the super-block (``_sb``) of each block and its key ``_sk = struct(_key, _sb)``."""
+    return (table.withColumn("_sb", F.floor(F.col("_bno") / F.lit(super_size)))
+                 .withColumn("_sk", F.struct(F.col("_key").alias("_key"), F.col("_sb").alias("_sb"))))
+
+
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str, out: str,
-                block: Column | None = None, key_totals: dict[str, Column] | None = None) -> DataFrame:
+                block: Column | None = None, key_totals: dict[str, Column] | None = None,
+                super_size: int = SUPER_BLOCK) -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` ordered by the unique ``order`` column.
 
     Rows are shuffled once, on ``(keys, block)``; the in-block sum, the block
     totals and the join with the per-block offsets all reuse that partitioning.
-    ``key_totals`` (``name → column``) attaches each key's grand total of those
-    columns through the same per-block table, instead of a join of the rows on
-    the key alone (which would gather a hot key in one task).
+    Block offsets are prefix sums in two levels — inside super-blocks of
+    ``super_size`` blocks, then over one row per super-block — so no task
+    orders more than ``super_size`` blocks of one key. ``key_totals``
+    (``name → column``) attaches each key's grand total of those columns the
+    same way, instead of a join of the rows on the key alone.
     """
     value = F.col(value) if isinstance(value, str) else value
     key_totals = key_totals or {}
@@ -66,46 +76,58 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: Column | str,
     d = d.withColumn("_bk", _block_key(keys))
     inside = Window.partitionBy("_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_loc", F.sum("_val").over(inside))
+    sums = ["_bt", *[f"_t_{n}" for n in key_totals]]
     totals = (d.groupBy("_bk").agg(F.sum("_val").alias("_bt"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in key_totals])
-               .withColumn("_key", _key_only(keys)).withColumn("_bno", F.col("_bk").getField("_blk")))
-    before = Window.partitionBy("_key").orderBy("_bno").rowsBetween(Window.unboundedPreceding, -1)
+               .withColumns({"_key": _key_only(keys), "_bno": F.col("_bk").getField("_blk")}))
+    t = _super(totals, super_size)
+    within = Window.partitionBy("_sk").orderBy("_bno").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_offa", F.coalesce(F.sum("_bt").over(within), F.lit(0)))
+    st = (t.groupBy("_sk").agg(*[F.sum(c).alias(c) for c in sums])
+           .withColumns({"_key": F.col("_sk").getField("_key"), "_sb": F.col("_sk").getField("_sb")}))
+    over = Window.partitionBy("_key").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_key")
-    offsets = totals.select("_bk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off"),
-                            *[F.sum(f"_t_{n}").over(whole).alias(n) for n in key_totals])
+    st = st.select("_sk", F.coalesce(F.sum("_bt").over(over), F.lit(0)).alias("_offb"),
+                   *[F.sum(f"_t_{n}").over(whole).alias(n) for n in key_totals])
+    offsets = t.join(st, "_sk").select("_bk", (F.col("_offa") + F.col("_offb")).alias("_off"), *key_totals)
     return (d.drop(*[f"_t_{n}" for n in key_totals]).join(offsets, "_bk")
              .withColumn(out, F.col("_off") + F.col("_loc"))
              .drop("_bk", "_blk", "_val", "_off", "_loc"))
 
 
 def next_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column,
-                  prefix: str = "next_") -> DataFrame:
+                  prefix: str = "next_", super_size: int = SUPER_BLOCK) -> DataFrame:
     """``lead(c) OVER (PARTITION BY keys ORDER BY order)`` for every ``c`` in ``cols``.
 
     ``block`` must be monotone in ``order`` (e.g. a time bucket of the first
     order column). Inside a block ``lead`` is exact; the last row of a block
-    takes the first row of the next non-empty block of the same key.
+    takes the first row of the next non-empty block of the same key, found in
+    two levels like the offsets of :func:`running_sum`.
     """
-    return _neighbour(df, keys, order, cols, block, prefix, forward=True)
+    return _neighbour(df, keys, order, cols, block, prefix, forward=True, super_size=super_size)
 
 
 def prev_in_order(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column,
-                  prefix: str = "prev_") -> DataFrame:
+                  prefix: str = "prev_", super_size: int = SUPER_BLOCK) -> DataFrame:
     """``lag(c) OVER (PARTITION BY keys ORDER BY order)``, blocked like :func:`next_in_order`:
     the first row of a block takes the last row of the previous non-empty block."""
-    return _neighbour(df, keys, order, cols, block, prefix, forward=False)
+    return _neighbour(df, keys, order, cols, block, prefix, forward=False, super_size=super_size)
 
 
 def _neighbour(df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column, prefix: str,
-               forward: bool) -> DataFrame:
+               forward: bool, super_size: int) -> DataFrame:
     d = df.withColumn("_blk", block).withColumn("_bk", _block_key(keys))
     inside = Window.partitionBy("_bk").orderBy(*order)
     shift = F.lead if forward else F.lag
-    d = d.withColumn("_nb", shift(F.struct(*cols)).over(inside))
     pick = F.min_by if forward else F.max_by
+    d = d.withColumn("_nb", shift(F.struct(*cols)).over(inside))
     edge = (d.groupBy("_bk").agg(pick(F.struct(*cols), F.struct(*order)).alias("_edge"))
-             .withColumn("_key", _key_only(keys)).withColumn("_bno", F.col("_bk").getField("_blk")))
-    by_block = Window.partitionBy("_key").orderBy("_bno")
-    carry = edge.select("_bk", shift("_edge").over(by_block).alias("_carry"))
+             .withColumns({"_key": _key_only(keys), "_bno": F.col("_bk").getField("_blk")}))
+    t = _super(edge, super_size)
+    t = t.withColumn("_inner", shift("_edge").over(Window.partitionBy("_sk").orderBy("_bno")))
+    se = (t.groupBy("_sk").agg(pick("_edge", "_bno").alias("_sedge"))
+           .withColumns({"_key": F.col("_sk").getField("_key"), "_sb": F.col("_sk").getField("_sb")}))
+    se = se.select("_sk", shift("_sedge").over(Window.partitionBy("_key").orderBy("_sb")).alias("_outer"))
+    carry = t.join(se, "_sk", "left").select("_bk", F.coalesce("_inner", "_outer").alias("_carry"))
     d = d.join(carry, "_bk", "left").withColumn("_nb", F.coalesce("_nb", "_carry"))
     d = d.withColumns({prefix + c: F.col("_nb").getField(c) for c in cols})
     return d.drop("_bk", "_blk", "_carry", "_nb")

@@ -59,3 +59,32 @@ def test_null_keys_are_kept(spark):
     assert [(r.video_id, r.pos, r.rs) for r in got] == [(None, 0, 1.0), (None, 1, 3.0), (1, 0, 5.0)]
     nx = blocked.next_in_order(d, ["video_id"], ["pos"], ["v"], blocked.pos_block("pos", 1))
     assert sorted((r.pos, r.next_v) for r in nx.collect() if r.video_id is None) == [(0, 2.0), (1, None)]
+
+
+def test_two_level_carry_with_tiny_super_blocks(spark):
+    d = _data(spark)
+    w = Window.partitionBy("video_id").orderBy("pos")
+    got = blocked.running_sum(d, ["video_id"], "pos", "v", "rs", block=blocked.pos_block("pos", 3), super_size=2,
+                              key_totals={"tot": F.col("v")})
+    want = d.withColumn("rs", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+            .withColumn("tot", F.sum("v").over(Window.partitionBy("video_id")))
+    cols = ["video_id", "pos", "rs", "tot"]
+    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+    nx = blocked.next_in_order(d, ["video_id"], ["pos"], ["v"], blocked.pos_block("pos", 3), super_size=2)
+    pv = blocked.prev_in_order(d, ["video_id"], ["pos"], ["v"], blocked.pos_block("pos", 3), super_size=2)
+    want2 = d.withColumn("next_v", F.lead("v").over(w)).withColumn("prev_v", F.lag("v").over(w))
+    assert sorted(nx.select("video_id", "pos", "next_v").collect()) == \
+        sorted(want2.select("video_id", "pos", "next_v").collect())
+    assert sorted(pv.select("video_id", "pos", "prev_v").collect()) == \
+        sorted(want2.select("video_id", "pos", "prev_v").collect())
+
+
+def test_two_level_carry_skips_empty_blocks(spark):
+    rows = [(1, p, float(p)) for p in (0, 1, 40, 41, 90, 300)]
+    d = spark.createDataFrame(rows, "video_id long, pos int, v double")
+    nx = blocked.next_in_order(d, ["video_id"], ["pos"], ["v"], blocked.pos_block("pos", 4), super_size=2)
+    assert sorted((r.pos, r.next_v) for r in nx.collect()) == [(0, 1.0), (1, 40.0), (40, 41.0), (41, 90.0),
+                                                                (90, 300.0), (300, None)]
+    rs = blocked.running_sum(d, ["video_id"], "pos", "v", "rs", block=blocked.pos_block("pos", 4), super_size=2)
+    assert sorted((r.pos, r.rs) for r in rs.collect()) == [(0, 0.0), (1, 1.0), (40, 41.0), (41, 82.0),
+                                                           (90, 172.0), (300, 472.0)]
