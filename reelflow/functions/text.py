@@ -38,8 +38,9 @@ def vtt_cue(start_clock, end_clock, text) -> Column:
 
 
 def file_stem(file_name) -> Column:
-    """``pathlib.Path(name).stem``: drop the last suffix (a leading dot is not one)."""
-    return F.regexp_extract(_c(file_name), r"^(.+?)(\.[^.]*)?$", 1)
+    """``pathlib.Path(name).stem``: drop the text from the last dot, unless that dot is first or last."""
+    n = _c(file_name)
+    return F.coalesce(F.nullif(F.regexp_extract(n, r"^(.+)\.[^.]+$", 1), F.lit("")), n)
 
 
 def video_name(file_name) -> Column:

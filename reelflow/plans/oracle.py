@@ -316,7 +316,8 @@ SELECT video_id, video_name, transcript_file, video_name || '.srt' AS srt_file,
        coalesce(num_segments, 0) AS num_segments, coalesce(num_sections, 0) AS num_sections,
        coalesce(num_images, 0) AS num_images
 FROM (SELECT video_id, transcript_file,
-             replace(regexp_extract(transcript_file, '^(.+?)(\\.[^.]*)?$', 1), '.aligned', '') AS video_name
+             replace(coalesce(nullif(regexp_extract(transcript_file, '^(.+)\\.[^.]+$', 1), ''), transcript_file),
+                     '.aligned', '') AS video_name
       FROM (SELECT DISTINCT video_id, 'conv_' || CAST(video_id AS VARCHAR) || '.aligned.json' AS transcript_file
             FROM segments) t) t
 LEFT JOIN (SELECT video_id, count(*) AS num_segments FROM segments GROUP BY video_id) a USING (video_id)

@@ -140,3 +140,13 @@ def test_raw_sections_keep_ill_typed_fields(spark):
     r = classify(df).first()
     assert r.status == "parsed" and r.sections[0].start_time is None
     assert '"1.5"' in r.sections_raw[0] and r.num_sections == 1
+
+
+@pytest.mark.parametrize("name", ["talk.aligned.json", "a.b.json", ".bashrc", "name.", "a.b.", "plain", "x.y"])
+def test_file_stem_matches_pathlib(spark, name):
+    import pathlib
+    p = pathlib.PurePath(name)
+    i = name.rfind(".")
+    expected = name[:i] if 0 < i < len(name) - 1 else name     # the classic suffix rule
+    assert one(spark, text.file_stem, name) == expected
+    assert expected == p.stem or name.endswith(".")               # pathlib agrees except newer trailing-dot rules
