@@ -58,19 +58,23 @@ def _vid(page_id):
     return F.concat(F.lit("vid_"), F.lpad((page_id % 100).cast("string"), 5, "0"))
 
 
+def request_url(page_id, url):
+    """The request URL of a page: one of seven URL forms (the page's own URL for the seventh)."""
+    vid = _vid(page_id)
+    k = page_id % 7
+    return (F.when(k == 0, F.concat(F.lit("https://www.youtube.com/shorts/"), vid, F.lit("?feature=share")))
+             .when(k == 1, F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=10")))
+             .when(k == 2, F.concat(F.lit("https://www.youtube.com/watch?v="), vid, F.lit("&t=10")))
+             .when(k == 3, F.concat(F.lit("https://www.youtube.com/embed?v="), vid))
+             .when(k == 4, F.concat(F.lit("https://youtube.com/shorts/"), vid))
+             .when(k == 5, F.lit("https://www.youtube.com/shorts/abcd"))
+             .otherwise(url))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL requests ``(request_id, url)`` in the seven URL forms."""
     p = table(spark, sf_dir, "pages", "page_id", "url")
-    vid = _vid(F.col("page_id"))
-    k = F.col("page_id") % 7
-    url = (F.when(k == 0, F.concat(F.lit("https://www.youtube.com/shorts/"), vid, F.lit("?feature=share")))
-            .when(k == 1, F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=10")))
-            .when(k == 2, F.concat(F.lit("https://www.youtube.com/watch?v="), vid, F.lit("&t=10")))
-            .when(k == 3, F.concat(F.lit("https://www.youtube.com/embed?v="), vid))
-            .when(k == 4, F.concat(F.lit("https://youtube.com/shorts/"), vid))
-            .when(k == 5, F.lit("https://www.youtube.com/shorts/abcd"))
-            .otherwise(F.col("url")))
-    return p.select(F.col("page_id").alias("request_id"), url.alias("url"))
+    return p.select(F.col("page_id").alias("request_id"), request_url(F.col("page_id"), F.col("url")).alias("url"))
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from reelflow.functions import text, urls
 from reelflow.session import scratch_path
+from reelflow.sources.views import request_url
 
 CONVERSATIONS = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
@@ -67,15 +68,7 @@ def transcript_rows(stream: DataFrame) -> DataFrame:
 
 def request_stream(stream: DataFrame) -> DataFrame:
     """URL requests with an event time, canonicalised (the same seven URL forms as the batch view)."""
-    vid = F.concat(F.lit("vid_"), F.lpad((F.col("page_id") % 100).cast("string"), 5, "0"))
-    k = F.col("page_id") % 7
-    url = (F.when(k == 0, F.concat(F.lit("https://www.youtube.com/shorts/"), vid, F.lit("?feature=share")))
-            .when(k == 1, F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=10")))
-            .when(k == 2, F.concat(F.lit("https://www.youtube.com/watch?v="), vid, F.lit("&t=10")))
-            .when(k == 3, F.concat(F.lit("https://www.youtube.com/embed?v="), vid))
-            .when(k == 4, F.concat(F.lit("https://youtube.com/shorts/"), vid))
-            .when(k == 5, F.lit("https://www.youtube.com/shorts/abcd"))
-            .otherwise(F.col("url")))
+    url = request_url(F.col("page_id"), F.col("url"))
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit(REQUEST_EPOCH)) + F.col("page_id"))
     return stream.select(F.col("page_id").alias("request_id"), url.alias("url"), ts.alias("requested_at")) \
                  .withColumn("canonical_url", urls.canonical_url("url"))
