@@ -31,7 +31,7 @@ def _read_events(folder: str):
 def main(argv: list[str]) -> None:
     from pyspark.sql import functions as F
 
-    from reelflow.operators import intervals, prompts, timeline
+    from reelflow.operators import images, intervals, prompts, timeline
     from reelflow.session import build_session
 
     hot_rows = int(argv[0]) if argv else 200_000
@@ -56,8 +56,16 @@ def main(argv: list[str]) -> None:
     frames = (segs.filter(F.col("pos") % 7 == 3)
                   .select("video_id", F.col("pos").alias("section_index"), F.col("start_s").alias("timestamp"),
                           F.lit("f").alias("frame_file")))
+    secs = (segs.filter(F.col("pos") % 3 == 0)
+                .select("video_id", (F.col("pos") / 3).cast("int").alias("section_index"),
+                        F.col("start_s").alias("start_time"), (F.col("start_s") + 5.0).alias("end_time")))
+    results = secs.select("video_id", "section_index", F.col("start_time").alias("timestamp_s"),
+                          F.lit("diffusers").alias("backend"),
+                          F.when(F.col("section_index") % 5 == 0, 429).otherwise(200).alias("status_code"))
     runs = {
         "timeline_text": timeline.timeline_text(segs),
+        "section_segments": intervals.section_segments(secs, segs),
+        "image_progress": images.progress(secs, results),
         "rule_sections": prompts.rule_sections(segs),
         "frame_asof": intervals.frame_at(segs.select("video_id", "pos", "start_s"),
                                          intervals.frame_intervals(frames), "start_s"),
@@ -79,7 +87,7 @@ def main(argv: list[str]) -> None:
     for s, recs in sorted(tasks.items()):
         total = sum(recs)
         if group.get(s) in runs and total:
-            print(f"{group[s]:14s} stage {s:3d}  shuffled records {total:8d}  largest task {max(recs):7d} "
+            print(f"{group[s]:16s} stage {s:3d}  shuffled records {total:8d}  largest task {max(recs):7d} "
                   f"({max(recs) / total:.0%})")
 
 
