@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelflow.functions import text, urls
+from reelflow.operators.timeline import explode_segments
+from reelflow.schemas import ALIGNED_TRANSCRIPT
 from reelflow.session import scratch_path
 from reelflow.sources.views import request_url
 
@@ -60,6 +62,18 @@ def run_available(df: DataFrame, name: str, sink: str | None = None, checkpoint:
     return spark.read.schema(df.schema).parquet(sink)
 
 
+def transcript_documents(spark: SparkSession, folder: str, glob: str = "*.aligned.json") -> DataFrame:
+    """STM-1 over the original document format: aligned-transcript JSON files, each read once.
+
+    Returns a stream of segment rows ``(video_id, pos, start_s, end_s, text)``
+    keyed by the file's video name, with the same defaults as the batch reader.
+    """
+    docs = (spark.readStream.schema(ALIGNED_TRANSCRIPT).option("multiLine", "true")
+                 .option("pathGlobFilter", glob).json(folder)
+                 .select(text.video_name(F.col("_metadata.file_name")).alias("video_id"), "language", "segments"))
+    return explode_segments(docs)
+
+
 def transcript_rows(stream: DataFrame) -> DataFrame:
     """STM-1 body: conversation turns → cleaned transcript rows (stateless, per row)."""
     return stream.select(F.col("conv_id").alias("video_id"), F.col("turn").cast("int").alias("pos"), "role",
