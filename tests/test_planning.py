@@ -93,3 +93,17 @@ def test_transcript_artefacts(spark):
     assert got == {"aligned_json": "outputs/talk.v2.aligned.json", "srt": "outputs/talk.v2.srt",
                    "vtt": "outputs/talk.v2.vtt", "clips_csv": "outputs/talk.v2.clips.csv",
                    "wav": "outputs/talk.v2_16k.wav"}
+
+
+def test_unsupported_backends_are_quarantined(spark):
+    from reelflow.operators import quality
+    resp = spark.createDataFrame([(1, "openai"), (2, "gemini"), (3, None)], "video_id long, backend string")
+    res = spark.createDataFrame([(1, 0, "stability", 200), (1, 1, "midjourney", 500)],
+                                "video_id long, section_index int, backend string, status_code int")
+    segs = spark.createDataFrame([(1, 0, 0.0, 1.0, "x")], "video_id long, pos int, start_s double, end_s double, "
+                                                           "text string")
+    q = sorted((r.source, r.record_key, r.reason) for r in quality.quarantine(segs, resp, res).collect())
+    assert q == [("image_results", "1:1", "http status 500"),
+                 ("image_results", "1:1", "unsupported backend: midjourney"),
+                 ("llm_responses", "2", "unsupported backend: gemini"),
+                 ("llm_responses", "3", "unsupported backend: NULL")]
