@@ -150,3 +150,23 @@ def test_file_stem_matches_pathlib(spark, name):
     expected = name[:i] if 0 < i < len(name) - 1 else name     # the classic suffix rule
     assert one(spark, text.file_stem, name) == expected
     assert expected == p.stem or name.endswith(".")               # pathlib agrees except newer trailing-dot rules
+
+
+def _segs(spark, rows):
+    return spark.createDataFrame([(1, i, s, e, t) for i, (s, e, t) in enumerate(rows)],
+                                 "video_id long, pos int, start_s double, end_s double, text string")
+
+
+def test_srt_and_vtt_literal_documents(spark):
+    from reelflow.operators import captions
+    one = _segs(spark, [(0.0, 2.5, " Hello world ")])
+    assert captions.srt_body(one).first().body == "1\n00:00:00,000 --> 00:00:02,500\nHello world\n\n"
+    two = _segs(spark, [(0.0, 2.5, "First"), (3.0, 5.5, "Second")])
+    assert captions.srt_body(two).first().body == (
+        "1\n00:00:00,000 --> 00:00:02,500\nFirst\n\n2\n00:00:03,000 --> 00:00:05,500\nSecond\n\n")
+    assert captions.vtt_body(two).first().body == (
+        "WEBVTT\n\n00:00:00.000 --> 00:00:02.500\nFirst\n\n00:00:03.000 --> 00:00:05.500\nSecond\n\n")
+    empty = _segs(spark, [(0.0, 1.0, "x")]).filter("pos < 0")
+    vids = spark.createDataFrame([(1,)], "video_id long")
+    assert captions.srt_body(empty, vids).first().body == ""
+    assert captions.vtt_body(empty, vids).first().body == "WEBVTT\n\n"
