@@ -225,15 +225,16 @@ def progress(secs: DataFrame, results: DataFrame) -> DataFrame:
 def frame_collisions(secs: DataFrame, results: DataFrame) -> DataFrame:
     """WIN-5: sections whose frames share a file name (same millisecond); the later section wins.
 
-    Counts and winners come from a grouped aggregate on ``(video_id, frame_file)``
-    joined back, so a crowded file name is still a partial aggregate.
+    A position-blocked running count inside ``(video, file name)`` gives each
+    image its rank, and the group size travels on the per-block table: the
+    winner is the image whose rank equals the size. No join on the file name,
+    so even one crowded name (every section missing its start) stays spread.
     """
     rec = image_records(secs, results).select("video_id", "section_index", "frame_file")
-    g = rec.groupBy("video_id", "frame_file").agg(F.count(F.lit(1)).alias("n_same_file"),
-                                                  F.max("section_index").alias("_winner"))
-    d = join_on(rec, g, ["video_id", "frame_file"])
+    d = running_sum(rec, ["video_id", "frame_file"], "section_index", F.lit(1).cast("bigint"), "_rank",
+                    key_totals={"n_same_file": F.lit(1).cast("bigint")})
     return d.select("video_id", "section_index", "frame_file", "n_same_file",
-                    (F.col("section_index") == F.col("_winner")).alias("is_winner"))
+                    (F.col("_rank") == F.col("n_same_file")).alias("is_winner"))
 
 
 def preview(secs: DataFrame, n: int = 3) -> DataFrame:

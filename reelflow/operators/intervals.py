@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.operators.blocked import TIME_BLOCK_S, join_on, next_in_order, time_block
+from reelflow.operators.blocked import TIME_BLOCK_S, join_on, next_in_order, pos_block, time_block
 from reelflow.operators.ordered import ordered_concat
 
 
@@ -60,10 +60,22 @@ def frame_intervals(frames: DataFrame, width: float = TIME_BLOCK_S) -> DataFrame
 
     ``frames`` has ``(video_id, section_index, timestamp, frame_file)``; ties on
     time are ordered by section index. ``until`` is NULL for the last frame.
+    Equal times are handled apart, so a pile of frames at one time (e.g. every
+    section missing its start) does not gather in one task: the next frame at
+    the same time is a position-blocked ``lead`` inside ``(video, time)``; only
+    the last frame of each time takes the first frame of the next distinct
+    time, found on a one-row-per-time table with a time-blocked ``lead``.
     """
-    d = next_in_order(frames, ["video_id"], ["timestamp", "section_index"], ["timestamp"],
-                      time_block("timestamp", width))
-    return d.withColumnRenamed("next_timestamp", "until")
+    same = next_in_order(frames, ["video_id", "timestamp"], ["section_index"], ["section_index"],
+                         pos_block("section_index"))
+    within = same.filter(F.col("next_section_index").isNotNull()).withColumn("until", F.col("timestamp"))
+    times = frames.groupBy("video_id", "timestamp").agg(F.min("section_index").alias("_first"))
+    nxt = next_in_order(times, ["video_id"], ["timestamp"], ["timestamp"], time_block("timestamp", width))
+    last = join_on(same.filter(F.col("next_section_index").isNull()),
+                   nxt.select("video_id", "timestamp", F.col("next_timestamp").alias("until")),
+                   ["video_id", "timestamp"], "left")
+    cols = [c for c in frames.columns] + ["until"]
+    return within.select(cols).unionByName(last.select(cols))
 
 
 def frame_at(points: DataFrame, intervals: DataFrame, point: str, width: float = TIME_BLOCK_S) -> DataFrame:

@@ -127,3 +127,25 @@ def test_hot_video_range_join(spark):
         n = sum(1 for g in seg_rows if g.video_id == s.video_id and g.start_s < s.end_time and g.end_s > s.start_time)
         assert got[(s.video_id, s.section_index)] == n
     assert math.isfinite(len(got))
+
+
+def test_frames_with_equal_times(spark):
+    """Most frames at 0 s (sections without start times) plus a few later ones: same results as plain windows."""
+    from pyspark.sql import Window
+    rows = [(1, i, 0.0, f"frame_00000000.png") for i in range(300)]
+    rows += [(1, 300 + i, 5.0 * (i + 1), f"frame_{5000 * (i + 1):08d}.png") for i in range(20)]
+    rows += [(2, 0, 3.0, "frame_00003000.png"), (2, 1, 3.0, "frame_00003000.png"), (2, 2, 1.0, "frame_00001000.png")]
+    frames = spark.createDataFrame(rows, "video_id long, section_index int, timestamp double, frame_file string")
+    got = {(r.video_id, r.section_index): r.until for r in intervals.frame_intervals(frames).collect()}
+    w = Window.partitionBy("video_id").orderBy("timestamp", "section_index")
+    want = {(r.video_id, r.section_index): r.u
+            for r in frames.withColumn("u", F.lead("timestamp").over(w)).collect()}
+    assert got == want
+    secs = frames.select("video_id", "section_index", F.col("timestamp").alias("start_time"),
+                         F.lit("p").alias("image_prompt"), F.lit("").alias("visual_style"))
+    res = frames.select("video_id", "section_index", F.col("timestamp").alias("timestamp_s"),
+                        F.lit("diffusers").alias("backend"), F.lit(200).alias("status_code"))
+    col = {(r.video_id, r.section_index): (r.n_same_file, r.is_winner)
+           for r in images.frame_collisions(secs, res).collect()}
+    assert col[(1, 0)] == (300, False) and col[(1, 299)] == (300, True) and col[(1, 300)] == (1, True)
+    assert col[(2, 0)] == (2, False) and col[(2, 1)] == (2, True) and col[(2, 2)] == (1, True)
