@@ -86,7 +86,9 @@ def frame_at(points: DataFrame, intervals: DataFrame, point: str, width: float =
     number of buckets. Points before the first frame get NULLs (left join).
     """
     last_point = points.groupBy("video_id").agg(F.max(point).alias("_last"))
-    closed = intervals.filter(F.col("until").isNotNull()).withColumn("_end", F.col("until"))
+    # an empty interval (the next frame has the same time) can never hold a point: drop it before
+    # exploding, so a pile of frames at one time adds no join candidates
+    closed = intervals.filter(F.col("until") > F.col("timestamp")).withColumn("_end", F.col("until"))
     # only each video's open last interval needs the video's last point: one row per video joins
     open_last = (join_on(intervals.filter(F.col("until").isNull()), last_point, ["video_id"], "left")
                  .withColumn("_end", F.greatest("_last", "timestamp")).drop("_last"))

@@ -149,3 +149,13 @@ def test_frames_with_equal_times(spark):
            for r in images.frame_collisions(secs, res).collect()}
     assert col[(1, 0)] == (300, False) and col[(1, 299)] == (300, True) and col[(1, 300)] == (1, True)
     assert col[(2, 0)] == (2, False) and col[(2, 1)] == (2, True) and col[(2, 2)] == (1, True)
+
+
+def test_asof_with_frames_at_equal_times(spark):
+    rows = [(1, i, 0.0, "f0") for i in range(50)] + [(1, 50, 10.0, "f10")]
+    frames = spark.createDataFrame(rows, "video_id long, section_index int, timestamp double, frame_file string")
+    pts = spark.createDataFrame([(1, p, float(t)) for p, t in enumerate([0.0, 5.0, 10.0, 12.0])],
+                                "video_id long, pos int, start_s double")
+    got = {r.pos: r.frame_section_index for r in
+           intervals.frame_at(pts, intervals.frame_intervals(frames), "start_s").collect()}
+    assert got == {0: 49, 1: 49, 2: 50, 3: 50}      # the later section at a shared time is the one on screen
