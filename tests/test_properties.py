@@ -148,3 +148,38 @@ ANSWER = st.lists(PIECES, max_size=10).map("".join)
 def test_answer_extraction_property(spark, cs):
     assert _eval(spark, cs, "string", jsonx.fenced_json) == [py_fenced(c) for c in cs]
     assert _eval(spark, cs, "string", jsonx.outer_object) == [py_greedy(c) for c in cs]
+
+
+# ------------------------------------------------------------------ blocked helpers
+VIDEOS = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40)), min_size=1, max_size=4)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(VIDEOS, st.integers(1, 6), st.integers(1, 3), st.randoms(use_true_random=False))
+def test_blocked_helpers_property(spark, videos, block, super_size, rnd):
+    from pyspark.sql import Window
+    from reelflow.operators import blocked
+    rows, seen = [], set()
+    for vid, n in videos:
+        if vid in seen:
+            continue
+        seen.add(vid)
+        rows += [(vid, p, float(rnd.randint(-5, 5)), float(rnd.randint(0, 3))) for p in range(n)]
+    if not rows:
+        return
+    d = spark.createDataFrame(rows, "video_id long, pos int, v double, t double")
+    b = blocked.pos_block("pos", block)
+    rs = blocked.running_sum(d, ["video_id"], "pos", "v", "rs", block=b, key_totals={"tot": F.col("v")},
+                             super_size=super_size)
+    nx = blocked.next_in_order(d, ["video_id"], ["t", "pos"], ["pos"], blocked.time_block("t", 2.0),
+                               super_size=super_size)
+    pv = blocked.prev_in_order(d, ["video_id"], ["pos"], ["v"], b, super_size=super_size)
+    w = Window.partitionBy("video_id").orderBy("pos")
+    want = (d.withColumn("rs", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("tot", F.sum("v").over(Window.partitionBy("video_id")))
+             .withColumn("next_pos", F.lead("pos").over(Window.partitionBy("video_id").orderBy("t", "pos")))
+             .withColumn("prev_v", F.lag("v").over(w)))
+    key = ["video_id", "pos"]
+    assert sorted(rs.select(*key, "rs", "tot").collect()) == sorted(want.select(*key, "rs", "tot").collect())
+    assert sorted(nx.select(*key, "next_pos").collect()) == sorted(want.select(*key, "next_pos").collect())
+    assert sorted(pv.select(*key, "prev_v").collect()) == sorted(want.select(*key, "prev_v").collect())
