@@ -79,8 +79,13 @@ def model_plan(spark: SparkSession, batches: DataFrame, requests: DataFrame,
                .withColumn("size_text", clock.size_text("size_gb"))
     if present is None:
         present = spark.range(0).select(F.lit(None).cast("string").alias("key"))
-    have = present.select(F.col("key").alias("cache_dir")).distinct().withColumn("_present", F.lit(True))
-    rows = rows.join(have, "cache_dir", "left")
+    # only catalogue folders can match, so the present set is cut to at most the catalogue's 5 rows
+    # first: a proven bound, which makes it safe to broadcast (the request side is never shuffled on
+    # a popular model's folder)
+    cat_dirs = cat.select(text.cache_dir_name("repo").alias("cache_dir"))
+    have = (present.select(F.col("key").alias("cache_dir")).join(F.broadcast(cat_dirs), "cache_dir", "left_semi")
+                   .distinct().withColumn("_present", F.lit(True)))
+    rows = rows.join(F.broadcast(have), "cache_dir", "left")
     action = (F.when(F.col("repo").isNull(), "invalid")
                .when(F.coalesce("_present", F.lit(False)) & ~F.col("force"), "skip_existing")
                .otherwise("download"))

@@ -43,8 +43,9 @@ def test_running_sums_and_lead_are_blocked(spark):
 
 
 def test_explicit_broadcasts_are_fixed_size_tables(spark):
-    # only the 5-row model catalogue and the 3-row price list carry a broadcast hint
+    # only the 5-row model catalogue (and the present folders cut to it) and the 3-row price list
+    # carry a broadcast hint
     import inspect
     from reelflow.operators import images, planning
     src = inspect.getsource(planning) + inspect.getsource(images)
-    assert re.findall(r"F\.broadcast\((\w+)", src) == ["cat", "prices"]
+    assert re.findall(r"F\.broadcast\((\w+)", src) == ["cat", "cat_dirs", "have", "prices"]
