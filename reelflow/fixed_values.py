@@ -65,9 +65,14 @@ DEFAULT_VIDEO_NAME = "video"
 
 # Documented unit prices per image (USD; low end for the hosted diffusion API).
 IMAGE_UNIT_PRICE = [("diffusers", "0.0000"), ("openai", "0.0400"), ("stability", "0.0040")]
+
+# Canonical watch address and the pattern of an id in a shorts address.
+WATCH_PREFIX = "https://www.youtube.com/watch?v="
+SHORTS_PATTERN = r"(?:youtube\.com|youtu\.be)/shorts/([A-Za-z0-9_-]{5,})"
 # ----------------------------------------------------------- END FIXED VALUES
 
 # Our own request template (not the original instruction prose).
+REQUEST_SYSTEM = "You turn timed transcripts into scenes for illustration. Answer with JSON only."
 REQUEST_TEMPLATE_HEAD = (
     "Split the timed transcript below into scenes. For every scene return start_time, end_time, "
     "transcript_text, image_prompt, sentiment, scene_description and visual_style as a JSON object "

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelflow import fixed_values as FV
 from reelflow.functions.bind import let
 from reelflow.functions.text import py_strip
 from reelflow.schemas import SECTION_DDL
 
 
 STRICT = {"allowSingleQuotes": "false"}
+NOT_AN_OBJECT = "item is not an object"
 
 
 def _c(x) -> Column:
@@ -80,28 +82,40 @@ def has_key(text, key: str) -> Column:
 
 
 def sections_kind(text) -> Column:
-    """Kind of the ``sections`` value of an object: ``array`` / ``null`` / ``other``."""
-    raw = F.get_json_object(_c(text), "$.sections")
-    return (F.when(raw.isNull(), "null")
-             .when(F.substring(py_strip(raw), 1, 1) == "[", "array")
+    """Kind of the ``sections`` value of an object: ``array`` / ``null`` / ``other``.
+
+    Decided on the JSON itself: a string that holds a list in text is ``other``.
+    """
+    t = _c(text)
+    listed = F.from_json(t, "sections ARRAY<STRING>", STRICT).getField("sections")
+    return (F.when(listed.isNotNull(), "array")
+             .when(F.get_json_object(t, "$.sections").isNull(), "null")
              .otherwise("other"))
 
 
-def sections_from_object(text) -> Column:
-    """JSN-5: typed sections of ``{"sections": [...]}``."""
-    return F.from_json(_c(text), f"sections ARRAY<STRUCT<{SECTION_DDL}>>").getField("sections")
+def _items(text, kind, item: str) -> Column:
+    t = _c(text)
+    return F.when(kind == "object", F.from_json(t, f"sections ARRAY<{item}>", STRICT).getField("sections")).otherwise(
+        F.from_json(t, f"ARRAY<{item}>", STRICT))
+
+
+def raw_sections(text, kind) -> Column:
+    """Each item of the list as its original JSON text (strings unquoted); NULL for a JSON null."""
+    return _items(text, kind, "STRING")
 
 
-def sections_from_array(text) -> Column:
-    """JSN-5: typed sections of a top-level array."""
-    return F.from_json(_c(text), f"ARRAY<STRUCT<{SECTION_DDL}>>")
+def typed_sections(text, kind) -> Column:
+    """JSN-5: the list item by item: the typed fields and ``reason``, which says why an item has none.
 
+    Every item is typed alone, so an item that is no object costs no other item its fields.
+    """
+    def typed(raw: Column, value: Column) -> Column:
+        is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+        fields = F.from_json(F.when(is_object, raw), f"STRUCT<{SECTION_DDL}>")
+        return F.struct(*[fields.getField(f).alias(f) for f in FV.SECTION_FIELDS],
+                        F.when(~is_object, F.lit(NOT_AN_OBJECT)).alias("reason"))
 
-def raw_sections(text, kind) -> Column:
-    """Each section as its original JSON text (kept beside the typed struct: ``"1.5"`` stays visible)."""
-    t = _c(text)
-    arr = F.when(kind == "object", F.get_json_object(t, "$.sections")).otherwise(t)
-    return F.from_json(arr, "array<string>", STRICT)
+    return F.zip_with(_items(text, kind, "STRING"), _items(text, kind, "VARIANT"), typed)
 
 
 def decode_base64(b64) -> Column:

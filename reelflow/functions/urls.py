@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WATCH_PREFIX = "https://www.youtube.com/watch?v="
-SHORTS_PATTERN = r"(?:youtube\.com|youtu\.be)/shorts/([A-Za-z0-9_-]{5,})"
+from reelflow.fixed_values import SHORTS_PATTERN, WATCH_PREFIX
+
 NETLOC_PATTERN = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 PATH_PATTERN = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 QUERY_PATTERN = r"^[^#?]*\?([^#]*)"
-V_PARAM_PATTERN = r"(?:^|&)v=([^&]+)"
+V_PARAM_PATTERN = r"(?:^|&)(?:v|%76)=([^&]+)"
+STRAY_PERCENT = r"%(?![0-9A-Fa-f]{2})"
 
 
 def _c(x) -> Column:
@@ -39,9 +40,13 @@ def short_host_id(url) -> Column:
 
 
 def v_param(url) -> Column:
-    """URL-4: first non-blank ``v`` query value, percent-decoded."""
+    """URL-4: first non-blank ``v`` query value, percent-decoded; a stray ``%`` stays as it is.
+
+    The key may itself be percent-encoded.
+    """
     raw = F.regexp_extract(F.regexp_extract(_c(url), QUERY_PATTERN, 1), V_PARAM_PATTERN, 1)
-    return F.try_url_decode(F.nullif(raw, F.lit("")))
+    whole = F.regexp_replace(raw, STRAY_PERCENT, "%25")
+    return F.coalesce(F.try_url_decode(F.nullif(whole, F.lit(""))), F.nullif(raw, F.lit("")))
 
 
 def canonical_url(url) -> Column:

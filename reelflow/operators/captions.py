@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.functions import clock, text
-from reelflow.operators.blocked import join_on
+from reelflow.operators.blocked import join_on, running_sum
 from reelflow.operators.ordered import ordered_concat
 
 VTT_HEADER = "WEBVTT\n\n"
 
 
-def cue_index():
-    """WIN-1: 1-based cue number. ``pos`` is the dense list position, so no window is needed."""
-    return (F.col("pos") + 1).cast("int")
+def numbered(segs: DataFrame) -> DataFrame:
+    """WIN-1: ``segs`` with the 1-based ``cue_index`` by position; positions may have gaps or start anywhere."""
+    d = running_sum(segs, ["video_id"], "pos", F.lit(1).cast("bigint"), "cue_index")
+    return d.withColumn("cue_index", F.col("cue_index").cast("int"))
 
 
 def srt_cues(segs: DataFrame) -> DataFrame:
     """One SRT cue per segment: ``(video_id, pos, cue_index, start_clock, end_clock, text, cue)``."""
-    return segs.select(
-        "video_id", "pos", cue_index().alias("cue_index"),
+    return numbered(segs).select(
+        "video_id", "pos", "cue_index",
         clock.srt_clock("start_s").alias("start_clock"), clock.srt_clock("end_s").alias("end_clock"),
         text.py_strip("text").alias("text"),
     ).withColumn("cue", text.srt_cue("cue_index", "start_clock", "end_clock", "text"))

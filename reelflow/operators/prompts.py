@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, text
-from reelflow.operators.blocked import join_on, running_sum
+from reelflow.operators.blocked import join_on, pos_block, prev_in_order, running_sum
 from reelflow.operators.ordered import ordered_concat
 from reelflow.operators.timeline import timeline_text
 
@@ -22,11 +22,15 @@ def payload(backend: Column, model: Column, prompt: Column, temperature: Column,
     """JSN-6: the request body each backend expects, serialised (nulls kept)."""
     opts = {"ignoreNullFields": "false"}
     user = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
-    openai = F.to_json(F.struct(model.alias("model"), user.alias("messages"), temperature.alias("temperature"),
+    system = F.lit(FV.REQUEST_SYSTEM)
+    both = F.array(F.struct(F.lit("system").alias("role"), system.alias("content")),
+                   F.struct(F.lit("user").alias("role"), prompt.alias("content")))
+    openai = F.to_json(F.struct(model.alias("model"), both.alias("messages"), temperature.alias("temperature"),
                                 max_tokens.alias("max_tokens"),
                                 F.struct(F.lit("json_object").alias("type")).alias("response_format")), opts)
     anthropic = F.to_json(F.struct(model.alias("model"), max_tokens.alias("max_tokens"),
-                                   temperature.alias("temperature"), user.alias("messages")), opts)
+                                   temperature.alias("temperature"), system.alias("system"),
+                                   user.alias("messages")), opts)
     ollama = F.to_json(F.struct(model.alias("model"), prompt.alias("prompt"), temperature.alias("temperature"),
                                 F.lit(False).alias("stream")), opts)
     return F.when(backend == "openai", openai).when(backend == "anthropic", anthropic).otherwise(ollama)
@@ -61,20 +65,33 @@ def llm_requests(segs: DataFrame, languages: DataFrame | None = None, forced_lan
     return d.select("video_id", "backend", "model", "language", "temperature", "max_tokens", "prompt", "payload")
 
 
-def rule_sections(segs: DataFrame, pause_s: float = 1.0) -> DataFrame:
+def rule_sections(segs: DataFrame, pause_s: float = 1.0, max_chars: int | None = None) -> DataFrame:
     """WIN-6: a new section starts at the first segment and after every pause longer than ``pause_s``.
 
-    The previous segment is found by an equi join on ``pos - 1`` (``pos`` is
-    dense; the join spreads a long video over all partitions) and section
-    numbers are a blocked running sum, so no window holds a whole video. (A
-    blocked ``lag`` was measured to shuffle ~40% more rows here, because its
-    intermediate feeds several branches.) Per section: first start, last end,
-    segment count and the texts joined by one space.
+    The previous segment is the one before it by position, found by a blocked
+    ``lag``, so gaps in the positions split nothing; section numbers are a
+    blocked running sum, so no window holds a whole video. With ``max_chars``, a
+    section also ends when the next segment would take the characters of its
+    texts, counted from the start of its pause-free stretch, into the next
+    multiple of the budget: a running sum again, and a hot pause-free video
+    makes many bounded sections. Per section: first start, last end, segment
+    count and the texts joined by one space.
     """
-    prev = segs.select("video_id", (F.col("pos") + 1).alias("pos"), F.col("end_s").alias("_prev_end"))
-    d = segs.join(prev, ["video_id", "pos"], "left")
-    is_new = F.when(F.col("_prev_end").isNull() | (F.col("start_s") - F.col("_prev_end") > pause_s), 1).otherwise(0)
-    d = running_sum(d.withColumn("_new", is_new), ["video_id"], "pos", "_new", "_sec")
+    d = prev_in_order(segs, ["video_id"], ["pos"], ["pos", "end_s"], pos_block("pos"))
+    paused = F.coalesce(F.col("start_s") - F.col("prev_end_s") > pause_s, F.lit(False))
+    is_new = F.when(F.col("prev_pos").isNull() | F.col("prev_end_s").isNull() | paused, 1).otherwise(0)
+    d = running_sum(d.withColumn("_new", is_new), ["video_id"], "pos", "_new", "_stretch")
+    keys = ["video_id", "_stretch"]
+    if max_chars is not None:
+        size = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
+        d = running_sum(d.withColumn("_size", size), keys, "pos", "_size", "_chars")
+        d = d.withColumn("_part", F.floor((F.col("_chars") - F.col("_size")) / F.lit(max_chars)))
+        d = prev_in_order(d, keys, ["pos"], ["_part"], pos_block("pos"), prefix="_before")
+        again = F.coalesce(F.col("_part") > F.col("_before_part"), F.lit(False))
+        d = d.withColumn("_new", F.when((F.col("_new") == 1) | again, 1).otherwise(0))
+        d = running_sum(d, ["video_id"], "pos", "_new", "_sec")
+    else:
+        d = d.withColumn("_sec", F.col("_stretch"))
     d = d.withColumn("section_index", (F.col("_sec") - 1).cast("int"))
     return ordered_concat(d, ["video_id", "section_index"], "pos", F.coalesce("text", F.lit("")), " ",
                           "transcript_text", count_as="num_segments", firsts={"start_time": "start_s"},

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, jsonx, text
 from reelflow.functions.bind import let
-from reelflow.operators.blocked import join_on
+from reelflow.operators.blocked import join_on, running_sum
 from reelflow.operators.ordered import ordered_concat
+from reelflow.sources.stage import written
 
 SECTION_COLS = FV.SECTION_FIELDS
 
@@ -41,11 +42,10 @@ def _classify_text(backend: Column, t: Column) -> Column:
 
     def build(f: Column) -> Column:
         status = decide(f)
-        sections = (F.when(status != "parsed", F.lit(None))
-                     .when(f["kind"] == "object", jsonx.sections_from_object(t))
-                     .otherwise(jsonx.sections_from_array(t)))
+        sections = F.when(status == "parsed", jsonx.typed_sections(t, f["kind"]))
         raw = F.when(status == "parsed", jsonx.raw_sections(t, f["kind"]))
-        return F.struct(status.alias("status"), sections.alias("sections"), raw.alias("sections_raw"))
+        reason = F.when(status == "error", F.when(f["skind"] == "null", "sections is null").otherwise("sections is not a list"))
+        return F.struct(status.alias("status"), sections.alias("sections"), raw.alias("sections_raw"), reason.alias("reason"))
 
     return let(facts, build)
 
@@ -53,15 +53,16 @@ def _classify_text(backend: Column, t: Column) -> Column:
 def classify(responses: DataFrame) -> DataFrame:
     """JSN-3/4/5: strict parse and shape dispatch; one row per answer.
 
-    Adds ``status``, ``sections`` (typed array, NULL unless parsed),
-    ``sections_raw`` (each section's JSON text, so ill-typed fields stay
-    visible) and ``num_sections``.
+    Adds ``status``, ``sections`` (typed array, NULL unless parsed; an item that
+    is no object has NULL fields and a ``reason``), ``sections_raw`` (each
+    section's JSON text, so ill-typed fields stay visible), ``num_sections`` and
+    ``reason`` (why an answer is in ``error``).
     """
     d = extract(responses)
     d = d.withColumn("_c", let(F.col("extracted"), lambda t: _classify_text(F.col("backend"), t)))
     status, sections = F.col("_c.status"), F.col("_c.sections")
     d = d.withColumns({
-        "status": status, "sections": sections, "sections_raw": F.col("_c.sections_raw"),
+        "status": status, "sections": sections, "sections_raw": F.col("_c.sections_raw"), "reason": F.col("_c.reason"),
         "num_sections": F.when(status == "parsed", F.size(sections))
                          .when(status == "fallback", F.lit(1)).otherwise(F.lit(0)),
     })
@@ -73,15 +74,17 @@ def fallback_stats(segs: DataFrame, videos: DataFrame) -> DataFrame:
 
     First ``start`` and last ``end`` by list order (``min_by``/``max_by`` —
     partial aggregates, safe for a hot video) and the segment texts joined by
-    one space. Segment ``k`` starts at character ≥ ``k`` of the joined text, so
-    only ``pos < 500`` can reach the 500-character cut — an exact bound, not a
-    sample. Videos without segments are absent (see :func:`fallback_columns`).
+    one space. The segment of rank ``k`` (by position, from 1) starts at
+    character ≥ ``k - 1`` of the joined text whatever the positions are, so only
+    the first ranks can reach the 500-character cut: an exact bound. Videos
+    without segments are absent (see :func:`fallback_columns`).
     """
-    s = segs.join(videos.select("video_id"), "video_id", "left_semi")
+    s = segs.join(videos.select("video_id").distinct(), "video_id", "left_semi")
     span = s.groupBy("video_id").agg(
         F.min_by(F.coalesce("start_s", F.lit(0.0)), "pos").alias("start_time"),
         F.max_by(F.coalesce("end_s", F.lit(0.0)), "pos").alias("end_time"))
-    head = ordered_concat(s.filter(F.col("pos") < FV.FALLBACK_TEXT_CHARS), ["video_id"], "pos",
+    ranked = running_sum(s.select("video_id", "pos", "text"), ["video_id"], "pos", F.lit(1).cast("bigint"), "_rank")
+    head = ordered_concat(ranked.filter(F.col("_rank") <= FV.FALLBACK_TEXT_CHARS), ["video_id"], "pos",
                           F.coalesce("text", F.lit("")), " ", "full_text")
     return join_on(span, head, ["video_id"], "left")
 
@@ -110,25 +113,27 @@ def fallback_sections(segs: DataFrame, videos: DataFrame) -> DataFrame:
 
 
 def parsed_sections(responses: DataFrame, segs: DataFrame) -> DataFrame:
-    """One row per section: ``(video_id, backend, model, status, section_index, <7 fields>)``.
-
-    One pass over the classified answers: each answer becomes an array of
-    sections (its parsed list, its one fallback section, or one all-NULL row
-    for ``error``) that is exploded with its index. Fallback text is only
-    aggregated for the videos that need it.
+    """One row per section: ``(video_id, backend, model, status, section_index, <7 fields>, reason)``.
+
+    Every answer yields at least one row: each item of its parsed list (an item
+    that is no object with NULL fields and a ``reason``), its one fallback
+    section, or one row without an index where the list is empty or the answer
+    is in ``error``, with the ``reason``. Answers are classified once, into a
+    table in the shared folder; fallback text is only aggregated for the videos
+    that need it.
     """
-    c = classify(responses).withColumn("model", defaults.llm_model("backend"))
+    c = written(classify(responses).withColumn("model", defaults.llm_model("backend"))
+                .select("video_id", "backend", "model", "status", "sections", "reason"), "classified-answers")
     stats = fallback_stats(segs, c.filter(F.col("status") == "fallback"))
     j = c.join(stats, "video_id", "left")
-    null_row = F.struct(*[F.lit(None).cast("double" if f.endswith("_time") else "string").alias(f)
-                          for f in SECTION_COLS])
-    rows = (F.when(F.col("status") == "parsed", F.col("sections"))
-             .when(F.col("status") == "fallback", F.array(F.struct(*fallback_columns())))
-             .otherwise(F.array(null_row)))
-    out = j.select("video_id", "backend", "model", "status", F.posexplode(rows).alias("section_index", "s"))
-    return out.select("video_id", "backend", "model", "status",
-                      F.when(F.col("status") != "error", F.col("section_index").cast("int")).alias("section_index"),
-                      *[F.col("s").getField(f).alias(f) for f in SECTION_COLS])
+    fallback = F.struct(*fallback_columns(), F.lit(None).cast("string").alias("reason"))
+    rows = F.when(F.col("status") == "fallback", F.array(fallback)).otherwise(F.col("sections"))
+    out = j.select("video_id", "backend", "model", "status", F.col("reason").alias("_reason"),
+                   F.posexplode_outer(rows).alias("section_index", "s"))
+    empty = F.when((F.col("status") == "parsed") & F.col("section_index").isNull(), F.lit("no sections"))
+    return out.select("video_id", "backend", "model", "status", F.col("section_index").cast("int").alias("section_index"),
+                      *[F.col("s").getField(f).alias(f) for f in SECTION_COLS],
+                      F.coalesce(F.col("_reason"), empty, F.col("s.reason")).alias("reason"))
 
 
 def backend_comparison(responses: DataFrame) -> DataFrame:
