@@ -131,3 +131,28 @@ def _neighbour(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
     d = d.join(carry, "_bk", "left").withColumn("_nb", F.coalesce("_nb", "_carry"))
     d = d.withColumns({prefix + c: F.col("_nb").getField(c) for c in cols})
     return d.drop("_bk", "_blk", "_carry", "_nb")
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, block: Column,
+                  super_size: int = SUPER_BLOCK) -> DataFrame:
+    """``df`` with ``value`` replaced by its last non-NULL value at or before the row, per ``keys`` in ``order``.
+
+    Inside a ``(key, block)`` a running ``last``; what enters a block from before
+    is the last value of the blocks before it, in two levels like the offsets of
+    :func:`running_sum`. Blocks come from rows, so empty stretches cost nothing.
+    """
+    d = df.withColumn("_blk", block).withColumn("_bk", _block_key(keys))
+    inside = Window.partitionBy("_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
+    edge = (d.groupBy("_bk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_edge"))
+             .withColumns({"_key": _key_only(keys), "_bno": F.col("_bk").getField("_blk")}))
+    t = _super(edge, super_size)
+    before = Window.partitionBy("_sk").orderBy("_bno").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_inner", F.last("_edge", ignorenulls=True).over(before))
+    se = (t.groupBy("_sk").agg(F.max_by("_edge", F.when(F.col("_edge").isNotNull(), F.col("_bno"))).alias("_sedge"))
+           .withColumns({"_key": F.col("_sk").getField("_key"), "_sb": F.col("_sk").getField("_sb")}))
+    outer = Window.partitionBy("_key").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    se = se.select("_sk", F.last("_sedge", ignorenulls=True).over(outer).alias("_outer"))
+    carry = t.join(se, "_sk", "left").select("_bk", F.coalesce("_inner", "_outer").alias("_carry"))
+    return (d.join(carry, "_bk", "left").withColumn(value, F.coalesce("_own", "_carry"))
+             .drop("_bk", "_blk", "_own", "_carry"))

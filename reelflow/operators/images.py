@@ -16,6 +16,11 @@ from reelflow.operators.ordered import ordered_collect, ordered_concat
 OUTPUT_ROOT = "generated_images"
 
 
+def section_keys(*frames: DataFrame) -> list[str]:
+    """What names a list of sections: the video, and the text backend and model where all ``frames`` carry them."""
+    return ["video_id", *[c for c in ("text_backend", "text_model") if all(c in f.columns for f in frames)]]
+
+
 def explode_sections(docs: DataFrame, key: str = "video_id") -> DataFrame:
     """SRC-8: one row per section of a prompts document, with its list index."""
     return (docs.select(key, F.posexplode(F.coalesce("sections", F.array())).alias("section_index", "s"))
@@ -90,7 +95,8 @@ def image_requests(secs: DataFrame, backend: Column | None = None, model: str |
                    negative_prompt: str | None = None, overrides: dict | None = None) -> DataFrame:
     """One generation request per section.
 
-    ``(video_id, section_index, start_time, backend, model, full_prompt, negative_prompt, frame_file, payload)``;
+    ``(video_id, section_index, start_time, backend, model, full_prompt, negative_prompt, frame_file, payload)``,
+    and the sections' ``text_backend`` and ``text_model`` where they have them;
     ``model`` (DEF-5), ``negative_prompt`` (DEF-3) and ``overrides`` (DEF-4) are call-time choices that
     replace the backend defaults.
     """
@@ -103,8 +109,8 @@ def image_requests(secs: DataFrame, backend: Column | None = None, model: str |
         "negative_prompt": defaults.negative_prompt("backend", neg_override),
         "frame_file": clock.frame_file(F.coalesce("start_time", F.lit(0.0)), extension(F.col("backend"), overrides)),
     })
-    return d.select("video_id", "section_index", "start_time", "backend", "model", "full_prompt", "negative_prompt",
-                    "frame_file",
+    return d.select(*section_keys(secs), "section_index", "start_time", "backend", "model", "full_prompt",
+                    "negative_prompt", "frame_file",
                     payload(F.col("backend"), F.col("model"), F.col("full_prompt"),
                             F.col("negative_prompt"), overrides).alias("payload"))
 
@@ -114,17 +120,19 @@ def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None
     """JOI-4 / FLT-4 / JSN-8: one record per successful image, one wide schema for every backend.
 
     The prompt and frame name follow the backend each result reports. Failed
-    sections leave gaps in ``section_index``.
+    sections leave gaps in ``section_index``. A result belongs to the section of
+    its own text backend and model, where both sides name them.
     """
+    keys = section_keys(secs, results)
     ok = results.filter(F.col("status_code") == 200)
-    sec = secs.select("video_id", "section_index", "start_time", "image_prompt", "visual_style")
-    j = ok.join(sec, ["video_id", "section_index"])
+    sec = secs.select(*keys, "section_index", "start_time", "image_prompt", "visual_style")
+    j = ok.join(sec, [*keys, "section_index"])
     name = text.video_label(j) if video_name is None else video_name
     revised = F.col("revised_prompt") if "revised_prompt" in j.columns else F.lit(None).cast("string")
     seed = F.col("seed") if "seed" in j.columns else F.lit(None)
     frame = clock.frame_file(F.coalesce("start_time", F.lit(0.0)), extension(F.col("backend"), overrides))
     return j.select(
-        "video_id", "section_index", "backend",
+        *keys, "section_index", "backend",
         F.concat_ws("/", F.lit(OUTPUT_ROOT), name, frame).alias("image_path"),
         F.coalesce("start_time", F.lit(0.0)).alias("timestamp"),
         full_prompt(F.col("backend"), F.col("image_prompt"), F.col("visual_style")).alias("prompt"),
@@ -136,29 +144,29 @@ def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None
 
 def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = None,
              default_backend: str = "diffusers", videos: DataFrame | None = None) -> DataFrame:
-    """AGG-8 / SNK-6: the nested manifest document per video (DM-16).
+    """AGG-8 / SNK-6: the nested manifest document (DM-16) per video, text backend and model, and image backend.
 
-    Every video with sections gets a manifest, also when all images failed;
-    with ``videos``, so does every listed video (e.g. a prompts document with
-    no sections). The ``images`` list is the document itself, sorted by
-    section index.
+    Every list of sections gets a manifest, also when all images failed; with
+    ``videos`` (the same key columns), so does every listed one (e.g. a prompts
+    document with no sections). The image backends are those that the results
+    report, the default where there are none. The ``images`` list is the
+    document itself, sorted by section index.
     """
     rec = image_records(secs, results)
-    per = ordered_collect(rec, ["video_id"], "section_index",
+    keys = section_keys(secs, results)
+    per = ordered_collect(rec, [*keys, "backend"], "section_index",
                           F.struct("image_path", "timestamp", "prompt", "section_index", "revised_prompt", "seed"),
                           "_imgs", sums={"num_images": F.lit(1).cast("bigint")})
-    # each video's backend is the one its results report (a partial aggregate); no results → the default
-    used = results.groupBy("video_id").agg(F.min("backend").alias("_b"))
-    listed = secs.select("video_id") if videos is None else secs.select("video_id").unionByName(
-        videos.select("video_id"))
-    vids = (join_on(listed.distinct(), used, ["video_id"], "left")
-            .select("video_id", F.coalesce("_b", F.lit(default_backend)).alias("backend")))
+    used = results.select(*keys, F.col("backend").alias("_b")).distinct()
+    listed = secs.select(*keys) if videos is None else secs.select(*keys).unionByName(videos.select(*keys))
+    vids = (join_on(listed.distinct(), used, keys, "left")
+            .select(*keys, F.coalesce("_b", F.lit(default_backend)).alias("backend")))
     name = text.video_label(vids)
     neg = defaults.negative_prompt("backend")
-    d = join_on(vids, per, ["video_id"], "left")
+    d = join_on(vids, per, [*keys, "backend"], "left")
     images = F.coalesce("_imgs", F.array().cast(per.schema["_imgs"].dataType))
     return d.select(
-        "video_id", name.alias("video_name"),
+        *keys, name.alias("video_name"),
         F.concat(name, F.lit("_prompts.json")).alias("prompts_file"),
         F.concat_ws("/", F.lit(OUTPUT_ROOT), name).alias("output_dir"),
         defaults.image_model("backend").alias("model"), "backend",
@@ -196,10 +204,10 @@ def payload_bytes(results: DataFrame) -> DataFrame:
 def cost(results: DataFrame, prices: DataFrame) -> DataFrame:
     """AGG-12: images × unit price per backend, in DECIMAL.
 
-    ``prices`` is one row per backend (a fixed handful), so it is broadcast.
+    Both sides have one row per backend after the aggregate; Spark picks the join.
     """
     n = results.filter(F.col("status_code") == 200).groupBy("backend").agg(F.count(F.lit(1)).alias("n_images"))
-    j = n.join(F.broadcast(prices), "backend", "left")
+    j = n.join(prices, "backend", "left")
     return j.select("backend", "n_images", F.col("unit_price").cast("decimal(10,4)").alias("unit_price"),
                     (F.col("n_images").cast("decimal(18,0)") * F.col("unit_price")).cast("decimal(18,4)")
                     .alias("total_cost"))
@@ -208,18 +216,18 @@ def cost(results: DataFrame, prices: DataFrame) -> DataFrame:
 def progress(secs: DataFrame, results: DataFrame) -> DataFrame:
     """WIN-2 / WIN-3: per attempted section, attempts and successes so far over the video total.
 
-    ``section_index`` is the dense 0-based list index, so the attempt count is
-    arithmetic; the success count is a blocked running sum and the video total
-    rides on the same per-block table, so rows are never gathered per video.
+    One blocked running sum counts attempts and successes together (attempts in
+    units of 2**31, so a video may have that many sections), and the video total
+    rides on the same per-block table: rows are never gathered per video, and
+    gaps in ``section_index`` count for nothing.
     """
     a = secs.select("video_id", "section_index").join(
         results.select("video_id", "section_index", "status_code"), ["video_id", "section_index"], "left")
-    a = a.withColumn("_ok", F.when(F.col("status_code") == 200, 1).otherwise(0))
-    d = running_sum(a, ["video_id"], "section_index", "_ok", "succeeded",
-                    key_totals={"total": F.lit(1).cast("bigint")})
-    return d.select("video_id", "section_index", (F.col("section_index") + 1).cast("bigint").alias("attempted"),
-                    "succeeded", "total",
-                    (100.0 * (F.col("section_index") + 1) / F.col("total")).alias("progress_pct"))
+    both = F.lit(1 << 31) + F.when(F.col("status_code") == 200, 1).otherwise(0)
+    d = running_sum(a, ["video_id"], "section_index", both, "_both", key_totals={"total": F.lit(1).cast("bigint")})
+    d = d.withColumns({"attempted": F.shiftright("_both", 31), "succeeded": F.col("_both") % F.lit(1 << 31)})
+    return d.select("video_id", "section_index", "attempted", "succeeded", "total",
+                    (100.0 * F.col("attempted") / F.col("total")).alias("progress_pct"))
 
 
 def frame_collisions(secs: DataFrame, results: DataFrame) -> DataFrame:
@@ -239,10 +247,10 @@ def frame_collisions(secs: DataFrame, results: DataFrame) -> DataFrame:
 
 def preview(secs: DataFrame, n: int = 3) -> DataFrame:
     """SRT-2 / SRT-3 / STR-11: the first ``n`` sections per video and how many more there are."""
-    cnt = secs.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
-    first = secs.filter(F.col("section_index") < n)
+    ranked = running_sum(secs, ["video_id"], "section_index", F.lit(1).cast("bigint"), "_rank",
+                         key_totals={"_n": F.lit(1).cast("bigint")})
+    d = ranked.filter(F.col("_rank") <= n)
     scene = F.col("scene_description") if "scene_description" in secs.columns else F.lit(None).cast("string")
-    d = join_on(first, cnt, ["video_id"])
     return d.select(
         "video_id", "section_index", (F.col("section_index") + 1).cast("int").alias("section_no"),
         clock.one_decimal(F.coalesce("start_time", F.lit(0.0))).alias("start_text"),

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from reelflow.session import ship_package
+
 TEXT_GENERATORS: dict[str, type] = {}
 IMAGE_GENERATORS: dict[str, type] = {}
 
@@ -49,9 +51,16 @@ def _lookup(registry: dict, name: str, kind: str) -> type:
     return registry[name]
 
 
-def generate_text(requests: DataFrame, generator: str, **options) -> DataFrame:
-    """UDF-1: run a text generator over ``(video_id, backend, model, prompt)`` rows."""
+def generate_text(requests: DataFrame, generator: str, num_partitions: int | None = None, **options) -> DataFrame:
+    """UDF-1: run a text generator over ``(video_id, backend, model, prompt)`` rows.
+
+    ``num_partitions`` deals the requests evenly over that many tasks before the
+    model is called, so that the number of callers does not depend on what
+    earlier steps left; None keeps the partitions as they are.
+    """
     cls = _lookup(TEXT_GENERATORS, generator, "text")
+    ship_package(requests.sparkSession)
+    requests = requests if num_partitions is None else requests.repartition(num_partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = cls(**options)                       # once per task, on first use
@@ -72,9 +81,14 @@ def generate_text(requests: DataFrame, generator: str, **options) -> DataFrame:
     return requests.select("video_id", "backend", "model", "prompt").mapInPandas(run, _out_schema(TEXT_OUT, requests))
 
 
-def generate_images(requests: DataFrame, generator: str, **options) -> DataFrame:
-    """UDF-2: run an image generator over image request rows; one DM-15 record per row."""
+def generate_images(requests: DataFrame, generator: str, num_partitions: int | None = None, **options) -> DataFrame:
+    """UDF-2: run an image generator over image request rows; one DM-15 record per row.
+
+    ``num_partitions`` as for :func:`generate_text`.
+    """
     cls = _lookup(IMAGE_GENERATORS, generator, "image")
+    ship_package(requests.sparkSession)
+    requests = requests if num_partitions is None else requests.repartition(num_partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = cls(**options)
@@ -117,9 +131,9 @@ def text_udf(generator: str, batch_size: int = 64, **options):
         def predict(video_ids: np.ndarray, prompts: np.ndarray) -> np.ndarray:
             out = []
             for vid, prompt in zip(video_ids, prompts):
-                row = _Row(video_id=int(vid), prompt=str(prompt))
                 try:
-                    out.append(gen.generate(row))
+                    own = vid.item() if hasattr(vid, "item") else vid     # a numeric id stays a number, a name a string
+                    out.append(gen.generate(_Row(video_id=own, prompt=str(prompt))))
                 except Exception:  # noqa: BLE001 — per-row isolation
                     out.append(None)
             return np.array(out, dtype=object)

@@ -1,11 +1,11 @@
 """Time-range and as-of joins inside a video (JOI-6, JOI-7, WIN-4).
 
-Spark has no range or as-of join, so both are equi joins on
-``(video_id, time bucket)`` plus the range predicate: each interval is
-exploded over the buckets it touches (work proportional to its length in
-buckets), which also spreads one long video over many tasks. A pair that
-shares several buckets is kept only in the first bucket both touch, so no
-pair is emitted twice and no per-video window holds a whole video.
+Spark has no range or as-of join. The range join is an equi join on
+``(video_id, time bucket)`` plus the range predicate: each interval is exploded
+over the few buckets it touches, which also spreads one long video over many
+tasks, and a pair that shares several buckets is kept only in the first bucket
+both touch. The as-of join carries the last frame forward through time blocks.
+No window holds a whole video.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.operators.blocked import TIME_BLOCK_S, join_on, next_in_order, pos_block, time_block
+from reelflow.operators.blocked import TIME_BLOCK_S, carry_forward, join_on, next_in_order, time_block
 from reelflow.operators.ordered import ordered_concat
 
 
+MAX_BUCKETS = 64          # an interval over more buckets is joined on its key alone
+
+
 def _bucket(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(width))
 
@@ -29,13 +32,27 @@ def _buckets(start: Column, end: Column, width: float) -> Column:
 
 def overlap_pairs(left: DataFrame, right: DataFrame, key: str, l_start: str, l_end: str, r_start: str, r_end: str,
                   width: float = TIME_BLOCK_S) -> DataFrame:
-    """All ``(left, right)`` pairs with ``r_start < l_end AND r_end > l_start`` inside the same ``key``."""
-    lb = left.withColumn("_b", F.explode(_buckets(F.col(l_start), F.col(l_end), width)))
-    rb = right.withColumn("_b", F.explode(_buckets(F.col(r_start), F.col(r_end), width)))
-    j = lb.join(rb, [key, "_b"])
+    """All ``(left, right)`` pairs with ``r_start < l_end AND r_end > l_start`` inside the same ``key``.
+
+    An interval of ordinary length is exploded over the few buckets it touches.
+    One that spans more than ``MAX_BUCKETS`` (an hour and more, or a corrupt
+    time) is not: it meets the other side on the key alone, where it overlaps
+    most of what it is compared with. Every pair comes from exactly one of the
+    three joins. A missing or not-a-number time overlaps nothing.
+    """
+    def split(df: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+        known = df.filter(~F.isnan(start) & ~F.isnan(end))
+        long = F.col(end) - F.col(start) > width * MAX_BUCKETS
+        return known.filter(~long), known.filter(long)
+
+    (l_short, l_long), (r_short, r_long) = split(left, l_start, l_end), split(right, r_start, r_end)
+    overlap = (F.col(r_start) < F.col(l_end)) & (F.col(r_end) > F.col(l_start))
+    lb = l_short.withColumn("_b", F.explode(_buckets(F.col(l_start), F.col(l_end), width)))
+    rb = r_short.withColumn("_b", F.explode(_buckets(F.col(r_start), F.col(r_end), width)))
     first_common = F.greatest(_bucket(F.col(l_start), width), _bucket(F.col(r_start), width))
-    return (j.filter((F.col(r_start) < F.col(l_end)) & (F.col(r_end) > F.col(l_start)) & (F.col("_b") == first_common))
-             .drop("_b"))
+    near = lb.join(rb, [key, "_b"]).filter(overlap & (F.col("_b") == first_common)).drop("_b")
+    return (near.unionByName(l_long.join(right, key).filter(overlap))
+                .unionByName(l_short.join(r_long, key).filter(overlap)))
 
 
 def section_segments(secs: DataFrame, segs: DataFrame, width: float = TIME_BLOCK_S) -> DataFrame:
@@ -60,44 +77,33 @@ def frame_intervals(frames: DataFrame, width: float = TIME_BLOCK_S) -> DataFrame
 
     ``frames`` has ``(video_id, section_index, timestamp, frame_file)``; ties on
     time are ordered by section index. ``until`` is NULL for the last frame.
-    Equal times are handled apart, so a pile of frames at one time (e.g. every
-    section missing its start) does not gather in one task: the next frame at
-    the same time is a position-blocked ``lead`` inside ``(video, time)``; only
-    the last frame of each time takes the first frame of the next distinct
-    time, found on a one-row-per-time table with a time-blocked ``lead``.
+    A frame that shares its time with a later section is replaced at once. The
+    table of one row per ``(video, time)`` with its last section takes a
+    time-blocked ``lead`` and is joined back, a join that Spark may split when
+    many frames share one time.
     """
-    same = next_in_order(frames, ["video_id", "timestamp"], ["section_index"], ["section_index"],
-                         pos_block("section_index"))
-    within = same.filter(F.col("next_section_index").isNotNull()).withColumn("until", F.col("timestamp"))
-    times = frames.groupBy("video_id", "timestamp").agg(F.min("section_index").alias("_first"))
+    times = frames.groupBy("video_id", "timestamp").agg(F.max("section_index").alias("_top"))
     nxt = next_in_order(times, ["video_id"], ["timestamp"], ["timestamp"], time_block("timestamp", width))
-    last = join_on(same.filter(F.col("next_section_index").isNull()),
-                   nxt.select("video_id", "timestamp", F.col("next_timestamp").alias("until")),
-                   ["video_id", "timestamp"], "left")
-    cols = [c for c in frames.columns] + ["until"]
-    return within.select(cols).unionByName(last.select(cols))
+    d = join_on(frames, nxt.select("video_id", "timestamp", "_top", "next_timestamp"), ["video_id", "timestamp"], "left")
+    until = F.when(F.col("section_index") < F.col("_top"), F.col("timestamp")).otherwise(F.col("next_timestamp"))
+    return d.select(*frames.columns, until.alias("until"))
 
 
-def frame_at(points: DataFrame, intervals: DataFrame, point: str, width: float = TIME_BLOCK_S) -> DataFrame:
+def frame_at(points: DataFrame, frames: DataFrame, point: str, width: float = TIME_BLOCK_S) -> DataFrame:
     """JOI-7 (re-aim): as-of lookup — the frame on screen at each point (latest frame with time ≤ point).
 
-    Each point falls in at most one ``[timestamp, until)``; the open last
-    interval is closed at the video's last point so it explodes over a finite
-    number of buckets. Points before the first frame get NULLs (left join).
+    The distinct times of frames and points of a video are ordered together in
+    time blocks, and the last frame is carried forward within and across blocks
+    (:func:`carry_forward`), so no interval is exploded whatever the times are.
+    Of frames at one time the last section counts. Points before the first
+    frame, and points without a time, get NULLs.
     """
-    last_point = points.groupBy("video_id").agg(F.max(point).alias("_last"))
-    # an empty interval (the next frame has the same time) can never hold a point: drop it before
-    # exploding, so a pile of frames at one time adds no join candidates
-    closed = intervals.filter(F.col("until") > F.col("timestamp")).withColumn("_end", F.col("until"))
-    # only each video's open last interval needs the video's last point: one row per video joins
-    open_last = (join_on(intervals.filter(F.col("until").isNull()), last_point, ["video_id"], "left")
-                 .withColumn("_end", F.greatest("_last", "timestamp")).drop("_last"))
-    iv = (closed.unionByName(open_last)
-                   .select(F.col("video_id").alias("_vid"),
-                           F.explode(_buckets(F.col("timestamp"), F.col("_end"), width)).alias("_ib"),
-                           F.col("section_index").alias("frame_section_index"), "frame_file",
-                           F.col("timestamp").alias("frame_time"), F.col("until").alias("_until")))
-    p = points.withColumn("_pb", _bucket(F.col(point), width))
-    cond = ((F.col("video_id") == F.col("_vid")) & (F.col("_pb") == F.col("_ib"))
-            & (F.col(point) >= F.col("frame_time")) & (F.col("_until").isNull() | (F.col(point) < F.col("_until"))))
-    return p.join(iv, cond, "left").drop("_vid", "_ib", "_pb", "_until")
+    shown = frames.groupBy("video_id", F.col("timestamp").alias("_at")).agg(
+        F.max_by(F.struct(F.col("section_index").alias("frame_section_index"), F.col("frame_file"),
+                          F.col("timestamp").alias("frame_time")), "section_index").alias("_frame"))
+    asked = points.filter(F.col(point).isNotNull()).select("video_id", F.col(point).alias("_at")).distinct()
+    none = F.lit(None).cast(shown.schema["_frame"].dataType)
+    both = (shown.withColumn("_asked", F.lit(0)).unionByName(asked.withColumns({"_frame": none, "_asked": F.lit(1)})))
+    carried = carry_forward(both, ["video_id"], ["_at", "_asked"], "_frame", time_block("_at", width))
+    answers = carried.filter("_asked = 1").select("video_id", F.col("_at").alias(point), "_frame")
+    return join_on(points, answers, ["video_id", point], "left").select(*points.columns, "_frame.*")

@@ -93,15 +93,26 @@ def model_plan(spark: SparkSession, batches: DataFrame, requests: DataFrame,
                        "force", action.alias("action"))
 
 
-def batch_results(batches: DataFrame, plan: DataFrame, skip_space_check: bool = False) -> DataFrame:
-    """DM-4 per batch with the all-or-nothing rules.
+def batch_results(batches: DataFrame, plan: DataFrame, skip_space_check: bool = False,
+                  outcomes: DataFrame | None = None) -> DataFrame:
+    """DM-4 per batch: all-or-nothing checks first, then what each download returned.
 
     Any unknown name fails the whole batch (FLT-2); so does too little disk
     space unless ``skip_space_check`` (FLT-9: free ≥ size + 1 GB; unknown free
-    space passes). Sizes are summed as DECIMAL so the comparison does not
-    depend on summation order; the name lists are collected in two levels.
+    space passes). A batch that passes is split by ``outcomes`` (``batch_id,
+    pos, ok``): a download that reports failure is in ``failed``, one that
+    succeeded, was skipped as present or has no row is in ``successful``; both
+    lists keep the order of the request. Sizes are summed as DECIMAL so the
+    comparison does not depend on summation order; the name lists are collected
+    in two levels.
     """
-    per = ordered_collect(plan, ["batch_id"], "pos", F.col("name"), "names", sums={
+    if outcomes is None:
+        plan = plan.withColumn("_ok", F.lit(True))
+    else:
+        told = outcomes.groupBy("batch_id", "pos").agg(F.bool_and("ok").alias("_told"))
+        plan = (plan.join(told, ["batch_id", "pos"], "left")
+                    .withColumn("_ok", (F.col("action") != "download") | F.coalesce("_told", F.lit(True))))
+    per = ordered_collect(plan, ["batch_id"], "pos", F.struct("name", F.col("_ok").alias("ok")), "names", sums={
         "n_requested": F.lit(1).cast("bigint"),
         "n_invalid": F.when(F.col("action") == "invalid", 1).otherwise(0).cast("bigint"),
         "total_size_gb": F.col("size_gb").cast("decimal(12,3)"),
@@ -114,13 +125,15 @@ def batch_results(batches: DataFrame, plan: DataFrame, skip_space_check: bool =
         space_ok = F.lit(True)
     status = (F.when(F.coalesce("n_invalid", F.lit(0)) > 0, "invalid_names")
                .when(~space_ok, "insufficient_space").otherwise("ok"))
-    names = F.coalesce("names", F.array().cast("array<string>"))
-    empty = F.array().cast("array<string>")
+    asked = F.coalesce("names", F.array().cast("array<struct<name:string,ok:boolean>>"))
+    names = F.transform(asked, lambda n: n["name"])
+    done = F.transform(F.filter(asked, lambda n: n["ok"]), lambda n: n["name"])
+    failed = F.transform(F.filter(asked, lambda n: ~n["ok"]), lambda n: n["name"])
     out = b.select(
         "batch_id", n_req.alias("n_requested"), F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"),
         total.cast("double").alias("total_size_gb"), space_ok.alias("space_ok"), status.alias("status"),
-        F.when(status == "ok", names).otherwise(empty).alias("successful"),
-        F.when(status == "ok", empty).otherwise(names).alias("failed"),
+        F.when(status == "ok", done).otherwise(F.array().cast("array<string>")).alias("successful"),
+        F.when(status == "ok", failed).otherwise(names).alias("failed"),
     )
     return out.withColumn("any_success", F.size("successful") > 0) \
               .withColumn("success_rate",

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.functions import clock
+from reelflow.functions.text import WS_CLASS
 from reelflow.operators.ordered import ordered_concat
 
 
-def explode_segments(docs: DataFrame, key: str = "video_id") -> DataFrame:
-    """SRC-7: one row per segment of a transcript document, list order kept as ``pos``.
+def explode_segments(docs: DataFrame, key: str = "video_id", words: bool = False) -> DataFrame:
+    """SRC-7: one row per segment of a transcript document, list order kept as ``pos``; ``words`` keeps word timing.
 
     ``docs`` has ``key``, ``language`` and ``segments ARRAY<STRUCT<start,end,text,...>>``.
     Missing ``segments`` counts as an empty list.
@@ -18,7 +19,8 @@ def explode_segments(docs: DataFrame, key: str = "video_id") -> DataFrame:
     return (docs.select(key, F.posexplode(F.coalesce("segments", F.array())).alias("pos", "seg"))
                 .select(key, F.col("pos").cast("int").alias("pos"),
                         F.col("seg.start").alias("start_s"), F.col("seg.end").alias("end_s"),
-                        F.col("seg.text").alias("text")))
+                        F.col("seg.text").alias("text"),
+                        *([F.col("seg.words").alias("words")] if words else [])))
 
 
 def with_lines(segs: DataFrame) -> DataFrame:
@@ -35,20 +37,23 @@ def timeline_text(segs: DataFrame) -> DataFrame:
 def word_timeline(segs: DataFrame) -> DataFrame:
     """WIN-7 (rule-based stand-in for neural alignment).
 
-    Words are the whitespace-separated tokens of a segment; the segment's time
-    is shared in proportion to character counts. The window is per segment, so
-    its size is bounded by one segment's text.
+    Words are the tokens of a segment between white space (the characters of
+    STR-1); the segment's time is shared in proportion to character counts.
+    Running lengths are built inside the row's own array, so nothing is
+    shuffled.
     """
-    words = (segs.select("video_id", "pos", "start_s", "end_s",
-                         F.posexplode(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")).alias("word_pos", "word"))
-                 .filter(F.length("word") > 0))
-    w_seg = Window.partitionBy("video_id", "pos")
-    w_run = w_seg.orderBy("word_pos").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.length("word")).over(w_seg)
-    upto = F.sum(F.length("word")).over(w_run)
+    tokens = F.filter(F.split("text", f"{WS_CLASS}+"), lambda w: F.length(w) > 0)
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<bigint>").alias("ends"))
+    ends = F.aggregate(tokens, start, lambda acc, w: F.struct(
+        (acc["upto"] + F.length(w)).alias("upto"), F.concat(acc["ends"], F.array(acc["upto"] + F.length(w))).alias("ends")),
+        lambda acc: acc["ends"])
+    words = (segs.select("video_id", "pos", "start_s", "end_s", tokens.alias("_w"), ends.alias("_e"))
+                 .select("video_id", "pos", "start_s", "end_s", F.try_element_at("_e", F.lit(-1)).alias("_total"),
+                         F.posexplode(F.arrays_zip("_w", "_e")).alias("word_pos", "_x")))
     dur = F.col("end_s") - F.col("start_s")
+    upto, size = F.col("_x._e"), F.length("_x._w")
     return words.select(
-        "video_id", "pos", F.col("word_pos").cast("int").alias("word_pos"), "word",
-        (F.col("start_s") + dur * (upto - F.length("word")) / total).alias("word_start"),
-        (F.col("start_s") + dur * upto / total).alias("word_end"),
+        "video_id", "pos", F.col("word_pos").cast("int").alias("word_pos"), F.col("_x._w").alias("word"),
+        (F.col("start_s") + dur * (upto - size) / F.col("_total")).alias("word_start"),
+        (F.col("start_s") + dur * upto / F.col("_total")).alias("word_end"),
     )
