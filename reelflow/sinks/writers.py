@@ -1,9 +1,10 @@
 """Writers for every artefact (SNK-1 … SNK-8).
 
-All writers overwrite only the partitions they produce (dynamic partition
-overwrite), so re-running a video replaces its previous output (SNK-8) and
-leaves other videos alone. Per-video files come from ``partitionBy``; the
-tables of bodies are the primary output and the files an export.
+Every writer needs a partition key and overwrites only the partitions it
+produces (dynamic partition overwrite), so re-running a video replaces its
+previous output (SNK-8) and leaves other videos alone. Document bodies keep
+their names; the partition folders only repeat them. The readers in
+``reelflow.sources.files`` read all of it back (``layout="table"``).
 """
 
 from __future__ import annotations
@@ -11,20 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelflow import fixed_values as FV
 from reelflow.functions import text
 from reelflow.operators.blocked import join_on
 from reelflow.operators.ordered import ordered_collect
 
 
-def _writer(df: DataFrame, partition_by: list[str] | None):
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    return w.partitionBy(*partition_by) if partition_by else w
+def _writer(df: DataFrame, partition_by: list[str]):
+    if not partition_by:
+        raise ValueError("an overwrite needs a partition key: without one it would delete other videos")
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
 
 
 def aligned_documents(segs: DataFrame, languages: DataFrame | None = None) -> DataFrame:
-    """DM-6 per video: ``(video_id, language, segments)`` with segments in list order."""
-    docs = ordered_collect(segs, ["video_id"], "pos",
-                           F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text"), "segments")
+    """DM-6 per video: ``(video_id, language, segments)`` with segments in list order, their words where known."""
+    fields = [F.col("start_s").alias("start"), F.col("end_s").alias("end"), F.col("text")]
+    if "words" in segs.columns:
+        fields.append(F.col("words"))
+    docs = ordered_collect(segs, ["video_id"], "pos", F.struct(*fields), "segments")
     if languages is not None:
         docs = docs.join(languages.select("video_id", "language"), "video_id", "left")
     else:
@@ -33,8 +38,11 @@ def aligned_documents(segs: DataFrame, languages: DataFrame | None = None) -> Da
 
 
 def write_aligned_json(docs: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """SNK-1: aligned transcript JSON, UTF-8 with non-ASCII kept."""
-    _writer(docs, partition_by).json(path, encoding="UTF-8")
+    """SNK-1: aligned transcript JSON, one document a line, UTF-8 with non-ASCII kept, by default under ``video=<id>/``."""
+    named = docs.withColumn("video_name", text.video_label(docs))
+    if partition_by is None:
+        named, partition_by = named.withColumn("video", F.col("video_name")), ["video"]
+    _writer(named, partition_by).json(path, encoding="UTF-8")
 
 
 def text_files(bodies: DataFrame, key: str = "video_id") -> DataFrame:
@@ -71,39 +79,50 @@ def write_clips_csv(clips: DataFrame, path: str, key: str = "video_id") -> None:
 
 
 def prompts_documents(sections: DataFrame, language: str | None = None, generated_at: str | None = None,
-                      transcript_dir: str = "outputs", answers: DataFrame | None = None) -> DataFrame:
+                      transcript_dir: str = "outputs", answers: DataFrame | None = None,
+                      languages: DataFrame | None = None) -> DataFrame:
     """DM-12 per video and backend from parsed sections (SNK-5 input).
 
+    The language of a video is ``language`` where given, else that of
+    ``languages`` (``video_id, language``), else the default.
     ``generated_at`` is a parameter (a clock reading is not reproducible).
     With ``answers`` (``video_id, backend, model`` and optionally ``status``),
     every answer that did not end in ``error`` gets a document, so an answer
     with an empty ``sections`` list still writes one with ``num_sections = 0``.
     """
-    s = sections.filter(F.col("status") != "error")
+    answered = sections.filter(F.col("status") != "error")
+    s = answered.filter(F.col("section_index").isNotNull())
     fields = ["start_time", "end_time", "transcript_text", "image_prompt", "sentiment", "scene_description",
               "visual_style"]
     keys = ["video_id", "backend", "model"]
-    g = ordered_collect(s.withColumn("_i", F.coalesce("section_index", F.lit(0))), keys, "_i", F.struct(*fields), "_s")
+    g = ordered_collect(s, keys, "section_index", F.struct(*fields), "_s")
+    a = answered.select(*keys)                           # an answer with an empty list has a row without an index
     if answers is not None:
-        a = answers.filter(F.col("status") != "error") if "status" in answers.columns else answers
-        g = join_on(a.select(*keys).distinct(), g, keys, "left")
-        g = g.withColumn("_s", F.coalesce("_s", F.array().cast(s.select(F.array(F.struct(*fields))).schema[0].dataType)))
+        more = answers.filter(F.col("status") != "error") if "status" in answers.columns else answers
+        a = a.unionByName(more.select(*keys))
+    g = join_on(a.distinct(), g, keys, "left")
+    g = g.withColumn("_s", F.coalesce("_s", F.array().cast(s.select(F.array(F.struct(*fields))).schema[0].dataType)))
+    if languages is not None:
+        own = languages.groupBy("video_id").agg(F.min("language").alias("_language"))
+        g = join_on(g, own, ["video_id"], "left")
+    else:
+        g = g.withColumn("_language", F.lit(None).cast("string"))
     name = text.video_label(g)
     return g.select(
         name.alias("video_name"),
         F.concat_ws("/", F.lit(transcript_dir), F.concat(name, F.lit(".aligned.json"))).alias("transcript_file"),
         "model", F.lit(generated_at).cast("string").alias("generated_at"),
-        F.coalesce(F.lit(language), F.lit("en")).alias("language"),
+        F.coalesce(F.lit(language).cast("string"), F.col("_language"), F.lit(FV.DEFAULT_LANGUAGE)).alias("language"),
         F.size("_s").cast("bigint").alias("num_sections"),
         F.col("_s").alias("sections"),
     )
 
 
 def write_prompts(docs: DataFrame, path: str) -> None:
-    """SNK-5 / SNK-7: prompts documents laid out as ``<path>/video_name=<v>/model=<m>/``."""
-    _writer(docs, ["video_name", "model"]).json(path, encoding="UTF-8")
+    """SNK-5 / SNK-7: prompts documents laid out as ``<path>/video=<v>/by=<model>/``; the body keeps both names."""
+    _writer(docs.withColumns({"video": F.col("video_name"), "by": F.col("model")}), ["video", "by"]).json(path, encoding="UTF-8")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """SNK-6 / SNK-7: image manifests laid out as ``<path>/video_name=<v>/``."""
-    _writer(manifest.drop("video_id") if "video_id" in manifest.columns else manifest, ["video_name"]).json(path)
+    """SNK-6 / SNK-7: image manifests laid out as ``<path>/video=<v>/``; the body keeps the name."""
+    _writer(manifest.drop("video_id").withColumn("video", F.col("video_name")), ["video"]).json(path, encoding="UTF-8")

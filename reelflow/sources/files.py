@@ -16,6 +16,15 @@ from reelflow.functions import text
 from reelflow.schemas import ALIGNED_TRANSCRIPT, PROMPTS_DOCUMENT, SEGMENT, SECTION
 
 
+def _documents(spark: SparkSession, path: str, schema, layout: str, glob: str | None, recursive: bool) -> DataFrame:
+    """JSON documents: ``layout`` "files" has one document per file, "table" is what our writers make, one a line."""
+    if layout not in ("files", "table"):
+        raise ValueError(f"unknown layout: {layout}")
+    if layout == "table":
+        return spark.read.schema(schema).json(path)
+    return _reader(spark, glob, recursive).schema(schema).option("multiLine", "true").json(path)
+
+
 def _reader(spark: SparkSession, glob: str | None, recursive: bool):
     r = spark.read
     if glob:
@@ -26,15 +35,17 @@ def _reader(spark: SparkSession, glob: str | None, recursive: bool):
 
 
 def read_transcripts(spark: SparkSession, path: str, glob: str | None = "*.aligned.json",
-                     recursive: bool = True) -> DataFrame:
+                     recursive: bool = True, layout: str = "files") -> DataFrame:
     """SRC-1/SRC-3: aligned transcript documents → ``(video_id, transcript_file, language, segments)``.
 
-    ``video_id`` is the video name (file stem without ``.aligned``); missing
+    ``video_id`` is the video's name: the one in the body where a document has
+    one (``layout="table"``), else the file stem without ``.aligned``; missing
     ``language`` → ``en``, missing ``segments`` → ``[]``.
     """
-    df = _reader(spark, glob, recursive).schema(ALIGNED_TRANSCRIPT).option("multiLine", "true").json(path)
+    named = T.StructType([T.StructField("video_name", T.StringType()), *ALIGNED_TRANSCRIPT.fields])
+    df = _documents(spark, path, named, layout, glob, recursive)
     return df.select(
-        text.video_name(F.col("_metadata.file_name")).alias("video_id"),
+        F.coalesce("video_name", text.video_name(F.col("_metadata.file_name"))).alias("video_id"),
         F.col("_metadata.file_path").alias("transcript_file"),
         F.coalesce("language", F.lit(FV.DEFAULT_LANGUAGE)).alias("language"),
         F.coalesce("segments", F.array().cast(T.ArrayType(SEGMENT))).alias("segments"),
@@ -42,9 +53,9 @@ def read_transcripts(spark: SparkSession, path: str, glob: str | None = "*.align
 
 
 def read_prompts(spark: SparkSession, path: str, glob: str | None = "*_prompts.json",
-                 recursive: bool = True) -> DataFrame:
+                 recursive: bool = True, layout: str = "files") -> DataFrame:
     """SRC-2: prompts documents; missing ``video_name`` → ``video``, missing ``sections`` → ``[]``."""
-    df = _reader(spark, glob, recursive).schema(PROMPTS_DOCUMENT).option("multiLine", "true").json(path)
+    df = _documents(spark, path, PROMPTS_DOCUMENT, layout, glob, recursive)
     empty = F.array().cast(T.ArrayType(SECTION))
     return df.select(
         F.coalesce("video_name", F.lit(FV.DEFAULT_VIDEO_NAME)).alias("video_name"),

@@ -10,15 +10,19 @@ the sink as a batch DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelflow.functions import text, urls
+from reelflow.operators.prompts import rule_sections
 from reelflow.operators.timeline import explode_segments
 from reelflow.schemas import ALIGNED_TRANSCRIPT
 from reelflow.session import scratch_path
-from reelflow.sources.views import request_url
+from reelflow.sources.stage import children, exists
+from reelflow.sources.views import request_rows
 
 CONVERSATIONS = T.StructType([
     T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
@@ -34,8 +38,6 @@ EVENTS = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
-# Event time given to a URL request: a fixed epoch plus its id in seconds.
-REQUEST_EPOCH = "2024-01-01 00:00:00"
 
 
 def read_folder(spark: SparkSession, folder: str, schema: T.StructType, glob: str,
@@ -81,55 +83,102 @@ def transcript_rows(stream: DataFrame) -> DataFrame:
 
 
 def request_stream(stream: DataFrame) -> DataFrame:
-    """URL requests with an event time, canonicalised (the same seven URL forms as the batch view)."""
-    url = request_url(F.col("page_id"), F.col("url"))
-    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(REQUEST_EPOCH)) + F.col("page_id"))
-    return stream.select(F.col("page_id").alias("request_id"), url.alias("url"), ts.alias("requested_at")) \
-                 .withColumn("canonical_url", urls.canonical_url("url"))
+    """URL requests, canonicalised (the same rows as the batch view)."""
+    return request_rows(stream).withColumn("canonical_url", urls.canonical_url("url"))
+
+
+def run_batches(df: DataFrame, name: str, step: Callable, folder: str | None = None) -> str:
+    """Run ``step(batch, k, earlier, save)`` over everything available now; the folder of its tables.
+
+    ``save(table, rows)`` writes the batch's own part of a table, in a place
+    named by the batch, so a batch that is run again replaces its part and adds
+    nothing twice. ``earlier(table)`` reads the parts of all earlier batches
+    (None before the first), with ``last_only`` that of the batch before.
+    """
+    spark = df.sparkSession
+    folder = folder or scratch_path(spark, f"{name}-tables")
+
+    def run(batch: DataFrame, k: int) -> None:
+        own = batch.sparkSession
+
+        def earlier(table: str, last_only: bool = False) -> DataFrame | None:
+            wanted = [f"{folder}/{table}/batch-{i}" for i in range(k - 1 if last_only else 0, k)]
+            paths = [p for p in wanted if exists(own, p)]
+            return own.read.parquet(*paths) if paths else None
 
+        def save(table: str, rows: DataFrame) -> None:
+            rows.write.mode("overwrite").parquet(f"{folder}/{table}/batch-{k}")
 
-def dedup_requests(requests: DataFrame, horizon: str = "1 hour") -> DataFrame:
-    """STM-2: one request per canonical URL within the watermark horizon (state is bounded by it)."""
-    return (requests.withWatermark("requested_at", horizon)
-                    .dropDuplicatesWithinWatermark(["canonical_url"])
-                    .select("canonical_url", urls.watch_id("canonical_url").alias("video_key")))
+        step(batch, k, earlier, save)
+
+    q = (df.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return folder
+
+
+def table_of(spark: SparkSession, folder: str, table: str, schema: T.StructType) -> DataFrame:
+    """All parts of a table that :func:`run_batches` wrote."""
+    if not exists(spark, f"{folder}/{table}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{table}")
+
+
+def dedup_requests(requests: DataFrame, folder: str | None = None) -> DataFrame:
+    """STM-2: one request per canonical URL over the whole history, however the input is split.
+
+    Each batch keeps its distinct URLs that no earlier batch has; the history is
+    the output itself, in the shared folder, so no state grows in memory and no
+    horizon forgets a URL.
+    """
+    rows = requests.select("canonical_url", urls.watch_id("canonical_url").alias("video_key"))
+
+    def step(batch, k, earlier, save) -> None:
+        new, seen = batch.distinct(), earlier("urls")
+        save("urls", new if seen is None else new.join(seen.select("canonical_url"), "canonical_url", "left_anti"))
+
+    return table_of(requests.sparkSession, run_batches(rows, "dedup", step, folder), "urls", rows.schema)
 
 
 SEGMENTS = T.StructType([
     T.StructField("video_id", T.LongType()), T.StructField("pos", T.IntegerType()),
     T.StructField("role", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()),
+    T.StructField("transcript_segments", T.LongType()),
 ])
-# Media time 0 of every video, as an event-time origin.
-MEDIA_EPOCH = "2024-01-01 00:00:00"
 
 
-def _micros(seconds: str):
-    return F.round(F.col(seconds) * 1_000_000).cast("bigint")
+def sections_as_finished(segments: DataFrame, pause_s: float = 1.0, folder: str | None = None) -> DataFrame:
+    """STM-3: the sections of every transcript, formed when its last segment has arrived.
 
-
-def section_windows(segments: DataFrame, pause_s: float = 1.0, delay: str = "0 seconds") -> DataFrame:
-    """STM-3: scene sections formed as segments arrive — a pause longer than ``pause_s`` closes one.
-
-    Each segment is an event at its media start time whose session gap is its
-    own duration plus ``pause_s``, so a section stays open until ``pause_s``
-    after its last segment ends (``session_window`` with a per-row gap). A
-    section is emitted once the watermark passes that point. Output times are
-    media microseconds.
+    Each segment says how many its transcript has (``transcript_segments``). A
+    batch adds its segments to those that wait, forms the sections of the
+    transcripts that are now complete (:func:`prompts.rule_sections`, blocked, so
+    a long video is no single task) and lets the others wait in the shared
+    folder. The result does not depend on how the input is split into files and
+    batches. A finite input is flushed at its end: what still waits, because a
+    transcript's end never came, is cut into sections as it is.
     """
-    epoch_us = F.unix_micros(F.lit(MEDIA_EPOCH).cast("timestamp"))
-    start_us, end_us = _micros("start_s"), _micros("end_s")
-    gap_us = end_us - start_us + int(pause_s * 1_000_000)
-    e = (segments.withColumn("ts", F.timestamp_micros(epoch_us + start_us))
-                 .withColumn("gap", F.make_interval(secs=(gap_us.cast("decimal(18,6)") / 1_000_000)
-                                                       .cast("decimal(18,6)")))
-                 .withWatermark("ts", delay))
-    g = e.groupBy("video_id", F.session_window("ts", F.col("gap")).alias("w")).agg(
-        F.count(F.lit(1)).alias("num_segments"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
-    return g.select("video_id",
-                    (F.unix_micros(F.col("w.start")) - epoch_us).alias("section_start_us"),
-                    (F.unix_micros(F.col("w.end")) - epoch_us).alias("section_end_us"),
-                    "num_segments", "first_pos", "last_pos")
+    spark = segments.sparkSession
+
+    def step(batch, k, earlier, save) -> None:
+        waiting = earlier("waiting", last_only=True)
+        rows = batch if waiting is None else waiting.unionByName(batch)
+        complete = (rows.groupBy("video_id").agg(F.count("*").alias("_n"), F.max("transcript_segments").alias("_of"))
+                        .where("_n >= _of").select("video_id"))
+        save("sections", rule_sections(rows.join(complete, "video_id", "left_semi"), pause_s))
+        save("waiting", rows.join(complete, "video_id", "left_anti"))
+
+    folder = run_batches(segments, "sections", step, folder)
+    batches = [int(p.rsplit("-", 1)[1]) for p in children(spark, f"{folder}/waiting")]
+    schema = rule_sections(spark.createDataFrame([], SEGMENTS), pause_s).schema
+    done = table_of(spark, folder, "sections", schema)
+    if not batches:
+        return done
+    rest = spark.read.schema(SEGMENTS).parquet(f"{folder}/waiting/batch-{max(batches)}")
+    return done.unionByName(rule_sections(rest, pause_s))
 
 
 def pending_stream(requests: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -164,6 +213,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
                     F.unix_micros(F.col("w.end")).alias("session_end_us"), "n_events", "total_value")
 
 
+def with_open(df: DataFrame, emitted: DataFrame, keys: list[str]) -> DataFrame:
+    """Flush of a finite input: the emitted groups, and those of the same job over the static input still open.
+
+    The join keeps a mark instead of being an anti join, which the optimizer would move below the session window and so
+    apply to single events.
+    """
+    marked = df.join(emitted.select(*keys).withColumn("_emitted", F.lit(True)), keys, "left")
+    return emitted.unionByName(marked.where(F.col("_emitted").isNull()).select(*df.columns))
+
+
 def interval_counts(events: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """STM-4: counters per fixed interval and event type, emitted once the interval is closed."""
     e = _event_time(events).withWatermark("ts", delay)
@@ -172,3 +231,18 @@ def interval_counts(events: DataFrame, width: str = "1 hour", delay: str = "1 ho
         F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total_value"))
     return g.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "event_type", "n_events",
                     "total_value")
+
+
+IMAGE_EVENTS = T.StructType([
+    T.StructField("video_id", T.LongType()), T.StructField("section_index", T.IntegerType()),
+    T.StructField("backend", T.StringType()), T.StructField("status_code", T.IntegerType()),
+    T.StructField("finished_at", T.TimestampType()),
+])
+
+
+def image_status_counts(results: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """STM-4: images attempted, made and failed per interval and backend, emitted once the interval is closed."""
+    g = results.withWatermark("finished_at", delay).groupBy(F.window("finished_at", width).alias("w"), "backend").agg(
+        F.count("*").alias("attempted"), F.count_if(F.col("status_code") == 200).alias("succeeded"))
+    return g.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "backend", "attempted", "succeeded",
+                    (F.col("attempted") - F.col("succeeded")).alias("failed"))
