@@ -12,10 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow import fixed_values as FV
+from reelflow import fixed_values as FV, schemas
 from reelflow.operators import (captions, images, inference, intervals, planning, prompts, quality, responses,
                                 summary, timeline)
-from reelflow.sources import views
+from reelflow.session import scratch_path
+from reelflow.sinks import writers
+from reelflow.sources import files, views
+from reelflow.sources.tables import table
 from reelflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,23 +111,19 @@ def model_plan(spark, sf):
 
 @query
 def batch_validation(spark, sf):
-    r = planning.batch_results(views.model_batches(spark, sf), _plan(spark, sf))
+    r = planning.batch_results(views.model_batches(spark, sf), _plan(spark, sf), outcomes=views.model_outcomes(spark, sf))
     return r.withColumn("successful", F.array_join("successful", ",")) \
             .withColumn("failed", F.array_join("failed", ","))
 
 
 @query
 def quarantine(spark, sf):
-    secs = views.sections(spark, sf)
-    return quality.quarantine(views.segments(spark, sf), views.llm_responses(spark, sf),
-                              views.image_results(spark, sf, secs))
+    return quality.quarantine(*views.flawed(spark, sf))
 
 
 @query
 def missing_inputs(spark, sf):
-    segs = views.segments(spark, sf)
-    return quality.missing_inputs(_canon(spark, sf), views.inventory(spark, sf), segs,
-                                  views.sections(spark, sf, segs))
+    return quality.missing_inputs(_canon(spark, sf), views.inventory(spark, sf), *views.finished(spark, sf))
 
 
 # ------------------------------------------------------------------ M3: requests and responses
@@ -197,7 +196,7 @@ def image_progress(spark, sf):
 
 @query
 def frame_collisions(spark, sf):
-    return images.frame_collisions(*_secs_results(spark, sf))
+    return images.frame_collisions(views.crowded_sections(spark, sf), views.image_results(spark, sf))
 
 
 @query
@@ -238,8 +237,7 @@ def frame_intervals(spark, sf):
 @query
 def frame_asof(spark, sf):
     segs = views.segments(spark, sf).select("video_id", "pos", "start_s")
-    iv = intervals.frame_intervals(_frames(spark, sf))
-    return intervals.frame_at(segs, iv, "start_s").select(
+    return intervals.frame_at(segs, _frames(spark, sf), "start_s").select(
         "video_id", "pos", "start_s", "frame_section_index", "frame_file", "frame_time")
 
 
@@ -255,7 +253,7 @@ def stream_ingest(spark, sf):
 @query
 def stream_dedup(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.PAGES, "pages.parquet")
-    return jobs.run_available(jobs.dedup_requests(jobs.request_stream(s)), "stream_dedup")
+    return jobs.dedup_requests(jobs.request_stream(s))
 
 
 @query
@@ -268,19 +266,29 @@ def stream_pending(spark, sf):
 @query
 def stream_sessions(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")
-    return jobs.run_available(jobs.sessions(s), "stream_sessions")
+    return jobs.with_open(jobs.sessions(table(spark, sf, "events")), jobs.run_available(jobs.sessions(s), "stream_sessions"),
+                          ["user_id", "session_start_us"])
 
 
 @query
 def stream_sections(spark, sf):
-    s = jobs.read_folder(spark, views.segments_path(spark, sf), jobs.SEGMENTS, "*.parquet")
-    return jobs.run_available(jobs.section_windows(s), "stream_sections")
+    s = jobs.read_folder(spark, views.arriving_segments_path(spark, sf), jobs.SEGMENTS, "*.parquet")
+    return jobs.sections_as_finished(s)
 
 
 @query
 def stream_counts(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")
-    return jobs.run_available(jobs.interval_counts(s), "stream_counts")
+    return jobs.with_open(jobs.interval_counts(table(spark, sf, "events")), jobs.run_available(jobs.interval_counts(s), "stream_counts"),
+                          ["window_start_us", "event_type"])
+
+
+@query
+def stream_image_status(spark, sf):
+    path = views.image_events_path(spark, sf)
+    s = jobs.read_folder(spark, path, jobs.IMAGE_EVENTS, "*.parquet")
+    return jobs.with_open(jobs.image_status_counts(spark.read.schema(jobs.IMAGE_EVENTS).parquet(path)),
+                          jobs.run_available(jobs.image_status_counts(s), "stream_image_status"), ["window_start_us", "backend"])
 
 
 # ------------------------------------------------------------------ M6: pluggable inference
@@ -305,3 +313,155 @@ def document_requests(spark, sf):
 @query
 def document_srt(spark, sf):
     return captions.srt_body(views.document_segments(spark, sf))
+
+
+# ------------------------------------------------------------------ positions with gaps, shared times
+@query
+def sparse_srt_cues(spark, sf):
+    return captions.srt_cues(views.sparse_segments(spark, sf))
+
+
+@query
+def sparse_rule_sections(spark, sf):
+    return prompts.rule_sections(views.sparse_segments(spark, sf))
+
+
+@query
+def sparse_parsed_sections(spark, sf):
+    return responses.parsed_sections(views.llm_responses(spark, sf), views.sparse_segments(spark, sf))
+
+
+@query
+def budget_sections(spark, sf):
+    return prompts.rule_sections(views.sparse_segments(spark, sf), pause_s=1e9, max_chars=2000)
+
+
+def _crowded_frames(spark, sf):
+    return images.image_records(views.crowded_sections(spark, sf), views.image_results(spark, sf)).select(
+        "video_id", "section_index", "timestamp", "frame_file")
+
+
+@query
+def crowded_frame_intervals(spark, sf):
+    return intervals.frame_intervals(_crowded_frames(spark, sf)).select(
+        "video_id", "section_index", "frame_file", "timestamp", "until")
+
+
+@query
+def crowded_frame_asof(spark, sf):
+    segs = views.segments(spark, sf).select("video_id", "pos", "start_s")
+    return intervals.frame_at(segs, _crowded_frames(spark, sf), "start_s").select(
+        "video_id", "pos", "start_s", "frame_section_index", "frame_file", "frame_time")
+
+
+# ------------------------------------------------------------------ answers to manifests, two text backends a video
+def _chain(spark, sf):
+    """Sections of every text backend, their image requests, and one result for each."""
+    secs = (responses.parsed_sections(views.chain_responses(spark, sf), views.segments(spark, sf))
+            .withColumnsRenamed({"backend": "text_backend", "model": "text_model"}))
+    asked = images.image_requests(secs)
+    k = F.col("video_id") + F.col("section_index") + F.when(F.col("text_backend") == "openai", 1).otherwise(0)
+    return secs, asked.select("video_id", "text_backend", "text_model", "section_index", "backend",
+                              F.when(k % 4 == 0, 429).otherwise(200).alias("status_code"))
+
+
+def _manifest_text(m):
+    """The nested list as a string, for the comparison alone."""
+    image = lambda x: F.concat_ws("|", x["section_index"].cast("string"), x["image_path"], F.format_string("%.3f", x["timestamp"]), x["prompt"])
+    return m.withColumns({"images": F.array_join(F.transform("images", image), "\n"), "settings": F.to_json("settings")}).drop(
+        "generated_at", "device")
+
+
+@query
+def section_chain(spark, sf):
+    return _manifest_text(images.manifest(*_chain(spark, sf)))
+
+
+@query
+def image_requests_custom(spark, sf):
+    return images.image_requests(views.sections(spark, sf), model="own-model", negative_prompt="no text",
+                                 overrides={"num_inference_steps": 12, "guidance_scale": 3.5, "image_size": (640, 480),
+                                            "quality": "hd", "size": "1792x1024", "aspect_ratio": "16:9", "output_format": "webp"})
+
+
+@query
+def merged_records(spark, sf):
+    secs, results = _secs_results(spark, sf)
+    keeps = {"diffusers": [], "openai": ["revised_prompt"], "stability": ["seed"]}
+    parts = [images.image_records(secs, results.filter(F.col("backend") == b)).drop(*{"revised_prompt", "seed"} - set(own))
+             for b, own in keeps.items()]
+    return images.merge_backend_records(*parts)
+
+
+# ------------------------------------------------------------------ documents written and read back
+def _languages(spark, sf):
+    return views.segments(spark, sf).select("video_id").distinct().withColumn(
+        "language", F.when(F.col("video_id") % 3 == 0, "de").when(F.col("video_id") % 3 == 1, "fr"))
+
+
+@query
+def roundtrip_transcripts(spark, sf):
+    """SNK-1, SNK-8, SRC-1, SRC-3, SRC-7: all videos are written, then some again with other texts."""
+    path, segs = scratch_path(spark, "transcripts"), views.segments(spark, sf)
+    writers.write_aligned_json(writers.aligned_documents(segs, _languages(spark, sf)), path)
+    again = segs.filter(F.col("video_id") % 4 == 0).withColumn("text", F.concat(F.lit("again: "), "text"))
+    writers.write_aligned_json(writers.aligned_documents(again, _languages(spark, sf)), path)
+    docs = files.read_transcripts(spark, path, layout="table")
+    return timeline.explode_segments(docs).join(docs.select("video_id", "language"), "video_id")
+
+
+@query
+def roundtrip_prompts(spark, sf):
+    """SNK-5, SNK-7, SRC-2, SRC-8: one document per video and model, in the video's language."""
+    path = scratch_path(spark, "prompts")
+    parsed = responses.parsed_sections(views.chain_responses(spark, sf), views.segments(spark, sf))
+    writers.write_prompts(writers.prompts_documents(parsed, languages=_languages(spark, sf)), path)
+    docs = files.read_prompts(spark, path, layout="table").withColumn("document", F.concat_ws("/", "video_name", "model", "language"))
+    return images.explode_sections(docs, "document")
+
+
+@query
+def roundtrip_manifests(spark, sf):
+    """SNK-6, SNK-7: nested manifests, one per video."""
+    path = scratch_path(spark, "manifests")
+    writers.write_manifest(images.manifest(*_secs_results(spark, sf)), path)
+    return _manifest_text(spark.read.schema(schemas.IMAGE_MANIFEST).json(path).drop("video"))
+
+
+@query
+def roundtrip_captions(spark, sf):
+    """SNK-2, SNK-3: subtitle files of both kinds, line by line with their files' videos."""
+    srt, vtt = scratch_path(spark, "srt"), scratch_path(spark, "vtt")
+    writers.write_subtitles(captions.srt_body(views.segments(spark, sf)), srt)
+    writers.write_subtitles(captions.vtt_body(views.segments(spark, sf)), vtt)
+    lines = [spark.read.schema("value string, video_id long").text(p, wholetext=True).select(F.lit(k).alias("kind"), "video_id", "value")
+             for k, p in (("srt", srt), ("vtt", vtt))]
+    return lines[0].unionByName(lines[1])
+
+
+@query
+def roundtrip_clips(spark, sf):
+    """SNK-4: clips as CSV."""
+    path = scratch_path(spark, "clips")
+    writers.write_clips_csv(captions.clips(views.segments(spark, sf)), path)
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                 .schema("start double, end double, text string, video_id long").csv(path))
+
+
+@query
+def file_inventory(spark, sf):
+    """SRC-5: the clip files on disk, by the video folder that holds them."""
+    path = scratch_path(spark, "clips")
+    writers.write_clips_csv(captions.clips(views.segments(spark, sf)), path)
+    found = files.read_inventory(spark, path, glob="*.csv")
+    return (found.select(F.regexp_extract("path", r"video_id=(\d+)/", 1).cast("bigint").alias("video_id"), (F.col("length") > 0).alias("has_bytes"))
+                 .groupBy("video_id").agg(F.bool_and("has_bytes").alias("has_bytes")))
+
+
+@query
+def url_list(spark, sf):
+    """SRC-6: the requests as a text file with blank lines, read back and canonicalised."""
+    path = scratch_path(spark, "urls")
+    lines = views.requests(spark, sf).select(F.explode(F.array(F.concat(F.lit("  "), "url", F.lit(" ")), F.lit(""), F.lit("   "))).alias("value"))
+    lines.write.text(path)
+    return planning.canonical_requests(files.read_url_list(spark, path)).drop("request_id")

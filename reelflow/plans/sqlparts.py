@@ -7,10 +7,12 @@ oracle is a test twin only; the engine itself never runs SQL text from here.
 from __future__ import annotations
 
 from reelflow import fixed_values as FV
-from reelflow.functions.text import STRIP_PATTERN
-from reelflow.functions.urls import NETLOC_PATTERN, PATH_PATTERN, QUERY_PATTERN, SHORTS_PATTERN, V_PARAM_PATTERN
 from reelflow.sources.views import REQUESTABLE
 
+# The twin's own statements of the rules; nothing here comes from the engine's patterns.
+SPACE = "[" + "".join(f"\\x{{{c:x}}}" for c in (
+    *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)) + "]"
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "segments": ([], """
 SELECT video_id, pos, role, text,
@@ -22,20 +24,36 @@ FROM (SELECT *, sum(dur + gap) OVER (PARTITION BY video_id ORDER BY pos) AS cum
                    60 * length(conversations.text) AS dur,
                    CASE WHEN turn % 3 = 2 THEN 1500 ELSE 200 END AS gap
             FROM conversations) a) b"""),
+    "sparse_segments": (["segments"], """
+SELECT video_id, CAST(pos * 3 + 100 AS INT) AS pos, role, text, start_s, end_s FROM segments"""),
     "requests": ([], """
-SELECT page_id AS request_id,
-       CASE page_id % 7
+SELECT page_id AS request_id, url FROM pages
+UNION ALL
+SELECT page_id + 1000000000 AS request_id,
+       CASE page_id % 8
          WHEN 0 THEN concat('https://www.youtube.com/shorts/', vid, '?feature=share')
          WHEN 1 THEN concat('https://youtu.be/', vid, '?t=10')
          WHEN 2 THEN concat('https://www.youtube.com/watch?v=', vid, '&t=10')
          WHEN 3 THEN concat('https://www.youtube.com/embed?v=', vid)
          WHEN 4 THEN concat('https://youtube.com/shorts/', vid)
          WHEN 5 THEN 'https://www.youtube.com/shorts/abcd'
-         ELSE url END AS url
-FROM (SELECT page_id, url, concat('vid_', lpad(CAST(page_id % 100 AS VARCHAR), 5, '0')) AS vid FROM pages) a"""),
+         WHEN 6 THEN concat('https://m.youtube.com/x?a=1&v=', vid, '%')
+         ELSE concat('https://www.youtube.com/embed?v=', vid, '%zz&b=2') END AS url
+FROM (SELECT page_id, concat('vid_', lpad(CAST(page_id // 3 AS VARCHAR), 5, '0')) AS vid FROM pages) a"""),
     "inventory": ([], """
-SELECT DISTINCT concat('https://www.youtube.com/watch?v=vid_', lpad(CAST(page_id % 100 AS VARCHAR), 5, '0')) AS key
-FROM pages WHERE page_id % 100 < 30"""),
+SELECT DISTINCT concat('https://www.youtube.com/watch?v=vid_', lpad(CAST(page_id // 3 AS VARCHAR), 5, '0')) AS key
+FROM pages WHERE (page_id // 3) % 10 < 3"""),
+    "crowded_sections": (["sections"], """
+SELECT * REPLACE (floor(start_time / 60) * 60 AS start_time) FROM sections"""),
+    "flawed_segments": (["segments"], """
+SELECT video_id, pos, CASE WHEN (video_id + pos) % 11 <> 0 THEN start_s END AS start_s,
+       CASE WHEN (video_id + pos) % 13 <> 0 THEN end_s END AS end_s, CASE WHEN (video_id + pos) % 17 <> 0 THEN text END AS text
+FROM segments"""),
+    "flawed_responses": (["llm_responses"], """
+SELECT video_id, CASE video_id % 6 WHEN 1 THEN 'gemini' WHEN 2 THEN NULL ELSE backend END AS backend FROM llm_responses"""),
+    "flawed_results": (["image_results"], """
+SELECT video_id, section_index, status_code, CASE WHEN (video_id + section_index) % 9 = 4 THEN 'midjourney' ELSE backend END AS backend
+FROM image_results"""),
     "sections": (["segments"], """
 SELECT video_id, section_index, start_time, end_time,
        CASE WHEN (video_id + section_index) % 11 = 0 THEN repeat('x', 4100)
@@ -52,9 +70,10 @@ SELECT video_id, section_index, start_time AS timestamp_s,
        CASE section_index % 3 WHEN 0 THEN 'aGVsbG8=' WHEN 1 THEN 'd29ybGQ=' ELSE '***' END AS image_b64
 FROM sections"""),
     "llm_responses": ([], """
+SELECT video_id, backend, content FROM (
 SELECT video_id,
        CASE CAST(floor(video_id / 9) AS INT) % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'ollama' END AS backend,
-       CASE video_id % 9
+       CASE video_id % 13
          WHEN 0 THEN body
          WHEN 1 THEN arr
          WHEN 2 THEN concat('Here:', chr(10), '```json', chr(10), body, chr(10), '```', chr(10), 'Done.')
@@ -63,12 +82,26 @@ SELECT video_id,
          WHEN 5 THEN concat(body, ' junk')
          WHEN 6 THEN 'not json'
          WHEN 7 THEN '{"title": "x"}'
-         ELSE '{"sections": null}' END AS content
-FROM (SELECT video_id, arr, concat('{"sections": ', arr, '}') AS body
-      FROM (SELECT DISTINCT conv_id AS video_id,
-                   concat('[{"start_time": 0.0, "end_time": 1.5, "image_prompt": "p', CAST(conv_id AS VARCHAR),
-                          '", "sentiment": "neutral", "visual_style": "cinematic"}]') AS arr
-            FROM conversations) a) b"""),
+         WHEN 8 THEN '{"sections": null}'
+         WHEN 9 THEN concat('[', item, ', "oops", ', item, ']')
+         WHEN 10 THEN '{"sections": "[1]"}'
+         WHEN 11 THEN '[1, 2]'
+         ELSE '{"sections": []}' END AS content
+FROM (SELECT video_id, item, arr, concat('{"sections": ', arr, '}') AS body
+      FROM (SELECT video_id, item, concat('[', item, ']') AS arr
+            FROM (SELECT conv_id AS video_id,
+                         to_json({'start_time': CAST(0 AS DOUBLE), 'end_time': CAST(1.5 AS DOUBLE), 'transcript_text': arg_min(text, turn),
+                                  'image_prompt': 'p' || CAST(conv_id AS VARCHAR), 'sentiment': 'neutral',
+                                  'visual_style': 'cinematic'})::VARCHAR AS item
+                  FROM conversations GROUP BY conv_id) i) a) b) c
+UNION ALL
+SELECT DISTINCT conv_id + 1000000000,
+       CASE CAST(floor(conv_id / 9) AS INT) % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'ollama' END, 'not json'
+FROM conversations"""),
+    "scenes": (["segments"], """
+SELECT video_id, CAST(floor(pos / 3) AS INT) AS section_index, min(start_s) AS start_time, max(end_s) AS end_time,
+       arg_min(text, pos) AS transcript_text
+FROM segments GROUP BY 1, 2"""),
     "doc_segments": ([], """
 SELECT video_id, pos, text,
        CAST(cum - dur - gap AS DOUBLE) / 1000 AS start_s, CAST(cum - gap AS DOUBLE) / 1000 AS end_s
@@ -123,7 +156,7 @@ def vtt_clock(t: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '{STRIP_PATTERN}', '', 'g')"
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def one_decimal(x: str) -> str:
@@ -136,11 +169,16 @@ def timeline_line(start: str, end: str, text: str) -> str:
 
 
 def canonical_url(u: str) -> str:
-    shorts = f"nullif(regexp_extract({u}, '{SHORTS_PATTERN}', 1), '')"
-    host_id = (f"CASE WHEN regexp_extract({u}, '{NETLOC_PATTERN}', 1) = 'youtu.be' THEN "
-               f"nullif(regexp_replace(regexp_extract({u}, '{PATH_PATTERN}', 1), '^/+', ''), '') END")
-    v = (f"url_decode(replace(nullif(regexp_extract(regexp_extract({u}, '{QUERY_PATTERN}', 1), "
-         f"'{V_PARAM_PATTERN}', 1), ''), '+', ' '))")
+    """Address forms, taken apart with string functions."""
+    address = f"split_part({u}, '#', 1)"
+    query = f"substr({address}, nullif(instr({address}, '?'), 0) + 1)"
+    rest = f"split_part(split_part({address}, '?', 1), '//', 2)"
+    shorts = f"nullif(regexp_extract({u}, 'youtu(?:be[.]com|[.]be)/shorts/([[:alnum:]_-]{{5,}})', 1), '')"
+    host_id = (f"CASE WHEN split_part({rest}, '/', 1) = 'youtu.be' THEN "
+               f"nullif(ltrim(substr({rest}, length('youtu.be') + 1), '/'), '') END")
+    raw = (f"list_filter(list_transform(list_filter(string_split({query}, '&'), lambda p: starts_with(p, 'v=') OR starts_with(p, '%76=')), "
+           f"lambda p: substr(p, instr(p, '=') + 1)), lambda p: p <> '')[1]")
+    v = f"url_decode(replace({raw}, '+', ' '))"
     w = "'https://www.youtube.com/watch?v='"
     return (f"CASE WHEN {shorts} IS NOT NULL THEN {w} || {shorts} "
             f"WHEN {host_id} IS NOT NULL THEN {w} || {host_id} "
@@ -190,7 +228,9 @@ def classified(responses: str = "llm_responses") -> str:
 SELECT video_id, backend, {model} AS model, t, status,
        CASE WHEN status <> 'parsed' THEN NULL
             WHEN kind = 'OBJECT' THEN json_transform(t, '{{"sections": [{SECTION_JSON_STRUCT}]}}').sections
-            ELSE json_transform(t, '[{SECTION_JSON_STRUCT}]') END AS sections
+            ELSE json_transform(t, '[{SECTION_JSON_STRUCT}]') END AS sections,
+       CASE WHEN status = 'parsed' THEN list_transform(CASE WHEN kind = 'OBJECT' THEN json_extract(t, '$.sections[*]') ELSE json_extract(t, '$[*]') END,
+                                                       lambda x: json_type(x)) END AS kinds
 FROM (SELECT *,
              CASE WHEN ok AND kind = 'OBJECT' AND list_contains(json_keys(t), 'sections') THEN
                        CASE WHEN json_type(t, '$.sections') = 'ARRAY' THEN 'parsed'

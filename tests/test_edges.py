@@ -102,9 +102,8 @@ def test_hot_video_matches_brute_force(spark):
     frames = (segs.filter(F.col("pos") % 7 == 3)
                   .select("video_id", F.col("pos").alias("section_index"), F.col("start_s").alias("timestamp"),
                           F.concat(F.lit("f"), F.col("pos").cast("string")).alias("frame_file")))
-    iv = intervals.frame_intervals(frames, width=30.0)
     at = {(r.video_id, r.pos): r.frame_section_index
-          for r in intervals.frame_at(segs.select("video_id", "pos", "start_s"), iv, "start_s", width=30.0).collect()}
+          for r in intervals.frame_at(segs.select("video_id", "pos", "start_s"), frames, "start_s", width=30.0).collect()}
     by_video = {}
     for p in rows:
         if p.pos % 7 == 3:
@@ -157,5 +156,44 @@ def test_asof_with_frames_at_equal_times(spark):
     pts = spark.createDataFrame([(1, p, float(t)) for p, t in enumerate([0.0, 5.0, 10.0, 12.0])],
                                 "video_id long, pos int, start_s double")
     got = {r.pos: r.frame_section_index for r in
-           intervals.frame_at(pts, intervals.frame_intervals(frames), "start_s").collect()}
+           intervals.frame_at(pts, frames, "start_s").collect()}
     assert got == {0: 49, 1: 49, 2: 50, 3: 50}      # the later section at a shared time is the one on screen
+
+
+def test_corrupt_times_do_not_stop_the_range_join(spark):
+    """Times far out of range, endless and missing: the same pairs as the plain predicate."""
+    secs = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 10.0, 1e12), (1, 2, -5e11, float("inf")), (1, 3, None, 5.0), (1, 4, 5.0, float("nan")),
+                                  (2, 0, 0.0, 8000.0)], "video_id long, section_index int, start_time double, end_time double")
+    segs = spark.createDataFrame([(v, p, 3.0 * p, 3.0 * p + 2.0, f"t{p}") for v in (1, 2) for p in range(9)]
+                                 + [(1, 9, 20.0, 1e12, "long"), (1, 10, 1e11, 1e11 + 1, "far"), (2, 9, 7000.0, 7000.5, "late")],
+                                 "video_id long, pos int, start_s double, end_s double, text string")
+    rows = segs.collect()
+    for r in intervals.section_segments(secs, segs, 30.0).collect():
+        known = r.start_time is not None and not math.isnan(r.end_time)
+        assert r.num_segments == sum(g.video_id == r.video_id and known and g.start_s < r.end_time and g.end_s > r.start_time for g in rows)
+
+
+def test_numbers_do_not_need_dense_positions(spark):
+    rows = [(1, p, 1.0 * k, k + 0.9, f"t{k}") for k, p in enumerate([600, 601, 5000, 9000, 9001])]
+    segs = spark.createDataFrame(rows, "video_id long, pos int, start_s double, end_s double, text string")
+    assert [r.cue_index for r in sorted(captions.srt_cues(segs).collect(), key=lambda r: r.pos)] == [1, 2, 3, 4, 5]
+    assert [(r.num_segments, r.transcript_text) for r in prompts.rule_sections(segs).collect()] == [(5, "t0 t1 t2 t3 t4")]
+    assert sorted(r.num_segments for r in prompts.rule_sections(segs, max_chars=4).collect()) == [1, 2, 2]
+    secs = segs.select("video_id", F.col("pos").alias("section_index"), F.col("start_s").alias("start_time"), F.col("end_s").alias("end_time"),
+                       F.col("text").alias("image_prompt"), F.lit("").alias("visual_style"))
+    res = secs.select("video_id", "section_index", F.lit(200).alias("status_code"))
+    assert sorted(r.attempted for r in images.progress(secs, res).collect()) == [1, 2, 3, 4, 5]
+    assert [r.more_sections for r in images.preview(secs).collect()] == [2, 2, 2]
+
+
+def test_sections_of_two_text_backends_stay_apart(spark):
+    secs = spark.createDataFrame([(1, t, "m", i, float(i), "p" + t, "") for t in ("a", "b") for i in range(2)],
+                                 "video_id long, text_backend string, text_model string, section_index int, start_time double, "
+                                 "image_prompt string, visual_style string")
+    res = spark.createDataFrame([(1, t, "m", i, b, 200) for t in ("a", "b") for i in range(2) for b in ("openai", "diffusers")],
+                                "video_id long, text_backend string, text_model string, section_index int, backend string, status_code int")
+    rec = images.image_records(secs, res)
+    assert rec.count() == 8 and {r.prompt for r in rec.where("text_backend = 'a'").collect()} == {"pa"}
+    docs = images.manifest(secs, res).collect()
+    assert sorted((d.text_backend, d.backend, d.num_images) for d in docs) == [
+        (t, b, 2) for t in ("a", "b") for b in ("diffusers", "openai")]

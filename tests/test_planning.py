@@ -1,4 +1,4 @@
-"""Planning rules with the original tool's literal cases (free space, batch results, force)."""
+"""Planning rules: free space, batch results and outcomes, force."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ def _requests(spark, rows):
     return spark.createDataFrame(rows, "batch_id long, pos int, name string")
 
 
-@pytest.mark.parametrize("free,need,ok", [(100.0, 10.0, True), (5.0, 10.0, False), (11.0, 10.0, True),
-                                          (10.0, 10.0, False), (None, 10.0, True)])
+@pytest.mark.parametrize("free,need,ok", [(50.5, 2.25, True), (1.5, 0.75, False), (4.25, 3.25, True), (4.2, 3.25, False),
+                                          (0.0, 0.0, False), (None, 900.0, True)])
 def test_free_space_rule(spark, free, need, ok):
     # one batch whose only model has the given size: fake it through a literal catalogue-sized request
     b = _batches(spark, [(1, False, False, free)])
@@ -47,6 +47,18 @@ def test_batch_results_cases(spark):
     assert skip[5] == "ok"
 
 
+def test_outcomes_split_a_batch(spark):
+    b = _batches(spark, [(1, False, False, None), (2, False, False, None), (3, False, False, None)])
+    r = _requests(spark, [(1, 0, "tiny"), (1, 1, "base"), (1, 2, "small"), (2, 0, "tiny"), (2, 1, "nope"), (3, 0, "base")])
+    present = spark.createDataFrame([("models--Systran--faster-whisper-base",)], "key string")
+    told = spark.createDataFrame([(1, 0, False), (1, 1, False), (1, 2, True), (2, 0, True)], "batch_id long, pos int, ok boolean")
+    res = {x.batch_id: x for x in planning.batch_results(b, planning.model_plan(spark, b, r, present), outcomes=told).collect()}
+    assert (res[1].successful, res[1].failed) == (["base", "small"], ["tiny"])       # base was there, nothing was downloaded
+    assert 0 < res[1].success_rate < 100 and res[1].any_success
+    assert (res[2].successful, res[2].failed, res[2].any_success) == ([], ["tiny", "nope"], False)
+    assert res[3].success_rate == 100.0
+
+
 def test_force_and_present(spark):
     b = _batches(spark, [(1, False, False, None), (2, False, True, None)])
     r = _requests(spark, [(1, 0, "tiny"), (2, 0, "tiny")])

@@ -23,8 +23,18 @@ def test_url_queries_never_read_html(spark):
         assert "pages.parquet" in p and "html" not in "".join(re.findall(r"ReadSchema: struct<[^>]*>", p))
 
 
-def test_fallback_text_bound_is_pushed_to_the_scan(spark):
-    assert "LessThan(pos,500)" in _plan(spark, "parsed_sections")
+def _exchanges(spark, name):
+    """Exchanges of the plan that ran, and broadcasts among its joins."""
+    df = E.queries()[name](spark, SF01)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (?:hash|range|Single)", plan))
+
+
+def test_exchange_counts(spark):
+    assert _exchanges(spark, "word_timeline") == 0
+    assert _exchanges(spark, "frame_intervals") <= 10
+    assert _exchanges(spark, "frame_asof") <= 14
 
 
 def test_running_sums_and_lead_are_blocked(spark):
@@ -43,9 +53,8 @@ def test_running_sums_and_lead_are_blocked(spark):
 
 
 def test_explicit_broadcasts_are_fixed_size_tables(spark):
-    # only the 5-row model catalogue (and the present folders cut to it) and the 3-row price list
-    # carry a broadcast hint
+    # only the 5-row model catalogue (and the present folders cut to it) carry a broadcast hint
     import inspect
     from reelflow.operators import images, planning
     src = inspect.getsource(planning) + inspect.getsource(images)
-    assert re.findall(r"F\.broadcast\((\w+)", src) == ["cat", "cat_dirs", "have", "prices"]
+    assert re.findall(r"F\.broadcast\((\w+)", src) == ["cat", "cat_dirs", "have"]
