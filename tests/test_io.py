@@ -4,7 +4,9 @@ import csv
 import glob
 import json
 import os
+import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelflow.operators import captions, images, responses
@@ -16,7 +18,7 @@ from tests.conftest import SF001
 def test_aligned_json_roundtrip(spark, tmpdir_fresh):
     segs = views.segments(spark, SF001)
     docs = writers.aligned_documents(segs)
-    out = os.path.join(tmpdir_fresh, "aligned")
+    out = os.path.join(tempfile.mkdtemp(prefix="reelflow-test-"), "aligned")
     # one document per file, named like the original tool's output
     for r in docs.orderBy("video_id").limit(3).collect():
         with open(os.path.join(tmpdir_fresh, f"v{r.video_id}.aligned.json"), "w", encoding="utf-8") as f:
@@ -84,7 +86,7 @@ def test_prompts_and_manifest_layout(spark, tmpdir_fresh):
     parsed = responses.parsed_sections(views.llm_responses(spark, SF001), views.segments(spark, SF001))
     docs = writers.prompts_documents(parsed, generated_at="2024-01-01T00:00:00")
     writers.write_prompts(docs, os.path.join(tmpdir_fresh, "prompts"))
-    assert glob.glob(os.path.join(tmpdir_fresh, "prompts", "video_name=*", "model=*", "*.json"))
+    assert glob.glob(os.path.join(tmpdir_fresh, "prompts", "video=*", "by=*", "*.json"))
     m = images.manifest(secs, views.image_results(spark, SF001, secs), generated_at="2024-01-01T00:00:00")
     writers.write_manifest(m, os.path.join(tmpdir_fresh, "manifest"))
     n = spark.read.json(os.path.join(tmpdir_fresh, "manifest")).count()
@@ -132,7 +134,7 @@ def test_csv_quotes_newlines_and_utf8_json(spark, tmpdir_fresh):
     assert got == sorted((s, e, t.strip()) for _, _, s, e, t in rows)
     jout = os.path.join(tmpdir_fresh, "aligned")
     writers.write_aligned_json(writers.aligned_documents(segs), jout)
-    raw = "".join(open(p, encoding="utf-8").read() for p in glob.glob(os.path.join(jout, "*.json")))
+    raw = "".join(open(p, encoding="utf-8").read() for p in glob.glob(os.path.join(jout, "video=*", "*.json")))
     assert "héllo, wörld 🎬" in raw and '"language":"en"' in raw
 
 
@@ -189,3 +191,31 @@ def test_manifest_for_video_without_sections(spark):
     m = {r.video_id: r for r in images.manifest(secs, res, videos=vids).collect()}
     assert m[2].num_images == 0 and m[2].images == []
     assert m[1].num_images == 1 and m[1].images[0].timestamp == 0.5     # the section's own start time
+
+
+def test_writers_and_readers_meet(spark, tmpdir_fresh):
+    """All documents of a table come back, names and word timing included; a rewrite of one video leaves the others."""
+    from reelflow.operators.timeline import explode_segments
+    words = [{"word": "hi", "start": 0.1, "end": 0.4, "score": 0.9}]
+    rows = [(v, p, float(p), p + 0.5, f"t{p} é", [(w["word"], w["start"], w["end"], w["score"]) for w in words]) for v in ("a", "b", "c") for p in range(3)]
+    segs = spark.createDataFrame(rows, "video_id string, pos int, start_s double, end_s double, text string, "
+                                       "words array<struct<word:string,start:double,end:double,score:double>>")
+    writers.write_aligned_json(writers.aligned_documents(segs), tmpdir_fresh)
+    back = explode_segments(files.read_transcripts(spark, tmpdir_fresh, layout="table"), words=True)
+    assert sorted(back.collect()) == sorted(segs.collect())
+    writers.write_aligned_json(writers.aligned_documents(segs.where("video_id = 'b' and pos = 0")), tmpdir_fresh)
+    docs = {r.video_id: len(r.segments) for r in files.read_transcripts(spark, tmpdir_fresh, layout="table").collect()}
+    assert docs == {"a": 3, "b": 1, "c": 3}
+    with pytest.raises(ValueError):
+        writers.write_aligned_json(writers.aligned_documents(segs), tmpdir_fresh, partition_by=[])
+
+
+def test_stage_sees_a_file_added_to_a_folder(spark, tmpdir_fresh):
+    from reelflow.sources.stage import stage_table
+    folder = os.path.join(tmpdir_fresh, "in", "k=1")
+    spark.range(5).write.parquet(os.path.join(folder, "a"))
+    read = lambda: stage_table(spark, "grows", [os.path.join(tmpdir_fresh, "in")],
+                               lambda: spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(tmpdir_fresh, "in")))
+    assert read().count() == 5
+    spark.range(7).write.parquet(os.path.join(folder, "b"))
+    assert read().count() == 12

@@ -61,4 +61,4 @@ def test_end_to_end_from_transcript_files(spark, tmpdir_fresh):
     assert got["talk"].status == "parsed" and got["talk"].image_prompt == "stub talk"
     m = spark.read.json(os.path.join(out, "manifest")).collect()
     assert {r.video_name for r in m} == {"talk", "empty"}
-    assert glob.glob(os.path.join(out, "prompts", "video_name=*", "model=*", "*.json"))
+    assert glob.glob(os.path.join(out, "prompts", "video=*", "by=*", "*.json"))
