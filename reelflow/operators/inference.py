@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from reelflow.session import ship_package
 
@@ -124,6 +124,8 @@ def text_udf(generator: str, batch_size: int = 64, **options):
     from pyspark.sql.types import StringType
 
     cls = _lookup(TEXT_GENERATORS, generator, "text")
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship_package(spark)
 
     def make_predict_fn():
         gen = cls(**options)                       # once per worker process

@@ -27,3 +27,19 @@ def test_predict_batch_udf_form(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(1, 13)], "video_id long, prompt string")
     out = {r.video_id: r.content for r in df.withColumn("content", udf("video_id", "prompt")).collect()}
     assert out[7] is None and '"n_chars": 8' in out[8]
+
+
+def test_named_videos_keep_their_names(spark):
+    udf = inference.text_udf("stub")
+    if udf is None:
+        pytest.skip("pyspark.ml not importable")
+    df = spark.createDataFrame([("talk", "x"), ("7", "yy")], "video_id string, prompt string")
+    out = {r.video_id: r.content for r in df.withColumn("content", udf("video_id", "prompt")).collect()}
+    assert '"stub talk"' in out["talk"] and '"n_chars": 2' in out["7"]
+
+
+def test_callers_do_not_depend_on_earlier_partitions(spark):
+    df = spark.createDataFrame([(i, "openai", "m", "x") for i in range(1, 7)],
+                               "video_id long, backend string, model string, prompt string").coalesce(1)
+    out = inference.generate_text(df, "stub", num_partitions=3)
+    assert out.rdd.getNumPartitions() == 3 and out.count() == 6
