@@ -1,21 +1,30 @@
 """Connected components of near-duplicates from hash buckets, without listing a bucket's pairs.
 
 Input: ids with their band keys, where ids that share a key are candidates, and
-a function that verifies candidate pairs exactly.
-
-1. A bucket's members are paired with one of them, the one that shares buckets
-   with most others, and the pairs are verified: as many pairs as members.
-2. Components of the links found so far are joined up.  A bucket whose members
-   are all in one component is done.
-3. In the other buckets, only members outside the bucket's largest component are
-   paired with the members of other components, and of those pairs only the
-   ones whose signatures are close enough (a join condition) and that share no
-   earlier key.  Verified links join up the rest.
-
-So each candidate pair is either verified, or already connected, or ruled out by
-its signature; no bucket is cut.  All of it is joins and partial aggregates on
-bucket keys and ids, which Spark may split where one is hot; every round is a
-table in the shared folder.
+the full set behind each id. Two ids are linked where their sets' Jaccard
+similarity is at least ``percent`` / 100.
+
+1. A bucket's centre is the member that shares buckets with most others. Every
+   other member is measured against it on the full sets: their sizes, what they
+   have in common, and the member's rest, its elements that the centre lacks.
+   That makes as many pairs as members. Links to centres give components.
+2. Centres that turned out connected give way to one hub, the one that shares
+   most buckets, and the members of all their buckets are measured against it
+   where they were not. A member that is not in its hub's component is an outer
+   one. Whatever links it to another member y of the hub that is not in its own
+   component has to be found. The two have at most
+       min(common(x), common(y)) + (elements that the rests of x and y share)
+   elements in common. So only two kinds of pairs can be linked: those for which
+   the first term alone is enough, found by an equi join on the hub and a band of
+   set sizes, and those whose rests share as much as is needed, found by an equi
+   join on the hub and the first elements of the rests, as many as make sure
+   that such a pair meets; what their rests share is then counted.
+3. The few pairs that pass are confirmed on the full sets and join up the rest.
+
+So each candidate pair is measured, already connected, or ruled out by the bound:
+nothing is lost, and no bucket is cut. All of it is joins and partial aggregates
+on keys and ids, which Spark may split where one is hot; each step is a table in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -25,7 +34,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.shared import written
+from reelflow.llm.shared import discard, written
 
 
 def connected(links: DataFrame, name: str = "links") -> DataFrame:
@@ -48,7 +57,8 @@ def connected(links: DataFrame, name: str = "links") -> DataFrame:
         small = (large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                               F.col("m").alias("v")).where("u <> v").distinct())
         round_ += 1
-        edges = written(small, f"{name}-{round_}")
+        last, edges = edges, written(small, f"{name}-{round_}")
+        discard(last)
         now = state(edges)
         if now == before:
             break
@@ -58,17 +68,20 @@ def connected(links: DataFrame, name: str = "links") -> DataFrame:
         stars.select(F.col("component").alias("id"), "component").distinct())
 
 
-def label(bands: DataFrame, components: DataFrame) -> DataFrame:
-    """``bands`` with each id's component so far, its own id where it has none."""
-    return bands.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+SIZE_STEP = 1.05                                        # sets of sizes within this factor share a band of sizes
 
 
-def link_components(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], close: Callable[[str, str], Column],
-                    name: str) -> DataFrame:
+def size_band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)))
+
+
+def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[Column], Column], percent: int, name: str,
+                    close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) for ids linked to another id.
 
-    signatures: id (bigint), band_keys (array<bigint>, one key per band in the same order; null where a band does not
-    apply) and what ``close`` compares.  verify: (a, b) -> the same pairs where linked.
+    signatures: id (bigint) and band_keys (array<bigint>; null where a band does not apply). sets: id and ``content``,
+    from which ``elements`` makes the set as an array of numbers, for every id that shares a key. close: (a, b) -> the
+    pairs that a cheaper estimate leaves; for those the full sets decide.
     """
     bands = signatures.select("id", F.explode("band_keys").alias("key")).where("key is not null").select("key", "id")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -76,26 +89,79 @@ def link_components(signatures: DataFrame, verify: Callable[[DataFrame], DataFra
     weight = bands.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = (bands.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("top"))
               .select("key", F.col("top.id").alias("centre")))
-    pairs = (bands.join(centre, "key").where("id <> centre")
-             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-    links = written(verify(pairs), f"{name}-star")
+    pairs = bands.join(centre, "key").where("id <> centre").select("id", "centre").distinct()
+    own = sets.select("id", F.col("content").alias("x"))
+    other = sets.select(F.col("id").alias("centre"), F.col("content").alias("y"))
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(own, "id").join(other, "centre")
+                .select("id", "centre", elements(F.col("x")).alias("x"), elements(F.col("y")).alias("y"))
+                .select("id", "centre", F.size("x").cast("bigint").alias("n"), F.size("y").cast("bigint").alias("n_centre"),
+                        F.array_except("x", "y").alias("rest"))
+                .withColumn("common", F.col("n") - F.size("rest")))
+
+    star = written(measure(pairs), f"{name}-star")
+    near = F.expr(f"100 * common >= {percent} * (n + n_centre - common)")
+    links = written(star.where(near).select(F.col("id").alias("a"), F.col("centre").alias("b")), f"{name}-links")
     parts = connected(links, f"{name}-first")
 
-    # buckets whose members are in several components
-    marked = label(bands.select("key", "id"), parts)
-    open_keys = (marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo <> hi").select("key"))
-    marked = written(marked.join(open_keys, "key"), f"{name}-open")
-    groups = marked.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = groups.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top")).select(
-        "key", F.col("top.component").alias("largest"))
-    known = marked.join(signatures, "id").join(largest, "key")
-    x, y = known.where("component <> largest").alias("x"), known.alias("y")
-    # a pair of two outer members comes once, from its larger id, and any pair only in the first key it shares
-    cross = (x.join(y, F.expr("x.key = y.key and x.component <> y.component and (y.component = y.largest or x.id > y.id)")
-                    & close("x", "y")
-                    & F.expr("x.key = get(filter(zip_with(x.band_keys, y.band_keys, (p, q) -> if(p = q, p, null)), "
-                             "p -> p is not null), 0)"))
-             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    more = written(verify(cross), f"{name}-cross")
-    return connected(links.unionAll(more), f"{name}-all")
+    def part(id_col: str, as_col: str) -> DataFrame:
+        return parts.select(F.col("id").alias(id_col), F.col("component").alias(as_col))
+
+    # one hub for all centres of a component; members of the hubs that have outer ones
+    seen = (star.select("id", "centre").join(part("id", "part"), "id", "left").join(part("centre", "hub_part"), "centre", "left")
+            .withColumns({"part": F.coalesce("part", "id"), "hub_part": F.coalesce("hub_part", "centre")}))
+    hubs = (seen.select("centre", "hub_part").distinct().join(weight.withColumnRenamed("id", "centre"), "centre")
+            .groupBy("hub_part").agg(F.max(F.struct("weight", "centre")).alias("top"))
+            .select("hub_part", F.col("top.centre").alias("hub")))
+    # only hubs with an outer member and a second member of another component have pairs to find
+    members = seen.join(hubs, "hub_part").where("id <> hub").groupBy("hub", "hub_part", "id", "part").agg(
+        F.bool_or(F.col("centre") == F.col("hub")).alias("known"))
+    several = (members.groupBy("hub").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.bool_or(F.col("part") != F.col("hub_part")).alias("any"))
+               .where("lo <> hi and any").select("hub"))
+    members = written(members.join(several, "hub"), f"{name}-members")
+    anew = measure(members.where("not known").select("id", F.col("hub").alias("centre")))
+    both = star.unionAll(anew.select(*star.columns))
+    marked = (members.join(both, (members["id"] == both["id"]) & (members["hub"] == both["centre"]))
+              .select(members["hub"].alias("centre"), members["id"], "part", (F.col("part") != F.col("hub_part")).alias("outer"),
+                      "n", "n_centre", "common", "rest"))
+    marked = written(marked, f"{name}-open")
+    discard(star, members)
+    outer, total, whole = marked.where("outer"), 100 + percent, percent
+    # a pair of two outer members comes once, from its larger id
+    distinct_parts = F.expr("x.part <> y.part and (not y.outer or x.id > y.id)")
+    most = F.floor(F.col("common") * total / whole) - F.col("n")           # sizes of y for which the common part may be enough
+    least = F.ceil(F.col("n") * whole / 100)
+    sized = (outer.select("centre", "id", "part", "n", "common", least.alias("least"), most.alias("most")).where("least <= most")
+             .withColumn("band", F.explode(F.sequence(size_band(F.col("least")), size_band(F.col("most"))))).alias("x"))
+    enough = (sized.join(marked.withColumn("band", size_band(F.col("n"))).alias("y"),
+                         F.expr(f"x.centre = y.centre and x.band = y.band and y.n between x.least and x.most "
+                                f"and {total} * y.common >= {whole} * (x.n + y.n)") & distinct_parts)
+              .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    # a linked pair has at least ``percent`` of each set in common, so at least ``needed`` elements of each rest, so one of
+    # the first (rest - needed + 1) of each in any common order
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * whole / 100) - F.col("common"))
+    first = F.slice(F.sort_array("rest"), F.lit(1), F.greatest(F.lit(0), F.size("rest") - needed + 1).cast("int"))
+    held = (marked.select("centre", "id", "part", "outer", F.explode_outer(first).alias("element")).where("element is not null")
+            .select(F.xxhash64("centre", "element").alias("spot"), "id", "part", "outer"))
+    mixed = (held.groupBy("spot").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.bool_or("outer").alias("any"))
+             .where("lo <> hi and any").select("spot"))
+    held = held.join(mixed, "spot")
+    meet = (held.where("outer").alias("x").join(held.alias("y"), F.expr("x.spot = y.spot") & distinct_parts)
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    side = lambda as_col: marked.select("centre", F.col("id").alias(as_col), F.struct("n", "common", "rest").alias(f"of_{as_col}"))
+    counted = (meet.join(side("a"), "a").join(side("b"), ["centre", "b"])
+               .withColumn("more", F.size(F.array_intersect("of_a.rest", "of_b.rest")).cast("bigint"))
+               .where(f"{total} * (least(of_a.common, of_b.common) + more) >= {whole} * (of_a.n + of_b.n)").select("a", "b"))
+    both = enough.unionAll(counted).distinct()
+    if close is not None:
+        both = close(both)
+    full = (both.join(sets.select(F.col("id").alias("a"), F.col("content").alias("x")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("content").alias("y")), "b")
+            .select("a", "b", elements(F.col("x")).alias("x"), elements(F.col("y")).alias("y"))
+            .withColumn("common", F.size(F.array_intersect("x", "y")).cast("bigint")))
+    more = written(full.where(f"100 * common >= {whole} * (size(x) + size(y) - common)").select("a", "b"), f"{name}-cross")
+    to_hubs = marked.where("outer").where(near).select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    parts = connected(links.unionAll(to_hubs).unionAll(more), f"{name}-all")
+    discard(bands, links, marked, more)
+    return parts

@@ -3,17 +3,18 @@ r"""Fuzzy line de-duplication by MinHash, in DataFrame functions alone.
 Lines are the parts of a text between line ends that hold a word; they are
 compared trimmed and in lower case.  Equal lines are one candidate.  The set of
 a line are its distinct five-character shingles; lines are linked where the
-Jaccard similarity of these full sets is at least ``similarity``, and one line
+Jaccard similarity of these full sets is at least ``percent`` / 100, and one line
 per connected component stays: the first by (doc_id, line number).
 
 Signatures come from shingles as rows: every shingle has one 64-bit hash, and
 the minimum of ``hash xor mask`` over a line's shingles, one mask per column,
 picks a shingle by the bits where the mask points.  ``ROWS`` minima make a band
-key.  Lines of up to ``SHORT`` characters take the shingles at all places; all
-lines take those of eight characters that begin a word, a choice by content that
-two similar lines make alike, so that a long line costs a row per word and not
-per character.  A line that is short enough has both kinds of band, so a short
-and a long line of a pair still meet.
+key.  Lines of up to ``SHORT`` characters, or of at most ``FEW`` distinct words,
+have the shingles at all places; lines of ``LONG`` characters and more have
+those from the start of a word to the end of the next one, a choice by content
+that two similar lines make alike, so that a long line costs a row per word and
+not per character.  Lines between have both kinds of band, so that a
+shorter and a longer line of a pair still meet.
 
 Links and components come from ``components.link_components``: a bucket gives as
 many pairs as members, never all pairs, and no bucket is cut.
@@ -31,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.llm.components import link_components
-from reelflow.llm.shared import id_and_text, written
+from reelflow.llm.shared import discard, id_and_text, written
 
 WIDTH = 5
-SHORT = 120
+LONG, SHORT, FEW = 80, 120, 12
 BANDS, ROWS = 12, 3
 MASKS = [((k * 0x9E3779B97F4A7C15) ^ (k << 58)) & (1 << 64) - 1 for k in range(BANDS * ROWS)]
 
@@ -55,70 +56,77 @@ def lines_of(docs: DataFrame) -> DataFrame:
             .withColumn("line", comparable(F.col("line"))).withColumn("line_id", F.xxhash64("line")))
 
 
+def shingles(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
+
+
 def all_shingles(line: Column) -> Column:
-    """Distinct shingles of a line; the line itself where it is shorter than one."""
-    return F.when(F.char_length(line) < WIDTH, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))))
+    """Numbers of the distinct shingles of a line; of the line itself where it is shorter than one."""
+    parts = F.when(F.char_length(line) < WIDTH, F.array(line)).otherwise(shingles(line))
+    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
 def band_keys(distinct: DataFrame) -> DataFrame:
-    """id and its band keys: BANDS of word-start shingles, then BANDS of all shingles (null for long lines)."""
-    short = F.char_length("line") <= SHORT
-    starts = F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit("(?s) (?=(.{8}))"), F.lit(1))
-    starts = F.when(F.size(starts) > 0, starts).otherwise(F.array("line"))
-    kinds = F.concat(
-        F.array(F.struct(F.lit(0).alias("kind"), starts.alias("parts"))),
-        F.when(short, F.array(F.struct(F.lit(1).alias("kind"), all_shingles(F.col("line")).alias("parts")))).otherwise(
-            F.array().cast("array<struct<kind:int,parts:array<string>>>")))
-    rows = (distinct.select("line_id", F.inline(kinds)).select("line_id", "kind", F.explode("parts").alias("part"))
-            .select("line_id", "kind", F.xxhash64("part").alias("h")))
-    minima = rows.groupBy("line_id", "kind").agg(
+    """line_id, first, kind and keys: ``BANDS`` of word-start shingles (kind 0) and, for short lines, of all (kind 1).
+
+    ``distinct`` is dealt by ``line_id``, so the shingle rows of a line meet where they are made.
+    """
+    size = F.char_length("line")
+    split = distinct.select("line_id", "first", "line", F.split("line", " ").alias("words"))        # once a line
+    short = F.when(size <= SHORT, True).otherwise(F.size(F.array_distinct("words")) <= FEW)
+    long = size >= LONG
+    short_parts = F.when(size < WIDTH, F.array("line")).otherwise(shingles(F.col("line")))
+
+    def parts(words: Column, following: Column, kind: int) -> Column:
+        return F.arrays_zip(words.alias("w"), following.alias("next"), F.array_repeat(F.lit(kind), F.size(words)).alias("kind"))
+
+    none = F.array().cast("array<struct<w:string,next:string,kind:int>>")
+    both = F.concat(
+        F.when(long, parts(F.col("words"), F.slice("words", 2, F.size("words")), 0)).otherwise(none),
+        F.when(short, parts(short_parts, F.array_repeat(F.lit(None).cast("string"), F.size(short_parts)), 1)).otherwise(none))
+    # every line has a part; the outer form keeps Spark from making the parts twice to look for lines without any
+    rows = (split.select("line_id", "first", F.explode_outer(both).alias("part"))
+            .select("line_id", "first", "part.kind", F.xxhash64("part.w", "part.next").alias("h")))
+    minima = rows.groupBy("line_id", "first", "kind").agg(
         *[F.min(F.col("h").bitwiseXOR(F.lit(signed(m)))).alias(f"m{k}") for k, m in enumerate(MASKS)])
     keys = F.array(*[F.xxhash64(F.lit(b), "kind", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    none = F.array_repeat(F.lit(None).cast("bigint"), BANDS)
-    return (minima.select("line_id", "kind", keys.alias("keys")).groupBy("line_id")
-            .agg(F.max(F.when(F.col("kind") == 0, F.col("keys"))).alias("starts"),
-                 F.max(F.when(F.col("kind") == 1, F.col("keys"))).alias("all"))
-            .select(F.col("line_id").alias("id"), F.concat("starts", F.coalesce("all", none)).alias("band_keys")))
+    return minima.select("line_id", "first", "kind", keys.alias("keys"))
 
 
-def line_components(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, of, line_no, line_id), and per line_id the first place of its component."""
     lines = lines_of(docs)
-    # copies of a line meet as partial minima; the distinct lines are dealt by their id, and so are their shingles
-    distinct = written(lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"),
-                                                    F.first("line").alias("line")), "lines")
-    signatures = written(band_keys(distinct), "line-bands")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        text = distinct.select("line_id", "line")
-        both = (pairs.join(text.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a")
-                .join(text.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
-                .select("a", "b", all_shingles(F.col("x")).alias("x"), all_shingles(F.col("y")).alias("y"))
-                .withColumn("common", F.size(F.array_intersect("x", "y"))))
-        return both.where(F.expr(f"common >= {similarity} * (size(x) + size(y) - common)")).select("a", "b")
-
-    parts = link_components(signatures, verify, lambda x, y: F.lit(True), "lines")
+    # copies of a line meet as partial minima; one shuffle deals the distinct lines by their id, and serves their shingles
+    distinct = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
+    made = written(distinct.select("line_id", "first", "line", F.lit(-1).alias("kind"), F.lit(None).cast("array<bigint>").alias("keys"))
+                   .unionAll(band_keys(distinct).select("line_id", "first", F.lit(None).cast("string").alias("line"), "kind", "keys")), "lines")
+    distinct = made.where("kind = -1").select("line_id", "first", "line")
+    signatures = made.where("kind >= 0").select(F.col("line_id").alias("id"), F.col("keys").alias("band_keys"))
+
+    texts = distinct.select(F.col("line_id").alias("id"), F.col("line").alias("content"))
+    parts = link_components(signatures, texts, all_shingles, percent, "lines")
     named = distinct.select("line_id", "first").join(parts.withColumnRenamed("id", "line_id"), "line_id", "left").select(
         "line_id", "first", F.coalesce("component", "line_id").alias("component"))
     firsts = named.groupBy("component").agg(F.min("first").alias("keeper"))
-    return lines.select("doc_id", "of", "line_no", "line_id"), named.join(firsts, "component").select("line_id", "keeper")
+    keepers = written(named.join(firsts, "component").select("line_id", "keeper"), "line-keepers")
+    discard(made)
+    return lines.select("doc_id", "of", "line_no", "line_id"), keepers
 
 
-def label_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def label_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, of, line_no, keeper_doc_id, keeper_line_no, kept of every line that holds a word."""
-    lines, keepers = line_components(id_and_text(docs, id_col, text_col), similarity)
+    lines, keepers = line_components(id_and_text(docs, id_col, text_col), percent)
     return lines.join(keepers, "line_id").select(
         "doc_id", "of", "line_no", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"),
         F.struct("doc_id", "line_no").eqNullSafe(F.col("keeper")).alias("kept"))
 
 
-def without_repeats(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with only the kept lines in their texts; those that lose all their words leave.
 
     Other columns stay as they are.  A document without any word before stays.
     """
-    labelled = written(label_lines(docs, similarity, id_col, text_col), "line-labels")
+    labelled = written(label_lines(docs, percent, id_col, text_col), "line-labels")
     drops = (labelled.where("not kept").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("__drops"))
              .join(labelled.groupBy("doc_id", "of").agg(F.max("kept").alias("__some")), ["doc_id", "of"])
              .select(F.col("doc_id").alias("__id"), F.col("of").alias("__of"), "__drops", "__some"))

@@ -8,8 +8,9 @@ candidate buckets, and of each minimum only two bits are kept, 32 to a word.
 Two signatures that agree in a share m of their cells have the estimate
 (m - 1/4) / (1 - 1/4), corrected for cells that agree by chance.  A candidate
 whose estimate is ``MARGIN`` or more below the threshold is dropped; the others
-are confirmed on their full sets.  ``components.link_components`` joins the
-links up without listing a bucket's pairs.
+are confirmed on their full sets.  ``components.link_components`` measures each
+member of a bucket against the bucket's centre and, by a bound from those
+measures, leaves few other pairs for the estimate and the full sets.
 
 At similarity 0.8 a pair shares no band with a chance of (1 - 0.8 ** 6) ** 40,
 about 5 in a million, and falls below the margin (4.9 deviations) with one in a
@@ -161,22 +162,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, id_col:
     sets = written(full_sets(wanted, width).distinct(), "minhash-sets")
     least = percent / 100 - MARGIN
 
-    def close(x: str, y: str) -> Column:
-        return estimate(x, y) >= least
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The b-bit estimate first, then the full sets."""
-        a = signatures.select(F.col("id").alias("a"), F.col("signature"))
-        b = signatures.select(F.col("id").alias("b"), F.col("signature"))
-        maybe = (pairs.join(a, "a").withColumnRenamed("signature", "sa").join(b, "b").withColumnRenamed("signature", "sb")
-                 .select("a", "b", F.struct(F.col("sa").alias("signature")).alias("x"), F.struct(F.col("sb").alias("signature")).alias("y"))
-                 .where(close("x", "y")).select("a", "b").distinct())
-        both = (maybe.join(sets.select(F.col("id").alias("b"), F.col("numbers").alias("nb")), "b")
-                .join(sets.select(F.col("id").alias("a"), F.col("numbers").alias("na")), "a")
-                .withColumn("common", F.size(F.array_intersect("na", "nb"))))
-        return both.where(F.expr(f"100L * common >= {percent}L * (size(na) + size(nb) - common)")).select("a", "b").distinct()
-
-    parts = link_components(signatures, verify, close, "minhash")
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs whose b-bit estimate is not clearly below the threshold."""
+        a = signatures.select(F.col("id").alias("a"), F.struct("signature").alias("x"))
+        b = signatures.select(F.col("id").alias("b"), F.struct("signature").alias("y"))
+        return pairs.join(a, "a").join(b, "b").where(estimate("x", "y") >= least).select("a", "b").distinct()
+
+    parts = link_components(signatures, sets.withColumnRenamed("numbers", "content"), lambda c: c, percent, "minhash", close)
     # rows that repeat an id may be in several classes: the id's own component joins them
     named = (classes.select("set_a", "set_b", "id").join(parts, "id", "left")
              .select("set_a", "set_b", F.coalesce("component", "id").alias("component")))

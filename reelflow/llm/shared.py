@@ -12,21 +12,51 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow.session import checkpoint_root, scratch_path
+from reelflow.session import checkpoint_root, scratch_path, ship_package
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark frees the shuffle files of a query at its end, where a setting asks for it.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder: cuts lineage, survives lost executors."""
+    """``df`` as a table in the shared checkpoint folder: cuts lineage, survives lost executors.
+
+    The shuffle files behind the table go when it is written, so a chain of tables holds one table's shuffles.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    path, before = scratch_path(spark, f"llm-{name}"), spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more: the tables after them hold all that is needed."""
+    for table in tables:
+        spark = table.sparkSession
+        root = checkpoint_root(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("llm-") and path.toUri().getPath().startswith(path_of(spark, root) + "/"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def path_of(spark: SparkSession, url: str) -> str:
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(url).toUri().getPath()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URL of a fresh shared folder that tasks may write files to."""
     path = scratch_path(spark, f"llm-{name}")
@@ -72,6 +102,7 @@ def partitions_for(df: DataFrame) -> int:
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; other columns cannot clash."""
+    ship_package(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -79,5 +110,5 @@ def ceil_div(n: int, d: int) -> int:
     return math.ceil(n / d) if n else 0
 
 
-__all__ = ["read", "written", "shared_folder", "filesystem", "publish", "slices", "partitions_for",
+__all__ = ["read", "written", "discard", "shared_folder", "filesystem", "publish", "slices", "partitions_for",
            "id_and_text", "ceil_div", "checkpoint_root"]
