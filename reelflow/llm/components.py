@@ -86,6 +86,8 @@ def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[
     bands = signatures.select("id", F.explode("band_keys").alias("key")).where("key is not null").select("key", "id")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bands = written(bands.join(shared, "key"), f"{name}-buckets")
+    # only members of buckets are ever measured: their sets apart from the others
+    sets = written(sets.join(bands.select("id").distinct(), "id", "left_semi"), f"{name}-members-sets")
     weight = bands.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = (bands.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("top"))
               .select("key", F.col("top.id").alias("centre")))
@@ -149,8 +151,19 @@ def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[
     held = held.join(mixed, "spot")
     meet = (held.where("outer").alias("x").join(held.alias("y"), F.expr("x.spot = y.spot") & distinct_parts)
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    side = lambda as_col: marked.select("centre", F.col("id").alias(as_col), F.struct("n", "common", "rest").alias(f"of_{as_col}"))
-    counted = (meet.join(side("a"), "a").join(side("b"), ["centre", "b"])
+    # candidates share a key, their sizes fit, and the smaller rest, shared whole, is enough; only then are rests compared
+    keys = bands.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    small = marked.select("centre", "id", "n", "common").join(keys, "id")
+
+    def side(of: DataFrame, as_col: str) -> DataFrame:
+        return of.select("centre", F.col("id").alias(as_col), F.struct(*[c for c in of.columns if c not in ("centre", "id")]).alias(f"of_{as_col}"))
+
+    fit = (meet.join(side(small, "a"), "a").join(side(small, "b"), ["centre", "b"])
+           .where(F.expr(f"100 * least(of_a.n, of_b.n) >= {whole} * greatest(of_a.n, of_b.n) and arrays_overlap(of_a.keys, of_b.keys) and "
+                         f"{total} * (least(of_a.common, of_b.common) + least(of_a.n - of_a.common, of_b.n - of_b.common)) "
+                         f">= {whole} * (of_a.n + of_b.n)")).select("centre", "a", "b"))
+    full_side = marked.select("centre", "id", "n", "common", "rest")
+    counted = (fit.join(side(full_side, "a"), ["centre", "a"]).join(side(full_side, "b"), ["centre", "b"])
                .withColumn("more", F.size(F.array_intersect("of_a.rest", "of_b.rest")).cast("bigint"))
                .where(f"{total} * (least(of_a.common, of_b.common) + more) >= {whole} * (of_a.n + of_b.n)").select("a", "b"))
     both = enough.unionAll(counted).distinct()
@@ -163,5 +176,5 @@ def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[
     more = written(full.where(f"100 * common >= {whole} * (size(x) + size(y) - common)").select("a", "b"), f"{name}-cross")
     to_hubs = marked.where("outer").where(near).select(F.col("id").alias("a"), F.col("centre").alias("b"))
     parts = connected(links.unionAll(to_hubs).unionAll(more), f"{name}-all")
-    discard(bands, links, marked, more)
+    discard(bands, links, marked, more, sets)
     return parts
