@@ -68,6 +68,7 @@ def connected(links: DataFrame, name: str = "links") -> DataFrame:
         stars.select(F.col("component").alias("id"), "component").distinct())
 
 
+MEETS = 6                                               # elements in which the starts of two rests have to agree
 SIZE_STEP = 1.05                                        # sets of sizes within this factor share a band of sizes
 
 
@@ -140,17 +141,19 @@ def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[
                          F.expr(f"x.centre = y.centre and x.band = y.band and y.n between x.least and x.most "
                                 f"and {total} * y.common >= {whole} * (x.n + y.n)") & distinct_parts)
               .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    # a linked pair has at least ``percent`` of each set in common, so at least ``needed`` elements of each rest, so one of
-    # the first (rest - needed + 1) of each in any common order
+    # a linked pair has at least ``percent`` of each set in common, so at least ``needed`` elements of each rest, so at least
+    # ``meets`` = min(MEETS, needed) among the first (rest - needed + meets) of each in any common order
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * whole / 100) - F.col("common"))
-    first = F.slice(F.sort_array("rest"), F.lit(1), F.greatest(F.lit(0), F.size("rest") - needed + 1).cast("int"))
-    held = (marked.select("centre", "id", "part", "outer", F.explode_outer(first).alias("element")).where("element is not null")
-            .select(F.xxhash64("centre", "element").alias("spot"), "id", "part", "outer"))
+    meets = F.least(F.lit(MEETS), needed).cast("int")
+    first = F.slice(F.sort_array("rest"), F.lit(1), F.greatest(F.lit(0), F.size("rest") - needed + meets).cast("int"))
+    held = (marked.select("centre", "id", "part", "outer", meets.alias("meets"), F.explode_outer(first).alias("element"))
+            .where("element is not null").select(F.xxhash64("centre", "element").alias("spot"), "id", "part", "outer", "meets"))
     mixed = (held.groupBy("spot").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.bool_or("outer").alias("any"))
              .where("lo <> hi and any").select("spot"))
     held = held.join(mixed, "spot")
     meet = (held.where("outer").alias("x").join(held.alias("y"), F.expr("x.spot = y.spot") & distinct_parts)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+            .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.greatest("x.meets", "y.meets").alias("meets"))
+            .agg(F.count("*").alias("times")).where("times >= meets").select("a", "b").distinct())
     # candidates share a key, their sizes fit, and the smaller rest, shared whole, is enough; only then are rests compared
     keys = bands.groupBy("id").agg(F.collect_set("key").alias("keys"))
     small = marked.select("centre", "id", "n", "common").join(keys, "id")
