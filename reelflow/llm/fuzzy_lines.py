@@ -6,15 +6,12 @@ a line are its distinct five-character shingles; lines are linked where the
 Jaccard similarity of these full sets is at least ``percent`` / 100, and one line
 per connected component stays: the first by (doc_id, line number).
 
-Signatures come from shingles as rows: every shingle has one 64-bit hash, and
-the minimum of ``hash xor mask`` over a line's shingles, one mask per column,
-picks a shingle by the bits where the mask points.  ``ROWS`` minima make a band
-key.  Lines of up to ``SHORT`` characters, or of at most ``FEW`` distinct words,
-have the shingles at all places; lines of ``LONG`` characters and more have
-those from the start of a word to the end of the next one, a choice by content
-that two similar lines make alike, so that a long line costs a row per word and
-not per character.  Lines between have both kinds of band, so that a
-shorter and a longer line of a pair still meet.
+Signatures come from shingles as rows: every distinct line gives a row per place,
+its five characters from there, so all its shingles count, whatever its length.
+A shingle has one 64-bit hash, and the minimum of ``hash xor mask`` over a line's
+shingles, one mask per column, picks a shingle by the bits where the mask points.
+``ROWS`` minima make a band key.  At similarity 0.8 a pair shares none of the
+``BANDS`` with a chance of (1 - 0.8 ** 3) ** 12, about 2 in 10,000.
 
 Links and components come from ``components.link_components``: a bucket gives as
 many pairs as members, never all pairs, and no bucket is cut.
@@ -35,7 +32,7 @@ from reelflow.llm.components import link_components
 from reelflow.llm.shared import discard, id_and_text, written
 
 WIDTH = 5
-LONG, SHORT, FEW = 80, 120, 12
+PIECE = 32                                              # a shingle costs the characters before it in its piece
 BANDS, ROWS = 12, 3
 MASKS = [((k * 0x9E3779B97F4A7C15) ^ (k << 58)) & (1 << 64) - 1 for k in range(BANDS * ROWS)]
 
@@ -67,30 +64,22 @@ def all_shingles(line: Column) -> Column:
 
 
 def band_keys(distinct: DataFrame) -> DataFrame:
-    """line_id, first, kind and keys: ``BANDS`` of word-start shingles (kind 0) and, for short lines, of all (kind 1).
+    """line_id, first and keys: ``BANDS`` of the minima over all shingles of a line.
 
-    ``distinct`` is dealt by ``line_id``, so the shingle rows of a line meet where they are made.
+    ``distinct`` is dealt by ``line_id``, so the shingle rows of a line meet where they are made.  A line is cut into
+    pieces of ``PIECE`` characters, each with the characters that its last shingles need from the next one.
     """
-    size = F.char_length("line")
-    split = distinct.select("line_id", "first", "line", F.split("line", " ").alias("words"))        # once a line
-    short = F.when(size <= SHORT, True).otherwise(F.size(F.array_distinct("words")) <= FEW)
-    long = size >= LONG
-    short_parts = F.when(size < WIDTH, F.array("line")).otherwise(shingles(F.col("line")))
-
-    def parts(words: Column, following: Column, kind: int) -> Column:
-        return F.arrays_zip(words.alias("w"), following.alias("next"), F.array_repeat(F.lit(kind), F.size(words)).alias("kind"))
-
-    none = F.array().cast("array<struct<w:string,next:string,kind:int>>")
-    both = F.concat(
-        F.when(long, parts(F.col("words"), F.slice("words", 2, F.size("words")), 0)).otherwise(none),
-        F.when(short, parts(short_parts, F.array_repeat(F.lit(None).cast("string"), F.size(short_parts)), 1)).otherwise(none))
-    # every line has a part; the outer form keeps Spark from making the parts twice to look for lines without any
-    rows = (split.select("line_id", "first", F.explode_outer(both).alias("part"))
-            .select("line_id", "first", "part.kind", F.xxhash64("part.w", "part.next").alias("h")))
-    minima = rows.groupBy("line_id", "first", "kind").agg(
+    cut = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{WIDTH},{PIECE + WIDTH - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    pieces = F.when(F.char_length("line") < WIDTH, F.array("line")).otherwise(cut)
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("piece") - (WIDTH - 1)))
+    # every line has a piece and a place; the outer form keeps Spark from making them twice to look for lines without any
+    rows = (distinct.select("line_id", "first", F.explode_outer(pieces).alias("piece"))
+            .select("line_id", "first", "piece", F.explode_outer(places).alias("at"))
+            .select("line_id", "first", F.xxhash64(F.substring("piece", F.col("at"), WIDTH)).alias("h")))
+    minima = rows.groupBy("line_id", "first").agg(
         *[F.min(F.col("h").bitwiseXOR(F.lit(signed(m)))).alias(f"m{k}") for k, m in enumerate(MASKS)])
-    keys = F.array(*[F.xxhash64(F.lit(b), "kind", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return minima.select("line_id", "first", "kind", keys.alias("keys"))
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    return minima.select("line_id", "first", keys.alias("keys"))
 
 
 def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -98,10 +87,10 @@ def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     lines = lines_of(docs)
     # copies of a line meet as partial minima; one shuffle deals the distinct lines by their id, and serves their shingles
     distinct = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
-    made = written(distinct.select("line_id", "first", "line", F.lit(-1).alias("kind"), F.lit(None).cast("array<bigint>").alias("keys"))
-                   .unionAll(band_keys(distinct).select("line_id", "first", F.lit(None).cast("string").alias("line"), "kind", "keys")), "lines")
-    distinct = made.where("kind = -1").select("line_id", "first", "line")
-    signatures = made.where("kind >= 0").select(F.col("line_id").alias("id"), F.col("keys").alias("band_keys"))
+    made = written(distinct.select("line_id", "first", "line", F.lit(None).cast("array<bigint>").alias("keys"))
+                   .unionAll(band_keys(distinct).select("line_id", "first", F.lit(None).cast("string").alias("line"), "keys")), "lines")
+    distinct = made.where("keys is null").select("line_id", "first", "line")
+    signatures = made.where("keys is not null").select(F.col("line_id").alias("id"), F.col("keys").alias("band_keys"))
 
     texts = distinct.select(F.col("line_id").alias("id"), F.col("line").alias("content"))
     parts = link_components(signatures, texts, all_shingles, percent, "lines")

@@ -146,6 +146,31 @@ def test_lines_equal_brute_force(make_docs):
     assert all(r.kept == (expected[p] == p) for p, r in got.items())
 
 
+def relettered(rng, line, n):
+    out = list(line)
+    for _ in range(n):
+        k = rng.randrange(len(out))
+        out[k] = rng.choice("0123456789") if out[k] != " " else out[k]
+    return "".join(out)
+
+
+def test_long_lines_with_changed_letters_are_found(make_docs):
+    rng = random.Random(12)
+    docs = []
+    for i in range(150):
+        parts = words(rng, 60)
+        line = " ".join(parts if i % 2 else ["".join(parts[k:k + 2]) for k in range(0, 60, 2)])          # long words in every other
+        docs += [(2 * i, line), (2 * i + 1, relettered(rng, line, max(1, len(line) // rng.randint(42, 60))))]
+    assert all(len(t) > 120 and len(set(t.split(" "))) > 12 for _, t in docs)
+    expected = lines_by_brute_force(docs)
+    linked = [p for p, keeper in expected.items() if p != keeper]
+    assert len(linked) > 100
+    got = {(r.doc_id, r.line_no): (r.keeper_doc_id, r.keeper_line_no) for r in fuzzy_lines.label_lines(make_docs(docs)).collect()}
+    recall = sum(got[p] == expected[p] for p in linked) / len(linked)
+    assert recall == 1.0, f"found {recall:.3f} of {len(linked)}"
+    assert got == expected
+
+
 def test_texts_keep_one_line_of_each_component(make_docs):
     docs = line_corpus()
     expected = lines_by_brute_force(docs)
