@@ -5,13 +5,14 @@ text.  Words are runs of letters and digits in lower case.  The shingles of an
 item or window are its runs of five words (all its words, when it has fewer),
 weighted by how often they occur in it.
 
-1. A window that holds no shingle of an item has similarity 0 with it, so only
-   windows that hold one are fingerprinted, for the items it belongs to: the
-   64-bit SimHash adds each shingle's weight to or from every bit.
-2. Multi-index Hamming blocks: fingerprints within ``radius`` of each other
-   agree in at least one of four 16-bit blocks up to radius // 4 bits, so the
-   block tables, which list the items within that many bits of any block value,
-   lose none of them.
+1. An index of the items' shingles finds the candidates: a window that holds no
+   shingle of an item has similarity 0 with it, so only windows that hold one
+   are fingerprinted, for the items it belongs to: the 64-bit SimHash adds each
+   shingle's weight to or from every bit.
+2. Fingerprints within ``radius`` of each other agree in at least one of four
+   16-bit blocks up to radius // 4 bits, so the block tables lose none of them;
+   nor do they change a result, as the whole distance is computed for every
+   fingerprint of step 1.
 3. A candidate whose whole fingerprint is within the radius is verified by the
    exact weighted similarity: the sum of the smaller weights over the sum of the
    larger ones must be at least ``similarity``.
