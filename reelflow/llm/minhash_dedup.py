@@ -6,11 +6,11 @@ is its one shingle.  Equal sets are one class, so copies never meet in pairs.
 A class has ``BANDS * ROWS`` minima: each band of minima is a key of its
 candidate buckets, and of each minimum only two bits are kept, 32 to a word.
 Two signatures that agree in a share m of their cells have the estimate
-(m - 1/4) / (1 - 1/4), corrected for cells that agree by chance.  A candidate
-whose estimate is ``MARGIN`` or more below the threshold is dropped; the others
-are confirmed on their full sets.  ``components.link_components`` measures each
-member of a bucket against the bucket's centre and, by a bound from those
-measures, leaves few other pairs for the estimate and the full sets.
+(m - 1/4) / (1 - 1/4), corrected for cells that agree by chance.  ``components.link_components`` measures each member of a bucket against the
+bucket's centre on their full sets, without the estimate, and, by bounds from
+those measures, leaves few other pairs.  Only these are screened by the estimate:
+one that is ``MARGIN`` or more below the threshold is dropped; the others are
+confirmed on their full sets.
 
 At similarity 0.8 a pair shares no band with a chance of (1 - 0.8 ** 6) ** 40,
 about 5 in a million, and falls below the margin (4.9 deviations) with one in a
