@@ -266,8 +266,7 @@ def stream_pending(spark, sf):
 @query
 def stream_sessions(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")
-    return jobs.with_open(jobs.sessions(table(spark, sf, "events")), jobs.run_available(jobs.sessions(s), "stream_sessions"),
-                          ["user_id", "session_start_us"])
+    return jobs.run_flushed(jobs.sessions, s, "ts", "stream_sessions")[1]
 
 
 @query
@@ -279,16 +278,14 @@ def stream_sections(spark, sf):
 @query
 def stream_counts(spark, sf):
     s = jobs.read_folder(spark, sf, jobs.EVENTS, "events.parquet")
-    return jobs.with_open(jobs.interval_counts(table(spark, sf, "events")), jobs.run_available(jobs.interval_counts(s), "stream_counts"),
-                          ["window_start_us", "event_type"])
+    return jobs.run_flushed(jobs.interval_counts, s, "ts", "stream_counts")[1]
 
 
 @query
 def stream_image_status(spark, sf):
     path = views.image_events_path(spark, sf)
     s = jobs.read_folder(spark, path, jobs.IMAGE_EVENTS, "*.parquet")
-    return jobs.with_open(jobs.image_status_counts(spark.read.schema(jobs.IMAGE_EVENTS).parquet(path)),
-                          jobs.run_available(jobs.image_status_counts(s), "stream_image_status"), ["window_start_us", "backend"])
+    return jobs.run_flushed(jobs.image_status_counts, s, "finished_at", "stream_image_status")[1]
 
 
 # ------------------------------------------------------------------ M6: pluggable inference
