@@ -88,4 +88,24 @@ ORACLE: dict[str, str] = {
                        UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
              c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
         SELECT doc_id, len(parts) AS n_shingles, component_id, component_id = doc_id AS kept FROM s JOIN c USING (doc_id)""",
+    "op12_ranked_search": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM documents),
+             n AS (SELECT doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+             total AS (SELECT count(*) AS N, sum(n)::BIGINT AS L FROM n),
+             t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM d) GROUP BY 1, 2),
+             w AS (SELECT term, floor(1000 * ln((2 * (SELECT N FROM total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t GROUP BY 1),
+             q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
+             s AS (SELECT item_id, doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n.n * total.N) // total.L))))::BIGINT AS score
+                   FROM q JOIN t USING (term) JOIN w USING (term) JOIN n USING (doc_id), total GROUP BY 1, 2)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
+    "op13_vector_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
 }
