@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelflow import fixed_values as FV
 from reelflow.functions import defaults, text
 from reelflow.operators.blocked import join_on, pos_block, prev_in_order, running_sum
+from reelflow.operators.budget import budget_parts
 from reelflow.operators.ordered import ordered_concat
 from reelflow.operators.timeline import timeline_text
 
@@ -71,28 +72,23 @@ def rule_sections(segs: DataFrame, pause_s: float = 1.0, max_chars: int | None =
     The previous segment is the one before it by position, found by a blocked
     ``lag``, so gaps in the positions split nothing; section numbers are a
     blocked running sum, so no window holds a whole video. With ``max_chars``, a
-    section also ends when the next segment would take the characters of its
-    texts, counted from the start of its pause-free stretch, into the next
-    multiple of the budget: a running sum again, and a hot pause-free video
-    makes many bounded sections. Per section: first start, last end, segment
-    count and the texts joined by one space.
+    section also ends before the segment that would make its text longer than
+    that: no section exceeds it unless it is a single segment. Such cuts depend
+    on each other, so they come from ``budget.budget_parts``, and a hot
+    pause-free video makes many bounded sections in many tasks. Per section:
+    first start, last end, segment count and the texts joined by one space.
     """
     d = prev_in_order(segs, ["video_id"], ["pos"], ["pos", "end_s"], pos_block("pos"))
     paused = F.coalesce(F.col("start_s") - F.col("prev_end_s") > pause_s, F.lit(False))
-    is_new = F.when(F.col("prev_pos").isNull() | F.col("prev_end_s").isNull() | paused, 1).otherwise(0)
-    d = running_sum(d.withColumn("_new", is_new), ["video_id"], "pos", "_new", "_stretch")
-    keys = ["video_id", "_stretch"]
+    is_new = F.col("prev_pos").isNull() | F.col("prev_end_s").isNull() | paused
     if max_chars is not None:
-        size = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
-        d = running_sum(d.withColumn("_size", size), keys, "pos", "_size", "_chars")
-        d = d.withColumn("_part", F.floor((F.col("_chars") - F.col("_size")) / F.lit(max_chars)))
-        d = prev_in_order(d, keys, ["pos"], ["_part"], pos_block("pos"), prefix="_before")
-        again = F.coalesce(F.col("_part") > F.col("_before_part"), F.lit(False))
-        d = d.withColumn("_new", F.when((F.col("_new") == 1) | again, 1).otherwise(0))
-        d = running_sum(d, ["video_id"], "pos", "_new", "_sec")
+        numbers = d.select("video_id", "pos", is_new.alias("_new"), F.coalesce(F.length("text"), F.lit(0)).alias("_length"))
+        # a section's text has a space less than it has segments
+        parts = budget_parts(numbers, ["video_id"], "pos", F.col("_length") + 1, max_chars + 1, F.col("_new"))
+        d = join_on(segs, parts, ["video_id", "pos"]).withColumn("section_index", F.col("part").cast("int"))
     else:
-        d = d.withColumn("_sec", F.col("_stretch"))
-    d = d.withColumn("section_index", (F.col("_sec") - 1).cast("int"))
+        d = running_sum(d.withColumn("_new", is_new.cast("int")), ["video_id"], "pos", "_new", "_sec")
+        d = d.withColumn("section_index", (F.col("_sec") - 1).cast("int"))
     return ordered_concat(d, ["video_id", "section_index"], "pos", F.coalesce("text", F.lit("")), " ",
                           "transcript_text", count_as="num_segments", firsts={"start_time": "start_s"},
                           lasts={"end_time": "end_s"})

@@ -242,12 +242,17 @@ FROM (SELECT video_id, pos, CAST(row_number() OVER (PARTITION BY video_id ORDER
              {S.srt_clock('end_s')} AS end_clock, {S.strip('text')} AS text FROM sparse_segments) a""", "sparse_segments")
 
 oracle("budget_sections", """
-SELECT video_id, CAST(dense_rank() OVER (PARTITION BY video_id ORDER BY part) - 1 AS INT) AS section_index,
-       start_time, end_time, num_segments, transcript_text
-FROM (SELECT video_id, part, arg_min(start_s, pos) AS start_time, arg_max(end_s, pos) AS end_time, count(*) AS num_segments,
-             string_agg(coalesce(text, ''), ' ' ORDER BY pos) AS transcript_text
-      FROM (SELECT *, floor((sum(length(text)) OVER (PARTITION BY video_id ORDER BY pos) - length(text)) / 2000) AS part FROM segments) a
-      GROUP BY video_id, part) b""", "segments")
+SELECT * FROM (WITH RECURSIVE
+     o AS (SELECT video_id, start_s, end_s, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY video_id ORDER BY pos) AS n FROM segments),
+     cut AS (SELECT video_id, n, 0 AS section, length(text) AS chars FROM o WHERE n = 1
+             UNION ALL
+             SELECT o.video_id, o.n, CASE WHEN cut.chars + 1 + length(o.text) <= 2000 THEN section ELSE section + 1 END,
+                    CASE WHEN cut.chars + 1 + length(o.text) <= 2000 THEN cut.chars + 1 ELSE 0 END + length(o.text)
+             FROM cut JOIN o ON o.video_id IS NOT DISTINCT FROM cut.video_id AND o.n = cut.n + 1)
+SELECT o.video_id, section AS section_index, arg_min(start_s, o.n) AS start_time, arg_max(end_s, o.n) AS end_time,
+       count(*) AS num_segments, string_agg(text, ' ' ORDER BY o.n) AS transcript_text
+FROM o JOIN cut ON o.video_id IS NOT DISTINCT FROM cut.video_id AND o.n = cut.n GROUP BY o.video_id, section)""", "segments")
 
 
 # ------------------------------------------------------------------ M4: images and summary

@@ -2,10 +2,11 @@
 
 import bisect
 import math
+import random
 
 from pyspark.sql import functions as F
 
-from reelflow.operators import captions, images, intervals, prompts, responses, timeline
+from reelflow.operators import budget, captions, images, intervals, prompts, responses, timeline
 from reelflow.operators.blocked import POS_BLOCK
 
 EDGE = [  # video_id, pos, start, end, text
@@ -197,3 +198,63 @@ def test_sections_of_two_text_backends_stay_apart(spark):
     docs = images.manifest(secs, res).collect()
     assert sorted((d.text_backend, d.backend, d.num_images) for d in docs) == [
         (t, b, 2) for t in ("a", "b") for b in ("diffusers", "openai")]
+
+
+def _greedy(rows, pause, budget):
+    """Plain loop over (start, end, text) of one video: sections as lists of texts."""
+    out, last_end = [], None
+    for start, end, text in rows:
+        text = text or ""
+        if out and last_end is not None and not (start is not None and start - last_end > pause) and (
+                len(" ".join([*out[-1], text])) <= budget):
+            out[-1].append(text)
+        else:
+            out.append([text])
+        last_end = end
+    return out
+
+
+def _sections(frame):
+    got = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.video_id is None, r.video_id or 0, r.section_index)):
+        assert r.section_index == len(got.setdefault(r.video_id, []))
+        got[r.video_id].append((r.transcript_text, r.num_segments))
+    return got
+
+
+def test_budget_sections_equal_a_plain_loop(spark):
+    rng = random.Random(12)
+    videos = {}
+    for v in [*range(12), None]:
+        kind = rng.random()
+        videos[v] = [(10.0 * k + (5 if rng.random() < .02 else 0), 10.0 * k + 9.5 if rng.random() < .97 else None,
+                      None if rng.random() < .05 else "x" * (rng.choice([0, 0, 1, 2]) if kind < .3 else rng.choice([3, 20, 90, 300, 6000])))
+                     for k in range(rng.randint(1, 400))]
+    rows = [(v, 3 * k + 7, a, b, t) for v, segs in videos.items() for k, (a, b, t) in enumerate(segs)]
+    rng.shuffle(rows)
+    segs = spark.createDataFrame(rows, "video_id bigint, pos int, start_s double, end_s double, text string").repartition(3)
+    for budget, pause in ((100, 1.0), (500, 1e9)):
+        expected = {v: [(" ".join(s), len(s)) for s in _greedy(segs_, pause, budget)] for v, segs_ in videos.items()}
+        assert _sections(prompts.rule_sections(segs, pause, max_chars=budget)) == expected
+
+
+def test_budget_parts_over_many_super_blocks(spark):
+    rng = random.Random(13)
+    rows = [(k, rng.choice([1, 1, 2, 7, 30, 55]), rng.random() < .01) for k in range(6000)]
+    frame = spark.createDataFrame([(1, *r) for r in rows], "k int, pos int, size int, forced boolean")
+    part, used, expected = -1, 0, {}
+    for pos, size, forced in rows:
+        if part < 0 or forced or used + size > 40:
+            part, used = part + 1, 0
+        used += size
+        expected[pos] = part
+    for blocks, supers in ((2, 3), (64, 4096)):                # hundreds of blocks in tens of super-blocks, or few
+        got = budget.budget_parts(frame, ["k"], "pos", F.col("size"), 40, F.col("forced"), supers, blocks)
+        assert {r.pos: r.part for r in got.collect()} == expected
+
+
+def test_section_of_two_long_segments_is_cut(spark):
+    rows = [(1, k, float(k), k + 0.9, "a" * 1500) for k in range(4)]
+    segs = spark.createDataFrame(rows, "video_id int, pos int, start_s double, end_s double, text string")
+    assert [len(t) for t, _ in _sections(prompts.rule_sections(segs, max_chars=2000))[1]] == [1500] * 4
+    assert [len(t) for t, _ in _sections(prompts.rule_sections(segs, max_chars=3001))[1]] == [3001] * 2
