@@ -69,6 +69,9 @@ IMAGE_UNIT_PRICE = [("diffusers", "0.0000"), ("openai", "0.0400"), ("stability",
 # Canonical watch address and the pattern of an id in a shorts address.
 WATCH_PREFIX = "https://www.youtube.com/watch?v="
 SHORTS_PATTERN = r"(?:youtube\.com|youtu\.be)/shorts/([A-Za-z0-9_-]{5,})"
+# Fields of a section, in the order of the documents.
+SECTION_FIELDS = ["start_time", "end_time", "transcript_text", "image_prompt", "sentiment",
+                  "scene_description", "visual_style"]
 # ----------------------------------------------------------- END FIXED VALUES
 
 # Our own request template (not the original instruction prose).
@@ -79,6 +82,3 @@ REQUEST_TEMPLATE_HEAD = (
     "with a \"sections\" array.\n\nLanguage: "
 )
 REQUEST_TEMPLATE_MID = "\n\nTranscript:\n"
-
-SECTION_FIELDS = ["start_time", "end_time", "transcript_text", "image_prompt", "sentiment",
-                  "scene_description", "visual_style"]

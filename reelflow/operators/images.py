@@ -143,16 +143,18 @@ def image_records(secs: DataFrame, results: DataFrame, video_name: Column | None
 
 
 def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = None,
-             default_backend: str = "diffusers", videos: DataFrame | None = None) -> DataFrame:
+             default_backend: str = "diffusers", videos: DataFrame | None = None, model: str | None = None,
+             negative_prompt: str | None = None, overrides: dict | None = None) -> DataFrame:
     """AGG-8 / SNK-6: the nested manifest document (DM-16) per video, text backend and model, and image backend.
 
     Every list of sections gets a manifest, also when all images failed; with
     ``videos`` (the same key columns), so does every listed one (e.g. a prompts
     document with no sections). The image backends are those that the results
     report, the default where there are none. The ``images`` list is the
-    document itself, sorted by section index.
+    document itself, sorted by section index. ``model``, ``negative_prompt`` and
+    ``overrides`` are those of the call that made the images (``image_requests``).
     """
-    rec = image_records(secs, results)
+    rec = image_records(secs, results, overrides=overrides)
     keys = section_keys(secs, results)
     per = ordered_collect(rec, [*keys, "backend"], "section_index",
                           F.struct("image_path", "timestamp", "prompt", "section_index", "revised_prompt", "seed"),
@@ -162,18 +164,18 @@ def manifest(secs: DataFrame, results: DataFrame, generated_at: str | None = Non
     vids = (join_on(listed.distinct(), used, keys, "left")
             .select(*keys, F.coalesce("_b", F.lit(default_backend)).alias("backend")))
     name = text.video_label(vids)
-    neg = defaults.negative_prompt("backend")
+    neg = defaults.negative_prompt("backend", None if negative_prompt is None else F.lit(negative_prompt))
     d = join_on(vids, per, [*keys, "backend"], "left")
     images = F.coalesce("_imgs", F.array().cast(per.schema["_imgs"].dataType))
     return d.select(
         *keys, name.alias("video_name"),
         F.concat(name, F.lit("_prompts.json")).alias("prompts_file"),
         F.concat_ws("/", F.lit(OUTPUT_ROOT), name).alias("output_dir"),
-        defaults.image_model("backend").alias("model"), "backend",
+        defaults.image_model("backend", None if model is None else F.lit(model)).alias("model"), "backend",
         F.when(F.col("backend") == "diffusers", F.lit("cpu")).alias("device"),
         F.coalesce("num_images", F.lit(0)).alias("num_images"),
         F.lit(generated_at).cast("string").alias("generated_at"),
-        settings(F.col("backend"), neg).alias("settings"),
+        settings(F.col("backend"), neg, overrides).alias("settings"),
         images.alias("images"),
     )
 

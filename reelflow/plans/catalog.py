@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow import fixed_values as FV, schemas
+from reelflow import fixed_values as FV
 from reelflow.operators import (captions, images, inference, intervals, planning, prompts, quality, responses,
                                 summary, timeline)
 from reelflow.session import scratch_path
 from reelflow.sinks import writers
+from reelflow.sinks.named import write_files
 from reelflow.sources import files, views
 from reelflow.sources.tables import table
 from reelflow.streaming import jobs
@@ -374,11 +375,20 @@ def section_chain(spark, sf):
     return _manifest_text(images.manifest(*_chain(spark, sf)))
 
 
+CUSTOM = {"model": "own-model", "negative_prompt": "no text",
+          "overrides": {"num_inference_steps": 12, "guidance_scale": 3.5, "image_size": (640, 480), "quality": "hd",
+                        "size": "1792x1024", "aspect_ratio": "16:9", "output_format": "webp"}}
+
+
 @query
 def image_requests_custom(spark, sf):
-    return images.image_requests(views.sections(spark, sf), model="own-model", negative_prompt="no text",
-                                 overrides={"num_inference_steps": 12, "guidance_scale": 3.5, "image_size": (640, 480),
-                                            "quality": "hd", "size": "1792x1024", "aspect_ratio": "16:9", "output_format": "webp"})
+    return images.image_requests(views.sections(spark, sf), **CUSTOM)
+
+
+@query
+def manifests_custom(spark, sf):
+    """DEF-3, DEF-4, DEF-5: manifests record what their call chose."""
+    return _manifest_text(images.manifest(*_secs_results(spark, sf), **CUSTOM)).drop("video_id")
 
 
 @query
@@ -396,63 +406,61 @@ def _languages(spark, sf):
         "language", F.when(F.col("video_id") % 3 == 0, "de").when(F.col("video_id") % 3 == 1, "fr"))
 
 
+def _number(name: str):
+    return F.regexp_extract(name, r"(\d+)$", 1).cast("bigint")
+
+
 @query
 def roundtrip_transcripts(spark, sf):
-    """SNK-1, SNK-8, SRC-1, SRC-3, SRC-7: all videos are written, then some again with other texts."""
+    """SNK-1, SNK-8, SRC-1, SRC-3, SRC-7: all videos' files are written, then some again with other texts, and found by name."""
     path, segs = scratch_path(spark, "transcripts"), views.segments(spark, sf)
-    writers.write_aligned_json(writers.aligned_documents(segs, _languages(spark, sf)), path)
+    write_files(writers.aligned_files(writers.aligned_documents(segs, _languages(spark, sf)), "large-v3"), path)
     again = segs.filter(F.col("video_id") % 4 == 0).withColumn("text", F.concat(F.lit("again: "), "text"))
-    writers.write_aligned_json(writers.aligned_documents(again, _languages(spark, sf)), path)
-    docs = files.read_transcripts(spark, path, layout="table")
+    write_files(writers.aligned_files(writers.aligned_documents(again, _languages(spark, sf)), "large-v3"), path)
+    docs = files.read_transcripts(spark, path)
     return timeline.explode_segments(docs).join(docs.select("video_id", "language"), "video_id")
 
 
 @query
 def roundtrip_prompts(spark, sf):
-    """SNK-5, SNK-7, SRC-2, SRC-8: one document per video and model, in the video's language."""
+    """SNK-5, SNK-7, SRC-2, SRC-8: one file per video and model, in the video's language."""
     path = scratch_path(spark, "prompts")
     parsed = responses.parsed_sections(views.chain_responses(spark, sf), views.segments(spark, sf))
-    writers.write_prompts(writers.prompts_documents(parsed, languages=_languages(spark, sf)), path)
-    docs = files.read_prompts(spark, path, layout="table").withColumn("document", F.concat_ws("/", "video_name", "model", "language"))
+    write_files(writers.prompts_files(writers.prompts_documents(parsed, languages=_languages(spark, sf)), folders=True), path)
+    docs = files.read_prompts(spark, path).withColumn("document", F.concat_ws("/", "video_name", "model", "language"))
     return images.explode_sections(docs, "document")
 
 
 @query
 def roundtrip_manifests(spark, sf):
-    """SNK-6, SNK-7: nested manifests, one per video."""
+    """SNK-6, SNK-7: nested manifests, one file per video."""
     path = scratch_path(spark, "manifests")
-    writers.write_manifest(images.manifest(*_secs_results(spark, sf)), path)
-    return _manifest_text(spark.read.schema(schemas.IMAGE_MANIFEST).json(path).drop("video"))
+    write_files(writers.manifest_files(images.manifest(*_secs_results(spark, sf))), path)
+    return _manifest_text(files.read_manifests(spark, path))
 
 
 @query
 def roundtrip_captions(spark, sf):
-    """SNK-2, SNK-3: subtitle files of both kinds, line by line with their files' videos."""
-    srt, vtt = scratch_path(spark, "srt"), scratch_path(spark, "vtt")
-    writers.write_subtitles(captions.srt_body(views.segments(spark, sf)), srt)
-    writers.write_subtitles(captions.vtt_body(views.segments(spark, sf)), vtt)
-    lines = [spark.read.schema("value string, video_id long").text(p, wholetext=True).select(F.lit(k).alias("kind"), "video_id", "value")
-             for k, p in (("srt", srt), ("vtt", vtt))]
-    return lines[0].unionByName(lines[1])
+    """SNK-2, SNK-3: subtitle files of both kinds, whole, with their files' videos."""
+    path, segs = scratch_path(spark, "captions"), views.segments(spark, sf)
+    write_files(writers.subtitle_files(captions.srt_body(segs), "srt").unionAll(writers.subtitle_files(captions.vtt_body(segs), "vtt")), path)
+    return files.read_subtitles(spark, path).select("kind", _number("video_id").alias("video_id"), F.col("body").alias("value"))
 
 
 @query
 def roundtrip_clips(spark, sf):
-    """SNK-4: clips as CSV."""
+    """SNK-4: clips as CSV files."""
     path = scratch_path(spark, "clips")
-    writers.write_clips_csv(captions.clips(views.segments(spark, sf)), path)
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-                 .schema("start double, end double, text string, video_id long").csv(path))
+    write_files(writers.clips_files(captions.clips(views.segments(spark, sf)), "large-v3"), path)
+    return files.read_clips(spark, path).withColumn("video_id", _number("video_id"))
 
 
 @query
 def file_inventory(spark, sf):
-    """SRC-5: the clip files on disk, by the video folder that holds them."""
-    path = scratch_path(spark, "clips")
-    writers.write_clips_csv(captions.clips(views.segments(spark, sf)), path)
-    found = files.read_inventory(spark, path, glob="*.csv")
-    return (found.select(F.regexp_extract("path", r"video_id=(\d+)/", 1).cast("bigint").alias("video_id"), (F.col("length") > 0).alias("has_bytes"))
-                 .groupBy("video_id").agg(F.bool_and("has_bytes").alias("has_bytes")))
+    """SRC-5: the subtitle files on disk, by name and size."""
+    path = scratch_path(spark, "inventory")
+    write_files(writers.subtitle_files(captions.srt_body(views.segments(spark, sf)), "srt"), path)
+    return files.read_inventory(spark, path, glob="*.srt").select("key", "length")
 
 
 @query

@@ -487,14 +487,15 @@ SELECT s.video_id, t.text_backend, t.text_model, s.section_index, {_IMG_BACKEND.
 FROM scenes s, (VALUES {_TEXT_MODELS}) t(text_backend, text_model, k)"""
 
 
-def _manifests(rows: str, keys: str) -> str:
+def _manifests(rows: str, keys: str, model: str = S.case_map('backend', FV.IMAGE_DEFAULT_MODEL),
+               settings: str = _settings_json('backend'), extension: str = "'png'") -> str:
     """Manifest documents as strings over rows (keys, section_index, backend, start_time, full_prompt, ok)."""
     return f"""
 SELECT {keys}, 'video_' || CAST(video_id AS VARCHAR) AS video_name, 'video_' || CAST(video_id AS VARCHAR) || '_prompts.json' AS prompts_file,
-       'generated_images/video_' || CAST(video_id AS VARCHAR) AS output_dir, {S.case_map('backend', FV.IMAGE_DEFAULT_MODEL)} AS model, backend,
-       CAST(count_if(ok) AS BIGINT) AS num_images, CAST({_settings_json('backend')} AS VARCHAR) AS settings,
+       'generated_images/video_' || CAST(video_id AS VARCHAR) AS output_dir, {model} AS model, backend,
+       CAST(count_if(ok) AS BIGINT) AS num_images, CAST({settings} AS VARCHAR) AS settings,
        coalesce(string_agg(concat_ws('|', CAST(section_index AS VARCHAR),
-           'generated_images/video_' || CAST(video_id AS VARCHAR) || '/' || printf('frame_%08d.png', CAST(trunc(start_time * 1000) AS BIGINT)),
+           'generated_images/video_' || CAST(video_id AS VARCHAR) || '/' || printf('frame_%08d.', CAST(trunc(start_time * 1000) AS BIGINT)) || {extension},
            printf('%.3f', start_time), CASE WHEN backend = 'openai' AND length(full_prompt) > {FV.PROMPT_CHAR_LIMIT}
                THEN substr(full_prompt, 1, {FV.PROMPT_CHAR_LIMIT - 3}) || '...' ELSE full_prompt END),
            chr(10) ORDER BY section_index) FILTER (ok), '') AS images
@@ -502,9 +503,15 @@ FROM ({rows}) x GROUP BY {keys}, backend"""
 
 
 oracle("section_chain", _manifests(_CHAIN, "video_id, text_backend, text_model"), "scenes")
-_ONE_EACH = _manifests("""
+_MADE = """
 SELECT video_id, section_index, q.backend, q.start_time, q.full_prompt, r.status_code = 200 AS ok
-FROM image_requests_q q JOIN image_results r USING (video_id, section_index)""", "video_id")
+FROM image_requests_q q JOIN image_results r USING (video_id, section_index)"""
+_ONE_EACH = _manifests(_MADE, "video_id")
+oracle("manifests_custom", "SELECT * EXCLUDE (video_id) FROM (" + _manifests(_MADE, "video_id", "'own-model'", """
+CASE backend WHEN 'diffusers' THEN to_json(MAP {'num_inference_steps': '12', 'guidance_scale': '3.5', 'image_size': '[640, 480]', 'negative_prompt': 'no text'})
+             WHEN 'openai' THEN to_json(MAP {'quality': 'hd', 'size': '1792x1024'})
+             ELSE to_json(MAP {'aspect_ratio': '16:9', 'output_format': 'webp', 'negative_prompt': 'no text'}) END""",
+    "CASE backend WHEN 'stability' THEN 'webp' ELSE 'png' END") + ") m", "image_requests_q", "image_results")
 oracle("roundtrip_manifests", f"SELECT * EXCLUDE (video_id) FROM ({_ONE_EACH}) m", "image_requests_q", "image_results")
 
 _CUSTOM = _IMG_REQ
@@ -551,6 +558,7 @@ SELECT 'srt' AS kind, video_id, body AS value FROM ({_SRT}) a UNION ALL SELECT '
 oracle("roundtrip_clips", f"""
 SELECT video_id, start_s AS start, end_s AS "end", {S.strip('text')} AS text FROM segments""", "segments")
 
-oracle("file_inventory", "SELECT DISTINCT video_id, true AS has_bytes FROM segments", "segments")
+oracle("file_inventory", f"""
+SELECT 'video_' || CAST(video_id AS VARCHAR) || '.srt' AS key, CAST(octet_length(encode(body)) AS BIGINT) AS length FROM ({_SRT}) a""", "segments")
 
 oracle("url_list", f"SELECT url, shorts_id, canonical_url, video_key FROM ({_CANON}) c", "requests")

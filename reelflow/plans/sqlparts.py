@@ -31,10 +31,10 @@ SELECT page_id AS request_id, url FROM pages
 UNION ALL
 SELECT page_id + 1000000000 AS request_id,
        CASE page_id % 8
-         WHEN 0 THEN concat('https://www.youtube.com/shorts/', vid, '?feature=share')
-         WHEN 1 THEN concat('https://youtu.be/', vid, '?t=10')
-         WHEN 2 THEN concat('https://www.youtube.com/watch?v=', vid, '&t=10')
-         WHEN 3 THEN concat('https://www.youtube.com/embed?v=', vid)
+         WHEN 0 THEN concat('https://youtu.be/', vid, '?si=q7&t=95')
+         WHEN 1 THEN concat('https://www.youtube.com/watch?list=PLx9&v=', vid, '&index=3')
+         WHEN 2 THEN concat('http://www.youtube.com/shorts/', vid, '/?cbrd=1')
+         WHEN 3 THEN concat('https://music.youtube.com/watch?v=', vid)
          WHEN 4 THEN concat('https://youtube.com/shorts/', vid)
          WHEN 5 THEN 'https://www.youtube.com/shorts/abcd'
          WHEN 6 THEN concat('https://m.youtube.com/x?a=1&v=', vid, '%')

@@ -1,6 +1,12 @@
 """Writers for every artefact (SNK-1 … SNK-8).
 
-Every writer needs a partition key and overwrites only the partitions it
+``aligned_files``, ``subtitle_files``, ``clips_files``, ``prompts_files`` and
+``manifest_files`` give rows (name, body) under the names that the readers and
+later steps look for; ``named.write_files`` writes them, one file a document.
+``transcript_files`` holds all four files of a video.
+
+The ``write_*`` functions below make tables instead, partitioned by video, for
+corpora where one file a document is too many. Every one of them needs a partition key and overwrites only the partitions it
 produces (dynamic partition overwrite), so re-running a video replaces its
 previous output (SNK-8) and leaves other videos alone. Document bodies keep
 their names; the partition folders only repeat them. The readers in
@@ -9,13 +15,14 @@ their names; the partition folders only repeat them. The readers in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelflow import fixed_values as FV
 from reelflow.functions import text
+from reelflow.operators import captions
 from reelflow.operators.blocked import join_on
-from reelflow.operators.ordered import ordered_collect
+from reelflow.operators.ordered import ordered_collect, ordered_concat
 
 
 def _writer(df: DataFrame, partition_by: list[str]):
@@ -45,6 +52,60 @@ def write_aligned_json(docs: DataFrame, path: str, partition_by: list[str] | Non
     _writer(named, partition_by).json(path, encoding="UTF-8")
 
 
+def _file(name: Column, *parts: Column | str, folder: tuple[Column | str, ...] = ()) -> Column:
+    """``<folder…>/<name><parts…>``; a missing folder is left out."""
+    lit = lambda c: F.lit(c) if isinstance(c, str) else c
+    return F.concat_ws("/", *[lit(f) for f in folder], F.concat(name, *[lit(p) for p in parts]))
+
+
+def _own_folder(frame: DataFrame, model: str | None) -> tuple:
+    """SNK-7: ``<video>/<model>`` where the speech model is named, else no folder."""
+    return () if model is None else (text.video_label(frame), model)
+
+
+def aligned_files(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """SNK-1: ``<video>.aligned.json`` of ``aligned_documents``, non-ASCII kept."""
+    return docs.select(_file(text.video_label(docs), ".aligned.json", folder=_own_folder(docs, model)).alias("name"),
+                       F.to_json(F.struct("language", "segments")).alias("body"))
+
+
+def subtitle_files(bodies: DataFrame, kind: str, model: str | None = None) -> DataFrame:
+    """SNK-2 / SNK-3: ``<video>.srt`` or ``<video>.vtt`` of (video_id, body)."""
+    return bodies.select(_file(text.video_label(bodies), f".{kind}", folder=_own_folder(bodies, model)).alias("name"), "body")
+
+
+def clips_files(clips: DataFrame, model: str | None = None, videos: DataFrame | None = None) -> DataFrame:
+    """SNK-4: ``<video>.clips.csv`` with header ``start,end,text``; with ``videos``, those without clips have the header alone."""
+    line = F.concat(F.to_csv(F.struct("start", "end", "text"), {"escape": '"', "emptyValue": "", "nullValue": "",
+                                                                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}), F.lit("\r\n"))
+    bodies = ordered_concat(clips, ["video_id"], "pos", line, "", "_lines")
+    if videos is not None:
+        bodies = join_on(videos.select("video_id").distinct(), bodies, ["video_id"], "left")
+    body = F.concat(F.lit("start,end,text\r\n"), F.coalesce("_lines", F.lit("")))
+    return bodies.select(_file(text.video_label(bodies), ".clips.csv", folder=_own_folder(bodies, model)).alias("name"), body.alias("body"))
+
+
+def transcript_files(segs: DataFrame, model: str | None = None, videos: DataFrame | None = None,
+                     languages: DataFrame | None = None) -> DataFrame:
+    """SNK-1 … SNK-4: the four files of every transcript, in ``<video>/<model>/`` where the speech model is named."""
+    return (aligned_files(aligned_documents(segs, languages), model)
+            .unionAll(subtitle_files(captions.srt_body(segs, videos), "srt", model))
+            .unionAll(subtitle_files(captions.vtt_body(segs, videos), "vtt", model))
+            .unionAll(clips_files(captions.clips(segs), model, videos)))
+
+
+def prompts_files(docs: DataFrame, folders: bool = False) -> DataFrame:
+    """SNK-5: ``<video>_prompts.json``; with ``folders`` (SNK-7) below ``<video>/<model>/``, for several models a video."""
+    folder = (F.col("video_name"), F.col("model")) if folders else ()
+    return docs.select(_file(F.col("video_name"), "_prompts.json", folder=folder).alias("name"), F.to_json(F.struct(*docs.columns)).alias("body"))
+
+
+def manifest_files(manifest: DataFrame) -> DataFrame:
+    """SNK-6 / SNK-7: ``<video>/metadata.json``."""
+    fields = [c for c in manifest.columns if c != "video_id"]
+    return manifest.select(_file(F.lit("metadata.json"), folder=(F.col("video_name"),)).alias("name"), F.to_json(F.struct(*fields)).alias("body"))
+
+
 def text_files(bodies: DataFrame, key: str = "video_id") -> DataFrame:
     """Body per key as the single text row ``value``; the text writer adds one newline, so drop one."""
     return bodies.select(key, F.regexp_replace("body", r"\n\z", "").alias("value"))

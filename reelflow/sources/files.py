@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from reelflow import fixed_values as FV
 from reelflow.functions import text
-from reelflow.schemas import ALIGNED_TRANSCRIPT, PROMPTS_DOCUMENT, SEGMENT, SECTION
+from reelflow.schemas import ALIGNED_TRANSCRIPT, IMAGE_MANIFEST, PROMPTS_DOCUMENT, SECTION, SEGMENT
 
 
 def _documents(spark: SparkSession, path: str, schema, layout: str, glob: str | None, recursive: bool) -> DataFrame:
@@ -22,7 +22,14 @@ def _documents(spark: SparkSession, path: str, schema, layout: str, glob: str |
         raise ValueError(f"unknown layout: {layout}")
     if layout == "table":
         return spark.read.schema(schema).json(path)
-    return _reader(spark, glob, recursive).schema(schema).option("multiLine", "true").json(path)
+    return _found(_reader(spark, glob, recursive).schema(schema).option("multiLine", "true").json(path), path, glob)
+
+
+def _found(df: DataFrame, path: str, glob: str | None) -> DataFrame:
+    """``df``, or an error where no file matches: a wrong folder, name or layout would else read as no rows."""
+    if not df.inputFiles():
+        raise FileNotFoundError(f"no file below {path} matches {glob or '*'} (tables that the writers make need layout='table')")
+    return df
 
 
 def _reader(spark: SparkSession, glob: str | None, recursive: bool):
@@ -64,6 +71,30 @@ def read_prompts(spark: SparkSession, path: str, glob: str | None = "*_prompts.j
     )
 
 
+def read_manifests(spark: SparkSession, path: str, glob: str | None = "metadata.json", recursive: bool = True,
+                   layout: str = "files") -> DataFrame:
+    """Image manifests as they were written (DM-16)."""
+    return _documents(spark, path, IMAGE_MANIFEST, layout, glob, recursive)
+
+
+def read_subtitles(spark: SparkSession, path: str, glob: str | None = "*.{srt,vtt}", recursive: bool = True) -> DataFrame:
+    """Subtitle files, whole: ``(video_id, kind, body)`` with the file stem as the video.
+
+    Spark's readers pass over files of no bytes, so the SRT of a transcript without segments gives no row.
+    """
+    df = _found(_reader(spark, glob, recursive).text(path, wholetext=True), path, glob)
+    name = F.col("_metadata.file_name")
+    return df.select(text.video_name(name).alias("video_id"), F.regexp_extract(name, r"([^.]+)$", 1).alias("kind"), F.col("value").alias("body"))
+
+
+def read_clips(spark: SparkSession, path: str, glob: str | None = "*.clips.csv", recursive: bool = True) -> DataFrame:
+    """Clips files: ``(video_id, start, end, text)``."""
+    reader = _reader(spark, glob, recursive).option("header", True).option("multiLine", True).option("escape", '"')
+    df = _found(reader.schema("start double, end double, text string").csv(path), path, glob)
+    return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.clips\.csv$", "").alias("video_id"), "start", "end",
+                     F.coalesce("text", F.lit("")).alias("text"))
+
+
 def read_inventory(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """SRC-5: files already present → ``(key, path, length)``; file contents are never read.
 

@@ -80,10 +80,10 @@ def request_url(page_id):
     """One of eight forms of a video address."""
     vid = _vid(page_id)
     k = page_id % 8
-    return (F.when(k == 0, F.concat(F.lit("https://www.youtube.com/shorts/"), vid, F.lit("?feature=share")))
-             .when(k == 1, F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=10")))
-             .when(k == 2, F.concat(F.lit("https://www.youtube.com/watch?v="), vid, F.lit("&t=10")))
-             .when(k == 3, F.concat(F.lit("https://www.youtube.com/embed?v="), vid))
+    return (F.when(k == 0, F.concat(F.lit("https://youtu.be/"), vid, F.lit("?si=q7&t=95")))
+             .when(k == 1, F.concat(F.lit("https://www.youtube.com/watch?list=PLx9&v="), vid, F.lit("&index=3")))
+             .when(k == 2, F.concat(F.lit("http://www.youtube.com/shorts/"), vid, F.lit("/?cbrd=1")))
+             .when(k == 3, F.concat(F.lit("https://music.youtube.com/watch?v="), vid))
              .when(k == 4, F.concat(F.lit("https://youtube.com/shorts/"), vid))
              .when(k == 5, F.lit("https://www.youtube.com/shorts/abcd"))
              .when(k == 6, F.concat(F.lit("https://m.youtube.com/x?a=1&v="), vid, F.lit("%")))
