@@ -76,13 +76,25 @@ def size_band(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)))
 
 
-def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[Column], Column], percent: int, name: str,
+def comparison(elements: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """``compare`` of link_components in SQL functions, where ``elements`` makes a set from its content, as an array of numbers."""
+    def compare(pairs: DataFrame) -> DataFrame:
+        return (pairs.select("id", "centre", elements(F.col("x")).alias("x"), elements(F.col("y")).alias("y"))
+                .select("id", "centre", F.size("x").cast("bigint").alias("n"), F.size("y").cast("bigint").alias("n_centre"),
+                        F.array_except("x", "y").alias("rest"))
+                .withColumn("common", F.col("n") - F.size("rest")))
+
+    return compare
+
+
+def link_components(signatures: DataFrame, sets: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int, name: str,
                     close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) for ids linked to another id.
 
     signatures: id (bigint) and band_keys (array<bigint>; null where a band does not apply). sets: id and ``content``,
-    from which ``elements`` makes the set as an array of numbers, for every id that shares a key. close: (a, b) -> the
-    pairs that a cheaper estimate leaves; for those the full sets decide.
+    for every id that shares a key. compare: (id, centre, x, y), the contents of two sets, -> id, centre, n and n_centre
+    (sizes), rest (array<bigint>, the elements of x that y lacks) and common (those it has), exactly. close: (a, b) ->
+    the pairs that a cheaper estimate leaves; for those the full sets decide.
     """
     bands = signatures.select("id", F.explode("band_keys").alias("key")).where("key is not null").select("key", "id")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -97,11 +109,7 @@ def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[
     other = sets.select(F.col("id").alias("centre"), F.col("content").alias("y"))
 
     def measure(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(own, "id").join(other, "centre")
-                .select("id", "centre", elements(F.col("x")).alias("x"), elements(F.col("y")).alias("y"))
-                .select("id", "centre", F.size("x").cast("bigint").alias("n"), F.size("y").cast("bigint").alias("n_centre"),
-                        F.array_except("x", "y").alias("rest"))
-                .withColumn("common", F.col("n") - F.size("rest")))
+        return compare(pairs.join(own, "id").join(other, "centre").select("id", "centre", "x", "y"))
 
     star = written(measure(pairs), f"{name}-star")
     near = F.expr(f"100 * common >= {percent} * (n + n_centre - common)")
@@ -172,11 +180,8 @@ def link_components(signatures: DataFrame, sets: DataFrame, elements: Callable[[
     both = enough.unionAll(counted).distinct()
     if close is not None:
         both = close(both)
-    full = (both.join(sets.select(F.col("id").alias("a"), F.col("content").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("content").alias("y")), "b")
-            .select("a", "b", elements(F.col("x")).alias("x"), elements(F.col("y")).alias("y"))
-            .withColumn("common", F.size(F.array_intersect("x", "y")).cast("bigint")))
-    more = written(full.where(f"100 * common >= {whole} * (size(x) + size(y) - common)").select("a", "b"), f"{name}-cross")
+    full = measure(both.select(F.col("a").alias("id"), F.col("b").alias("centre")))
+    more = written(full.where(near).select(F.col("id").alias("a"), F.col("centre").alias("b")), f"{name}-cross")
     to_hubs = marked.where("outer").where(near).select(F.col("id").alias("a"), F.col("centre").alias("b"))
     parts = connected(links.unionAll(to_hubs).unionAll(more), f"{name}-all")
     discard(bands, links, marked, more, sets)

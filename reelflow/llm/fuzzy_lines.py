@@ -1,4 +1,4 @@
-r"""Fuzzy line de-duplication by MinHash, in DataFrame functions alone.
+r"""Fuzzy line de-duplication by MinHash.
 
 Lines are the parts of a text between line ends that hold a word; they are
 compared trimmed and in lower case.  Equal lines are one candidate.  The set of
@@ -6,15 +6,18 @@ a line are its distinct five-character shingles; lines are linked where the
 Jaccard similarity of these full sets is at least ``percent`` / 100, and one line
 per connected component stays: the first by (doc_id, line number).
 
-Signatures come from shingles as rows: every distinct line gives a row per place,
-its five characters from there, so all its shingles count, whatever its length.
-A shingle has one 64-bit hash, and the minimum of ``hash xor mask`` over a line's
-shingles, one mask per column, picks a shingle by the bits where the mask points.
-``ROWS`` minima make a band key.  At similarity 0.8 a pair shares none of the
-``BANDS`` with a chance of (1 - 0.8 ** 3) ** 12, about 2 in 10,000.
+1. Distinct lines get dense numbers; their copies find them by 128 bits of hash.
+2. Every shingle of a line has a hash, and ``BANDS * ROWS`` multipliers order
+   these hashes; a line's signature are its minima, ``ROWS`` of them a band key.
+   At similarity 0.8 a pair shares none of the bands with a chance of
+   (1 - 0.8 ** 5) ** 12, below 1 in 100; at 0.3 it shares one with 3 in 100.
+3. Links and components come from ``components.link_components``: a bucket gives
+   as many pairs as members, and no bucket is cut.  Full sets are compared.
 
-Links and components come from ``components.link_components``: a bucket gives as
-many pairs as members, never all pairs, and no bucket is cut.
+Splitting, grouping, joining and choosing are DataFrame functions.  Signatures and
+set comparisons run in Arrow batches: in SQL functions the shingles alone, without
+anything done with them, took most of the time that the whole query may take (the
+README has the figures).
 
 Defined cases: lines without a word stay and are in no component; a null or
 empty text has no lines; a null doc_id comes before all others; rows that repeat
@@ -25,20 +28,48 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelflow.llm.components import link_components
-from reelflow.llm.shared import discard, id_and_text, written
+from reelflow.llm.shared import discard, id_and_text, slices, written
 
 WIDTH = 5
-PIECE = 32                                              # a shingle costs the characters before it in its piece
-BANDS, ROWS = 12, 3
-MASKS = [((k * 0x9E3779B97F4A7C15) ^ (k << 58)) & (1 << 64) - 1 for k in range(BANDS * ROWS)]
+BANDS, ROWS = 12, 5
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: One odd multiplier per minimum.
+TURNS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * GOLDEN >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
+MEASURE = "id bigint, centre bigint, n bigint, n_centre bigint, rest array<bigint>, common bigint"
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
 
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all shingles, line by line, and each line's first place among them (one place at least)."""
+    sizes = np.array([max(len(t), WIDTH) for t in lines], np.int64)
+    points = np.frombuffer("".join(t if len(t) >= WIDTH else t.ljust(WIDTH, "\x00") for t in lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(sizes)
+    h = np.zeros(max(0, len(points) - WIDTH + 1), np.uint64)
+    for k in range(WIDTH):
+        h = mixed(h * GOLDEN + points[k:k + len(h)] + np.uint64(1))
+    inside = np.ones(len(h), bool)
+    for k in range(1, WIDTH):                              # places whose shingle would reach into the next line
+        over = ends[:-1] - k
+        inside[over] = False
+    counts = sizes - (WIDTH - 1)
+    return h[inside], np.concatenate([[0], np.cumsum(counts)])
 
-def signed(n: int) -> int:
-    return n - (1 << 64) if n >= 1 << 63 else n
+
+def hashed(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def comparable(line: Column) -> Column:
@@ -46,66 +77,73 @@ def comparable(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, of (hash of the document's text), line_no, line, line_id of the lines that hold a word."""
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"),
+    """doc_id, of (128 bits of the document's text), line_no, line, line_key (128 bits) of the lines that hold a word."""
+    lines = docs.where("text is not null").select("doc_id", hashed(F.col("text")).alias("of"),
                                                   F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return (lines.where(F.col("line").rlike(r"[^\x20\t\n\x0b\f\r]"))
-            .withColumn("line", comparable(F.col("line"))).withColumn("line_id", F.xxhash64("line")))
-
-
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))
-
-
-def all_shingles(line: Column) -> Column:
-    """Numbers of the distinct shingles of a line; of the line itself where it is shorter than one."""
-    parts = F.when(F.char_length(line) < WIDTH, F.array(line)).otherwise(shingles(line))
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
-
-
-def band_keys(distinct: DataFrame) -> DataFrame:
-    """line_id, first and keys: ``BANDS`` of the minima over all shingles of a line.
-
-    ``distinct`` is dealt by ``line_id``, so the shingle rows of a line meet where they are made.  A line is cut into
-    pieces of ``PIECE`` characters, each with the characters that its last shingles need from the next one.
-    """
-    cut = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{WIDTH},{PIECE + WIDTH - 1}}})).{{1,{PIECE}}}"), F.lit(1))
-    pieces = F.when(F.char_length("line") < WIDTH, F.array("line")).otherwise(cut)
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("piece") - (WIDTH - 1)))
-    # every line has a piece and a place; the outer form keeps Spark from making them twice to look for lines without any
-    rows = (distinct.select("line_id", "first", F.explode_outer(pieces).alias("piece"))
-            .select("line_id", "first", "piece", F.explode_outer(places).alias("at"))
-            .select("line_id", "first", F.xxhash64(F.substring("piece", F.col("at"), WIDTH)).alias("h")))
-    minima = rows.groupBy("line_id", "first").agg(
-        *[F.min(F.col("h").bitwiseXOR(F.lit(signed(m)))).alias(f"m{k}") for k, m in enumerate(MASKS)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return minima.select("line_id", "first", keys.alias("keys"))
+            .withColumn("line", comparable(F.col("line"))).withColumn("line_key", hashed(F.col("line"))))
+
+
+def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and band_keys of lines: the minima over all their shingles."""
+    for batch in slices(batches):
+        hashes, starts = shingle_hashes(batch.column("line").to_pylist())
+        low = (hashes >> np.uint64(32)).astype(np.uint32)
+        keys = np.zeros((BANDS, batch.num_rows), np.uint64)
+        for k, turn in enumerate(TURNS):
+            smallest = np.minimum.reduceat(low * turn, starts[:-1]).astype(np.uint64)
+            keys[k // ROWS] = mixed(keys[k // ROWS] * GOLDEN + smallest + np.uint64(1 + k // ROWS))
+        flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), flat)],
+            names=["id", "band_keys"])
+
+
+def comparisons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets of pairs of lines: their sizes, what they share, and what the centre lacks."""
+    for batch in slices(batches):
+        m = batch.num_rows
+        hashes, starts = shingle_hashes([*batch.column("x").to_pylist(), *batch.column("y").to_pylist()])
+        pair = np.repeat(np.arange(2 * m) % m, np.diff(starts))
+        side = np.repeat(np.arange(2 * m) // m, np.diff(starts)).astype(bool)
+        order = np.lexsort((side, hashes, pair))
+        hashes, pair, side = hashes[order], pair[order], side[order]
+        new = np.ones(len(hashes), bool)                   # one row for each element of each side
+        new[1:] = (hashes[1:] != hashes[:-1]) | (pair[1:] != pair[:-1]) | (side[1:] != side[:-1])
+        hashes, pair, side = hashes[new], pair[new], side[new]
+        both = np.zeros(len(hashes), bool)                 # x's elements come right before the equal ones of y
+        both[:-1] = (hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1])
+        n, n_centre, common = (np.bincount(pair[f], minlength=m) for f in (~side, side, both))
+        lacks = ~side & ~both
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(pair[lacks], minlength=m))])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("centre"), pa.array(n), pa.array(n_centre),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[lacks].view(np.int64))), pa.array(common)],
+            names=["id", "centre", "n", "n_centre", "rest", "common"])
 
 
 def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, of, line_no, line_id), and per line_id the first place of its component."""
+    """All lines (doc_id, of, line_no, line_key), and per line_key the first place of its component."""
     lines = lines_of(docs)
-    # copies of a line meet as partial minima; one shuffle deals the distinct lines by their id, and serves their shingles
-    distinct = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
-    made = written(distinct.select("line_id", "first", "line", F.lit(None).cast("array<bigint>").alias("keys"))
-                   .unionAll(band_keys(distinct).select("line_id", "first", F.lit(None).cast("string").alias("line"), "keys")), "lines")
-    distinct = made.where("keys is null").select("line_id", "first", "line")
-    signatures = made.where("keys is not null").select(F.col("line_id").alias("id"), F.col("keys").alias("band_keys"))
-
-    texts = distinct.select(F.col("line_id").alias("id"), F.col("line").alias("content"))
-    parts = link_components(signatures, texts, all_shingles, percent, "lines")
-    named = distinct.select("line_id", "first").join(parts.withColumnRenamed("id", "line_id"), "line_id", "left").select(
-        "line_id", "first", F.coalesce("component", "line_id").alias("component"))
+    # copies of a line meet as partial minima
+    distinct = lines.groupBy("line_key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
+    signed = written(distinct.select("id", "line").mapInArrow(signatures, "id bigint, band_keys array<bigint>"), "line-signatures")
+
+    texts = distinct.select("id", F.col("line").alias("content"))
+    parts = link_components(signed, texts, lambda pairs: pairs.mapInArrow(comparisons, MEASURE), percent, "lines")
+    named = distinct.select("line_key", "id", "first").join(parts, "id", "left").select(
+        "line_key", "first", F.coalesce("component", "id").alias("component"))
     firsts = named.groupBy("component").agg(F.min("first").alias("keeper"))
-    keepers = written(named.join(firsts, "component").select("line_id", "keeper"), "line-keepers")
-    discard(made)
-    return lines.select("doc_id", "of", "line_no", "line_id"), keepers
+    keepers = written(named.join(firsts, "component").select("line_key", "keeper"), "line-keepers")
+    discard(distinct, signed)
+    return lines.select("doc_id", "of", "line_no", "line_key"), keepers
 
 
 def label_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, of, line_no, keeper_doc_id, keeper_line_no, kept of every line that holds a word."""
     lines, keepers = line_components(id_and_text(docs, id_col, text_col), percent)
-    return lines.join(keepers, "line_id").select(
+    return lines.join(keepers, "line_key").select(
         "doc_id", "of", "line_no", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"),
         F.struct("doc_id", "line_no").eqNullSafe(F.col("keeper")).alias("kept"))
 
@@ -113,16 +151,17 @@ def label_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 def without_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with only the kept lines in their texts; those that lose all their words leave.
 
-    Other columns stay as they are.  A document without any word before stays.
+    Other columns stay as they are, whatever their names.  A document without any word before stays.
     """
     labelled = written(label_lines(docs, percent, id_col, text_col), "line-labels")
-    drops = (labelled.where("not kept").groupBy("doc_id", "of").agg(F.collect_set("line_no").alias("__drops"))
-             .join(labelled.groupBy("doc_id", "of").agg(F.max("kept").alias("__some")), ["doc_id", "of"])
-             .select(F.col("doc_id").alias("__id"), F.col("of").alias("__of"), "__drops", "__some"))
-    text = F.col(text_col)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n", -1)) - 1), F.col("__drops"))
+    drops = (labelled.groupBy("doc_id", "of").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("drops"),
+                                                  F.max("kept").alias("some")).where("size(drops) > 0"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))       # no name of theirs meets one of ours
+    text = F.col("row").getField(text_col)
     parts = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drops"))
     rest = F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")
-    return (docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__of")), "left")
-            .where(F.coalesce("__some", F.lit(True)))
-            .withColumn(text_col, F.when(F.col("__drops").isNotNull(), rest).otherwise(text)).select(*docs.columns))
+    here = F.col("row").getField(id_col).cast("long").eqNullSafe(F.col("doc_id")) & (hashed(text.cast("string")) == F.col("of"))
+    joined = (whole.join(drops, here, "left").where(F.coalesce("some", F.lit(True)))
+              .select("row", F.when(F.col("drops").isNotNull(), rest).otherwise(text).alias("text")))
+    return joined.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.components import link_components
+from reelflow.llm.components import comparison, link_components
 from reelflow.llm.shared import id_and_text, slices, written
 
 BANDS, ROWS = 40, 6
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2, id_col:
         b = signatures.select(F.col("id").alias("b"), F.struct("signature").alias("y"))
         return pairs.join(a, "a").join(b, "b").where(estimate("x", "y") >= least).select("a", "b").distinct()
 
-    parts = link_components(signatures, sets.withColumnRenamed("numbers", "content"), lambda c: c, percent, "minhash", close)
+    parts = link_components(signatures, sets.withColumnRenamed("numbers", "content"), comparison(lambda c: c), percent, "minhash", close)
     # rows that repeat an id may be in several classes: the id's own component joins them
     named = (classes.select("set_a", "set_b", "id").join(parts, "id", "left")
              .select("set_a", "set_b", F.coalesce("component", "id").alias("component")))
