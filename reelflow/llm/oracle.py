@@ -29,7 +29,7 @@ ORACLE: dict[str, str] = {
         WITH w AS (SELECT doc_id, {WORDS.format("lower(coalesce(text, ''))")} AS words FROM documents),
              t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
              v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS id
-                   FROM (SELECT word, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, word LIMIT 1500)),
+                   FROM (SELECT word, count(*) AS n FROM t GROUP BY 1) WHERE n * 4000 >= (SELECT count(*) FROM t)),
              size AS (SELECT count(*) + 2 AS size FROM v),
              chain AS (SELECT doc_id, pos, coalesce(v.id, 0) AS id FROM t LEFT JOIN v USING (word)
                        UNION ALL SELECT doc_id, 0, 1 FROM w
@@ -38,17 +38,25 @@ ORACLE: dict[str, str] = {
                        WHERE a IS NOT NULL),
              good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1 AND coalesce(max(toxic), 0) = 0),
              c AS (SELECT a, b, count(*) AS n_all, count(good.doc_id) AS n_target FROM pairs LEFT JOIN good USING (doc_id) GROUP BY 1, 2),
-             total AS (SELECT sum(n_all) AS n_all, sum(n_target) AS n_target FROM c),
-             m AS (SELECT a, b, n_target::DOUBLE AS target,
-                          n_all * (SELECT CASE WHEN n_target > 0 THEN n_target::DOUBLE / n_all ELSE 1 END FROM total) AS back FROM c),
+             total AS (SELECT CASE WHEN sum(n_target) > 0 THEN sum(n_target)::DOUBLE / sum(n_all) ELSE 1 END AS scale FROM c),
+             m AS (SELECT a, b, n_target::DOUBLE AS target, n_all * (SELECT scale FROM total) AS back FROM c),
              after AS (SELECT a, sum(target) AS target, sum(back) AS back FROM m GROUP BY 1),
              alone AS (SELECT b, (sum(target) + 1) / ((SELECT sum(target) FROM m) + (SELECT size FROM size)) AS target,
                               (sum(back) + 1) / ((SELECT sum(back) FROM m) + (SELECT size FROM size)) AS back FROM m GROUP BY 1),
              loss AS (SELECT m.a, m.b, -ln((m.target + 2 * alone.target) / (after.target + 2)) AS target,
                              -ln((m.back + 2 * alone.back) / (after.back + 2)) AS back
                       FROM m JOIN after ON m.a = after.a JOIN alone ON m.b = alone.b),
-             s AS (SELECT doc_id, count(*) AS n_tokens, avg(target) AS target, avg(back) AS back FROM pairs JOIN loss USING (a, b) GROUP BY 1)
-        SELECT doc_id, n_tokens, round(target, 6) AS target_loss, round(back, 6) AS background_loss, round(target - back, 6) AS score FROM s""",
+             s AS (SELECT doc_id, count(*) AS n_tokens, sum(target) AS target, sum(back) AS back FROM pairs JOIN loss USING (a, b) GROUP BY 1),
+             o AS (SELECT doc_id, word, count(*) AS times FROM t ANTI JOIN v USING (word) GROUP BY 1, 2),
+             u AS (SELECT word, sum(times) FILTER (good.doc_id IS NOT NULL) AS n_target, sum(times) AS n_all
+                   FROM o LEFT JOIN good USING (doc_id) GROUP BY 1),
+             all_u AS (SELECT coalesce(sum(n_target), 0) AS n_target, sum(n_all) AS n_all, count(*) AS words FROM u),
+             l AS (SELECT word, -ln((coalesce(u.n_target, 0) + 1)::DOUBLE / (all_u.n_target + all_u.words)) AS target,
+                          -ln((u.n_all * scale + 1) / (all_u.n_all * scale + all_u.words)) AS back FROM u, all_u, total),
+             within AS (SELECT doc_id, sum(times * target) AS target, sum(times * back) AS back FROM o JOIN l USING (word) GROUP BY 1),
+             f AS (SELECT doc_id, n_tokens, (s.target + coalesce(within.target, 0)) / n_tokens AS target,
+                          (s.back + coalesce(within.back, 0)) / n_tokens AS back FROM s LEFT JOIN within USING (doc_id))
+        SELECT doc_id, n_tokens, round(target, 6) AS target_loss, round(back, 6) AS background_loss, round(target - back, 6) AS score FROM f""",
     "op2_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              h AS ({HITS}),
