@@ -11,8 +11,13 @@ per connected component stays: the first by (doc_id, line number).
    these hashes; a line's signature are its minima, ``ROWS`` of them a band key.
    At similarity 0.8 a pair shares none of the bands with a chance of
    (1 - 0.8 ** 5) ** 12, below 1 in 100; at 0.3 it shares one with 3 in 100.
-3. Links and components come from ``components.link_components``: a bucket gives
-   as many pairs as members, and no bucket is cut.  Full sets are compared.
+3. In a bucket of at most ``SMALL`` members every two are a candidate, so a member
+   has a bounded number of them.  Larger buckets go through
+   ``components.link_components``, where a bucket gives as many pairs as members
+   and none is cut.
+4. Four low bits of every minimum estimate a candidate's similarity by bit counts;
+   only one that is ``MARGIN`` or more below the threshold is left out (more than
+   four standard deviations).  Then full sets are compared.
 
 Splitting, grouping, joining and choosing are DataFrame functions.  Signatures and
 set comparisons run in Arrow batches: in SQL functions the shingles alone, without
@@ -35,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.components import link_components
+from reelflow.llm.components import connected, link_components
 from reelflow.llm.shared import discard, id_and_text, slices, written
 
 WIDTH = 5
 BANDS, ROWS = 12, 5
+SMALL = 64                                              # members of a bucket that are compared two by two
+MARGIN = 0.25
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: One odd multiplier per minimum.
 TURNS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * GOLDEN >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
@@ -85,40 +92,60 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and band_keys of lines: the minima over all their shingles."""
+    """id, band_keys and low (four bits of each minimum, 16 to a number) of lines, from all their shingles."""
     for batch in slices(batches):
+        m = batch.num_rows
         hashes, starts = shingle_hashes(batch.column("line").to_pylist())
-        low = (hashes >> np.uint64(32)).astype(np.uint32)
-        keys = np.zeros((BANDS, batch.num_rows), np.uint64)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        keys, low = np.zeros((BANDS, m), np.uint64), np.zeros((-(-len(TURNS) // 16), m), np.uint64)
         for k, turn in enumerate(TURNS):
-            smallest = np.minimum.reduceat(low * turn, starts[:-1]).astype(np.uint64)
+            smallest = np.minimum.reduceat(short * turn, starts[:-1]).astype(np.uint64)
             keys[k // ROWS] = mixed(keys[k // ROWS] * GOLDEN + smallest + np.uint64(1 + k // ROWS))
-        flat = pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), flat)],
-            names=["id", "band_keys"])
+            low[k // 16] |= (mixed(smallest * GOLDEN) & np.uint64(15)) << np.uint64(4 * (k % 16))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), rows_as_lists(keys), rows_as_lists(low)], names=["id", "band_keys", "low"])
+
+
+def rows_as_lists(columns: np.ndarray) -> pa.ListArray:
+    """Array (n, m) of unsigned numbers as m lists of n bigints."""
+    n, m = columns.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(columns.T).view(np.int64).ravel()))
+
+
+def estimate(x: str, y: str) -> Column:
+    """Similarity from the minima whose four bits agree, less the agreement by chance."""
+    unlike = F.lit(0)
+    for k in range(-(-len(TURNS) // 16)):
+        bits = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        unlike = unlike + F.bit_count(bits)
+    return (1 - unlike / F.lit(len(TURNS)) - 1 / 16) / (1 - 1 / 16)
 
 
 def comparisons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets of pairs of lines: their sizes, what they share, and what the centre lacks."""
-    for batch in slices(batches):
+    """Full sets of pairs of lines: their sizes, what they share, and what the centre lacks.
+
+    One number holds a pair's place in the batch (8 bits), an element (55 bits of its hash) and its side (1 bit), so
+    that a plain sort brings equal elements of a pair together, x's before y's.
+    """
+    element = np.uint64((1 << 55) - 1)
+    for batch in slices(batches, 256):
         m = batch.num_rows
         hashes, starts = shingle_hashes([*batch.column("x").to_pylist(), *batch.column("y").to_pylist()])
-        pair = np.repeat(np.arange(2 * m) % m, np.diff(starts))
-        side = np.repeat(np.arange(2 * m) // m, np.diff(starts)).astype(bool)
-        order = np.lexsort((side, hashes, pair))
-        hashes, pair, side = hashes[order], pair[order], side[order]
-        new = np.ones(len(hashes), bool)                   # one row for each element of each side
-        new[1:] = (hashes[1:] != hashes[:-1]) | (pair[1:] != pair[:-1]) | (side[1:] != side[:-1])
-        hashes, pair, side = hashes[new], pair[new], side[new]
-        both = np.zeros(len(hashes), bool)                 # x's elements come right before the equal ones of y
-        both[:-1] = (hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1])
+        at = np.arange(2 * m, dtype=np.uint64)
+        tag = (at % np.uint64(m) << np.uint64(56)) | (at // np.uint64(m))
+        keys = np.sort((hashes >> np.uint64(9) << np.uint64(1)) | np.repeat(tag, np.diff(starts)))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        pair, side = (keys >> np.uint64(56)).astype(np.int64), (keys & np.uint64(1)).astype(bool)
+        both = np.zeros(len(keys), bool)
+        both[:-1] = ~side[:-1] & (keys[1:] == keys[:-1] + np.uint64(1))
         n, n_centre, common = (np.bincount(pair[f], minlength=m) for f in (~side, side, both))
         lacks = ~side & ~both
         offsets = np.concatenate([[0], np.cumsum(np.bincount(pair[lacks], minlength=m))])
+        rest = (keys[lacks] >> np.uint64(1) & element).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("centre"), pa.array(n), pa.array(n_centre),
-             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[lacks].view(np.int64))), pa.array(common)],
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rest)), pa.array(common)],
             names=["id", "centre", "n", "n_centre", "rest", "common"])
 
 
@@ -128,15 +155,33 @@ def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     # copies of a line meet as partial minima
     distinct = lines.groupBy("line_key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    signed = written(distinct.select("id", "line").mapInArrow(signatures, "id bigint, band_keys array<bigint>"), "line-signatures")
-
+    signed = written(distinct.select("id", "line").mapInArrow(signatures, "id bigint, band_keys array<bigint>, low array<bigint>"), "line-signatures")
     texts = distinct.select("id", F.col("line").alias("content"))
-    parts = link_components(signed, texts, lambda pairs: pairs.mapInArrow(comparisons, MEASURE), percent, "lines")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        return pairs.mapInArrow(comparisons, MEASURE)
+
+    bands = signed.select("id", F.explode("band_keys").alias("key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = written(bands.join(sizes, "key"), "line-buckets")
+    few = buckets.where(F.col("size") <= SMALL).select("key", "id")
+    pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(
+        F.col("x.id").alias("id"), F.col("y.id").alias("centre")).distinct()
+    x, y = (signed.select(F.col("id").alias(name), F.col("low").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
+    pairs = pairs.join(x, "id").join(y, "centre").where(estimate("x", "y") >= percent / 100 - MARGIN).select("id", "centre")
+    x, y = (texts.select(F.col("id").alias(name), F.col("content").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
+    near = F.expr(f"100 * common >= {percent} * (n + n_centre - common)")
+    links = written(compare(pairs.join(x, "id").join(y, "centre").select("id", "centre", "x", "y")).where(near)
+                    .select(F.col("id").alias("a"), F.col("centre").alias("b")), "line-links")
+    crowded = written(buckets.where(F.col("size") > SMALL).groupBy("id").agg(F.collect_list("key").alias("band_keys")), "line-crowds")
+    discard(buckets, signed)
+    crowds = link_components(crowded, texts, compare, percent, "lines")
+    parts = connected(links.unionAll(crowds.select(F.col("id").alias("a"), F.col("component").alias("b"))), "line-parts")
     named = distinct.select("line_key", "id", "first").join(parts, "id", "left").select(
         "line_key", "first", F.coalesce("component", "id").alias("component"))
     firsts = named.groupBy("component").agg(F.min("first").alias("keeper"))
     keepers = written(named.join(firsts, "component").select("line_key", "keeper"), "line-keepers")
-    discard(distinct, signed)
+    discard(distinct, links, crowded)
     return lines.select("doc_id", "of", "line_no", "line_key"), keepers
 
 
