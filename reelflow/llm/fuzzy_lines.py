@@ -156,7 +156,6 @@ def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     distinct = lines.groupBy("line_key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
     signed = written(distinct.select("id", "line").mapInArrow(signatures, "id bigint, band_keys array<bigint>, low array<bigint>"), "line-signatures")
-    texts = distinct.select("id", F.col("line").alias("content"))
 
     def compare(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(comparisons, MEASURE)
@@ -165,17 +164,24 @@ def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(bands.join(sizes, "key"), "line-buckets")
     few = buckets.where(F.col("size") <= SMALL).select("key", "id")
+    # only members of buckets go on, each table with what the next step reads
+    lows = written(signed.select("id", "low").join(buckets.select("id").distinct(), "id", "left_semi"), "line-lows")
+    crowded = written(buckets.where(F.col("size") > SMALL).groupBy("id").agg(F.collect_list("key").alias("band_keys")), "line-crowds")
+    discard(signed)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(
         F.col("x.id").alias("id"), F.col("y.id").alias("centre")).distinct()
-    x, y = (signed.select(F.col("id").alias(name), F.col("low").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
+    x, y = (lows.select(F.col("id").alias(name), F.col("low").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
     pairs = pairs.join(x, "id").join(y, "centre").where(estimate("x", "y") >= percent / 100 - MARGIN).select("id", "centre")
+    pairs = written(pairs, "line-pairs")
+    discard(buckets, lows)
+    wanted = pairs.select("id").unionAll(pairs.select("centre")).unionAll(crowded.select("id")).distinct()
+    texts = written(distinct.select("id", F.col("line").alias("content")).join(wanted, "id", "left_semi"), "line-texts")
     x, y = (texts.select(F.col("id").alias(name), F.col("content").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
     near = F.expr(f"100 * common >= {percent} * (n + n_centre - common)")
     links = written(compare(pairs.join(x, "id").join(y, "centre").select("id", "centre", "x", "y")).where(near)
                     .select(F.col("id").alias("a"), F.col("centre").alias("b")), "line-links")
-    crowded = written(buckets.where(F.col("size") > SMALL).groupBy("id").agg(F.collect_list("key").alias("band_keys")), "line-crowds")
-    discard(buckets, signed)
     crowds = link_components(crowded, texts, compare, percent, "lines")
+    discard(texts, pairs)
     parts = connected(links.unionAll(crowds.select(F.col("id").alias("a"), F.col("component").alias("b"))), "line-parts")
     named = distinct.select("line_key", "id", "first").join(parts, "id", "left").select(
         "line_key", "first", F.coalesce("component", "id").alias("component"))
