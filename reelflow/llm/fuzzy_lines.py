@@ -12,9 +12,10 @@ per connected component stays: the first by (doc_id, line number).
    At similarity 0.8 a pair shares none of the bands with a chance of
    (1 - 0.8 ** 5) ** 12, below 1 in 100; at 0.3 it shares one with 3 in 100.
 3. In a bucket of at most ``SMALL`` members every two are a candidate, so a member
-   has a bounded number of them.  Larger buckets go through
-   ``components.link_components``, where a bucket gives as many pairs as members
-   and none is cut.
+   has a bounded number of them.  In a larger one every member is compared with its
+   centre; one whose members are then all in one component is done.  Else those
+   outside of the centre's component are held against all members, tile by tile of
+   ``TILE`` members each: a tile gives the links that join components, not its pairs.
 4. Four low bits of every minimum estimate a candidate's similarity by bit counts;
    only one that is ``MARGIN`` or more below the threshold is left out (more than
    four standard deviations).  Then full sets are compared.
@@ -40,17 +41,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.components import connected, link_components
+from reelflow.llm.components import connected
 from reelflow.llm.shared import discard, id_and_text, slices, written
 
 WIDTH = 5
 BANDS, ROWS = 12, 5
 SMALL = 64                                              # members of a bucket that are compared two by two
 MARGIN = 0.25
+TILE = 1024                                             # members of a crowded bucket on either side of a tile
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: One odd multiplier per minimum.
 TURNS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * GOLDEN >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
-MEASURE = "id bigint, centre bigint, n bigint, n_centre bigint, rest array<bigint>, common bigint"
+MEASURE = "id bigint, centre bigint, n bigint, n_centre bigint, common bigint"
+LINK = "a bigint, b bigint"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -123,12 +126,11 @@ def estimate(x: str, y: str) -> Column:
 
 
 def comparisons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets of pairs of lines: their sizes, what they share, and what the centre lacks.
+    """Full sets of pairs of lines: their sizes and what they share.
 
     One number holds a pair's place in the batch (8 bits), an element (55 bits of its hash) and its side (1 bit), so
     that a plain sort brings equal elements of a pair together, x's before y's.
     """
-    element = np.uint64((1 << 55) - 1)
     for batch in slices(batches, 256):
         m = batch.num_rows
         hashes, starts = shingle_hashes([*batch.column("x").to_pylist(), *batch.column("y").to_pylist()])
@@ -140,13 +142,83 @@ def comparisons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros(len(keys), bool)
         both[:-1] = ~side[:-1] & (keys[1:] == keys[:-1] + np.uint64(1))
         n, n_centre, common = (np.bincount(pair[f], minlength=m) for f in (~side, side, both))
-        lacks = ~side & ~both
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(pair[lacks], minlength=m))])
-        rest = (keys[lacks] >> np.uint64(1) & element).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("centre"), pa.array(n), pa.array(n_centre),
-             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rest)), pa.array(common)],
-            names=["id", "centre", "n", "n_centre", "rest", "common"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("centre"), pa.array(n), pa.array(n_centre), pa.array(common)],
+                                         names=["id", "centre", "n", "n_centre", "common"])
+
+
+class Members:
+    """One side of a tile: ids, components, low bits, and sets that are made when they are asked for."""
+
+    def __init__(self, table: pa.Table):
+        table = table.rename_columns([c.rstrip("_") for c in table.column_names])
+        self.ids, self.parts = table.column("id").to_pylist(), table.column("part").to_pylist()
+        self.low = np.array(table.column("low").to_pylist(), np.int64).reshape(len(self.ids), -(-len(TURNS) // 16)).view(np.uint64)
+        self.lines, self.sets = table.column("line").to_pylist(), {}
+
+    def set_of(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            self.sets[k] = np.unique(shingle_hashes([self.lines[k]])[0])
+        return self.sets[k]
+
+
+def tile(percent: int):
+    """Links between outer members and all members of a tile, as many as join up their components."""
+    def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(x), len(y)), np.int64)
+        for k in range(x.shape[1]):
+            bits = x[:, k, None] ^ y[None, :, k]
+            bits |= bits >> np.uint64(1)
+            bits |= bits >> np.uint64(2)
+            found += np.bitwise_count(bits & np.uint64(0x1111111111111111))
+        return found
+
+    def run(outer: pa.Table, every: pa.Table) -> pa.Table:
+        x, y = Members(outer), Members(every)
+        up = {p: p for p in (*x.parts, *y.parts)}
+
+        def root(p):
+            while up[p] != p:
+                up[p] = up[up[p]]
+                p = up[p]
+            return p
+
+        links = []
+        if x.ids and y.ids:
+            likely = (1 - unlike(x.low, y.low) / len(TURNS) - 1 / 16) / (1 - 1 / 16)
+            likely[np.array(x.parts)[:, None] == np.array(y.parts)[None, :]] = -1
+            rows, columns = np.nonzero(likely >= percent / 100 - MARGIN)
+            for at in np.argsort(-likely[rows, columns], kind="stable").tolist():     # the likeliest first, then most need no look
+                i, j = int(rows[at]), int(columns[at])
+                a, b = root(x.parts[i]), root(y.parts[j])
+                if a != b:
+                    p, q = x.set_of(i), y.set_of(j)
+                    both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        links.append((x.ids[i], y.ids[j]))
+                        up[max(a, b)] = min(a, b)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def crowd_links(crowds: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of crowded buckets, as far as ``links`` and their stars leave components apart.
+
+    crowds: key, size, id, low, line.
+    """
+    parts = connected(links, "crowd-parts")
+    centre = crowds.groupBy("key").agg(F.min("id").alias("centre"))
+    members = (crowds.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+               .join(centre, "key").join(parts.select(F.col("id").alias("centre"), F.col("component").alias("hub")), "centre", "left")
+               .withColumn("outer", F.col("part") != F.coalesce("hub", "centre")))
+    open_ = members.where("outer").select("key").distinct()
+    members = members.join(open_, "key").withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int"))
+    chunk, every = F.expr("cast(pmod(xxhash64(id), chunks) AS int)"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    members = written(members, "crowd-members")
+    held = ("key", "id", "part", "low", "line")
+    left = members.where("outer").select(chunk.alias("i"), every.alias("j"), *held)
+    right = members.select(every.alias("i_"), chunk.alias("j_"), *[F.col(c).alias(f"{c}_") for c in held])
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_", "i_", "j_")).applyInArrow(tile(percent), LINK)
 
 
 def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -166,28 +238,29 @@ def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     few = buckets.where(F.col("size") <= SMALL).select("key", "id")
     # only members of buckets go on, each table with what the next step reads
     lows = written(signed.select("id", "low").join(buckets.select("id").distinct(), "id", "left_semi"), "line-lows")
-    crowded = written(buckets.where(F.col("size") > SMALL).groupBy("id").agg(F.collect_list("key").alias("band_keys")), "line-crowds")
     discard(signed)
+    few, crowds = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(
-        F.col("x.id").alias("id"), F.col("y.id").alias("centre")).distinct()
+        F.col("x.id").alias("id"), F.col("y.id").alias("centre"))
+    stars = crowds.join(crowds.groupBy("key").agg(F.min("id").alias("centre")), "key").where("id <> centre").select("id", "centre")
     x, y = (lows.select(F.col("id").alias(name), F.col("low").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
-    pairs = pairs.join(x, "id").join(y, "centre").where(estimate("x", "y") >= percent / 100 - MARGIN).select("id", "centre")
+    pairs = (pairs.unionAll(stars).distinct().join(x, "id").join(y, "centre")
+             .where(estimate("x", "y") >= percent / 100 - MARGIN).select("id", "centre"))
     pairs = written(pairs, "line-pairs")
-    discard(buckets, lows)
-    wanted = pairs.select("id").unionAll(pairs.select("centre")).unionAll(crowded.select("id")).distinct()
-    texts = written(distinct.select("id", F.col("line").alias("content")).join(wanted, "id", "left_semi"), "line-texts")
-    x, y = (texts.select(F.col("id").alias(name), F.col("content").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
+    wanted = pairs.select("id").unionAll(pairs.select("centre")).unionAll(crowds.select("id")).distinct()
+    texts = written(distinct.select("id", "line").join(wanted, "id", "left_semi"), "line-texts")
+    x, y = (texts.select(F.col("id").alias(name), F.col("line").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
     near = F.expr(f"100 * common >= {percent} * (n + n_centre - common)")
     links = written(compare(pairs.join(x, "id").join(y, "centre").select("id", "centre", "x", "y")).where(near)
                     .select(F.col("id").alias("a"), F.col("centre").alias("b")), "line-links")
-    crowds = link_components(crowded, texts, compare, percent, "lines")
-    discard(texts, pairs)
-    parts = connected(links.unionAll(crowds.select(F.col("id").alias("a"), F.col("component").alias("b"))), "line-parts")
+    more = written(crowd_links(crowds.join(lows, "id").join(texts, "id"), links, percent), "line-crowds")
+    discard(texts, pairs, buckets, lows)
+    parts = connected(links.unionAll(more), "line-parts")
     named = distinct.select("line_key", "id", "first").join(parts, "id", "left").select(
         "line_key", "first", F.coalesce("component", "id").alias("component"))
     firsts = named.groupBy("component").agg(F.min("first").alias("keeper"))
     keepers = written(named.join(firsts, "component").select("line_key", "keeper"), "line-keepers")
-    discard(distinct, links, crowded)
+    discard(distinct, links, more)
     return lines.select("doc_id", "of", "line_no", "line_key"), keepers
 
 

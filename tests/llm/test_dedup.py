@@ -219,4 +219,19 @@ def test_comparisons_equal_sets():
     got = [r for b in fuzzy_lines.comparisons(iter([batch])) for r in b.to_pylist()]
     for (x, y), r in zip(pairs, got):
         a, b = plain(x), plain(y)
-        assert (r["n"], r["n_centre"], r["common"], len(r["rest"])) == (len(a), len(b), len(a & b), len(a - b))
+        assert (r["n"], r["n_centre"], r["common"]) == (len(a), len(b), len(a & b))
+
+
+def test_crowded_buckets_equal_brute_force(make_docs, monkeypatch):
+    """With small bounds most buckets are crowded and of several tiles: the links found are the same."""
+    monkeypatch.setattr(fuzzy_lines, "SMALL", 2)
+    monkeypatch.setattr(fuzzy_lines, "TILE", 8)
+    rng = random.Random(31)
+    form = words(rng, 22)
+    docs = line_corpus()[:60]
+    docs += [(500 + k, " ".join(form[:16] + words(rng, 6))) for k in range(60)]                  # alike, none linked
+    base = words(rng, 60)
+    docs += [(700 + k, " ".join(edited(rng, base, rng.randint(0, 6)))) for k in range(60)]       # a large group
+    expected = lines_by_brute_force(docs)
+    got = {(r.doc_id, r.line_no): (r.keeper_doc_id, r.keeper_line_no) for r in fuzzy_lines.label_lines(make_docs(docs)).collect()}
+    assert got == expected
