@@ -1,11 +1,14 @@
 """Time-range and as-of joins inside a video (JOI-6, JOI-7, WIN-4).
 
 Spark has no range or as-of join. The range join is an equi join on
-``(video_id, time bucket)`` plus the range predicate: each interval is exploded
-over the few buckets it touches, which also spreads one long video over many
-tasks, and a pair that shares several buckets is kept only in the first bucket
-both touch. The as-of join carries the last frame forward through time blocks.
-No window holds a whole video.
+``(video_id, level, time bucket)`` plus the range predicate: buckets of a level
+are ``STEP`` times as wide as those of the level below, an interval belongs to
+the first level whose buckets are as long as itself, and so touches two buckets
+of it at most. A pair meets at the higher of its two levels, in the first bucket
+that both touch there. So a long interval costs no more rows than a short one,
+and only what lies in its own stretch of the video is compared with it. The
+as-of join carries the last frame forward through time blocks. No window holds a
+whole video.
 """
 
 from __future__ import annotations
@@ -16,43 +19,68 @@ from pyspark.sql import functions as F
 from reelflow.operators.blocked import TIME_BLOCK_S, carry_forward, join_on, next_in_order, time_block
 from reelflow.operators.ordered import ordered_concat
 
+STEP = 8                  # how much wider the buckets of the next level are
+TOP = 9                   # the level without buckets: intervals over ``width * STEP ** (TOP - 1)`` (decades), or corrupt
 
-MAX_BUCKETS = 64          # an interval over more buckets is joined on its key alone
 
+def _level(start: Column, end: Column, width: float) -> Column:
+    length = (end - start) / F.lit(width)
+    level = F.ceil(F.log(length) / F.log(F.lit(float(STEP)))).cast("int")
+    return F.when(length <= 1, 0).when(length > float(STEP) ** (TOP - 1), TOP).otherwise(level)
 
-def _bucket(c: Column, width: float) -> Column:
-    return F.floor(c / F.lit(width))
 
+def _bucket(c: Column, level: Column, width: float) -> Column:
+    return F.when(level == TOP, F.lit(0).cast("bigint")).otherwise(F.floor(c / (F.lit(width) * F.pow(F.lit(float(STEP)), level))))
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    """All buckets touched by ``[start, end]`` (a single bucket when ``end < start``)."""
-    b0, b1 = _bucket(start, width), _bucket(end, width)
-    return F.sequence(b0, F.greatest(b0, b1))
+
+def _placed(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """The intervals whose times are known, with their level ``_own``."""
+    known = F.col(start).isNotNull() & F.col(end).isNotNull() & ~F.isnan(start) & ~F.isnan(end)
+    return df.filter(known).withColumn("_own", _level(F.col(start), F.col(end), width))
+
+
+def _at_levels(df: DataFrame, levels: Column, start: str, end: str, width: float) -> DataFrame:
+    """A row per level of ``levels`` and bucket that the interval touches there (one where ``end < start``)."""
+    first, last = (_bucket(F.col(c), F.col("_level"), width) for c in (start, end))
+    return (df.withColumn("_level", F.explode(levels))
+              .withColumn("_b", F.explode(F.sequence(first, F.greatest(first, last)))))
+
+
+def _levels(placed: DataFrame) -> list[int]:
+    """The levels that occur, ``TOP + 1`` at most."""
+    return sorted(r[0] for r in placed.select("_own").distinct().collect())
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, key: str, l_start: str, l_end: str, r_start: str, r_end: str,
+                    width: float = TIME_BLOCK_S) -> DataFrame:
+    """The pairs that :func:`overlap_pairs` compares: both touch a bucket of the level of the longer one. Each comes once."""
+    lp, rp = _placed(left, l_start, l_end, width), _placed(right, r_start, r_end, width)
+    l_levels, r_levels = _levels(lp), _levels(rp)
+
+    def own(placed: DataFrame, start: str, end: str) -> DataFrame:
+        return _at_levels(placed, F.array("_own"), start, end, width)
+
+    def below(placed: DataFrame, start: str, end: str, others: list[int], strictly: bool) -> DataFrame:
+        """At every level of the other side that is not below the interval's own."""
+        listed = F.array(*map(F.lit, others)).cast("array<int>")
+        higher = F.filter(listed, lambda n: n > F.col("_own") if strictly else n >= F.col("_own"))
+        return _at_levels(placed, higher, start, end, width)
+
+    first_common = F.greatest(*(_bucket(F.col(c), F.col("_level"), width) for c in (l_start, r_start)))
+    on = [key, "_level", "_b"]
+    made = (own(lp, l_start, l_end).drop("_own").join(below(rp, r_start, r_end, l_levels, False).drop("_own"), on)
+            .unionByName(below(lp, l_start, l_end, r_levels, True).drop("_own").join(own(rp, r_start, r_end).drop("_own"), on)))
+    return made.filter(F.col("_b") == first_common).drop("_b", "_level")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, key: str, l_start: str, l_end: str, r_start: str, r_end: str,
                   width: float = TIME_BLOCK_S) -> DataFrame:
     """All ``(left, right)`` pairs with ``r_start < l_end AND r_end > l_start`` inside the same ``key``.
 
-    An interval of ordinary length is exploded over the few buckets it touches.
-    One that spans more than ``MAX_BUCKETS`` (an hour and more, or a corrupt
-    time) is not: it meets the other side on the key alone, where it overlaps
-    most of what it is compared with. Every pair comes from exactly one of the
-    three joins. A missing or not-a-number time overlaps nothing.
+    Intervals may have any length. A missing or not-a-number time overlaps nothing.
     """
-    def split(df: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
-        known = df.filter(~F.isnan(start) & ~F.isnan(end))
-        long = F.col(end) - F.col(start) > width * MAX_BUCKETS
-        return known.filter(~long), known.filter(long)
-
-    (l_short, l_long), (r_short, r_long) = split(left, l_start, l_end), split(right, r_start, r_end)
     overlap = (F.col(r_start) < F.col(l_end)) & (F.col(r_end) > F.col(l_start))
-    lb = l_short.withColumn("_b", F.explode(_buckets(F.col(l_start), F.col(l_end), width)))
-    rb = r_short.withColumn("_b", F.explode(_buckets(F.col(r_start), F.col(r_end), width)))
-    first_common = F.greatest(_bucket(F.col(l_start), width), _bucket(F.col(r_start), width))
-    near = lb.join(rb, [key, "_b"]).filter(overlap & (F.col("_b") == first_common)).drop("_b")
-    return (near.unionByName(l_long.join(right, key).filter(overlap))
-                .unionByName(l_short.join(r_long, key).filter(overlap)))
+    return candidate_pairs(left, right, key, l_start, l_end, r_start, r_end, width).filter(overlap)
 
 
 def section_segments(secs: DataFrame, segs: DataFrame, width: float = TIME_BLOCK_S) -> DataFrame:

@@ -11,18 +11,21 @@ the sink as a batch DataFrame.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from reelflow.functions import text, urls
 from reelflow.operators.prompts import rule_sections
 from reelflow.operators.timeline import explode_segments
 from reelflow.schemas import ALIGNED_TRANSCRIPT
-from reelflow.session import scratch_path
-from reelflow.sources.stage import children, exists
+from reelflow.session import scratch_path, ship_package
+from reelflow.sources.stage import exists
 from reelflow.sources.views import request_rows
 
 CONVERSATIONS = T.StructType([
@@ -88,29 +91,27 @@ def request_stream(stream: DataFrame) -> DataFrame:
     return request_rows(stream).withColumn("canonical_url", urls.canonical_url("url"))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_state(spark: SparkSession) -> None:
+    """State in RocksDB on the executors' disks; a batch sends its changes to the checkpoint, not the whole state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def run_batches(df: DataFrame, name: str, step: Callable, folder: str | None = None) -> str:
-    """Run ``step(batch, k, earlier, save)`` over everything available now; the folder of its tables.
+    """Run ``step(batch, save)`` over everything available now; the folder of its tables.
 
     ``save(table, rows)`` writes the batch's own part of a table, in a place
     named by the batch, so a batch that is run again replaces its part and adds
-    nothing twice. ``earlier(table)`` reads the parts of all earlier batches
-    (None before the first), with ``last_only`` that of the batch before.
+    nothing twice. No batch lists or reads the parts of others.
     """
     spark = df.sparkSession
     folder = folder or scratch_path(spark, f"{name}-tables")
 
     def run(batch: DataFrame, k: int) -> None:
-        own = batch.sparkSession
-
-        def earlier(table: str, last_only: bool = False) -> DataFrame | None:
-            wanted = [f"{folder}/{table}/batch-{i}" for i in range(k - 1 if last_only else 0, k)]
-            paths = [p for p in wanted if exists(own, p)]
-            return own.read.parquet(*paths) if paths else None
-
-        def save(table: str, rows: DataFrame) -> None:
-            rows.write.mode("overwrite").parquet(f"{folder}/{table}/batch-{k}")
-
-        step(batch, k, earlier, save)
+        step(batch, lambda table, rows: rows.write.mode("overwrite").parquet(f"{folder}/{table}/batch-{k}"))
 
     q = (df.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint")
            .trigger(availableNow=True).start())
@@ -127,20 +128,15 @@ def table_of(spark: SparkSession, folder: str, table: str, schema: T.StructType)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{table}")
 
 
-def dedup_requests(requests: DataFrame, folder: str | None = None) -> DataFrame:
+def dedup_requests(requests: DataFrame, sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """STM-2: one request per canonical URL over the whole history, however the input is split.
 
-    Each batch keeps its distinct URLs that no earlier batch has; the history is
-    the output itself, in the shared folder, so no state grows in memory and no
-    horizon forgets a URL.
+    The URLs seen are keyed state (RocksDB, dealt by the URL), so a batch looks up
+    its own URLs alone, whatever came before, and no horizon forgets one.
     """
+    with_state(requests.sparkSession)
     rows = requests.select("canonical_url", urls.watch_id("canonical_url").alias("video_key"))
-
-    def step(batch, k, earlier, save) -> None:
-        new, seen = batch.distinct(), earlier("urls")
-        save("urls", new if seen is None else new.join(seen.select("canonical_url"), "canonical_url", "left_anti"))
-
-    return table_of(requests.sparkSession, run_batches(rows, "dedup", step, folder), "urls", rows.schema)
+    return run_available(rows.dropDuplicates(["canonical_url"]), "dedup", sink, checkpoint)
 
 
 SEGMENTS = T.StructType([
@@ -151,34 +147,94 @@ SEGMENTS = T.StructType([
 ])
 
 
-def sections_as_finished(segments: DataFrame, pause_s: float = 1.0, folder: str | None = None) -> DataFrame:
+ARRIVED = T.StructType([f for f in SEGMENTS.fields if f.name != "video_id"])
+RELEASED = T.StructType([*SEGMENTS.fields, T.StructField("complete", T.BooleanType())])
+
+
+class WaitingSegments(StatefulProcessor):
+    """Segments of one transcript until its last one is in, or until it is given up.
+
+    Each segment is appended to the list state once; a count says when the
+    transcript is complete. Rows pass through in batches, so no task holds the
+    segments of a transcript at once.
+    """
+
+    def __init__(self, patience_ms: int | None):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.segments = handle.getListState("segments", ARRIVED)
+        self.progress = handle.getValueState("progress", "arrived bigint, expected bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = not self.progress.exists()
+        arrived, expected = (0, 0) if first else self.progress.get()
+        for batch in rows:
+            values = batch[ARRIVED.names].astype(object)
+            self.segments.appendList(list(values.where(values.notna(), None).itertuples(index=False, name=None)))
+            arrived, expected = arrived + len(batch), max([expected, *(int(n) for n in batch["transcript_segments"].dropna())])
+        if arrived >= expected:
+            yield from self.release(key, True)
+            return
+        self.progress.update((arrived, expected))
+        if first and self.patience_ms is not None:
+            self.handle.registerTimer(int(batch["arrived_at"].max().timestamp() * 1000) + self.patience_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.progress.exists():
+            yield from self.release(key, False)
+
+    def release(self, key, complete: bool) -> Iterator[pd.DataFrame]:
+        waiting = iter(self.segments.get()) if self.segments.exists() else iter(())
+        while part := list(islice(waiting, 4096)):
+            frame = pd.DataFrame(part, columns=ARRIVED.names).astype(object)
+            frame = frame.where(frame.notna(), None)
+            frame.insert(0, "video_id", [key[0]] * len(frame))
+            frame["complete"] = complete
+            yield frame[RELEASED.names]
+        self.segments.clear()
+        self.progress.clear()
+        for timer in list(self.handle.listTimers()) if self.patience_ms is not None else []:
+            self.handle.deleteTimer(timer)
+
+    def close(self) -> None:
+        pass
+
+
+def sections_as_finished(segments: DataFrame, pause_s: float = 1.0, folder: str | None = None,
+                         patience_ms: int | None = None, flush: bool = True) -> DataFrame:
     """STM-3: the sections of every transcript, formed when its last segment has arrived.
 
-    Each segment says how many its transcript has (``transcript_segments``). A
-    batch adds its segments to those that wait, forms the sections of the
-    transcripts that are now complete (:func:`prompts.rule_sections`, blocked, so
-    a long video is no single task) and lets the others wait in the shared
-    folder. The result does not depend on how the input is split into files and
-    batches. A finite input is flushed at its end: what still waits, because a
-    transcript's end never came, is cut into sections as it is.
+    Each segment says how many its transcript has (``transcript_segments``). Keyed
+    state holds the segments of unfinished transcripts (:class:`WaitingSegments`);
+    a batch reads and writes the state of the transcripts it brings segments of,
+    and forms the sections of those it completes (:func:`prompts.rule_sections`,
+    blocked). The result does not depend on how the input is split into files and
+    batches. With ``patience_ms`` a transcript that is not complete so long after
+    its first segment leaves the state and is cut into sections as it is (time
+    goes on with the batches: each stamps its rows with its own time, which moves
+    the watermark that the timers wait for); a finite input is flushed in the same
+    way at its end, unless ``flush`` is off.
     """
     spark = segments.sparkSession
+    with_state(spark)
+    ship_package(spark)
+    rows, mode = segments.select(*SEGMENTS.names), "none"
+    if patience_ms is not None:
+        rows, mode = rows.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", "0 seconds"), "eventtime"
+    held = rows.groupBy("video_id").transformWithStateInPandas(WaitingSegments(patience_ms), RELEASED, "append", mode)
 
-    def step(batch, k, earlier, save) -> None:
-        waiting = earlier("waiting", last_only=True)
-        rows = batch if waiting is None else waiting.unionByName(batch)
-        complete = (rows.groupBy("video_id").agg(F.count("*").alias("_n"), F.max("transcript_segments").alias("_of"))
-                        .where("_n >= _of").select("video_id"))
-        save("sections", rule_sections(rows.join(complete, "video_id", "left_semi"), pause_s))
-        save("waiting", rows.join(complete, "video_id", "left_anti"))
+    def step(batch, save) -> None:
+        save("sections", rule_sections(batch, pause_s))
 
-    folder = run_batches(segments, "sections", step, folder)
-    batches = [int(p.rsplit("-", 1)[1]) for p in children(spark, f"{folder}/waiting")]
+    folder = run_batches(held, "sections", step, folder)
     schema = rule_sections(spark.createDataFrame([], SEGMENTS), pause_s).schema
     done = table_of(spark, folder, "sections", schema)
-    if not batches:
+    if not flush:
         return done
-    rest = spark.read.schema(SEGMENTS).parquet(f"{folder}/waiting/batch-{max(batches)}")
+    state = spark.read.format("statestore").option("stateVarName", "segments").load(f"{folder}/checkpoint")
+    rest = state.select("key.video_id", "list_element.*").select(*SEGMENTS.names)
     return done.unionByName(rule_sections(rest, pause_s))
 
 
@@ -214,17 +270,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
                     F.unix_micros(F.col("w.end")).alias("session_end_us"), "n_events", "total_value")
 
 
-def with_open(df: DataFrame, emitted: DataFrame, keys: list[str]) -> DataFrame:
-    """The emitted groups, and those of the same job over the static input whose keys were not emitted.
-
-    That is a flush only where no row came late: a group that the stream lost is filled in too.  ``run_flushed`` takes
-    what is open from the stream itself.  The join keeps a mark instead of being an anti join, which the optimizer would move below the session window and so
-    apply to single events.
-    """
-    marked = df.join(emitted.select(*keys).withColumn("_emitted", F.lit(True)), keys, "left")
-    return emitted.unionByName(marked.where(F.col("_emitted").isNull()).select(*df.columns))
-
-
 def run_flushed(job: Callable[[DataFrame], DataFrame], rows: DataFrame, time_col: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Run ``job(rows)`` over everything available; what it emits by then, and that with its open groups flushed.
 

@@ -258,3 +258,71 @@ def test_section_of_two_long_segments_is_cut(spark):
     segs = spark.createDataFrame(rows, "video_id int, pos int, start_s double, end_s double, text string")
     assert [len(t) for t, _ in _sections(prompts.rule_sections(segs, max_chars=2000))[1]] == [1500] * 4
     assert [len(t) for t, _ in _sections(prompts.rule_sections(segs, max_chars=3001))[1]] == [3001] * 2
+
+
+def test_intervals_of_any_length_equal_brute_force(spark):
+    rng = random.Random(21)
+
+    def some(n):
+        out = []
+        for k in range(n):
+            start = rng.uniform(-50, 5000)
+            length = rng.choice([0.0, 0.5, 3.0, 59.0, 60.0, 61.0, 480.0, 500.0, 4000.0, 1e9, 1e300, -2.0])
+            out.append((rng.randint(0, 2), k, start, start + length))
+        return out + [(1, n, None, 5.0), (1, n + 1, 5.0, None), (1, n + 2, float("nan"), 5.0), (1, n + 3, 0.0, float("inf")), (None, n + 4, 0.0, 9.0)]
+
+    left, right = some(60), some(80)
+    lf = spark.createDataFrame(left, "video_id int, a int, s double, e double")
+    rf = spark.createDataFrame(right, "video_id int, b int, x double, y double")
+    got = sorted((r.a, r.b) for r in intervals.overlap_pairs(lf, rf, "video_id", "s", "e", "x", "y").collect())
+    known = lambda t: t is not None and not math.isnan(t)
+    expected = sorted((a, b) for v, a, s, e in left for w, b, x, y in right
+                      if v is not None and v == w and all(map(known, (s, e, x, y))) and x < e and y > s)
+    assert got == expected and len(got) > 500
+
+
+def test_long_intervals_meet_what_lies_in_them(spark):
+    """Candidates stay within a constant of the pairs found, also where every section is hours long."""
+    day = 86_400.0
+    secs = spark.range(60).selectExpr("1 AS video_id", "id AS a", f"id * {day} / 20 AS s", f"id * {day} / 20 + {day} / 10 AS e")
+    segs = spark.range(20_000).selectExpr("1 AS video_id", "id AS b", "id * 13.0 AS x", "id * 13.0 + 12.0 AS y")
+    on = ("video_id", "s", "e", "x", "y")
+    pairs, compared = intervals.overlap_pairs(secs, segs, *on).count(), intervals.candidate_pairs(secs, segs, *on).count()
+    assert pairs > 30_000 and compared < 8 * pairs < 20_000 * 60 * 2
+
+
+def test_word_times_grow_with_the_words(spark):
+    """Running lengths of a segment of many words: right, and twice the words do not take four times as long."""
+    import time
+    from reelflow.operators.timeline import word_timeline
+
+    def segs(n):
+        return spark.range(4).selectExpr("id AS video_id", "0 AS pos", "0.0D AS start_s", "100.0D AS end_s",
+                                         f"array_join(transform(sequence(1, {n}), k -> repeat('w', cast(k % 5 + 1 AS int))), ' ') AS text")
+
+    rows = word_timeline(segs(1000).where("video_id = 0")).orderBy("word_pos").collect()
+    upto = 0
+    for k, r in enumerate(rows):
+        size = (k + 1) % 5 + 1
+        assert math.isclose(r.word_start, 100 * upto / 3000, abs_tol=1e-9) and math.isclose(r.word_end, 100 * (upto + size) / 3000, abs_tol=1e-9)
+        upto += size
+
+    def seconds(n):
+        best = None
+        for _ in range(2):
+            start = time.time()
+            word_timeline(segs(n)).write.format("noop").mode("overwrite").save()
+            best = min(best or 1e9, time.time() - start)
+        return best
+
+    seconds(20_000)
+    assert seconds(160_000) < 4 * seconds(40_000) + 3              # quadratic work would take sixteen times as long
+
+
+def test_preview_shuffles_the_first_rows_of_each_task_alone(spark):
+    secs = spark.range(0, 5000, 1, 4).selectExpr("id div 100000 AS video_id", "cast(id AS int) AS section_index", "0.0D AS start_time", "1.0D AS end_time",
+                                                 "concat('prompt ', id) AS image_prompt", "'' AS visual_style")
+    plan = images.preview(secs)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("WindowGroupLimit"):]
+    assert "Final" in below and "Partial" in below and below.index("Exchange") < below.index("Partial")
+    assert [(r.section_index, r.more_sections) for r in images.preview(secs).orderBy("section_index").collect()] == [(k, 4997) for k in range(3)]
