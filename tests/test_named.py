@@ -130,3 +130,34 @@ def test_a_folder_without_matching_files_is_an_error(spark, tmpdir_fresh):
     for read in (files.read_transcripts, files.read_prompts, files.read_manifests, files.read_subtitles, files.read_clips):
         with pytest.raises(FileNotFoundError):
             read(spark, tmpdir_fresh)
+
+
+def test_a_run_is_staged_by_all_partitions_in_flat_folders(spark, tmpdir_fresh, monkeypatch):
+    """One partition of small bodies is dealt out again, and folders of the names are made once, when files are moved."""
+    seen, moves = {}, named._moves
+
+    def spying(path, job):
+        for folder, inner, inside in os.walk(f"{path}/_staged-{job}"):
+            seen[folder] = (inner, inside)
+        return moves(path, job)
+
+    monkeypatch.setattr(named, "_moves", spying)
+    pairs = [(f"v{k}/m/v{k}_prompts.json", str(k)) for k in range(200)]
+    named.write_files(rows(spark, pairs, parts=1), tmpdir_fresh)
+    top = min(seen, key=len)
+    attempts = [f for f in seen if f != top]
+    assert len([f for f in attempts if seen[f][1]]) > 1 and not any(seen[f][0] for f in attempts)
+    assert {n: open(os.path.join(tmpdir_fresh, n)).read() for n in below(tmpdir_fresh)} == dict(pairs)
+
+
+def test_many_small_files_are_listed_and_read_in_few_tasks(spark, tmpdir_fresh):
+    for k in range(800):
+        os.makedirs(f"{tmpdir_fresh}/v{k}/m")
+        with open(f"{tmpdir_fresh}/v{k}/m/v{k}_prompts.json", "w") as f:
+            json.dump({"video_name": f"v{k}", "model": "m", "sections": []}, f)
+    few = 4 * spark.sparkContext.defaultParallelism
+    docs = files.read_prompts(spark, tmpdir_fresh)
+    assert docs.rdd.getNumPartitions() <= few
+    assert sorted(r.video_name for r in docs.collect()) == sorted(f"v{k}" for k in range(800))
+    before = spark.conf.get(files.LISTING)
+    assert int(files._listed(spark, lambda: spark.conf.get(files.LISTING))) <= few and spark.conf.get(files.LISTING) == before
