@@ -16,7 +16,9 @@ before it is a small function, though, and functions can be composed:
 4. Down again: every super-block's, then every block's incoming reach gives its
    actual parts, and each row its part number.
 
-Only numbers take part; a block, a super-block and a walk are bounded.
+Only numbers take part; a block, a super-block and a walk are bounded. A super-block
+is one row, and so is a key's walk: Python takes them in batches of rows, not in a
+call for each, as most keys have one short block.
 """
 
 from __future__ import annotations
@@ -83,39 +85,56 @@ def _functions(budget: int, width: int):
     return run
 
 
-def _compose(table: pa.Table) -> pa.Table:
-    """The blocks of a super-block as one function."""
-    table = table.sort_by("_bno")
-    totals, reach, parts = (_arrays(table, c) for c in ("totals", "reach", "parts"))
-    for k in range(table.num_rows - 2, -1, -1):
+def _sequences(column: pa.ListArray) -> Iterator[list[list[np.ndarray]]]:
+    """Totals, reaches and parts of the functions in each row of a column of sequences."""
+    at, fields = column.offsets.to_numpy(), [column.values.field(name) for name in ("totals", "reach", "parts")]
+    fields = [(f.offsets.to_numpy(), f.values.to_numpy()) for f in fields]
+    for first, end in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield [[values[starts[k]:starts[k + 1]] for k in range(first, end)] for starts, values in fields]
+
+
+def _composed(totals: list, reach: list, parts: list) -> list[list]:
+    """A sequence of functions as one."""
+    for k in range(len(totals) - 2, -1, -1):
         at = np.searchsorted(totals[k + 1], reach[k], "right")
         on = at < len(totals[k + 1])
         at = np.where(on, at, 0)
         reach[k], parts[k] = np.where(on, reach[k + 1][at], reach[k]), parts[k] + np.where(on, parts[k + 1][at], 0)
-    return pa.Table.from_arrays([table.column("_sk").slice(0, 1), *(pa.array([x[0].tolist()], LONGS) for x in (totals, reach, parts))],
-                                names=["_sk", "totals", "reach", "parts"])
+    return [totals[0].tolist(), reach[0].tolist(), parts[0].tolist()]
+
 
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of every super-block as one function."""
+    for batch in batches:
+        made = [_composed(*s) for s in _sequences(batch.column("blocks"))]
+        yield pa.RecordBatch.from_arrays([batch.column("_sk"), *(pa.array([m[k] for m in made], LONGS) for k in range(3))],
+                                         names=["_sk", "totals", "reach", "parts"])
 
-def _walk(table: pa.Table, order: str, key: str, came: int, count: int) -> pa.Table:
+
+def _walked(totals: list, reach: list, parts: list, came: int, count: int) -> tuple[list, list]:
     """What each function of a sequence is met with: the reach that comes in, and the parts before it."""
-    table = table.sort_by(order)
     reaches, counts = [], []
-    for totals, reach, parts in zip(*(_arrays(table, c) for c in ("totals", "reach", "parts"))):
+    for t, r, p in zip(totals, reach, parts):
         reaches.append(came)
         counts.append(count)
-        at = _entry(totals, came)
-        if at < len(totals):
-            came, count = int(reach[at]), count + int(parts[at])
-    return pa.Table.from_arrays([table.column(key), pa.array(reaches, pa.int64()), pa.array(counts, pa.int64())],
-                                names=[key, "came", "count"])
-
+        at = _entry(t, came)
+        if at < len(t):
+            came, count = int(r[at]), count + int(p[at])
+    return reaches, counts
 
-def _walk_super(table: pa.Table) -> pa.Table:
-    return _walk(table, "_sb", "_sk", -1, 0)
 
+def _walk(key: str, blocks: str, order: str):
+    """Every sequence walked in order, from what comes into it (nothing at the start of a key)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, column = batch.num_rows, batch.column(blocks)
+            starts = [batch.column(c).to_pylist() if c in batch.schema.names else [d] * n for c, d in (("came", -1), ("count", 0))]
+            made = [_walked(*s, came, count) for s, came, count in zip(_sequences(column), *starts)]
+            numbers = pa.ListArray.from_arrays(column.offsets, column.values.field(order))
+            yield pa.RecordBatch.from_arrays([batch.column(key), numbers, *(pa.array([m[k] for m in made], LONGS) for k in range(2))],
+                                             names=[key, order, "came", "count"])
 
-def _walk_blocks(blocks: pa.Table, came: pa.Table) -> pa.Table:
-    return _walk(blocks, "_bno", "_bk", came.column("came")[0].as_py(), came.column("count")[0].as_py())
+    return run
 
 
 def _numbers(budget: int):
@@ -167,14 +186,22 @@ def budget_parts(rows: DataFrame, keys: list[str], order: str, size: Column, bud
     def with_(frame: DataFrame, columns: list[str], more: str) -> T.StructType:
         return T.StructType([*[frame.schema[c] for c in columns], *T.StructType.fromDDL(more).fields])
 
+    def sequences(frame: DataFrame, by: str, order: str) -> DataFrame:
+        return frame.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "totals", "reach", "parts"))).alias("blocks"))
+
+    def walked(frame: DataFrame, by: str, order: str) -> DataFrame:
+        shape = f"{order} array<bigint>, came array<bigint>, count array<bigint>"
+        return (frame.mapInArrow(_walk(by, "blocks", order), with_(frame, [by], shape))
+                .select(by, F.explode(F.arrays_zip(order, "came", "count")).alias("_x")).select(by, "_x.*"))
+
     made = blocks.drop("order").mapInArrow(_functions(budget, width), with_(blocks, ["_bk"], shape))
     made = made.withColumn("_bno", F.col("_bk._bno")).withColumn(
         "_sk", F.struct(key("_bk").alias("_key"), F.floor(F.col("_bno") / super_size).alias("_sb")))
-    supers = made.groupBy("_sk").applyInArrow(_compose, with_(made, ["_sk"], shape))
-    supers = supers.withColumns({"_key": F.col("_sk._key"), "_sb": F.col("_sk._sb")})
-    came = supers.groupBy("_key").applyInArrow(_walk_super, with_(made, ["_sk"], "came bigint, count bigint"))
-    came = (made.groupBy("_sk").cogroup(came.groupBy("_sk"))
-            .applyInArrow(_walk_blocks, with_(made, ["_bk"], "came bigint, count bigint")))
+    made = sequences(made, "_sk", "_bno")
+    supers = made.mapInArrow(_compose, with_(made, ["_sk"], shape)).withColumns({"_key": F.col("_sk._key"), "_sb": F.col("_sk._sb")})
+    came = walked(sequences(supers, "_key", "_sb"), "_key", "_sb").select(F.struct("_key", "_sb").alias("_sk"), "came", "count")
+    came = walked(made.join(came, "_sk"), "_sk", "_bno").select(
+        F.struct(*[F.col("_sk._key").getField(k).alias(k) for k in keys], "_bno").alias("_bk"), "came", "count")
     numbered = blocks.join(came, "_bk").mapInArrow(_numbers(budget), with_(blocks, ["_bk", "order"], "part array<bigint>"))
     return (numbered.select("_bk", F.explode(F.arrays_zip("order", "part")).alias("_row"))
             .select(*[F.col("_bk").getField(k).alias(k) for k in keys], F.col("_row.order").alias(order), F.col("_row.part").alias("part")))

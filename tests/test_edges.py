@@ -326,3 +326,14 @@ def test_preview_shuffles_the_first_rows_of_each_task_alone(spark):
     below = plan[plan.index("WindowGroupLimit"):]
     assert "Final" in below and "Partial" in below and below.index("Exchange") < below.index("Partial")
     assert [(r.section_index, r.more_sections) for r in images.preview(secs).orderBy("section_index").collect()] == [(k, 4997) for k in range(3)]
+
+
+def test_budget_cuts_call_python_for_batches_not_for_each_video(spark):
+    """Most videos are one short block: a call of Python for each of them would take most of the time."""
+    segs = spark.createDataFrame([(v, p, p + 0.0, p + 0.5, "a text") for v in (*range(50), None) for p in range(4)],
+                                 "video_id long, pos int, start_s double, end_s double, text string")
+    cut = prompts.rule_sections(segs, 1e9, max_chars=13)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMap" not in plan
+    assert sorted((r.video_id is None, r.video_id or 0, r.section_index, r.transcript_text) for r in cut.collect()) == sorted(
+        (v is None, v or 0, k, "a text a text") for v in (*range(50), None) for k in range(2))
