@@ -161,3 +161,13 @@ def test_many_small_files_are_listed_and_read_in_few_tasks(spark, tmpdir_fresh):
     assert sorted(r.video_name for r in docs.collect()) == sorted(f"v{k}" for k in range(800))
     before = spark.conf.get(files.LISTING)
     assert int(files._listed(spark, lambda: spark.conf.get(files.LISTING))) <= few and spark.conf.get(files.LISTING) == before
+
+
+def test_many_clips_files_are_read_in_few_tasks(spark, tmpdir_fresh):
+    for k in range(800):
+        os.makedirs(f"{tmpdir_fresh}/v{k}/m")
+        with open(f"{tmpdir_fresh}/v{k}/m/v{k}.clips.csv", "w") as f:
+            f.write(f"start,end,text\r\n0.0,1.0,t{k}\r\n")
+    clips = files.read_clips(spark, tmpdir_fresh)
+    assert clips.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.video_id, r.text) for r in clips.collect()) == sorted((f"v{k}", f"t{k}") for k in range(800))
