@@ -88,13 +88,14 @@ def comparison(elements: Callable[[Column], Column]) -> Callable[[DataFrame], Da
 
 
 def link_components(signatures: DataFrame, sets: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int, name: str,
-                    close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                    close: Callable[[DataFrame], DataFrame] | None = None, count_rests: bool = True) -> DataFrame:
     """(id, component) for ids linked to another id.
 
     signatures: id (bigint) and band_keys (array<bigint>; null where a band does not apply). sets: id and ``content``,
     for every id that shares a key. compare: (id, centre, x, y), the contents of two sets, -> id, centre, n and n_centre
     (sizes), rest (array<bigint>, the elements of x that y lacks) and common (those it has), exactly. close: (a, b) ->
-    the pairs that a cheaper estimate leaves; for those the full sets decide.
+    the pairs that a cheaper estimate leaves; for those the full sets decide. count_rests: whether what two rests share is
+    counted before that, which ships both rests; not worth it where contents are smaller than their rests as numbers.
     """
     bands = signatures.select("id", F.explode("band_keys").alias("key")).where("key is not null").select("key", "id")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -173,10 +174,13 @@ def link_components(signatures: DataFrame, sets: DataFrame, compare: Callable[[D
            .where(F.expr(f"100 * least(of_a.n, of_b.n) >= {whole} * greatest(of_a.n, of_b.n) and arrays_overlap(of_a.keys, of_b.keys) and "
                          f"{total} * (least(of_a.common, of_b.common) + least(of_a.n - of_a.common, of_b.n - of_b.common)) "
                          f">= {whole} * (of_a.n + of_b.n)")).select("centre", "a", "b"))
-    full_side = marked.select("centre", "id", "n", "common", "rest")
-    counted = (fit.join(side(full_side, "a"), ["centre", "a"]).join(side(full_side, "b"), ["centre", "b"])
-               .withColumn("more", F.size(F.array_intersect("of_a.rest", "of_b.rest")).cast("bigint"))
-               .where(f"{total} * (least(of_a.common, of_b.common) + more) >= {whole} * (of_a.n + of_b.n)").select("a", "b"))
+    if count_rests:
+        full_side = marked.select("centre", "id", "n", "common", "rest")
+        counted = (fit.join(side(full_side, "a"), ["centre", "a"]).join(side(full_side, "b"), ["centre", "b"])
+                   .withColumn("more", F.size(F.array_intersect("of_a.rest", "of_b.rest")).cast("bigint"))
+                   .where(f"{total} * (least(of_a.common, of_b.common) + more) >= {whole} * (of_a.n + of_b.n)").select("a", "b"))
+    else:
+        counted = fit.select("a", "b")
     both = enough.unionAll(counted).distinct()
     if close is not None:
         both = close(both)

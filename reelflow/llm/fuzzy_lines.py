@@ -7,23 +7,20 @@ Jaccard similarity of these full sets is at least ``percent`` / 100, and one lin
 per connected component stays: the first by (doc_id, line number).
 
 1. Distinct lines get dense numbers; their copies find them by 128 bits of hash.
-2. Every shingle of a line has a hash, and ``BANDS * ROWS`` multipliers order
-   these hashes; a line's signature are its minima, ``ROWS`` of them a band key.
-   At similarity 0.8 a pair shares none of the bands with a chance of
-   (1 - 0.8 ** 5) ** 12, below 1 in 100; at 0.3 it shares one with 3 in 100.
+2. The shingles of a line, as rows with a hash each, are dealt to ``BANDS`` bins by their
+   hash, and of every bin the line keeps ``ROWS`` minima under as many orders: its band
+   key. At similarity 0.8 a pair of long lines shares none of the bands with a chance of
+   (1 - 0.8 ** 5) ** 12, below 1 in 100; at 0.3 it shares one with 3 in 100. Where fewer than
+   ``FEW`` distinct shingles are certain, all shingles go to every bin, with another hash in each.
+   A linked pair has sizes within 4 to 5, so both lines have band keys of one kind.
 3. In a bucket of at most ``SMALL`` members every two are a candidate, so a member
-   has a bounded number of them.  In a larger one every member is compared with its
-   centre; one whose members are then all in one component is done.  Else those
-   outside of the centre's component are held against all members, tile by tile of
-   ``TILE`` members each: a tile gives the links that join components, not its pairs.
-4. Four low bits of every minimum estimate a candidate's similarity by bit counts;
-   only one that is ``MARGIN`` or more below the threshold is left out (more than
-   four standard deviations).  Then full sets are compared.
-
-Splitting, grouping, joining and choosing are DataFrame functions.  Signatures and
-set comparisons run in Arrow batches: in SQL functions the shingles alone, without
-anything done with them, took most of the time that the whole query may take (the
-README has the figures).
+   has a bounded number of them. Larger ones go through ``components.link_components``:
+   centres, and equi joins on what members have that the centre lacks, so no crowd is
+   turned into its pairs.
+4. The least hashes of both sets estimate a candidate's similarity; only one that is
+   ``MARGIN`` per cent or more below the threshold is left out. Then full sets are compared.
+
+All of it is DataFrame functions.  The shingles are made by one pass of a pattern over a line.
 
 Defined cases: lines without a word stay and are in no component; a null or
 empty text has no lines; a null doc_id comes before all others; rows that repeat
@@ -41,19 +38,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.components import connected
+from reelflow.llm.components import comparison, connected, link_components
 from reelflow.llm.shared import discard, id_and_text, slices, written
 
 WIDTH = 5
 BANDS, ROWS = 12, 5
 SMALL = 64                                              # members of a bucket that are compared two by two
-MARGIN = 0.25
-TILE = 1024                                             # members of a crowded bucket on either side of a tile
+LOW, MARGIN = 48, 25                                    # least hashes of a set that estimate a similarity, and per cent left to chance
+FEW = 40                                                # distinct shingles from which bins alone deal out a line's
+TILE = 1024                                             # not read any more; a test sets it
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: One odd multiplier per minimum.
-TURNS = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * GOLDEN >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
-MEASURE = "id bigint, centre bigint, n bigint, n_centre bigint, common bigint"
-LINK = "a bigint, b bigint"
+#: What turns a hash for each order; signed, as Spark's numbers are.
+TURNS = [(k * int(GOLDEN) + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(1, ROWS + 1)]
+#: Every five code points in a row. A match does not begin within a surrogate pair.
+SHINGLE = r"(?=([^\x{DC00}-\x{DFFF}](?s:.{4})))"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -94,39 +92,43 @@ def lines_of(docs: DataFrame) -> DataFrame:
             .withColumn("line", comparable(F.col("line"))).withColumn("line_key", hashed(F.col("line"))))
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, band_keys and low (four bits of each minimum, 16 to a number) of lines, from all their shingles."""
-    for batch in slices(batches):
-        m = batch.num_rows
-        hashes, starts = shingle_hashes(batch.column("line").to_pylist())
-        short = (hashes >> np.uint64(32)).astype(np.uint32)
-        keys, low = np.zeros((BANDS, m), np.uint64), np.zeros((-(-len(TURNS) // 16), m), np.uint64)
-        for k, turn in enumerate(TURNS):
-            smallest = np.minimum.reduceat(short * turn, starts[:-1]).astype(np.uint64)
-            keys[k // ROWS] = mixed(keys[k // ROWS] * GOLDEN + smallest + np.uint64(1 + k // ROWS))
-            low[k // 16] |= (mixed(smallest * GOLDEN) & np.uint64(15)) << np.uint64(4 * (k % 16))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), rows_as_lists(keys), rows_as_lists(low)], names=["id", "band_keys", "low"])
+def shingles(line: Column) -> Column:
+    """All shingles of a line, with repeats; a line shorter than one is its own."""
+    return F.when(F.char_length(line) < WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
+
+
+def hashes(line: Column) -> Column:
+    return F.transform(shingles(line), lambda g: F.xxhash64(g))
+
+
+def shingle_set(line: Column) -> Column:
+    """The hashes of a line's distinct shingles."""
+    return F.array_distinct(hashes(line))
 
 
-def rows_as_lists(columns: np.ndarray) -> pa.ListArray:
-    """Array (n, m) of unsigned numbers as m lists of n bigints."""
-    n, m = columns.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(columns.T).view(np.int64).ravel()))
+def band_keys(lines: DataFrame) -> DataFrame:
+    """id and key, a row for every band of a line (id, line) that has one."""
+    few = F.size(shingle_set(F.substring("line", 1, FEW + 2 * WIDTH))) < FEW
+    # fewer than FEW are linked to fewer than FEW / 0.8 alone; those with 0.8 * FEW or more have the bins of long lines too
+    lines = lines.repartition("id")                         # a line's shingles are grouped where the line is
+    # four bytes a code point: a shingle is found by its place
+    long = (lines.where(F.char_length("line") >= FEW * 4 // 5 + WIDTH - 1).select("id", F.encode("line", "UTF-32").alias("points"))
+            .select("id", "points", F.explode(F.expr(f"sequence(1, octet_length(points) - {4 * WIDTH - 1}, 4)")).alias("at"))
+            .select("id", F.xxhash64(F.expr(f"substring(points, at, {4 * WIDTH})")).alias("h"))
+            .withColumn("bin", F.pmod("h", F.lit(BANDS)).cast("int")))
+    short = (lines.where(few).select("id", F.explode(F.array_distinct(shingles(F.col("line")))).alias("g"))
+             .select("id", "g", F.explode(F.sequence(F.lit(BANDS), F.lit(2 * BANDS - 1))).alias("bin"))
+             .select("id", F.xxhash64("g", "bin").alias("h"), "bin"))
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(turn))).alias(f"m{k}") for k, turn in enumerate(TURNS)]
 
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id", "bin").agg(*minima).select("id", F.xxhash64("bin", *[f"m{k}" for k in range(ROWS)]).alias("key"))
 
-def estimate(x: str, y: str) -> Column:
-    """Similarity from the minima whose four bits agree, less the agreement by chance."""
-    unlike = F.lit(0)
-    for k in range(-(-len(TURNS) // 16)):
-        bits = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        unlike = unlike + F.bit_count(bits)
-    return (1 - unlike / F.lit(len(TURNS)) - 1 / 16) / (1 - 1 / 16)
+    return keyed(long).unionAll(keyed(short))
 
 
 def comparisons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets of pairs of lines: their sizes and what they share.
+    """Full sets of pairs of lines: their sizes and what they share. Plain arrays, that tests hold ``comparison(shingle_set)`` against.
 
     One number holds a pair's place in the batch (8 bits), an element (55 bits of its hash) and its side (1 bit), so
     that a plain sort brings equal elements of a pair together, x's before y's.
@@ -146,79 +148,21 @@ def comparisons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "centre", "n", "n_centre", "common"])
 
 
-class Members:
-    """One side of a tile: ids, components, low bits, and sets that are made when they are asked for."""
-
-    def __init__(self, table: pa.Table):
-        table = table.rename_columns([c.rstrip("_") for c in table.column_names])
-        self.ids, self.parts = table.column("id").to_pylist(), table.column("part").to_pylist()
-        self.low = np.array(table.column("low").to_pylist(), np.int64).reshape(len(self.ids), -(-len(TURNS) // 16)).view(np.uint64)
-        self.lines, self.sets = table.column("line").to_pylist(), {}
-
-    def set_of(self, k: int) -> np.ndarray:
-        if k not in self.sets:
-            self.sets[k] = np.unique(shingle_hashes([self.lines[k]])[0])
-        return self.sets[k]
-
-
-def tile(percent: int):
-    """Links between outer members and all members of a tile, as many as join up their components."""
-    def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        found = np.zeros((len(x), len(y)), np.int64)
-        for k in range(x.shape[1]):
-            bits = x[:, k, None] ^ y[None, :, k]
-            bits |= bits >> np.uint64(1)
-            bits |= bits >> np.uint64(2)
-            found += np.bitwise_count(bits & np.uint64(0x1111111111111111))
-        return found
-
-    def run(outer: pa.Table, every: pa.Table) -> pa.Table:
-        x, y = Members(outer), Members(every)
-        up = {p: p for p in (*x.parts, *y.parts)}
-
-        def root(p):
-            while up[p] != p:
-                up[p] = up[up[p]]
-                p = up[p]
-            return p
-
-        links = []
-        if x.ids and y.ids:
-            likely = (1 - unlike(x.low, y.low) / len(TURNS) - 1 / 16) / (1 - 1 / 16)
-            likely[np.array(x.parts)[:, None] == np.array(y.parts)[None, :]] = -1
-            rows, columns = np.nonzero(likely >= percent / 100 - MARGIN)
-            for at in np.argsort(-likely[rows, columns], kind="stable").tolist():     # the likeliest first, then most need no look
-                i, j = int(rows[at]), int(columns[at])
-                a, b = root(x.parts[i]), root(y.parts[j])
-                if a != b:
-                    p, q = x.set_of(i), y.set_of(j)
-                    both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-                    if 100 * both >= percent * (len(p) + len(q) - both):
-                        links.append((x.ids[i], y.ids[j]))
-                        up[max(a, b)] = min(a, b)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return run
-
-
-def crowd_links(crowds: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of crowded buckets, as far as ``links`` and their stars leave components apart.
-
-    crowds: key, size, id, low, line.
+def likely(pairs: DataFrame, texts: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+    """The pairs but those whose estimate is ``MARGIN`` or more below the threshold.
+
+    Of the ``LOW`` least hashes of two sets together, a share as large as their similarity is in both, and what is in
+    both is among the ``LOW`` least of either; a share less by ``MARGIN`` is more than four standard deviations off.
     """
-    parts = connected(links, "crowd-parts")
-    centre = crowds.groupBy("key").agg(F.min("id").alias("centre"))
-    members = (crowds.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-               .join(centre, "key").join(parts.select(F.col("id").alias("centre"), F.col("component").alias("hub")), "centre", "left")
-               .withColumn("outer", F.col("part") != F.coalesce("hub", "centre")))
-    open_ = members.where("outer").select("key").distinct()
-    members = members.join(open_, "key").withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int"))
-    chunk, every = F.expr("cast(pmod(xxhash64(id), chunks) AS int)"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    members = written(members, "crowd-members")
-    held = ("key", "id", "part", "low", "line")
-    left = members.where("outer").select(chunk.alias("i"), every.alias("j"), *held)
-    right = members.select(every.alias("i_"), chunk.alias("j_"), *[F.col(c).alias(f"{c}_") for c in held])
-    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_", "i_", "j_")).applyInArrow(tile(percent), LINK)
+    x, y = (texts.select(F.col("id").alias(name), F.col("size").alias(f"size_{side}"), F.col("low").alias(side)) for name, side in ((a, "p"), (b, "q")))
+    return (pairs.join(x, a).join(y, b)
+            .where(f"100 * size(array_intersect(p, q)) >= {percent - MARGIN} * least({LOW}, size_p, size_q)").select(*pairs.columns))
+
+
+def near(pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of pairs (id, centre) of lines x and y with n and m distinct shingles: full sets decide."""
+    of_both = pairs.select("id", "centre", "n", "m", F.size(F.array_union(hashes(F.col("x")), hashes(F.col("y")))).alias("of_both"))
+    return of_both.where(f"100 * (n + m - of_both) >= {percent} * of_both").select(F.col("id").alias("a"), F.col("centre").alias("b"))
 
 
 def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -227,40 +171,38 @@ def line_components(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, Data
     # copies of a line meet as partial minima
     distinct = lines.groupBy("line_key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    signed = written(distinct.select("id", "line").mapInArrow(signatures, "id bigint, band_keys array<bigint>, low array<bigint>"), "line-signatures")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        return pairs.mapInArrow(comparisons, MEASURE)
-
-    bands = signed.select("id", F.explode("band_keys").alias("key"))
+    bands = written(band_keys(distinct.select("id", "line")), "line-bands")
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(bands.join(sizes, "key"), "line-buckets")
-    few = buckets.where(F.col("size") <= SMALL).select("key", "id")
-    # only members of buckets go on, each table with what the next step reads
-    lows = written(signed.select("id", "low").join(buckets.select("id").distinct(), "id", "left_semi"), "line-lows")
-    discard(signed)
+    discard(bands)
     few, crowds = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.id < y.id")).select(
-        F.col("x.id").alias("id"), F.col("y.id").alias("centre"))
-    stars = crowds.join(crowds.groupBy("key").agg(F.min("id").alias("centre")), "key").where("id <> centre").select("id", "centre")
-    x, y = (lows.select(F.col("id").alias(name), F.col("low").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
-    pairs = (pairs.unionAll(stars).distinct().join(x, "id").join(y, "centre")
-             .where(estimate("x", "y") >= percent / 100 - MARGIN).select("id", "centre"))
+        F.col("x.id").alias("id"), F.col("y.id").alias("centre")).distinct()
     pairs = written(pairs, "line-pairs")
-    wanted = pairs.select("id").unionAll(pairs.select("centre")).unionAll(crowds.select("id")).distinct()
-    texts = written(distinct.select("id", "line").join(wanted, "id", "left_semi"), "line-texts")
-    x, y = (texts.select(F.col("id").alias(name), F.col("line").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
-    near = F.expr(f"100 * common >= {percent} * (n + n_centre - common)")
-    links = written(compare(pairs.join(x, "id").join(y, "centre").select("id", "centre", "x", "y")).where(near)
-                    .select(F.col("id").alias("a"), F.col("centre").alias("b")), "line-links")
-    more = written(crowd_links(crowds.join(lows, "id").join(texts, "id"), links, percent), "line-crowds")
-    discard(texts, pairs, buckets, lows)
-    parts = connected(links.unionAll(more), "line-parts")
+    # only members of buckets go on
+    texts = distinct.select("id", F.col("line").alias("content")).join(buckets.select("id").distinct(), "id", "left_semi")
+    low = F.transform(F.slice(F.sort_array("set"), 1, LOW), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    texts = written(texts.withColumn("set", shingle_set(F.col("content")))
+                    .select("id", "content", F.size("set").alias("size"), low.alias("low")), "line-texts")
+    n, m = (texts.select(F.col("id").alias(name), F.col("size").alias(side)) for name, side in (("id", "n"), ("centre", "m")))
+    fit = written(pairs.join(n, "id").join(m, "centre").where(f"100 * least(n, m) >= {percent} * greatest(n, m)"), "line-fit")
+    x, y = (texts.select(F.col("id").alias(name), F.col("content").alias(side)) for name, side in (("id", "x"), ("centre", "y")))
+    close = written(likely(fit, texts, "id", "centre", percent), "line-close")
+    links = written(near(close.join(x, "id").join(y, "centre"), percent), "line-links")
+    discard(pairs, fit, close)
+    if not crowds.isEmpty():
+        keys = crowds.groupBy("id").agg(F.collect_list("key").alias("band_keys"))
+        linked = link_components(keys, texts.select("id", "content"), comparison(shingle_set), percent, "line-crowds",
+                                 lambda both: likely(both, texts, "a", "b", percent), count_rests=False)
+        first, links = links, written(links.unionAll(linked.select(F.col("id").alias("a"), F.col("component").alias("b"))), "line-links-all")
+        discard(first)
+    discard(texts, buckets)
+    parts = connected(links, "line-parts")
     named = distinct.select("line_key", "id", "first").join(parts, "id", "left").select(
         "line_key", "first", F.coalesce("component", "id").alias("component"))
     firsts = named.groupBy("component").agg(F.min("first").alias("keeper"))
     keepers = written(named.join(firsts, "component").select("line_key", "keeper"), "line-keepers")
-    discard(distinct, links, more)
+    discard(distinct, links)
     return lines.select("doc_id", "of", "line_no", "line_key"), keepers
 
 
